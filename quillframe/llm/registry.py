@@ -13,7 +13,28 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def tokenizer(name: str) -> str:
+    """The place of a public vocabulary file, which every machine of the cluster has installed."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillframe.llm.tokens import count_tokens
+
+    return count_tokens(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
+
+
+def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillframe.llm.tokens import encode_decode
+
+    return encode_decode(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
+
+
 QUERIES = {
+    "op2_token_counts": op2_token_counts,
+    "op10_bpe_codec": op10_bpe_codec,
     "op4_exact_dedup": op4_exact_dedup,
 }
 
