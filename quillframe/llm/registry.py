@@ -44,7 +44,21 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillframe.llm.link_trust import judge_urls
+
+    return judge_urls(table(spark, sf_dir, "pages"))
+
+
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillframe.llm.pii import replace_entities
+
+    return replace_entities(table(spark, sf_dir, "documents"), count_col="n_entities").select("doc_id", "text", "n_entities")
+
+
 QUERIES = {
+    "op5_url_filter": op5_url_filter,
+    "op9_pii": op9_pii,
     "op3_top_k": op3_top_k,
     "op7_packing": op7_packing,
     "op2_token_counts": op2_token_counts,
