@@ -62,7 +62,14 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replace_entities(table(spark, sf_dir, "documents"), count_col="n_entities").select("doc_id", "text", "n_entities")
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillframe.llm.substrings import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op6_substring_dedup": op6_substring_dedup,
     "op1_near_dedup": op1_near_dedup,
     "op5_url_filter": op5_url_filter,
     "op9_pii": op9_pii,
@@ -74,6 +81,19 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op6_substring_dedup": r"""
+        WITH w AS (
+            SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents
+        ),
+        s AS (SELECT doc_id, words, unnest(range(1, len(words) - 33)) AS i FROM w),
+        h AS (SELECT doc_id, i, sha256(array_to_string(words[i:i + 34], ' ')) AS g FROM s),
+        d AS (SELECT doc_id, i FROM h WHERE g IN (SELECT g FROM h GROUP BY g HAVING count(*) > 1)),
+        c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS i FROM d),
+        l AS (SELECT doc_id, list(i) AS gone FROM c GROUP BY doc_id)
+        SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed,
+               sha256(array_to_string(CASE WHEN gone IS NULL THEN words
+                   ELSE list_transform(list_filter(range(1, len(words) + 1), lambda i: NOT list_contains(gone, i)), lambda i: words[i]) END, ' ')) AS kept_sha256
+        FROM w LEFT JOIN l USING (doc_id)""",
     "op1_near_dedup": r"""
         WITH RECURSIVE w AS (
             SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents
