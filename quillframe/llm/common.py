@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: The bytes that separate words everywhere in this subpackage: space, tab, LF, VT, FF, CR.
 SPACE = "\\x20\\x09-\\x0D"
@@ -83,3 +86,35 @@ def word_spans(data: bytes) -> tuple[bytes, np.ndarray, np.ndarray]:
 
 def utf8(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
+
+
+#: Bits of a membership filter: 4 MB as broadcast, and at most half a million 16-byte rows to the driver, whatever the keys.
+FILTER_BITS = 1 << 25
+
+
+def may_join(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """``rows`` without most of those whose long ``key`` is not among ``keys`` (its first column), ahead of a join on it.
+
+    A hashed bitmap of a fixed size (a Bloom filter with two bits a key) is all that is broadcast, so that wide rows
+    without a partner need not be shuffled. It never loses a row with a partner; with more keys than it has room for it
+    merely lets more pass. Rows with a null key pass.
+    """
+    bit = F.explode(F.array(*(F.pmod(F.xxhash64(F.col(keys.columns[0]), F.lit(seed)), F.lit(FILTER_BITS)) for seed in (1, 2))))
+    words = keys.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 AS int))")).alias("bits"))
+    bitmap = np.zeros(FILTER_BITS // 64, np.int64)
+    found = words.toPandas()
+    bitmap[found["word"].to_numpy()] = found["bits"].to_numpy()
+    shared, columns = rows.sparkSession.sparkContext.broadcast(bitmap.view(np.uint64)), rows.columns
+    hashed = rows.select("*", *(F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(FILTER_BITS)).alias(f"__bit{seed}") for seed in (1, 2)), F.col(key).isNull().alias("__null"))
+
+    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value
+        for batch in batches:
+            held = np.ones(batch.num_rows, bool)
+            for name in ("__bit1", "__bit2"):
+                at = batch.column(name).to_numpy()
+                held &= (bits[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+            held |= batch.column("__null").to_numpy(zero_copy_only=False)
+            yield batch.select(columns).filter(pa.array(held))
+
+    return hashed.mapInArrow(test, rows.schema)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillframe.llm.common import durable, mix64, span_hashes, utf8, word_spans
+from quillframe.llm.common import durable, may_join, mix64, span_hashes, utf8, word_spans
 from quillframe.llm.components import connected_components
 
 #: Chance that a pair at the threshold shares no band; most minima of a document; minima that verify a pair; how far
@@ -175,21 +175,22 @@ def near_duplicates(docs: DataFrame, num: int = 80, den: int = 100, size: int =
     bands, rows = choose_bands(num / den)
     read = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     features = durable(read.mapInArrow(_features(size, bands, rows), "id long, n long, digest binary, bands binary"), "features")
-    classes = features.where("n > 0").groupBy("digest").agg(F.min("id").alias("rep"))
+    # Written before they are joined: a join between two plain shuffles is one whose hot keys Spark can split.
+    classes = durable(features.where("n > 0").groupBy("digest").agg(F.min("id").alias("rep")), "classes")
     members = durable(
         features.join(classes, "digest", "left").select("id", "n", "digest", F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("id")).alias("rep"), F.when(F.col("id") == F.col("rep"), F.col("bands")).alias("bands")), "members"
     )
     # A document in several classes (its id repeats with other texts) links them.
     several = members.where("id <> rep AND n > 0").select(F.col("id").alias("a"), F.col("rep").alias("b")).join(members.where("bands IS NOT NULL").select(F.col("id").alias("a")), "a", "left_semi")
     keys = members.where("bands IS NOT NULL").select("rep", "bands").mapInArrow(_spread_bands, "key long, rep long")
-    centres = keys.groupBy("key").agg(F.min("rep").alias("centre"), F.max("rep").alias("most")).where("centre <> most").select("key", "centre")
+    centres = durable(keys.groupBy("key").agg(F.min("rep").alias("centre"), F.max("rep").alias("most")).where("centre <> most").select("key", "centre"), "centres")
     stars = keys.join(centres, "key").where("rep <> centre").select(F.col("rep").alias("a"), F.col("centre").alias("b"))
     clusters = durable(connected_components(stars), "clusters")
 
     sized = clusters.join(members.where("bands IS NOT NULL").select("id", "n", "digest"), F.col("node") == F.col("id")).select(F.col("node").alias("rep"), F.col("component").alias("cluster"), "n", "digest").distinct()
     sizes = sized.groupBy("cluster").agg(F.greatest(F.ceil(F.count(F.lit(1)) / CELL_DOCS), F.ceil(F.sum("n") / CELL_SHINGLES)).cast("int").alias("chunks"))
     nodes = durable(sized.join(sizes, "cluster"), "nodes")
-    sets = read.join(nodes, F.col("id") == F.col("rep")).select("cluster", "chunks", "rep", "digest", "text").mapInArrow(_sets(size), "cluster long, chunks int, rep long, hashes binary")
+    sets = may_join(read, "id", nodes.select("rep")).join(nodes, F.col("id") == F.col("rep")).select("cluster", "chunks", "rep", "digest", "text").mapInArrow(_sets(size), "cluster long, chunks int, rep long, hashes binary")
     chunk = F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int")
     cells = (
         sets.withColumn("chunk", chunk)
