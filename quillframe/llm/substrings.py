@@ -4,8 +4,8 @@ A window is ``width`` consecutive words. Windows are dealt to shards by their mi
 their shorter word sequences: equal windows meet in one shard wherever they stand, and neighbours mostly stay together
 as one run. Runs whose minimiser occurs once are settled by counting. Equal runs collapse to one with a count. For what
 is left, each shard is a compressed FM-index; the runs are streamed through it by backward search over its wavelet
-matrix, whose matching statistics give the windows that occur again. A minimiser that too many different runs share is
-divided until each part is a single window's text, whose count is then the answer.
+matrix, whose matching statistics give the windows that occur again. The runs of a minimiser that too many share are
+divided by longer minimisers; the last is a whole window, of which there is a single text, and its count is the answer.
 """
 
 from __future__ import annotations
@@ -18,11 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillframe.llm.common import durable, span_hashes, utf8, word_spans
+from quillframe.llm.common import durable, may_join, mix64, span_hashes, utf8, word_spans
 from quillframe.llm.fm_index import FMIndex
 
 #: Words of a minimiser; different runs of one minimiser that share a shard; words of an index, about 40 bytes each.
 GRAM, CROWD, INDEX_WORDS = 8, 512, 200_000
+#: Words of the minimisers that divide a crowded one, before the whole window.
+GRAMS = (24,)
 
 
 def runs_of(joined: bytes, starts: np.ndarray, ends: np.ndarray, width: int, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -76,15 +78,14 @@ def _words(width: int):
             for text, chosen in zip(batch.column("text").to_pylist(), batch.column("chosen").to_pylist()):
                 joined, starts, ends = word_spans(utf8(text))
                 hashes = span_hashes(joined, starts, ends)
-                keys, runs, n, crowd, data = [], [], [], [], []
+                keys, runs, n, data = [], [], [], []
                 for x in chosen:
                     first, count = x["place"] >> 8, x["place"] & 255
                     keys.append(x["key"])
                     runs.append(x["run"])
                     n.append(x["n"])
-                    crowd.append(x["crowd"])
                     data.append(hashes[first : first + count + width - 1].astype("<u8").tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(runs, pa.int64()), pa.array(n, pa.int64()), pa.array(crowd, pa.bool_()), pa.array(data, pa.binary())], ["key", "run", "n", "crowd", "words"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(runs, pa.int64()), pa.array(n, pa.int64()), pa.array(data, pa.binary())], ["key", "run", "n", "words"])
 
     return run
 
@@ -119,24 +120,55 @@ def _search(width: int):
     return run
 
 
-def _windows(width: int):
-    """Every window of a run of a crowded minimiser, by two hashes of its words."""
-    weights = np.random.default_rng(5).integers(0, 2**63, (2, width), np.uint64) | np.uint64(1)
+def _divide(width: int, gram: int):
+    """Runs of a crowded minimiser, cut anew by minimisers of ``gram`` words: (key, run, n, from, sub, subrun, words)."""
+    weights = np.random.default_rng(gram).integers(0, 2**63, (2, width), np.uint64) | np.uint64(1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        view = np.lib.stride_tricks.sliding_window_view
         for batch in batches:
-            out: list[list[np.ndarray]] = [[] for _ in range(6)]
+            out: list[list] = [[] for _ in range(7)]
             for key, name, n, data in zip(batch.column("key").to_pylist(), batch.column("run").to_pylist(), batch.column("n").to_pylist(), batch.column("words")):
-                view = np.lib.stride_tricks.sliding_window_view(np.frombuffer(data.as_buffer(), "<u8"), width)
-                a, b = ((view * w).sum(axis=1, dtype=np.uint64).astype(np.int64) for w in weights)
-                for column, x in zip(out, (np.full(len(a), key), np.full(len(a), name), np.full(len(a), n), np.arange(len(a)), a, b)):
-                    column.append(x)
-            if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in out], ["key", "run", "n", "nth", "a", "b"])
+                words = np.frombuffer(data.as_buffer(), "<u8")
+                hashes = mix64((view(words, gram) * weights[0, :gram]).sum(axis=1, dtype=np.uint64))
+                least = view(hashes, width - gram + 1).argmin(axis=1) + np.arange(len(words) - width + 1)
+                first = np.flatnonzero(np.r_[True, least[1:] != least[:-1]])
+                ends = np.r_[first[1:], len(least)]
+                whole = mix64((view(words, width) * weights[1]).sum(axis=1, dtype=np.uint64))
+                for i, j in zip(first.tolist(), ends.tolist()):
+                    # The first window and the number of windows, with the words after it, are the run; its hash tells both.
+                    both = np.array([hashes[least[i]], np.add.reduce(mix64(whole[i:j] + np.arange(j - i, dtype=np.uint64)))]).astype(np.int64).tolist()
+                    for column, x in zip(out, (key, name, n, i, *both, words[i : j + width - 1].astype("<u8").tobytes())):
+                        column.append(x)
+            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in out[:6]), pa.array(out[6], pa.binary())], ["key", "run", "n", "from", "sub", "subrun", "words"])
 
     return run
 
 
+def _settle(words: DataFrame, width: int, crowd: int, grams: tuple[int, ...]) -> DataFrame:
+    """(key, run, mask): the repeated windows of runs (key, run, n, words) that share their key with others.
+
+    Keys of up to ``crowd`` runs are searched in their shard. The runs of other keys are divided by a longer
+    minimiser, and their parts settled in the same way; the last minimiser is a whole window, whose key has one text.
+    """
+    crowds = durable(words.groupBy("key").agg(F.count(F.lit(1)).alias("runs")), "crowds")
+    counted = words.join(crowds, "key")
+    shard = counted.where((F.col("runs") > 1) & (F.col("runs") <= crowd)).select("key", "run", "n", "words")
+    found = shard.repartition("key").sortWithinPartitions("key").mapInArrow(_search(width), "key long, run long, mask long")
+    found = found.unionByName(words.where("n > 1").select("key", "run", F.lit(-1).cast("long").alias("mask")))
+    if not grams:
+        return found
+    crowded = counted.where(F.col("runs") > crowd).select("key", "run", "n", "words")
+    parts = durable(crowded.mapInArrow(_divide(width, grams[0]), "key long, run long, n long, from long, sub long, subrun long, words binary"), "parts")
+    if parts.isEmpty():
+        return found
+    below = parts.groupBy(F.col("sub").alias("key"), F.col("subrun").alias("run")).agg(F.sum("n").alias("n"), F.first("words").alias("words"))
+    masks = _settle(durable(below, "subruns"), width, crowd, grams[1:]).groupBy(F.col("key").alias("sub"), F.col("run").alias("subrun")).agg(F.bit_or("mask").alias("mask"))
+    windows = F.expr("mask & shiftrightunsigned(-1L, cast(64 - (length(words) div 8 - %d) AS int))" % (width - 1))
+    divided = parts.join(durable(masks, "submasks"), ["sub", "subrun"]).select("key", "run", windows.alias("mask"), "from")
+    return found.unionByName(divided.groupBy("key", "run").agg(F.bit_or(F.expr("shiftleft(mask, cast(from AS int))")).alias("mask")))
+
+
 def _remove(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -165,33 +197,29 @@ def repeated_substrings(docs: DataFrame, width: int = 35, id_col: str = "doc_id"
     rows: row, id, mark (a hash of the text), n_words, sha (of all words joined by one space). repeats: row, place (first
     word << 8 | windows), mask (a bit for each window). ``width`` is from 9 to 71 words.
     """
+    grams = tuple(g for g in GRAMS if g < width)
     if not GRAM < width <= 63 + GRAM:
         raise ValueError("the width must be from 9 to 71 words")
     read = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("mark"), F.col(text_col).cast("string").alias("text"))
     scanned = read.mapInArrow(_scan(width), "id long, mark long, n_words long, sha string, runs binary")
     rows = durable(scanned.withColumn("row", F.monotonically_increasing_id()), "runs")
     runs = rows.where("runs IS NOT NULL").select("row", "runs").mapInArrow(_explode_runs, "key long, run long, row long, place long")
-    again = runs.groupBy("key").agg(F.count(F.lit(1)).alias("all")).where(F.col("all") > 1).select("key")
+    again = durable(runs.groupBy("key").agg(F.count(F.lit(1)).alias("all")).where(F.col("all") > 1).select("key"), "again")
     found = durable(runs.join(again, "key", "left_semi"), "candidates")
 
     different = found.groupBy("key", "run").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "place")).alias("at"))
-    crowds = different.groupBy("key").agg(F.count(F.lit(1)).alias("runs"))
-    classes = durable(different.join(crowds, "key"), "classes")
-    whole = classes.where("n > 1").select("key", "run", F.lit(-1).cast("long").alias("mask"))
+    different = durable(different, "classes")
+    crowds = durable(different.groupBy("key").agg(F.count(F.lit(1)).alias("runs")).where("runs > 1").select("key"), "shared")
     # One place of each run that has company in its shard gives its words.
-    chosen = classes.where("runs > 1").select(F.col("at.row").alias("row"), F.struct("key", "run", "n", F.col("at.place").alias("place"), (F.col("runs") > crowd).alias("crowd")).alias("x"))
+    chosen = different.join(crowds, "key", "left_semi").select(F.col("at.row").alias("row"), F.struct("key", "run", "n", F.col("at.place").alias("place")).alias("x"))
     chosen = chosen.groupBy("row").agg(F.collect_list("x").alias("chosen"))  # of one document: as many as it has runs
-    by_text = durable(chosen.join(rows.select("row", "id", "mark"), "row").drop("row"), "chosen")
+    by_text = durable(chosen.join(rows.select("row", F.col("id").alias("cid"), F.col("mark").alias("cmark")), "row").drop("row"), "chosen")
     # Rows that repeat an id and a text give the same words for the same run.
-    sources = read.join(by_text, read["id"].eqNullSafe(by_text["id"]) & (read["mark"] == by_text["mark"])).select("text", "chosen")
-    words = durable(sources.mapInArrow(_words(width), "key long, run long, n long, crowd boolean, words binary").dropDuplicates(["key", "run"]), "words")
-    shard = words.where("NOT crowd").select("key", "run", "n", "words")
-    searched = shard.repartition("key").sortWithinPartitions("key").mapInArrow(_search(width), "key long, run long, mask long")
-    parts = words.where("crowd").select("key", "run", "n", "words").mapInArrow(_windows(width), "key long, run long, n long, nth long, a long, b long")
-    parts = durable(parts, "windows")
-    often = parts.groupBy("a", "b").agg(F.sum("n").alias("total")).where("total > 1").select("a", "b")
-    divided = parts.where("n = 1").join(often, ["a", "b"], "left_semi").groupBy("key", "run").agg(F.bit_or(F.expr("shiftleft(1L, cast(nth AS int))")).alias("mask"))
-    masks = durable(whole.unionByName(searched).unionByName(divided).groupBy("key", "run").agg(F.bit_or("mask").alias("mask")).where("mask <> 0"), "masks")
+    sources = may_join(read, "mark", by_text.select("cmark")).join(by_text, F.col("id").eqNullSafe(F.col("cid")) & (F.col("mark") == F.col("cmark"))).select("text", "chosen")
+    words = durable(sources.mapInArrow(_words(width), "key long, run long, n long, words binary").dropDuplicates(["key", "run"]), "words")
+    whole = different.where("n > 1").select("key", "run", F.lit(-1).cast("long").alias("mask"))
+    settled = whole.unionByName(_settle(words, width, crowd, (*grams, width)))
+    masks = durable(settled.groupBy("key", "run").agg(F.bit_or("mask").alias("mask")).where("mask <> 0"), "masks")
     windows = F.expr("shiftrightunsigned(-1L, 64 - cast(place & 255 AS int))")
     repeats = found.join(masks, ["key", "run"]).select("row", "place", F.col("mask").bitwiseAND(windows).alias("mask"))
     return rows.drop("runs"), repeats
@@ -208,7 +236,7 @@ def remove_repeats(docs: DataFrame, width: int = 35, id_col: str = "doc_id", tex
     found = durable(repeats.groupBy("row").agg(F.collect_list(F.struct("place", "mask")).alias("found")), "found")  # of one document
     hit = rows.select("row", F.col("id").alias("rid"), F.col("mark").alias("rmark")).join(found, "row")
     read = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("mark"), F.col(text_col).cast("string").alias("text"))
-    texts = read.join(hit, F.col("id").eqNullSafe(F.col("rid")) & (F.col("mark") == F.col("rmark"))).select("row", "found", "text")
+    texts = may_join(read, "mark", hit.select("rmark")).join(hit, F.col("id").eqNullSafe(F.col("rid")) & (F.col("mark") == F.col("rmark"))).select("row", "found", "text")
     # Rows that repeat an id and a text meet more than once; each row's result is the same then.
     changed = texts.mapInArrow(_remove(width), "row long, n_removed long, kept_sha256 string").groupBy("row").agg(F.max("n_removed").alias("n_removed"), F.max("kept_sha256").alias("kept_sha256"))
     return rows.join(changed, "row", "left").select(F.col("id").alias("doc_id"), "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("kept_sha256", "sha").alias("kept_sha256"))
