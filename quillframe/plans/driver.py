@@ -1,6 +1,230 @@
-"""Queries over the driver's tables and the SQL that gives the same rows."""
+"""Queries over the driver's tables, by name. Inputs come from ``fixtures``, results from the operators."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+import tempfile
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillframe.functions import errors, geometry, mrz, tensors, text
+from quillframe.operators import layout, passport, signatures
+from quillframe.plans import fixtures, oracle
+from quillframe.sources import sidecar
+
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+AS_OF = "2025-01-01"
+
+
+def _sql(spark: SparkSession, sf_dir: str, views: str, query: str) -> DataFrame:
+    """A query over named table scans; the scans are views of this session, replaced at each call."""
+    for name in TABLES:
+        if f" {name}" in views + query:
+            spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
+    return spark.sql(f"WITH {views} {query}" if views else query)
+
+
+def _table(df: DataFrame) -> DataFrame:
+    """A built input as a table of Parquet files, as real lines would be; in ``spark.checkpoint.dir`` or, where that is unset, a temporary folder."""
+    conf = df.sparkSession.conf
+    if not conf.get("spark.checkpoint.dir", None):
+        conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="quillframe-"))
+    path = f"{conf.get('spark.checkpoint.dir').rstrip('/')}/quillframe-inputs/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _as_of() -> Column:
+    return F.lit(AS_OF).cast("date")
+
+
+def zones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sql(spark, sf_dir, fixtures.ZONES, "SELECT * FROM zones")
+
+
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recognized lines as a recognizer gives them."""
+    raw = _sql(spark, sf_dir, fixtures.PAGES, "SELECT * FROM ocr_lines")
+    corner = lambda x, y: F.array(x.cast("int"), y.cast("int"))
+    left, top, right, bottom = F.col("lft"), F.col("top"), F.col("lft") + F.col("wid"), F.col("top") + 20
+    polygon = F.array(corner(left, top), corner(right, top), corner(right, bottom), corner(left, bottom))
+    return _table(raw.select("doc_id", "kind", "det_no", "text", (F.col("conf") / 1000).cast("float").alias("confidence"), polygon.alias("polygon")))
+
+
+def cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.pages(lines(spark, sf_dir))
+
+
+def quads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = _sql(spark, sf_dir, fixtures.QUADS, "SELECT * FROM quads")
+    return raw.select("doc_id", "width", "height", F.array(*(geometry.point(F.col(f"x{i}"), F.col(f"y{i}")) for i in range(4))).alias("quad"))
+
+
+def milli(c: Column) -> Column:
+    return F.round(c.cast("double") * 1000).cast("long")
+
+
+def mrz_roundtrip(spark, sf_dir):
+    zone = zones(spark, sf_dir).select("doc_id", mrz.parse(F.col("line1"), F.col("line2"), _as_of()).alias("z"))
+    return zone.select("doc_id", *(F.col("z")[c].alias(c) for c in ("document_type", "issuing_country", "passport_number", "nationality", "sex", "personal_number", *passport.ZONE_FLAGS[1:])))
+
+
+def mrz_names(spark, sf_dir):
+    zone = zones(spark, sf_dir).select("doc_id", mrz.parse(F.col("line1"), F.col("line2"), _as_of()).alias("z"))
+    return zone.select("doc_id", "z.surname", "z.given_names")
+
+
+def mrz_dates(spark, sf_dir):
+    zone = zones(spark, sf_dir).select("doc_id", mrz.parse(F.col("line1"), F.col("line2"), _as_of()).alias("z"))
+    return zone.select("doc_id", "z.date_of_birth", "z.date_of_expiry", "z.expired")
+
+
+def check_digits(spark, sf_dir):
+    found = zones(spark, sf_dir)
+    return found.select("doc_id", mrz.check_digit(F.col("line2")).cast("int").alias("digit"), mrz.check_digit(F.substring("line2", 1, 9), 9).cast("int").alias("number_digit"))
+
+
+def mrz_candidates(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    found = docs.select("doc_id", "line_no", mrz.normalize(F.col("line")).alias("normalized")).where(mrz.is_candidate(F.col("normalized")))
+    return found.select("doc_id", F.col("line_no").cast("long").alias("line_no"), mrz.fit(F.col("normalized")).alias("zone_line"))
+
+
+def shape_profile(spark, sf_dir):
+    found = layout.usable_lines(lines(spark, sf_dir), 0.0)
+    names = {"devanagari": "devanagari", "lowercase": "lowercase", "identity_number": "identity_number", "date": "date"}
+    flags = {out: text.matches_shape(F.col("text"), shape) for out, shape in names.items()}
+    flags["sex_marker"] = text.matches_shape(F.col("text"), "enum", signatures.IDENTITY_CARD.fields[5].options)
+    return found.withColumns(flags).groupBy("kind", "det_no").agg(*(F.sum(F.col(c).cast("long")).alias(c) for c in flags))
+
+
+def label_words(spark, sf_dir):
+    found = layout.usable_lines(lines(spark, sf_dir), 0.0)
+    label = text.looks_like_label(F.col("text"))
+    sure = F.col("confidence") >= text.real(text.LABEL_CONFIDENCE)
+    return found.select("doc_id", "det_no", label.alias("labelish"), (label & sure).alias("is_label"), text.looks_like_label(F.col("text"), text.PASSPORT_LABEL_WORDS).alias("passport_labelish"))
+
+
+def inline_fields(spark, sf_dir):
+    found = lines(spark, sf_dir).select("doc_id", "det_no", text.inline_field(F.col("text")).alias("f"))
+    return found.where("f IS NOT NULL").select("doc_id", "det_no", "f.label", "f.value")
+
+
+def reading_order(spark, sf_dir):
+    return cards(spark, sf_dir).select("doc_id", F.explode("lines").alias("x")).select("doc_id", "x.line_no", "x.text", "x.left", "x.top", "x.right", "x.bottom", "x.height")
+
+
+def label_components(spark, sf_dir):
+    groups = cards(spark, sf_dir).select("doc_id", F.explode(layout.label_groups(F.col("lines"))).alias("g"))
+    first = F.array_min(F.transform("g", lambda x: x["line_no"]))
+    return groups.select("doc_id", F.explode("g").alias("x"), first.alias("group_no")).select("doc_id", "x.line_no", "group_no")
+
+
+def nearest_below(spark, sf_dir):
+    groups = cards(spark, sf_dir).select("doc_id", "lines", F.explode(layout.label_groups(F.col("lines"))).alias("g"))
+    found = groups.withColumn("box", layout.group_bounds(F.col("g"))).withColumn("value", layout.nearest_below(F.col("lines"), F.col("box"))).where("value IS NOT NULL")
+    return found.select("doc_id", F.col("box.line_no").alias("group_no"), F.col("value.line_no").alias("anchor"), layout.vertical_gap(F.col("box"), F.col("value")).alias("gap"), layout.left_distance(F.col("box"), F.col("value")).alias("distance"))
+
+
+def same_row_values(spark, sf_dir):
+    anchors = cards(spark, sf_dir).select("doc_id", "lines", F.explode(F.filter("lines", lambda x: x["is_value"])).alias("a"))
+    return anchors.select("doc_id", F.col("a.line_no").alias("anchor"), layout.by_left(layout.value_row(F.col("lines"), F.col("a"))).alias("value"))
+
+
+def generic_fields(spark, sf_dir):
+    return layout.explode_fields(cards(spark, sf_dir).select("doc_id", layout.generic_fields(F.col("lines")).alias("fields")))
+
+
+def detect_type(spark, sf_dir):
+    page = cards(spark, sf_dir)
+    hits = {f"{t.name}_hits": signatures.keyword_hits(F.col("lines"), t.keywords) for t in (*signatures.CARD_TYPES, signatures.PASSPORT)}
+    return page.select("doc_id", F.coalesce(signatures.detect_type(F.col("lines")), F.lit("none")).alias("type"), *(c.alias(n) for n, c in hits.items()))
+
+
+def block_scan(spark, sf_dir):
+    page = cards(spark, sf_dir)
+    blocks = [(t.name, s.label, s.block) for t in signatures.CARD_TYPES for s in t.fields if s.block]
+    found = page.select("doc_id", F.explode(F.array(*(F.struct(F.lit(label).alias("label"), signatures.collect_block(F.col("lines"), b).alias("b")) for _, label, b in blocks))).alias("x"))
+    return found.where("x.b IS NOT NULL").select("doc_id", "x.label", F.col("x.b.text").alias("value"))
+
+
+def card_fields(spark, sf_dir):
+    return layout.explode_fields(signatures.card_fields(cards(spark, sf_dir)))
+
+
+def passport_fields(spark, sf_dir):
+    return layout.explode_fields(signatures.passport_fields(layout.pages(lines(spark, sf_dir), text.PASSPORT_LABEL_WORDS)))
+
+
+def passport_document(spark, sf_dir):
+    return passport.passport_documents(layout.pages(lines(spark, sf_dir), text.PASSPORT_LABEL_WORDS), _as_of())
+
+
+def print_dates(spark, sf_dir):
+    orders = _sql(spark, sf_dir, "", oracle.PRINTED.format(table="orders"))
+    parts = text.printed_date_parts(F.col("printed"))
+    return orders.select("o_orderkey", parts.isNotNull().alias("is_date"), text.printed_date_iso(F.col("printed")).alias("iso"))
+
+
+def quad_order(spark, sf_dir):
+    found = quads(spark, sf_dir).select("doc_id", geometry.order_corners(F.col("quad")).alias("q"))
+    return found.select("doc_id", *(milli(F.col("q")[i][axis]).alias(f"{axis}{i}") for i in range(4) for axis in "xy"))
+
+
+def quad_expand(spark, sf_dir):
+    found = quads(spark, sf_dir).select("doc_id", geometry.expand_quad(F.col("quad"), F.col("width"), F.col("height")).alias("q"))
+    return found.select("doc_id", *(F.round(F.col("q")[i][axis].cast("double") * 10).cast("long").alias(f"{axis}{i}") for i in range(4) for axis in "xy"))
+
+
+def crop_validate(spark, sf_dir):
+    q = quads(spark, sf_dir)
+    size = geometry.crop_size(F.col("quad"))
+    return q.select("doc_id", F.coalesce(geometry.crop_error(F.col("quad"), F.col("width"), F.col("height")), F.lit("ok")).alias("verdict"), size["width"].alias("crop_width"), size["height"].alias("crop_height"), geometry.twice_area(F.col("quad")).cast("long").alias("twice_area"))
+
+
+def det_resize(spark, sf_dir):
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", (F.col("p_partkey") * 37 % 5000 + 20).cast("int").alias("h"), (F.col("p_size") * 131 % 6000 + 20).cast("int").alias("w"))
+    card, passport_size = geometry.detector_size(F.col("h"), F.col("w")), geometry.detector_size(F.col("h"), F.col("w"), geometry.PASSPORT_MAX_SIDE)
+    return part.select("p_partkey", card["height"].alias("card_h"), card["width"].alias("card_w"), passport_size["height"].alias("passport_h"), passport_size["width"].alias("passport_w"), geometry.recognizer_width(F.col("w"), F.col("h")).alias("line_w"))
+
+
+def unclip_boxes(spark, sf_dir):
+    item = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", F.col("l_quantity").alias("w"), (F.col("l_suppkey") % 9).alias("h"), (F.col("l_discount") * 10).alias("score"))
+    grown = geometry.unclip(F.col("w"), F.col("h"))
+    return item.select("l_orderkey", "l_linenumber", F.round(grown["width"].cast("double") * 100).cast("long").alias("w100"), F.round(grown["height"].cast("double") * 100).cast("long").alias("h100"), geometry.box_passes(F.lit(4), F.col("w"), F.col("h"), F.col("score")).alias("passes"))
+
+
+def ctc_decode(spark, sf_dir):
+    steps = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.slice("embedding", i * 4 + 1, F.lit(4)))
+    found = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", tensors.ctc_decode(steps, F.array(*map(F.lit, ("", "a", "b", " ")))).alias("d"))
+    return found.select("vec_id", "d.text", F.round(F.col("d.confidence").cast("double") * 10000).cast("long").alias("confidence"))
+
+
+def heatmap_peak(spark, sf_dir):
+    found = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", tensors.mask_centroid(F.col("embedding"), 8, 0.1).alias("c"))
+    return found.where("c IS NOT NULL").select("vec_id", milli(F.col("c.x")).alias("x"), milli(F.col("c.y")).alias("y"))
+
+
+def sidecar_flatten(spark, sf_dir):
+    bodies = _sql(spark, sf_dir, "", oracle.BODIES)
+    return sidecar.flatten_lines(sidecar.parse_responses(bodies)).select("doc_id", "det_no", "text", F.round(F.col("confidence").cast("double") * 1000).cast("long").alias("confidence"), F.col("polygon")[2][0].alias("right"))
+
+
+def error_status(spark, sf_dir):
+    bodies = _sql(spark, sf_dir, "", oracle.BODIES)
+    parsed = sidecar.parse_responses(bodies)
+    response = errors.error_response(F.coalesce("error_kind", F.lit("none")))
+    return parsed.select("doc_id", F.coalesce("error_kind", F.lit("none")).alias("error_kind"), response["status"].alias("status"), F.coalesce(response["message"], F.lit("")).alias("message"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        mrz_roundtrip, mrz_names, mrz_dates, check_digits, mrz_candidates, shape_profile, label_words, inline_fields, reading_order, label_components,
+        nearest_below, same_row_values, generic_fields, detect_type, block_scan, card_fields, passport_fields, passport_document, print_dates,
+        quad_order, quad_expand, crop_validate, det_resize, unclip_boxes, ctc_decode, heatmap_peak, sidecar_flatten, error_status,
+    )
+}
+ORACLE: dict[str, str] = oracle.ORACLE
