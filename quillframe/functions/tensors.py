@@ -16,10 +16,10 @@ def vocabulary(lines: list[str]) -> list[str]:
     return ["", *lines, " "]
 
 
-def argmax(step: Column) -> Column:
-    """Index from 0 of the first greatest value; NaN never wins."""
-    known = F.transform(step, lambda v: F.when(F.isnan(v), F.lit(float("-inf")).cast("float")).otherwise(v))
-    return let(known, lambda k: (F.array_position(k, F.array_max(k)) - 1).cast("int"))
+def best_symbol(step: Column) -> Column:
+    """struct(at, value): index from 0 of the first greatest value, and the value; NaN never wins."""
+    known = F.transform(step, lambda v: F.when(F.isnan(v), F.lit(float("-inf")).cast("float")).otherwise(v.cast("float")))
+    return let(known, lambda k: let(F.array_max(k), lambda m: F.struct((F.array_position(k, m) - 1).cast("int").alias("at"), m.alias("value"))))
 
 
 def ctc_decode(logits: Column, symbols: Column) -> Column:
@@ -28,7 +28,7 @@ def ctc_decode(logits: Column, symbols: Column) -> Column:
     A step emits its best symbol unless that is blank or the same as at the step before, blanks included. Indexes beyond
     the symbols are passed over in the text. The confidence is the mean, in 32 bits, of the best values of emitting steps; 0 without any.
     """
-    best = F.transform(logits, lambda s: F.struct(argmax(s).alias("at"), F.array_max(s).cast("float").alias("value")))
+    best = F.transform(logits, best_symbol)
 
     def emitted(b: Column) -> Column:
         kept = F.filter(b, lambda x, i: (x["at"] != 0) & F.when(i == 0, True).otherwise(x["at"] != F.get(b, i - 1)["at"]))

@@ -41,7 +41,7 @@ def detect_corners(images: DataFrame, heatmaps: Callable[[np.ndarray], np.ndarra
 
     good = images.where("error_kind IS NULL").select("id", "height", "width", "data")
     out = good.mapInPandas(run, f"id string, height int, width int, data binary, found {POINTS}")
-    corners = expand_quad(order_corners(F.col("found")), F.col("width"), F.col("height"))
+    corners = F.when(F.col("found").isNotNull(), expand_quad(order_corners(F.col("found")), F.col("width"), F.col("height")))
     return out.select("id", "height", "width", "data", F.coalesce(corners, full_frame(F.col("width"), F.col("height"))).alias("corners"), F.col("found").isNotNull().alias("corners_detected"))
 
 

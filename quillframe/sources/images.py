@@ -13,14 +13,14 @@ BINARY_FILE = StructType([StructField("path", StringType()), StructField("modifi
 
 def scan_id(path: F.Column) -> F.Column:
     """An id in the form of a UUID that depends on the path alone, so that a replay gives the same one."""
-    digest = F.sha2(path.cast("binary"), 256)
+    digest = F.sha2(F.regexp_replace(path, "^file:/+", "file:/").cast("binary"), 256)
     return F.concat_ws("-", F.substring(digest, 1, 8), F.substring(digest, 9, 4), F.substring(digest, 13, 4), F.substring(digest, 17, 4), F.substring(digest, 21, 12))
 
 
 def read_uploads(spark: SparkSession, path: str, pattern: str = "*.{jpg,jpeg,png,bmp,gif}") -> DataFrame:
-    """(id, path, length, content, error_kind): one row per file. Too large and empty files keep a row, without content.
+    """(id, path, length, content, error_kind): one row per file. Files that are too large keep a row, without content.
 
-    The limit is a filter on ``length`` next to the scan: contents over it are not read.
+    Spark's reader passes over files of no bytes; empty uploads of a table are told by ``first_upload``. The limit is a filter on ``length`` next to the scan: contents over it are not read.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
     good = files.where((F.col("length") > 0) & (F.col("length") <= LIMIT)).select(scan_id(F.col("path")).alias("id"), "path", "length", "content", F.lit(None).cast("string").alias("error_kind"))
