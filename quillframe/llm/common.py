@@ -4,10 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -88,33 +87,43 @@ def utf8(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
 
-#: Bits of a membership filter: 4 MB as broadcast, and at most half a million 16-byte rows to the driver, whatever the keys.
+#: Bits of a membership filter: at most half a million 16-byte rows are broadcast, whatever the keys.
 FILTER_BITS = 1 << 25
 
 
-def may_join(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
-    """``rows`` without most of those whose long ``key`` is not among ``keys`` (its first column), ahead of a join on it.
+def _split(rows: DataFrame, key: str, keys: DataFrame) -> Callable[[bool], DataFrame]:
+    """Cuts ``rows`` by a hashed bitmap of ``keys`` (its first column, long): those that may have a partner, and those that surely have none.
 
-    A hashed bitmap of a fixed size (a Bloom filter with two bits a key) is all that is broadcast, so that wide rows
-    without a partner need not be shuffled. It never loses a row with a partner; with more keys than it has room for it
-    merely lets more pass. Rows with a null key pass.
+    The bitmap (a Bloom filter with one bit a key, as a table of 64-bit words) has a bounded size and is all that is
+    broadcast. With more keys than it has room for it merely lets more rows pass as possible partners. Nulls are keys like others.
     """
-    bit = F.explode(F.array(*(F.pmod(F.xxhash64(F.col(keys.columns[0]), F.lit(seed)), F.lit(FILTER_BITS)) for seed in (1, 2))))
-    words = keys.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 AS int))")).alias("bits"))
-    bitmap = np.zeros(FILTER_BITS // 64, np.int64)
-    found = words.toPandas()
-    bitmap[found["word"].to_numpy()] = found["bits"].to_numpy()
-    shared, columns = rows.sparkSession.sparkContext.broadcast(bitmap.view(np.uint64)), rows.columns
-    hashed = rows.select("*", *(F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(FILTER_BITS)).alias(f"__bit{seed}") for seed in (1, 2)), F.col(key).isNull().alias("__null"))
-
-    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = shared.value
-        for batch in batches:
-            held = np.ones(batch.num_rows, bool)
-            for name in ("__bit1", "__bit2"):
-                at = batch.column(name).to_numpy()
-                held &= (bits[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
-            held |= batch.column("__null").to_numpy(zero_copy_only=False)
-            yield batch.select(columns).filter(pa.array(held))
-
-    return hashed.mapInArrow(test, rows.schema)
+    place = lambda c: F.pmod(F.xxhash64(c.cast("long"), F.lit(1)), F.lit(FILTER_BITS))
+    word, bit = (lambda p: F.shiftright(p, 6).cast("int")), (lambda p: p.bitwiseAND(F.lit(63)).cast("int"))
+    found = place(F.col(keys.columns[0]))
+    words = durable(keys.groupBy(word(found).alias("__word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit(found))).alias("__bits")), "bitmap")
+    here = place(F.col(key))
+    hit = (word(here) == F.col("__word")) & (F.call_function("shiftrightunsigned", F.col("__bits"), bit(here)).bitwiseAND(F.lit(1)) == 1)
+    return lambda possible: rows.join(F.broadcast(words), hit, "left_semi" if possible else "left_anti")
+
+
+def may_join(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """``rows`` without most of those whose ``key`` is not among ``keys``, ahead of a join on it: wide rows without a partner
+    are then not shuffled. No row with a partner is lost."""
+    return _split(rows, key, keys)(True)
+
+
+def drop_ids(rows: DataFrame, key: str, gone: DataFrame) -> DataFrame:
+    """``rows`` whose ``key`` is not among ``gone`` (a column ``__id``, null-safe). Rows that surely stay are passed on where they are;
+    only those that may go are shuffled to the join that decides."""
+    half = _split(rows, key, gone)
+    return half(False).unionByName(half(True).join(gone, F.col(key).eqNullSafe(F.col("__id")), "left_anti"))
+
+
+def small_batches(spark: SparkSession, size: int = 4 << 20) -> None:
+    """Bounds what Spark hands to Python at once by bytes. The default bound is rows: ten thousand texts, however long."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    was = spark.conf.get(name).lower().removesuffix("b")
+    units = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}
+    now = int(was[:-1]) * units[was[-1]] if was and was[-1] in units else int(was or 0)
+    if not 0 < now <= size:
+        spark.conf.set(name, str(size))

@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillframe.llm.common import SPACE, durable
+from quillframe.llm.common import SPACE, drop_ids, durable, small_batches
 
 #: Counters of a Misra-Gries summary; also the most digests that are ever broadcast (about 80 bytes each).
 COUNTERS = 8192
@@ -85,16 +85,20 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with their columns. An id that repeats keeps one row of each of its texts that stay."""
-    groups = durable(exact_groups(docs, id_col, text_col).where("kept"), "kept")
-    keys = groups.select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
+    """The rows of ``docs`` that stay, with their columns. An id that repeats keeps one row of each of its texts that stay.
+
+    Only documents that may go take part in the join that decides.
+    """
+    small_batches(docs.sparkSession)
+    groups = durable(exact_groups(docs, id_col, text_col).select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"), "kept"), "groups")
+    ids = groups.groupBy("__id").agg(F.max("kept").alias("any"), F.count(F.lit(1)).alias("n"))
+    stay = drop_ids(docs, id_col, durable(ids.where("NOT any").select("__id"), "gone"))
+    several = durable(ids.where("any AND n > 1").select("__id"), "repeated-ids")
+    if several.isEmpty():
+        return stay
+    # The rare rest: rows of one id, told apart by their texts.
+    same = lambda: F.col(id_col).eqNullSafe(F.col("__id"))
     digest = F.sha2(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), f"[{SPACE}]+", "").cast("binary"), 256)
-    stay = docs.withColumn("__sha2", digest).join(keys, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__sha2") == F.col("__sha")), "left_semi")
-    # Rows of one id and one text pass that join together; only where the scan holds such rows is there more to do.
-    twice = docs.groupBy(F.col(id_col).alias("__id")).count().where("count > 1").select("__id")
-    if twice.isEmpty():
-        return stay.drop("__sha2")
-    again = durable(twice, "repeated-ids")
-    once = stay.join(again, F.col(id_col).eqNullSafe(F.col("__id")), "left_anti")
-    more = stay.join(again, F.col(id_col).eqNullSafe(F.col("__id")), "left_semi").dropDuplicates([id_col, "__sha2"])
-    return once.unionByName(more).drop("__sha2")
+    kept = groups.where("kept").select("__id", "__sha")
+    more = stay.join(several, same(), "left_semi").withColumn("__sha2", digest).join(kept, same() & (F.col("__sha2") == F.col("__sha")), "left_semi").dropDuplicates([id_col, "__sha2"])
+    return stay.join(several, same(), "left_anti").unionByName(more.drop("__sha2"))

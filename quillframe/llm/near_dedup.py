@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillframe.llm.common import durable, may_join, mix64, span_hashes, utf8, word_spans
+from quillframe.llm.common import drop_ids, durable, may_join, mix64, small_batches, span_hashes, utf8, word_spans
 from quillframe.llm.components import connected_components
 
 #: Chance that a pair at the threshold shares no band; most minima of a document; minima that verify a pair; how far
@@ -172,6 +172,7 @@ def near_duplicates(docs: DataFrame, num: int = 80, den: int = 100, size: int =
     component, and is kept if that has no id at all. Repeated rows of an id are rows of one class or of several, which the
     id then joins. Other columns are not read. An empty table gives an empty result.
     """
+    small_batches(docs.sparkSession)
     bands, rows = choose_bands(num / den)
     read = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     features = durable(read.mapInArrow(_features(size, bands, rows), "id long, n long, digest binary, bands binary"), "features")
@@ -204,6 +205,9 @@ def near_duplicates(docs: DataFrame, num: int = 80, den: int = 100, size: int =
 
 
 def drop_near_copies(docs: DataFrame, num: int = 80, den: int = 100, size: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose document stays, one of each component, with their columns."""
-    kept = durable(near_duplicates(docs, num, den, size, id_col, text_col).where("kept").select(F.col("doc_id").alias("__id")).distinct(), "kept")
-    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("__id")), "left_semi")
+    """The rows of ``docs`` whose document stays, one of each component, with their columns. Rows without an id stay.
+
+    Only documents that may go take part in the join that decides.
+    """
+    gone = durable(near_duplicates(docs, num, den, size, id_col, text_col).where("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__id")).distinct(), "gone")
+    return drop_ids(docs, id_col, gone)

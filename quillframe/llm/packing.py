@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillframe.llm.bpe import byte_alphabet, little_endian
-from quillframe.llm.common import durable
+from quillframe.llm.common import durable, small_batches
 
 CAPACITY = 2048
 #: Texts whose characters are all of these have the same pieces in both engines, whatever their Unicode tables.
@@ -163,6 +163,7 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, id_col: str
     A null or empty text is a document of the end id alone. A null id stays null; repeated rows are documents of their
     own. Other columns are not read. An empty table gives no sequences. A piece as long as the capacity fills its own.
     """
+    small_batches(docs.sparkSession)
     cuts = durable(pieces(docs, vocabulary, capacity, id_col, text_col), "pieces")
     per_task = cuts.groupBy("length", "task").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)

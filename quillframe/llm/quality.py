@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from quillframe.llm.common import mix64, span_hashes, utf8
+from quillframe.llm.common import mix64, small_batches, span_hashes, utf8
 
 #: Bytes of a passage, buckets of the byte-pair profile, sizes of the learned layers.
 PASSAGE, BUCKETS, HIDDEN, ATTENTION = 600, 64, 24, 12
@@ -175,6 +175,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
     Null labels and ids are left out; of several labels of an id the greatest counts. Labels whose document is missing
     do not count. Only features of the sample come to the driver.
     """
+    small_batches(docs.sparkSession)
     known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label")).where("id IS NOT NULL AND label IS NOT NULL").where(~held_out("id"))
     chosen = known.groupBy("id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("id"), "id").limit(sample)  # the bound of what is broadcast next
 
@@ -194,6 +195,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
 
 def scorer(docs: DataFrame, model: Model):
     """A column function from a text to its score. The model is some 50 kB, whatever the corpus."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @pandas_udf("double")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillframe.llm.common import durable, may_join, mix64, span_hashes, utf8, word_spans
+from quillframe.llm.common import durable, may_join, mix64, small_batches, span_hashes, utf8, word_spans
 from quillframe.llm.fm_index import FMIndex
 
 #: Words of a minimiser; different runs of one minimiser that share a shard; words of an index, about 40 bytes each.
@@ -197,6 +197,7 @@ def repeated_substrings(docs: DataFrame, width: int = 35, id_col: str = "doc_id"
     rows: row, id, mark (a hash of the text), n_words, sha (of all words joined by one space). repeats: row, place (first
     word << 8 | windows), mask (a bit for each window). ``width`` is from 9 to 71 words.
     """
+    small_batches(docs.sparkSession)
     grams = tuple(g for g in GRAMS if g < width)
     if not GRAM < width <= 63 + GRAM:
         raise ValueError("the width must be from 9 to 71 words")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillframe.llm.bpe import Codec, Counts, Vocabulary, Words
-from quillframe.llm.common import utf8
+from quillframe.llm.common import small_batches, utf8
 
 
 @cache
@@ -42,6 +42,7 @@ def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 2048, id_col: st
                 tokens.append(sum((special is not None) + sum(map(get, found)) for special, found in words.segments(text)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(tokens, pa.int64()), pa.array([n > limit for n in tokens], pa.bool_())], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
 
 
@@ -59,4 +60,5 @@ def encode_decode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text
             n, ids, decoded = zip(*rows) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
