@@ -84,7 +84,7 @@ def host_scores(pages: DataFrame, rules: list[tuple[str, str, str]] | None = Non
     def scores(frm: str, to: str, seed: str, total: float) -> DataFrame:
         chosen = seeds.where(F.col(seed) > 0).select("host", (F.col(seed) / (total or 1.0)).alias("seed"))
         if not linked:
-            return chosen.withColumnRenamed("seed", "score")
+            return chosen.select("host", (F.col("seed") * (1 - DAMPING)).alias("score"))  # what the walk gives
         sums = edges.groupBy(frm).agg(F.sum("n").alias("all"))
         shares = edges.join(sums, frm).select(F.col(frm).alias("a"), F.col(to).alias("b"), (F.col("n") / F.col("all")).alias("share"))
         return _walk(durable(shares, "shares"), durable(chosen, "seeds"))
