@@ -11,14 +11,14 @@ from quillframe.llm.common import durable
 def _large_star(edges: DataFrame) -> DataFrame:
     """Each node links its larger neighbours to the smallest node among its neighbours and itself."""
     both = edges.union(edges.select("b", "a")).toDF("u", "v")
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    least = durable(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
     return both.join(least, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Each node links its smaller neighbours and itself to the smallest of them."""
     down = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v")
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
+    least = durable(down.groupBy("u").agg(F.min("v").alias("m")), "least")
     linked = down.join(least, "u").where("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b"))
     return linked.union(least.select("u", "m")).distinct()
 
@@ -27,11 +27,11 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component): of each node in ``edges`` (a, b: long), the smallest node that it can reach.
 
     Every round writes its edges, so none recomputes an earlier one. Rounds grow with the logarithm of the nodes; the
-    work of a node with many neighbours is one partial minimum and one join, whose hot keys Spark splits.
+    work of a node with many neighbours is one partial minimum and one join between two plain shuffles, whose hot keys Spark can split.
     """
     now, was = durable(edges.where("a <> b").select("a", "b").distinct(), "edges"), None
     for _ in range(rounds):
-        now = durable(_small_star(_large_star(now)), "edges")
+        now = durable(_small_star(durable(_large_star(now), "large-star")), "edges")
         state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == was:
             break
