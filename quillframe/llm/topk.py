@@ -79,6 +79,9 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: float = 64.0,
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias("vec"), F.col(vector_col).cast("array<double>").alias("x")).distinct()
+    rows = durable(rows, "vectors")
+    # Full blocks, however finely the input was dealt: their number decides how many products there are.
+    rows = rows.coalesce(max(1, -(-rows.count() // (CANDIDATES * 4))))
     blocks = durable(rows.mapInArrow(_blocks(CANDIDATES, scale), _BLOCK), "candidates")
     asked = durable(rows.where(F.col("vec") % every == 0).mapInArrow(_blocks(QUERIES, scale), _BLOCK), "queries")
     numbers = asked.select(F.xxhash64("ids", "vectors").alias("block"), "*")
@@ -105,24 +108,26 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: float = 64.0,
         for batch in batches:
             for row in batch.itertuples():
                 qids, ids, scores = score(row)
-                low = np.frombuffer(row.low, "<i8") if "low" in batch else np.full(len(qids), -int(row.bound) - 1)
+                low = np.frombuffer(row.low, "<i8") if "low" in batch else np.full(len(qids), row.lowest)
                 width = np.frombuffer(row.width, "<i8") if "width" in batch else np.full(len(qids), row.step)
-                bin_of = (scores - low[:, None]) // width[:, None]
-                live = (bin_of >= 0) & (ids[None, :] != qids[:, None])
-                bin_of = np.minimum(bin_of, bins)  # above the range: one bin for all
+                # Unsigned differences hold the whole range of 64-bit scores; those below the range take no part.
+                above = scores.view(np.uint64) - low.view(np.uint64)[:, None]
+                live = (scores >= low[:, None]) & (ids[None, :] != qids[:, None])
+                bin_of = np.minimum(above // width.view(np.uint64)[:, None], np.uint64(bins)).astype(np.int64)  # above the range: one bin for all
                 flat = (np.arange(len(qids))[:, None] * (bins + 1) + bin_of)[live]
                 counts = np.bincount(flat, minlength=len(qids) * (bins + 1)).reshape(len(qids), bins + 1)[:, ::-1]
                 q, down = np.nonzero((counts > 0) & (np.cumsum(counts, axis=1) - counts < k))
                 yield pd.DataFrame({"block": row.block, "q": q.astype(np.int32), "bin": (bins - down).astype(np.int32), "n": counts[q, down]})
 
     bound = blocks.agg(F.max(F.col("most") * F.col("most") * F.col("dim"))).first()[0] or 0.0
-    bound = int(min(bound, 2**62)) + 1
-    step = max(1, -(-(2 * bound + 2) // bins))
+    bound = int(bound) + 1
+    lowest = max(-bound, -(2**63))
+    step = -(-(min(bound, 2**63 - 1) - lowest + 1) // bins)
     state: DataFrame | None = None
     while True:
         grid = cells(state)
         if state is None:
-            grid = grid.withColumns({"bound": F.lit(bound), "step": F.lit(step)})
+            grid = grid.withColumns({"lowest": F.lit(lowest), "step": F.lit(step)})
         counts = grid.mapInPandas(histogram, "block long, q int, bin int, n long").groupBy("block", "q", "bin").agg(F.sum("n").alias("n"))
         down = Window.partitionBy("block", "q").orderBy(F.desc("bin"))
         summed = counts.withColumn("upto", F.sum("n").over(down))
@@ -134,7 +139,7 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: float = 64.0,
         def narrow(batches: Iterator[pd.DataFrame], step=step, first=state is None) -> Iterator[pd.DataFrame]:
             for batch in batches:
                 for row in batch.itertuples():
-                    low = np.full(row.n, -bound - 1, np.int64) if first else np.frombuffer(row.low, "<i8").copy()
+                    low = np.full(row.n, lowest, np.int64) if first else np.frombuffer(row.low, "<i8").copy()
                     width = np.full(row.n, step, np.int64) if first else np.frombuffer(row.width, "<i8").copy()
                     for x in row.bins:
                         # A kth value above the range cannot be: the range was chosen to hold it.
