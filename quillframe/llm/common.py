@@ -27,13 +27,23 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def _own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/quillframe/{spark.sparkContext.applicationId}"
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Deletes the intermediate results of this application. Results of operators that are not written yet are lost with them."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def durable(df: DataFrame, name: str = "step", partition_by: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     This cuts the lineage: an executor lost later costs only the tasks that it ran, and a costly step that
     feeds several others runs once. Values that depend on the task (row numbers, partition ids) are fixed by it.
     """
-    path = f"{shared_dir(df.sparkSession)}/quillframe/{name}-{uuid.uuid4().hex}"
+    path = f"{_own_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     writer = df.write.mode("overwrite")
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quillframe.llm import pii, quality
-from quillframe.llm.common import drop_ids, may_join
+from quillframe.llm.common import clean_up, drop_ids, durable, may_join
 from tests.llm.helpers import DOCS, corpus, documents, plain
 from tests.llm.test_dedup import SPACE, near
 
@@ -130,6 +130,14 @@ def test_membership_filters(spark):
     assert drop_ids(rows, "doc_id", keys.limit(0)).count() == 3001
 
 
+def test_intermediate_results_are_removed(spark):
+    held = durable(spark.range(3), "some")
+    assert held.count() == 3
+    (path,) = {os.path.dirname(x.removeprefix("file://")) for x in held.inputFiles()}
+    clean_up(spark)
+    assert not os.path.exists(path)
+
+
 @here
 def test_pipeline_stage_by_stage(spark, tmp_path):
     sf = SF.replace("0.01", "0.001")
