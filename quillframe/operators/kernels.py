@@ -74,6 +74,13 @@ def resize(image: np.ndarray, width: int, height: int) -> np.ndarray:
     return np.rint(out).clip(0, 255).astype(np.uint8) if image.dtype == np.uint8 else out.astype(image.dtype)
 
 
+def shrink(image: np.ndarray, longest: int = 2200) -> np.ndarray:
+    """An image whose longest side has no more pixels than given, as uploads are made smaller before they are sent."""
+    h, w = image.shape[:2]
+    scale = min(1.0, longest / max(h, w))
+    return image if scale == 1 else resize(image, max(1, int(np.floor(w * scale + 0.5))), max(1, int(np.floor(h * scale + 0.5))))
+
+
 def rotate_180(image: np.ndarray) -> np.ndarray:
     return image[::-1, ::-1]
 

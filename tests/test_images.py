@@ -42,6 +42,10 @@ def test_warping_the_whole_frame_changes_nothing():
     assert np.abs(turned[0, 0].astype(int) - image[39, 59]).max() <= 1
 
 
+def test_shrinking():
+    assert kernels.shrink(picture(), 30).shape == (20, 30, 3) and kernels.shrink(picture(), 60).shape == (40, 60, 3)
+
+
 def test_homography_maps_its_points():
     source, target = [[0, 0], [10, 1], [9, 12], [-1, 8]], [[3, 4], [50, 2], [60, 70], [1, 66]]
     h = kernels.homography(source, target)
