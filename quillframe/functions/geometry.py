@@ -74,39 +74,33 @@ def _edges(q: Column, wide: bool) -> tuple[Column, Column]:
 
 def crop_size(quad: Column, wide: bool = False) -> Column:
     """struct(width, height): the longer of opposite edges, rounded half up, 1 at least."""
-    def size(q: Column) -> Column:
-        w, h = _edges(q, wide)
-        whole = lambda v: F.greatest(F.floor(v + 0.5).cast("int"), F.lit(1))
-        return F.struct(whole(w).alias("width"), whole(h).alias("height"))
-
-    return let(quad, size)
+    w, h = _edges(quad, wide)
+    whole = lambda v: F.greatest(F.floor(v + 0.5).cast("int"), F.lit(1))
+    return F.struct(whole(w).alias("width"), whole(h).alias("height"))
 
 
 def twice_area(quad: Column) -> Column:
     """Absolute shoelace sum, in 32 bits."""
-    def area(q: Column) -> Column:
-        total = real(0)
-        for i in range(4):
-            a, b = q[i], q[(i + 1) % 4]
-            total = total + (a["x"] * b["y"] - b["x"] * a["y"])
-        return F.abs(total)
-
-    return let(quad, area)
+    total = real(0)
+    for i in range(4):
+        a, b = quad[i], quad[(i + 1) % 4]
+        total = total + (a["x"] * b["y"] - b["x"] * a["y"])
+    return F.abs(total)
 
 
 def crop_error(quad: Column, width: Column, height: Column) -> Column:
-    """What is wrong with a crop, the first of four complaints in order; null if nothing is."""
-    def check(q: Column) -> Column:
-        outside = F.exists(q, lambda p: F.isnan(p["x"]) | F.isnan(p["y"]) | (p["x"] < 0) | (p["y"] < 0) | (p["x"] > (width - 1).cast("float")) | (p["y"] > (height - 1).cast("float")))
-        w, h = _edges(q, False)
-        return (
-            F.when(outside, CROP_ERRORS[0])
-            .when((w < SMALLEST_EDGE) | (h < SMALLEST_EDGE), CROP_ERRORS[1])
-            .when((w > LARGEST_EDGE) | (h > LARGEST_EDGE), CROP_ERRORS[2])
-            .when(twice_area(q) < real(LEAST_TWICE_AREA), CROP_ERRORS[3])
-        )
-
-    return let(quad, check)
+    """What is wrong with a crop, the first of four complaints in order; null if nothing is. Four corners, written out, stay in generated code."""
+    outside = F.lit(False)
+    for i in range(4):
+        x, y = quad[i]["x"], quad[i]["y"]
+        outside = outside | F.isnan(x) | F.isnan(y) | (x < 0) | (y < 0) | (x > (width - 1).cast("float")) | (y > (height - 1).cast("float"))
+    w, h = _edges(quad, False)
+    return (
+        F.when(outside, CROP_ERRORS[0])
+        .when((w < SMALLEST_EDGE) | (h < SMALLEST_EDGE), CROP_ERRORS[1])
+        .when((w > LARGEST_EDGE) | (h > LARGEST_EDGE), CROP_ERRORS[2])
+        .when(twice_area(quad) < real(LEAST_TWICE_AREA), CROP_ERRORS[3])
+    )
 
 
 def full_frame(width: Column, height: Column) -> Column:

@@ -64,8 +64,8 @@ def is_past(iso: Column, as_of: Column) -> Column:
 
 def normalize(s: Column) -> Column:
     """ASCII letters in upper case; space, ``_``, ``«`` and ``‹`` become fillers; other characters go."""
-    mapped = F.translate(s, "abcdefghijklmnopqrstuvwxyz _«‹", "ABCDEFGHIJKLMNOPQRSTUVWXYZ<<<<")
-    return F.regexp_replace(mapped, "[^A-Z0-9<]", "")
+    # What is not ASCII goes before the change of case, which would make ASCII letters of some of it.
+    return F.upper(F.regexp_replace(F.regexp_replace(s, "[ _«‹]", "<"), "[^A-Za-z0-9<]+", ""))
 
 
 def is_candidate(normalized: Column) -> Column:

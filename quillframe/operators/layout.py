@@ -168,5 +168,10 @@ def field_value(fields: Column, keyword: str) -> Column:
 
 
 def explode_fields(frame: DataFrame, fields: str = "fields") -> DataFrame:
-    """(doc_id, field_no, label, value) rows."""
-    return frame.select("doc_id", F.posexplode(fields).alias("field_no", "field")).select("doc_id", "field_no", "field.label", "field.value")
+    """(doc_id, field_no, label, value) rows.
+
+    The outer form, with a filter after it, keeps Spark from testing the array's size ahead of the explosion, for which
+    it would work out the whole expression of the fields once more.
+    """
+    rows = frame.select("doc_id", F.posexplode_outer(fields).alias("field_no", "field")).where("field_no IS NOT NULL")
+    return rows.select("doc_id", "field_no", "field.label", "field.value")

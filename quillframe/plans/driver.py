@@ -117,19 +117,19 @@ def reading_order(spark, sf_dir):
 
 
 def label_components(spark, sf_dir):
-    groups = cards(spark, sf_dir).select("doc_id", F.explode(layout.label_groups(F.col("lines"))).alias("g"))
+    groups = cards(spark, sf_dir).select("doc_id", F.explode_outer(layout.label_groups(F.col("lines"))).alias("g")).where("g IS NOT NULL")
     first = F.array_min(F.transform("g", lambda x: x["line_no"]))
     return groups.select("doc_id", F.explode("g").alias("x"), first.alias("group_no")).select("doc_id", "x.line_no", "group_no")
 
 
 def nearest_below(spark, sf_dir):
-    groups = cards(spark, sf_dir).select("doc_id", "lines", F.explode(layout.label_groups(F.col("lines"))).alias("g"))
+    groups = cards(spark, sf_dir).select("doc_id", "lines", F.explode_outer(layout.label_groups(F.col("lines"))).alias("g")).where("g IS NOT NULL")
     found = groups.withColumn("box", layout.group_bounds(F.col("g"))).withColumn("value", layout.nearest_below(F.col("lines"), F.col("box"))).where("value IS NOT NULL")
     return found.select("doc_id", F.col("box.line_no").alias("group_no"), F.col("value.line_no").alias("anchor"), layout.vertical_gap(F.col("box"), F.col("value")).alias("gap"), layout.left_distance(F.col("box"), F.col("value")).alias("distance"))
 
 
 def same_row_values(spark, sf_dir):
-    anchors = cards(spark, sf_dir).select("doc_id", "lines", F.explode(F.filter("lines", lambda x: x["is_value"])).alias("a"))
+    anchors = cards(spark, sf_dir).select("doc_id", "lines", F.explode_outer(F.filter("lines", lambda x: x["is_value"])).alias("a")).where("a IS NOT NULL")
     return anchors.select("doc_id", F.col("a.line_no").alias("anchor"), layout.by_left(layout.value_row(F.col("lines"), F.col("a"))).alias("value"))
 
 
@@ -146,7 +146,7 @@ def detect_type(spark, sf_dir):
 def block_scan(spark, sf_dir):
     page = cards(spark, sf_dir)
     blocks = [(t.name, s.label, s.block) for t in signatures.CARD_TYPES for s in t.fields if s.block]
-    found = page.select("doc_id", F.explode(F.array(*(F.struct(F.lit(label).alias("label"), signatures.collect_block(F.col("lines"), b).alias("b")) for _, label, b in blocks))).alias("x"))
+    found = page.select("doc_id", F.explode_outer(F.array(*(F.struct(F.lit(label).alias("label"), signatures.collect_block(F.col("lines"), b).alias("b")) for _, label, b in blocks))).alias("x"))
     return found.where("x.b IS NOT NULL").select("doc_id", "x.label", F.col("x.b.text").alias("value"))
 
 
