@@ -39,14 +39,14 @@ SYLLABLES = {
 }
 #: Names as the pattern takes them: one or two titles and up to three capitalised words.
 _TITLES = rf"(?:(?:{MALE_TITLES}|{FEMALE_TITLES}|{OTHER_TITLES})\.? {{1,2}}){{1,2}}"
-_NAME = rf"(?<![\p{{L}}\p{{N}}]){_TITLES}\p{{Lu}}[\p{{L}}'’-]{{1,40}}(?: \p{{Lu}}[\p{{L}}'’-]{{1,40}}){{0,2}}"
+_NAME = rf"(?<![\p{{L}}\p{{N}}]){_TITLES}\p{{Lu}}[\p{{L}}'’-]++(?: \p{{Lu}}[\p{{L}}'’-]++){{0,2}}"
 _SECRET_NAME = r"(?:password|passwd|pwd|passphrase|secret|token|api[_-]?key|access[_-]?key|auth)"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
-#: In order of preference where two could begin at one place. Every repetition is bounded or begins after a boundary, so that the time stays in proportion to the text.
+#: In order of preference where two could begin at one place. Every repetition is bounded, or begins after a boundary and gives nothing back, so that the time stays in proportion to the text and an entity of any length is taken whole.
 KINDS = {
     "key": r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])",
-    "secret": rf"(?<![A-Za-z0-9])(?i:{_SECRET_NAME}) {{0,2}}[=:] {{0,2}}[\"']?[A-Za-z0-9_+/.~-]{{8,200}}",
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}",
+    "secret": rf"(?<![A-Za-z0-9])(?i:{_SECRET_NAME}) {{0,2}}[=:] {{0,2}}[\"']?[A-Za-z0-9_+/.~-]{{8,}}+",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": rf"(?<![\d.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\d|\.\d)",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "card": r"(?<![\d.])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){2}[ -]\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5})(?!\d|\.\d)",
@@ -94,13 +94,23 @@ def _norm(kind: Column, e: Column) -> Column:
     )
 
 
+def _short(s: Column) -> Column:
+    """What stands for ``s`` in a seed, which is digested once for every 32 characters: a long text by its own digest."""
+    return F.when(F.length(s) > 200, F.sha2(s.cast("binary"), 256)).otherwise(s)
+
+
 def _stream(seed: Column, n: Column) -> Column:
-    """Hexadecimal digits from the seed, two for each of ``n`` characters at least."""
-    return F.array_join(F.transform(F.sequence(F.lit(0), (n / 32).cast("int")), lambda b: F.sha2(F.concat(seed, b.cast("string")).cast("binary"), 256)), "")
+    """Blocks of 64 hexadecimal digits from the seed, two digits for each of ``n`` characters at least."""
+    return F.transform(F.sequence(F.lit(0), (n / 32).cast("int")), lambda b: F.sha2(F.concat(seed, b.cast("string")).cast("binary"), 256))
+
+
+def _byte(digits: Column, i: Column) -> Column:
+    return F.conv(F.substring(digits, i * 2 + 1, F.lit(2)), 16, 10).cast("int")
 
 
-def _byte(stream: Column, i: Column) -> Column:
-    return F.conv(F.substring(stream, i * 2 + 1, F.lit(2)), 16, 10).cast("int")
+def _drawn(stream: Column, i: Column) -> Column:
+    """The i-th byte of the blocks, at the same cost wherever it is."""
+    return _byte(F.element_at(stream, F.shiftright(i, 5) + 1), i % 32)
 
 
 def _at(letters: str, i: Column) -> Column:
@@ -112,7 +122,7 @@ def _scramble(s: Column, seed: Column) -> Column:
     small = F.when(s.rlike("^[0-9a-f]{8,}$") & s.rlike("[a-f]"), F.lit(6)).otherwise(F.lit(26))
 
     def one(c: Column, i: Column, stream: Column, letters: Column) -> Column:
-        v = _byte(stream, i)
+        v = _drawn(stream, i)
         digit = F.when((i == 0) & (c != "0"), v % 9 + 1).otherwise(v % 10).cast("string")
         return F.when(c.between("0", "9"), digit).when(c.between("a", "z"), F.substring(F.lit(LOWER), v % letters + 1, F.lit(1))).when(c.between("A", "Z"), _at(UPPER, v)).otherwise(c)
 
@@ -182,11 +192,11 @@ def _name(n: Column, key: str, attempt: Column) -> Column:
 
 def _surrogate(kind: Column, n: Column, attempt: Column, key: str) -> Column:
     """The replacement of a normalised entity, itself normalised."""
-    seed = F.concat_ws("|", F.lit(key), kind, n, attempt.cast("string"), F.lit(""))
+    seed = F.concat_ws("|", F.lit(key), kind, _short(n), attempt.cast("string"), F.lit(""))
     domain = F.regexp_extract(n, "@(.*)$", 1)
     host, top = F.regexp_extract(domain, r"^(.*)\.[^.]*$", 1), F.regexp_extract(domain, r"(\.[^.]*)$", 1)
-    email = F.concat(_scramble(F.regexp_extract(n, "^([^@]*)@", 1), seed), F.lit("@"), _scramble(host, F.concat_ws("|", F.lit(key), F.lit("host"), host, F.lit(""))), top)
-    ip = _let(_stream(seed, F.lit(4)), lambda x: F.array_join(F.transform(F.split(n, r"\."), lambda _, i: (_byte(x, i) % 254 + 1).cast("string")), "."))
+    email = F.concat(_scramble(F.regexp_extract(n, "^([^@]*)@", 1), seed), F.lit("@"), _scramble(host, F.concat_ws("|", F.lit(key), F.lit("host"), _short(host), F.lit(""))), top)
+    ip = _let(_stream(seed, F.lit(4)), lambda x: F.array_join(F.transform(F.split(n, r"\."), lambda _, i: (_drawn(x, i) % 254 + 1).cast("string")), "."))
     iban = F.concat(F.substring(n, 1, 2), _scramble(F.substring(n, F.lit(3), F.length(n)), seed))
     access = F.concat(F.substring(n, 1, 4), _scramble(F.substring(n, F.lit(5), F.length(n)), seed))
     return (

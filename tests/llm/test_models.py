@@ -89,6 +89,24 @@ def test_surrogates(spark):
         assert not any(secret in (r.text or "") for r in rows)
 
 
+def test_entities_of_any_length_are_replaced_whole(spark):
+    rng = np.random.default_rng(3)
+    draw = lambda n: "".join(rng.choice(list("ABCDEFGHJKLMNPQRSTUVWXYZ23456789"), n))
+    shared, long, huge = draw(200), draw(600), draw(300_000)
+    local, label, word = "q" + draw(90).lower(), "q" + draw(80).lower(), "Q" + "qxz" * 20
+    deep = ".".join(f"sub{i}q" for i in range(14)) + ".org"
+    rows = [(1, f"token={long} end"), (2, f"token={shared}AAAA1111 end"), (3, f"token={shared}BBBB2222 end"), (4, f"token={huge} end"), (5, f"{local}@some.org end"), (6, f"x@{deep} end"), (7, f"x@{label}.org end"), (8, f"Mr John {word} end")]
+    new = dict(plain(pii.replace_entities(documents(spark, rows)), "doc_id", "text"))
+    for i, text in rows[:4]:
+        assert re.fullmatch(r"token=[A-Z0-9]+ end", new[i]) and len(new[i]) == len(text)
+        at = range(6, len(text) - 4)
+        assert sum(new[i][j] == text[j] for j in at) < 0.15 * len(at) and new[i][-12:] != text[-12:]
+    assert new[2] != new[3] and new[2][6:206] != new[3][6:206]
+    for i, gone in ((5, local), (7, label), (8, word), (8, word[-10:])):
+        assert gone not in new[i] and new[i].endswith(" end") and new[i] != rows[i - 1][1]
+    assert new[6].endswith(".org end") and not any(f"sub{i}q" in new[6] for i in range(14))
+
+
 def test_the_key_decides(spark):
     one, two = (plain(pii.replace_entities(documents(spark, TEXTS[:4]), key=k), "text") for k in ("a", "b"))
     assert one == plain(pii.replace_entities(documents(spark, TEXTS[:4]).repartition(3), key="a"), "text") and one != two
