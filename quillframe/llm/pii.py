@@ -5,14 +5,15 @@ letters keep their case, punctuation stays, card numbers that pass the Luhn test
 domain share a domain, and names keep title, gender, script and letter case. A replacement depends on the key and the
 normalised entity alone, so all mentions of an entity, in whatever format, in all documents, get the same one. A
 global pass over the distinct entities finds replacements that two of them share, or that are themselves an entity,
-and draws others for those; only documents that hold such an entity take part in a join.
+and draws others for those; what draws do not part gets values that no other entity has, counted through its format.
+Only documents that hold such an entity take part in a join.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillframe.llm.common import durable
@@ -58,8 +59,12 @@ PATTERN = "|".join(KINDS.values())
 #: What any entity holds; texts without it are passed on as they are.
 HINT = rf"[@\d]|(?:AKIA|ASIA)[A-Z]{{16}}|(?i:{_SECRET_NAME}) {{0,2}}[=:]|(?:{MALE_TITLES}|{FEMALE_TITLES}|{OTHER_TITLES})\.? "
 LOWER, UPPER = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-#: Rounds of the collision check.
+#: Rounds of the collision check by other draws; entities that still clash then are placed by counting.
 ROUNDS = 12
+#: Characters of an entity that count, from its end, and values that are tried for a format at first.
+COUNTED, TRIED = 10, 1024
+#: Kinds whose replacements may be longer than the entity, where its format has no value left.
+LONGER = ("email", "secret", "name")
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -242,8 +247,90 @@ def _found(text: Column) -> Column:
     return F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).otherwise(F.array().cast("array<string>"))
 
 
-def entity_attempts(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
-    """(kind, norm, attempt) of the entities whose first replacement is taken: by a smaller entity, or as an entity."""
+def _choices(kind: Column, n: Column, body: Column, end: Column) -> Column:
+    """What may stand at each place of ``end``, the counted end of ``body``: the same classes as in ``_scramble``."""
+    chars = lambda x: F.split(F.lit(x), "")
+    small = F.when(body.rlike("^[0-9a-f]{8,}$") & body.rlike("[a-f]"), chars("abcdef")).otherwise(chars(LOWER))
+
+    def one(c: Column, i: Column) -> Column:
+        digit = F.when((i == 0) & (c != "0") & (F.length(end) == F.length(body)), chars("123456789")).otherwise(chars("0123456789"))
+        return F.when(c.between("0", "9"), digit).when(c.between("a", "z"), small).when(c.between("A", "Z"), chars(UPPER)).otherwise(F.array(c))
+
+    octets = F.transform(F.sequence(F.lit(1), F.lit(254)), lambda x: x.cast("string"))
+    dotted = F.transform(octets, lambda x: F.concat(F.lit("."), x))
+    syllables = {s: F.array_repeat(F.array(*map(F.lit, x)), 5) for s, x in SYLLABLES.items()}
+    name = F.when(n.rlike(r":.*\p{IsCyrillic}"), syllables["cyrillic"]).when(n.rlike(r":.*\p{IsGreek}"), syllables["greek"]).otherwise(syllables["latin"])
+    return F.when(kind == "ip", F.array(octets, dotted, dotted, dotted)).when(kind == "name", name).otherwise(F.transform(F.split(end, ""), one))
+
+
+def _formats(left: DataFrame) -> DataFrame:
+    """(kind, norm, core) with the format of its replacements: ``head``, one of ``choices`` for each place, a check digit
+    for ``luhn``, ``tail``; ``gid`` tells formats apart."""
+    kind, n, core = F.col("kind"), F.col("norm"), F.col("core")
+    luhn = (kind == "card") & (_luhn_sum(F.when(kind == "card", n).otherwise("0"), False) % 10 == 0)
+    lead = F.when(kind.isin("ip", "name"), F.length(core)).when(kind == "card", 1).when(kind == "iban", 2).when(kind == "key", 4).otherwise(0)
+    size = F.when(kind == "email", F.length(F.regexp_extract(n, "^([^@]*)@", 1))).otherwise(F.length(n) - lead - luhn.cast("int"))
+    body = F.substring(n, lead + 1, size)
+    end = F.reverse(F.regexp_extract(F.reverse(body), rf"^(?:[^A-Za-z0-9]*+[A-Za-z0-9]){{0,{COUNTED}}}", 0))
+    drawn = F.substring(core, F.lit(1), lead + size - F.length(end))
+    head = F.when(kind == "ip", "").when(kind == "name", F.regexp_extract(core, "^(.*[: ])[^: ]*$", 1)).otherwise(drawn)
+    tail = F.when(kind == "email", F.regexp_extract(core, "(@.*)$", 1)).otherwise("")
+    out = left.select("kind", "norm", head.alias("head"), _choices(kind, n, body, end).alias("choices"), luhn.alias("luhn"), tail.alias("tail"))
+    return out.withColumn("gid", _format_id())
+
+
+def _format_id() -> Column:
+    places = F.array_join(F.transform("choices", lambda x: F.array_join(x, "")), "|")
+    return F.sha2(F.concat_ws("|", "kind", "head", places, F.col("luhn").cast("string"), "tail").cast("binary"), 256)
+
+
+def _place(left: DataFrame, held: DataFrame, key: str) -> DataFrame:
+    """(kind, norm, core) for all of ``left`` (kind, norm, core): values of the entity's format that no two have and that
+    are not ``held`` (kind, core).
+
+    The values of each format are counted from a place that the key decides. Where all are held, replacements get one
+    place more; kinds of a fixed length raise an error then, which needs half of all values of the format as entities.
+    """
+    left, reach, placed = durable(_formats(left), "formats"), 1, None
+    while True:
+        groups = left.groupBy("gid").agg(F.count(F.lit(1)).alias("m"), *(F.any_value(c).alias(c) for c in ("kind", "head", "choices", "luhn", "tail")))
+        room = F.aggregate("choices", F.lit(1).cast("long"), lambda a, x: a * F.size(x))
+        groups = groups.withColumn("room", room).withColumn("tries", F.least("room", F.greatest(F.lit(TRIED), F.col("m") * 4) * reach))
+        groups = groups.withColumn("start", F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(key), F.lit("start"), "gid").cast("binary"), 256), 1, 12), 16, 10).cast("long"))
+        groups = durable(groups, "groups")
+        blocks = groups.withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tries") - 1, F.lit(TRIED).cast("long")))).repartition("gid", "at")
+        tried = blocks.withColumn("r", F.explode(F.sequence("at", F.least(F.col("at") + (TRIED - 1), F.col("tries") - 1))))
+        first = F.struct(((F.col("start") + F.col("r")) % F.col("room")).alias("rest"), F.lit("").alias("out"))
+
+        def spell(a: Column, x: Column) -> Column:
+            size = F.size(x).cast("long")
+            return F.struct(F.call_function("div", a["rest"], size).alias("rest"), F.concat(F.element_at(x, (a["rest"] % size + 1).cast("int")), a["out"]).alias("out"))
+
+        bare = F.concat("head", F.aggregate(F.reverse("choices"), first, spell, lambda a: a["out"]))
+        digit = F.when(F.col("luhn"), ((10 - _luhn_sum(F.when(F.col("luhn"), F.col("bare")).otherwise("0"), True) % 10) % 10).cast("string")).otherwise("")
+        values = tried.withColumn("bare", bare).select("gid", "kind", "r", F.concat("bare", digit, "tail").alias("core"))
+        free = durable(values.join(held, ["kind", "core"], "left_anti"), "free")
+        one = free.groupBy("kind", "core").agg(F.min(F.struct("gid", "r")).alias("of")).select("core", "of.*")  # of a value that two formats have
+        ranked = one.withColumn("rank", F.row_number().over(Window.partitionBy("gid").orderBy("r")))
+        keyed = F.sha2(F.concat_ws("|", F.lit(key), "norm").cast("binary"), 256)
+        wanted = left.withColumn("rank", F.row_number().over(Window.partitionBy("gid").orderBy(keyed, "norm")))
+        found = durable(wanted.join(ranked, ["gid", "rank"]).select("kind", "norm", "core"), "placed")
+        placed = found if placed is None else placed.unionByName(found)
+        left = left.join(found, ["kind", "norm"], "left_anti")
+        full = groups.where("tries = room").join(free, "gid", "left_anti").select("gid", F.lit(True).alias("full"))
+        left = durable(left.join(full, "gid", "left"), "left")
+        if left.isEmpty():
+            return placed
+        stuck = left.where(F.col("full") & ~F.col("kind").isin(*LONGER)).first()
+        if stuck is not None:
+            raise ValueError(f"no replacement is free for an entity of kind {stuck.kind}: all values of its format are taken")
+        more = F.when(F.size(F.element_at("choices", -1)) > 1, F.slice("choices", -1, 1)).otherwise(F.array(F.split(F.lit(LOWER), "")))
+        left = left.withColumn("choices", F.when(F.col("full"), F.concat("choices", more)).otherwise(F.col("choices"))).drop("full").withColumn("gid", _format_id())
+        held, reach = held.unionByName(found.select("kind", "core")), reach * 4
+
+
+def second_choices(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
+    """(kind, norm, core) of the entities whose first replacement is taken: by a smaller entity, or as an entity."""
     mentions = docs.select(F.explode(F.array_distinct(_found(F.col(text_col)))).alias("e")).groupBy("e").agg(F.count(F.lit(1)).alias("n"))
     kinds = mentions.withColumn("kind", _kind(F.col("e")))
     entities = durable(kinds.select("kind", _norm(F.col("kind"), F.col("e")).alias("norm")).distinct(), "entities")
@@ -255,9 +342,12 @@ def entity_attempts(docs: DataFrame, key: str, text_col: str = "text") -> DataFr
         real = drawn.join(entities.withColumnRenamed("norm", "core"), ["kind", "core"], "left_semi").select("kind", "norm")
         again = durable(late.union(real).distinct(), "taken")
         if again.isEmpty():
-            break
+            return drawn.where("attempt > 0").select("kind", "norm", "core")
         assigned = drawn.drop("core").join(again.withColumn("more", F.lit(1)), ["kind", "norm"], "left").select("kind", "norm", (F.col("attempt") + F.coalesce("more", F.lit(0))).alias("attempt"))
-    return drawn.where("attempt > 0").select("kind", "norm", "attempt")
+    settled = drawn.join(again, ["kind", "norm"], "left_anti")
+    held = settled.select("kind", "core").unionByName(entities.select("kind", F.col("norm").alias("core")))
+    placed = _place(drawn.join(again, ["kind", "norm"], "left_semi").select("kind", "norm", "core"), durable(held, "held"), key)
+    return settled.where("attempt > 0").select("kind", "norm", "core").unionByName(placed)
 
 
 def replace_entities(docs: DataFrame, key: str = "an example key", id_col: str = "doc_id", text_col: str = "text", count_col: str | None = None) -> DataFrame:
@@ -265,23 +355,26 @@ def replace_entities(docs: DataFrame, key: str = "an example key", id_col: str =
 
     ``count_col`` adds the number of mentions. A null text stays null and an empty one empty, with 0 mentions. Texts
     without an entity stay as they are, byte for byte. Ids may be null or repeat: a replacement depends on the entity
-    alone. Distinct entities get distinct replacements as long as their format has values left after 12 draws.
+    alone. Distinct entities get distinct replacements, none of which is an entity: other draws first, then values counted
+    through the format, longer ones if an address, secret or name has no other; other kinds raise an error then.
     """
     text = F.col(text_col)
-    entries = durable(entity_attempts(docs, key, text_col), "attempts")
+    entries = durable(second_choices(docs, key, text_col), "choices")
     taken = not entries.isEmpty()
     source = docs
     if taken:
-        named = F.struct(F.concat_ws("|", "kind", "norm"), F.col("attempt"))
-        mentions = docs.select(F.col(id_col).alias("__id"), F.explode(F.array_distinct(_found(text))).alias("e")).withColumn("kind", _kind(F.col("e")))
-        held = mentions.select("__id", "kind", _norm(F.col("kind"), F.col("e")).alias("norm")).distinct().join(entries, ["kind", "norm"])
-        by_doc = held.groupBy("__id").agg(F.map_from_entries(F.collect_set(named)).alias("__attempts"))
-        # Ids are whole documents, so a key has few rows; those without an id take no part and keep the first draw.
-        source = docs.join(durable(by_doc, "attempts-by-doc"), F.col(id_col) == F.col("__id"), "left").drop("__id")
+        named = F.struct(F.concat_ws("|", "kind", "norm"), F.col("core"))
+        # What a row needs depends on its text alone: rows without an id, or of one id, are told apart by it, and rows alike need the same.
+        mark = F.xxhash64(F.col(id_col), text)
+        mentions = docs.select(mark.alias("__mark"), F.explode(F.array_distinct(_found(text))).alias("e")).withColumn("kind", _kind(F.col("e")))
+        needed = mentions.select("__mark", "kind", _norm(F.col("kind"), F.col("e")).alias("norm")).distinct().join(entries, ["kind", "norm"])
+        by_mark = needed.groupBy("__mark").agg(F.map_from_entries(F.collect_set(named)).alias("__choices"))
+        source = docs.join(durable(by_mark, "choices-by-row"), mark == F.col("__mark"), "left").drop("__mark")
 
     def drawn(e: Column, kind: Column, n: Column) -> Column:
-        attempt = F.coalesce(F.element_at(F.col("__attempts"), F.concat_ws("|", kind, n)), F.lit(0)) if taken else F.lit(0)
-        return _let(_surrogate(kind, n, attempt, key), lambda core: _dress(kind, e, core))
+        first = _surrogate(kind, n, F.lit(0), key)
+        core = F.coalesce(F.element_at(F.col("__choices"), F.concat_ws("|", kind, n)), first) if taken else first
+        return _let(core, lambda core: _dress(kind, e, core))
 
     def one(e: Column) -> Column:
         return _let(_kind(e), lambda kind: _let(_norm(kind, e), lambda n: drawn(e, kind, n)))
