@@ -21,8 +21,9 @@ RULES = [
     ("net", "/fr/", "block"),
 ]
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Absolute and protocol-relative links of a page; relative ones stay on their host.
-LINK = r"""(?i)<a\s(?:[^>]{0,2000}?\s)?href\s{0,8}=\s{0,8}["']?\s{0,8}(?:https?:)?//([^/?#"'\s>]{1,255})"""
+#: Absolute and protocol-relative links of a page, whatever their length; relative ones stay on their host. White space is
+#: HTML's. Where no link follows up to the next ``>``, none begins before it: the second branch, an empty group, takes all of that, so the time stays in proportion to the page.
+LINK = r"""(?i)<a_(?:(?:[^>]*?_)?href_*+=_*+["']?_*+(?:https?:)?//([^/?#"'_>]++)|[^>]*+)""".replace('"\'_>', '"\' \\t\\n\\f\\r>').replace("_", r"[ \t\n\f\r]")
 DAMPING, ROUNDS, TOLERANCE = 0.85, 30, 1e-6
 #: A host is blocked if its distrust exceeds this share of a host's mean score, and its trust.
 THRESHOLD = 0.5
@@ -70,7 +71,7 @@ def host_scores(pages: DataFrame, rules: list[tuple[str, str, str]] | None = Non
     """(host, pages, trust, distrust): scores in units of the mean, over the hosts of ``pages``. Hosts without either are 0."""
     rules = RULES if rules is None else rules
     host = host_of(F.col(url_col))
-    links = F.when(F.col(html_col).contains("//"), F.regexp_extract_all(F.col(html_col), F.lit(LINK), F.lit(1)))
+    links = F.when(F.col(html_col).contains("//"), F.array_remove(F.regexp_extract_all(F.col(html_col), F.lit(LINK), F.lit(1)), ""))
     read = pages.select(host.alias("host"), rule_of(host, path_of(F.col(url_col)), rules, "verdict").alias("verdict"), F.col(html_col).alias("html"))
     hosts = durable(
         read.groupBy("host").agg(F.count(F.lit(1)).alias("pages"), F.count(F.when(F.col("verdict") == "allow", 1)).alias("allowed"), F.count(F.when(F.col("verdict") == "block", 1)).alias("blocked")), "hosts"

@@ -2,11 +2,15 @@
 
 import math
 import random
+import re
 
+import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quillframe.llm import link_trust
+from quillframe.llm.registry import ORACLE
 from quillframe.llm.topk import top_k
 from tests.llm.helpers import plain
 
@@ -126,3 +130,20 @@ def test_no_pages(spark):
 def test_only_built_in_functions(spark):
     plan = link_trust.judge_urls(pages(spark, [(1, "http://a.org/", "<a href='//b.org'>")]))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_links_of_any_length_are_found(spark):
+    """As the SQL of the query finds them, however much white space, how many attributes or how long a host; in time that follows the page."""
+    wide, host = "\n" + " " * 40, "h" * 300 + ".org"
+    html = [
+        f'<a href="{wide}https://one.org/x">', f"<a href{wide}={wide}'//two.org'>", f'<a data-x="{"{}" * 3000}" href="//three.org/">', f"<a href=//{host}/>",
+        "<a x <a y> <a href='/own'> <A\nHREF=HTTP://Four.org?q> <a b href=//five.org c href='//six.org'> <a href='//seven.org <a href=//eight.org>", "<a href\x0b=//nine.org> <a href=//ten\x0b.org>",
+        "<a " * 300_000 + "> <a href=//eleven.org>", "<a href" + " " * 300_000 + "x //y>",
+    ]
+    link = re.search(r"regexp_extract_all\(html, '(.*?)', 1\)", ORACLE["op5_url_filter"])[1].replace("''", "'")
+    for i, page in enumerate(html):
+        found = spark.createDataFrame([(page,)], "html string").select(F.array_remove(F.regexp_extract_all("html", F.lit(link_trust.LINK), F.lit(1)), "")).first()[0]
+        assert found == duckdb.execute("SELECT regexp_extract_all(?, ?, 1)", [page, link]).fetchone()[0], i
+    rows = [(1, "http://a.net/es/", None), *((i + 2, f"http://p{i}.com/", x.replace("one.org", "a.net").replace("two.org", "a.net").replace("three.org", "a.net")) for i, x in enumerate(html[:3]))]
+    scores = {r.host: r.distrust for r in link_trust.host_scores(pages(spark, rows)).collect()}
+    assert all(scores[f"p{i}.com"] > 0 for i in range(3))
