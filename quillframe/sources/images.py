@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType, TimestampType
@@ -42,11 +44,33 @@ def first_upload(parts: DataFrame) -> DataFrame:
     return best.select("request_id", content.alias("content"), kind.alias("error_kind"))
 
 
+@F.pandas_udf(BinaryType())
+def _three(data: pd.Series, channels: pd.Series) -> pd.Series:
+    """Pixels of one channel or four as blue, green, red: gray is repeated, alpha dropped."""
+
+    def one(pixels: bytes | None, n: int) -> bytes | None:
+        if pixels is None:
+            return None
+        flat = np.frombuffer(pixels, np.uint8)
+        return (np.repeat(flat, 3) if n == 1 else flat.reshape(-1, n)[:, :3]).tobytes()
+
+    return pd.Series([one(x, n) for x, n in zip(data, channels)], dtype=object)
+
+
 def read_images(spark: SparkSession, path: str) -> DataFrame:
-    """(id, height, width, data, error_kind): decoded pixels, three bytes a pixel in the order blue, green, red."""
+    """(id, height, width, data, error_kind): decoded pixels, three bytes a pixel in the order blue, green, red.
+
+    Gray images and those with alpha are converted. Files that do not decode are 'decode', and so are gray PNG files of 16
+    bits, of which Spark's reader keeps the low byte alone; these are told by the header of their file.
+    """
     images = spark.read.format("image").load(path).select("image.*")
-    kind = F.when(F.col("height") < 0, "decode").when(F.col("nChannels") != 3, "decode")
-    return images.select(scan_id(F.col("origin")).alias("id"), "height", "width", F.when(kind.isNull(), F.col("data")).alias("data"), kind.alias("error_kind"))
+    # Signature, IHDR, bit depth 16, colour type gray (0) or gray with alpha (4). Their ids are few; pixels are not shuffled.
+    head = F.hex(F.substring("content", 1, 26))
+    deep = spark.read.format("binaryFile").load(path).where(head.rlike("^89504E470D0A1A0A.{32}10(?:00|04)$")).select(scan_id(F.col("path")).alias("id"), F.lit(True).alias("deep"))
+    found = images.withColumn("id", scan_id(F.col("origin"))).join(F.broadcast(deep), "id", "left")
+    kind = F.when((F.col("height") < 0) | F.col("deep"), "decode").when(~F.col("nChannels").isin(1, 3, 4), "decode")
+    odd = _three(F.when(kind.isNull() & (F.col("nChannels") != 3), F.col("data")), F.col("nChannels"))
+    return found.select("id", "height", "width", F.when(kind.isNull(), F.when(F.col("nChannels") == 3, F.col("data")).otherwise(odd)).alias("data"), kind.alias("error_kind"))
 
 
 def write_originals(uploads: DataFrame, path: str) -> None:

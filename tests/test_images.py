@@ -92,6 +92,30 @@ def test_uploads_and_images(spark, tmp_path):
     assert good.id == rows["good.png"].id and len(good.id) == 36
 
 
+def test_gray_images_and_alpha(spark, tmp_path):
+    """All become three channels, and none is lost to scan and recognize."""
+
+    def other(pixels, colour, depth=8):
+        chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+        rows = b"".join(b"\0" + row.tobytes() for row in pixels)
+        return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 60, 40, depth, colour, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(rows)) + chunk(b"IEND", b"")
+
+    colour, gray = picture(), picture()[:, :, 0]
+    alpha = np.dstack([colour, gray])
+    for name, data in {"colour": png(colour), "gray": other(gray, 0), "alpha": other(alpha, 6), "both": other(np.dstack([gray, gray.T.reshape(40, 60)]), 4), "deep": other(gray.astype(">u2") * 256, 0, 16)}.items():
+        (tmp_path / f"{name}.png").write_bytes(data)
+    found = {r.id: r for r in images.read_images(spark, str(tmp_path)).collect()}
+    ids = {r.path.rsplit("/", 1)[1][:-4]: r.id for r in images.read_uploads(spark, str(tmp_path)).collect()}
+    assert len(found) == 5 and found[ids["deep"]].error_kind == "decode" and found[ids["deep"]].data is None
+    for name, expected in {"colour": colour, "alpha": colour, "gray": np.dstack([gray] * 3), "both": np.dstack([gray] * 3)}.items():
+        row = found[ids[name]]
+        assert row.error_kind is None and (np.frombuffer(row.data, np.uint8).reshape(40, 60, 3)[:, :, ::-1] == expected).all(), name
+    decoded = images.read_images(spark, str(tmp_path))
+    assert documents.scan(decoded, lambda _: np.zeros((4, 256, 256), np.float32)).count() == 4
+    lines = documents.recognize(decoded, lambda image: [("A", 0.9, np.zeros((4, 2)))] if image.shape == (40, 60, 3) else [])
+    assert lines.count() == 4
+
+
 def test_first_upload(spark):
     parts = [(1, 0, "a", b"x"), (1, 1, "image", b"y"), (1, 2, "b", b"z"), (2, 0, "a", b"x"), (2, 1, "b", b"q"), (3, 0, "a", b"")]
     frame = images.first_upload(spark.createDataFrame(parts, "request_id int, part_no int, name string, content binary"))
