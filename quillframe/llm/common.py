@@ -101,7 +101,7 @@ def utf8(text: str | None) -> bytes:
 FILTER_BITS = 1 << 25
 
 
-def _split(rows: DataFrame, key: str, keys: DataFrame) -> Callable[[bool], DataFrame]:
+def split_by(rows: DataFrame, key: str, keys: DataFrame) -> Callable[[bool], DataFrame]:
     """Cuts ``rows`` by a hashed bitmap of ``keys`` (its first column, long): those that may have a partner, and those that surely have none.
 
     The bitmap (a Bloom filter with one bit a key, as a table of 64-bit words) has a bounded size and is all that is
@@ -119,13 +119,13 @@ def _split(rows: DataFrame, key: str, keys: DataFrame) -> Callable[[bool], DataF
 def may_join(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
     """``rows`` without most of those whose ``key`` is not among ``keys``, ahead of a join on it: wide rows without a partner
     are then not shuffled. No row with a partner is lost."""
-    return _split(rows, key, keys)(True)
+    return split_by(rows, key, keys)(True)
 
 
 def drop_ids(rows: DataFrame, key: str, gone: DataFrame) -> DataFrame:
     """``rows`` whose ``key`` is not among ``gone`` (a column ``__id``, null-safe). Rows that surely stay are passed on where they are;
     only those that may go are shuffled to the join that decides."""
-    half = _split(rows, key, gone)
+    half = split_by(rows, key, gone)
     return half(False).unionByName(half(True).join(gone, F.col(key).eqNullSafe(F.col("__id")), "left_anti"))
 
 

@@ -2,11 +2,17 @@
 
 Entities are found by one pattern. Each gets a keyed replacement of its own type and format: digits stay digits,
 letters keep their case, punctuation stays, card numbers that pass the Luhn test pass it again, e-mail addresses of one
-domain share a domain, and names keep title, gender, script and letter case. A replacement depends on the key and the
-normalised entity alone, so all mentions of an entity, in whatever format, in all documents, get the same one. A
-global pass over the distinct entities finds replacements that two of them share, or that are themselves an entity,
-and draws others for those; what draws do not part gets values that no other entity has, counted through its format.
-Only documents that hold such an entity take part in a join.
+domain share a domain, and names keep title, gender, script and letter case.
+
+A mention is made of parts that are settled on their own: a name of given names (of a gender) and a surname, an e-mail
+address of a local part and a domain, any other mention of itself. So all mentions of a part, in whatever format, alone or
+with others, in all documents, get one replacement: "Mr Smith" stays the "Mr Zed Smith" of before. A first draw depends on the
+key and the part alone. A global pass over the distinct parts finds draws that two of them share, or that are themselves
+an entity, and draws others for those; what draws do not part gets values that no other part has, counted through its
+format. As different parts never share a replacement, neither do different entities.
+
+Texts are searched once. Those without an entity go on as they are; those whose first draws were all free are rewritten
+where they are; only those that hold a part with another draw take part in a join.
 """
 
 from __future__ import annotations
@@ -16,7 +22,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillframe.llm.common import durable
+from quillframe.llm.common import durable, split_by
 
 # Titles by gender, given names by gender and script, syllables of made-up surnames by script.
 MALE_TITLES = "Mr|Herrn?|Monsieur|Señor|Sr|Господин"
@@ -63,8 +69,12 @@ LOWER, UPPER = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ROUNDS = 12
 #: Characters of an entity that count, from its end, and values that are tried for a format at first.
 COUNTED, TRIED = 10, 1024
-#: Kinds whose replacements may be longer than the entity, where its format has no value left.
-LONGER = ("email", "secret", "name")
+#: Kinds of parts whose replacements may be longer than the part, where its format has no value left.
+LONGER = ("email", "domain", "secret", "given", "surname")
+#: Kinds of parts that never stand alone: a replacement may be another entity's part, but not the part itself.
+PARTIAL = ("email", "given")
+#: Stands around the mentions of a text while it is cut; texts that hold it are cut in another way.
+MARK = "\x01"
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -83,20 +93,45 @@ def _secret_value(e: Column) -> Column:
     return F.regexp_extract(e, rf"^(?i:{_SECRET_NAME}) *[=:] *[\"']?(.*)$", 1)
 
 
-def _norm(kind: Column, e: Column) -> Column:
-    """What mentions of one entity have in common."""
-    title = F.regexp_extract(e, r"^(\p{L}+)\.?", 1)
-    gender = F.when(title.rlike(f"^(?:{MALE_TITLES})$"), "m").when(title.rlike(f"^(?:{FEMALE_TITLES})$"), "f").otherwise("n")
-    name = F.concat_ws(":", gender, F.lower(F.regexp_replace(e, f"^{_TITLES}", "")))
-    return (
-        F.when(kind == "email", F.lower(e))
-        .when(kind.isin("card", "ssn"), F.regexp_replace(e, "[^0-9]", ""))
+def _script(n: Column, latin, cyrillic, greek) -> Column:
+    return F.when(n.rlike(r"\p{IsCyrillic}"), cyrillic).when(n.rlike(r"\p{IsGreek}"), greek).otherwise(latin)
+
+
+def _parts(kind: Column, e: Column) -> Column:
+    """The parts of a mention, as an array of (kind, norm): what mentions of one part have in common.
+
+    An e-mail address is ('email', address), which stands for its local part, and ('domain', domain); a name is ('given', gender:word) for each
+    word but the last, and ('surname', word). The gender is that of the titles or, where they have none, of the given name if it is listed.
+    """
+    titles = F.regexp_extract(e, f"^{_TITLES}", 0)
+    of_titles = F.when(titles.rlike(rf"(?:^| )(?:{MALE_TITLES})\.? "), "m").when(titles.rlike(rf"(?:^| )(?:{FEMALE_TITLES})\.? "), "f")
+    words = F.split(F.lower(F.substring(e, F.length(titles) + 1, F.length(e))), " ")
+    part = lambda kind, norm: F.struct(kind.alias("kind"), norm.alias("norm"))
+
+    def given(w: Column, of_titles: Column) -> Column:
+        known = F.lit("n")
+        for g in "mf":
+            known = F.when(w.isin([x.lower() for (_, h), names in GIVEN.items() for x in names if g == h]), g).otherwise(known)
+        return part(F.lit("given"), F.concat_ws(":", F.coalesce(of_titles, known), w))
+
+    name = _let(
+        F.struct(words.alias("words"), of_titles.alias("sex")),
+        lambda x: F.transform(x["words"], lambda w, i: F.when(i == F.size(x["words"]) - 1, part(F.lit("surname"), w)).otherwise(given(w, x["sex"]))),
+    )
+    email = _let(F.lower(e), lambda x: F.array(part(F.lit("email"), x), part(F.lit("domain"), F.regexp_extract(x, "@(.*)$", 1))))
+    norm = (
+        F.when(kind.isin("card", "ssn"), F.regexp_replace(e, "[^0-9]", ""))
         .when(kind == "phone", F.regexp_replace(F.regexp_replace(e, "[^0-9]", ""), r"^1(\d{10})$", "$1"))  # with or without the country's 1
         .when(kind == "iban", F.regexp_replace(e, " ", ""))
         .when(kind == "secret", _secret_value(e))
-        .when(kind == "name", name)
         .otherwise(e)
     )
+    return F.when(kind == "email", email).when(kind == "name", name).otherwise(F.array(part(kind, norm)))
+
+
+def _value(kind: Column, n: Column) -> Column:
+    """What a replacement of the part stands in for."""
+    return F.when(kind == "given", F.substring(n, F.lit(3), F.length(n))).otherwise(n)
 
 
 def _short(s: Column) -> Column:
@@ -158,59 +193,48 @@ def _pick(words: list[str], v: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, words)), v % len(words) + 1)
 
 
-def _name(n: Column, key: str, attempt: Column) -> Column:
-    """``gender:given surname`` to the same with other words; the surname depends on the surname alone."""
-    gender, words = F.substring(n, 1, 1), F.split(F.substring(n, F.lit(3), F.length(n)), " ")
-    script = F.when(n.rlike(r":.*\p{IsCyrillic}"), "cyrillic").when(n.rlike(r":.*\p{IsGreek}"), "greek").otherwise("latin")
-
-    def given(w: Column) -> Column:
-        known = F.lit("n")
-        for (_, g), names in GIVEN.items():  # a given name that is listed tells the gender where the title does not
-            known = F.when(w.isin([x.lower() for x in names]), g).otherwise(known) if g != "n" else known
-        drawn = F.sha2(F.concat(F.lit(f"{key}|given|"), gender, w).cast("binary"), 256)
-
-        def choose(x: Column) -> Column:
-            out = F.lit(None).cast("string")
-            for (s, g), names in GIVEN.items():
-                out = F.when((script == s) & (x["sex"] == g), _pick(names, x["v"])).otherwise(out)
-            return F.lower(out)
+def _spelled(n: Column, stream: Column, count: Column) -> Column:
+    """So many made-up syllables in the script of ``n``."""
+    spell = lambda x: F.array_join(F.transform(F.sequence(F.lit(1), count), lambda i: _pick(x, _byte(stream, i.cast("int")))), "")
+    return _script(n, *(spell(SYLLABLES[s]) for s in ("latin", "cyrillic", "greek")))
 
-        return _let(F.struct(F.when(gender != "n", gender).otherwise(known).alias("sex"), _byte(drawn, F.lit(0)).alias("v")), choose)
 
-    def surname(w: Column) -> Column:
-        drawn = F.sha2(F.concat(F.lit(f"{key}|surname|"), w, attempt.cast("string")).cast("binary"), 256)
+def _given(n: Column, key: str, attempt: Column) -> Column:
+    """A listed name of the gender and script, with made-up syllables after it from the second draw on."""
+    drawn = F.sha2(F.concat_ws("|", F.lit(key), F.lit("given"), _short(n), attempt.cast("string")).cast("binary"), 256)
 
-        def spell(stream: Column, syllables: list[str]) -> Column:
-            return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3) + F.least(attempt, F.lit(20))), lambda i: _pick(syllables, _byte(stream, i.cast("int")))), "")
+    def choose(stream: Column) -> Column:
+        listed = F.lit(None).cast("string")
+        for g in "mfn":
+            of = [_pick([x.lower() for x in GIVEN[s, g]], _byte(stream, F.lit(0))) for s in ("latin", "cyrillic", "greek")]
+            listed = F.when(n.startswith(g), _script(n, *of)).otherwise(listed)
+        return F.when(attempt == 0, listed).otherwise(F.concat(listed, _spelled(n, stream, F.least(attempt + 1, F.lit(20)))))
 
-        def choose(stream: Column) -> Column:
-            out = F.lit(None).cast("string")
-            for s, syllables in SYLLABLES.items():
-                out = F.when(script == s, spell(stream, syllables)).otherwise(out)
-            return out
+    return _let(drawn, choose)
 
-        return _let(drawn, choose)
 
-    last = F.size(words) - 1
-    return F.concat(gender, F.lit(":"), F.array_join(F.transform(words, lambda w, i: F.when(i == last, surname(w)).otherwise(given(w))), " "))
+def _surname(n: Column, key: str, attempt: Column) -> Column:
+    drawn = F.sha2(F.concat_ws("|", F.lit(key), F.lit("surname"), _short(n), attempt.cast("string")).cast("binary"), 256)
+    return _let(drawn, lambda x: _spelled(n, x, F.lit(4) + F.least(attempt, F.lit(20))))
 
 
 def _surrogate(kind: Column, n: Column, attempt: Column, key: str) -> Column:
-    """The replacement of a normalised entity, itself normalised."""
+    """The replacement of a part. That of an 'email' is another local part before the old domain, which is a part of its own."""
     seed = F.concat_ws("|", F.lit(key), kind, _short(n), attempt.cast("string"), F.lit(""))
-    domain = F.regexp_extract(n, "@(.*)$", 1)
-    host, top = F.regexp_extract(domain, r"^(.*)\.[^.]*$", 1), F.regexp_extract(domain, r"(\.[^.]*)$", 1)
-    email = F.concat(_scramble(F.regexp_extract(n, "^([^@]*)@", 1), seed), F.lit("@"), _scramble(host, F.concat_ws("|", F.lit(key), F.lit("host"), _short(host), F.lit(""))), top)
+    email = F.concat(_scramble(F.regexp_extract(n, "^([^@]*)@", 1), seed), F.regexp_extract(n, "(@.*)$", 1))
+    domain = F.concat(_scramble(F.regexp_extract(n, r"^(.*)\.[^.]*$", 1), seed), F.regexp_extract(n, r"(\.[^.]*)$", 1))
     ip = _let(_stream(seed, F.lit(4)), lambda x: F.array_join(F.transform(F.split(n, r"\."), lambda _, i: (_drawn(x, i) % 254 + 1).cast("string")), "."))
     iban = F.concat(F.substring(n, 1, 2), _scramble(F.substring(n, F.lit(3), F.length(n)), seed))
     access = F.concat(F.substring(n, 1, 4), _scramble(F.substring(n, F.lit(5), F.length(n)), seed))
     return (
         F.when(kind == "email", email)
+        .when(kind == "domain", domain)
         .when(kind == "ip", ip)
         .when(kind == "card", _card(n, seed))
         .when(kind == "iban", iban)
         .when(kind == "key", access)
-        .when(kind == "name", _name(n, key, attempt))
+        .when(kind == "given", _given(n, key, attempt))
+        .when(kind == "surname", _surname(n, key, attempt))
         .otherwise(_scramble(n, seed))
     )
 
@@ -227,15 +251,15 @@ def _fill(mould: Column, core: Column, members: str) -> Column:
     return F.aggregate(F.split(mould, ""), start, one, lambda a: a["out"])
 
 
-def _dress(kind: Column, e: Column, core: Column) -> Column:
-    """The replacement in the format of the mention ``e``."""
-    value = _secret_value(e)
-    lead = F.regexp_extract(e, f"^{_TITLES}", 0)
-    old, new = F.split(F.substring(e, F.length(lead) + 1, F.length(e)), " "), F.split(F.substring(core, F.lit(3), F.length(core)), " ")
-    name = F.concat(lead, F.array_join(F.zip_with(old, new, lambda o, w: F.when((o == F.upper(o)) & (F.length(o) > 1), F.upper(w)).otherwise(F.initcap(w))), " "))
+def _dress(kind: Column, e: Column, cores: Column) -> Column:
+    """The replacements of a mention's parts in the format of the mention ``e``."""
+    core, value, lead = F.element_at(cores, 1), _secret_value(e), F.regexp_extract(e, f"^{_TITLES}", 0)
+    old = F.split(F.substring(e, F.length(lead) + 1, F.length(e)), " ")
+    name = F.concat(lead, F.array_join(F.zip_with(old, cores, lambda o, w: F.when((o == F.upper(o)) & (F.length(o) > 1), F.upper(w)).otherwise(F.initcap(w))), " "))
     digits = F.length(F.regexp_replace(e, "[^0-9]", ""))
     return (
         F.when(kind == "secret", F.concat(F.substring(e, F.lit(1), F.length(e) - F.length(value)), core))
+        .when(kind == "email", F.concat(F.regexp_extract(core, "^([^@]*@)", 1), F.element_at(cores, -1)))
         .when(kind.isin("card", "ssn", "phone"), _fill(e, F.when(digits > F.length(core), F.concat(F.lit("1"), core)).otherwise(core), "[0-9]"))
         .when(kind == "iban", _fill(e, core, "[A-Z0-9]"))
         .when(kind == "name", name)
@@ -258,9 +282,13 @@ def _choices(kind: Column, n: Column, body: Column, end: Column) -> Column:
 
     octets = F.transform(F.sequence(F.lit(1), F.lit(254)), lambda x: x.cast("string"))
     dotted = F.transform(octets, lambda x: F.concat(F.lit("."), x))
-    syllables = {s: F.array_repeat(F.array(*map(F.lit, x)), 5) for s, x in SYLLABLES.items()}
-    name = F.when(n.rlike(r":.*\p{IsCyrillic}"), syllables["cyrillic"]).when(n.rlike(r":.*\p{IsGreek}"), syllables["greek"]).otherwise(syllables["latin"])
-    return F.when(kind == "ip", F.array(octets, dotted, dotted, dotted)).when(kind == "name", name).otherwise(F.transform(F.split(end, ""), one))
+    words = lambda x: F.array(*map(F.lit, x))
+    surname = _script(n, *(F.array_repeat(words(SYLLABLES[s]), 5) for s in ("latin", "cyrillic", "greek")))
+    given = F.array().cast("array<array<string>>")
+    for g in "mfn":
+        of = (F.concat(F.array(words([x.lower() for x in GIVEN[s, g]])), F.array_repeat(words(SYLLABLES[s]), 3)) for s in ("latin", "cyrillic", "greek"))
+        given = F.when(n.startswith(g), _script(n, *of)).otherwise(given)
+    return F.when(kind == "ip", F.array(octets, dotted, dotted, dotted)).when(kind == "surname", surname).when(kind == "given", given).otherwise(F.transform(F.split(end, ""), one))
 
 
 def _formats(left: DataFrame) -> DataFrame:
@@ -268,13 +296,14 @@ def _formats(left: DataFrame) -> DataFrame:
     for ``luhn``, ``tail``; ``gid`` tells formats apart."""
     kind, n, core = F.col("kind"), F.col("norm"), F.col("core")
     luhn = (kind == "card") & (_luhn_sum(F.when(kind == "card", n).otherwise("0"), False) % 10 == 0)
-    lead = F.when(kind.isin("ip", "name"), F.length(core)).when(kind == "card", 1).when(kind == "iban", 2).when(kind == "key", 4).otherwise(0)
-    size = F.when(kind == "email", F.length(F.regexp_extract(n, "^([^@]*)@", 1))).otherwise(F.length(n) - lead - luhn.cast("int"))
+    whole = kind.isin("ip", "given", "surname")
+    lead = F.when(whole, F.length(n)).when(kind == "card", 1).when(kind == "iban", 2).when(kind == "key", 4).otherwise(0)
+    tail = F.when(kind == "email", F.regexp_extract(core, "(@.*)$", 1)).when(kind == "domain", F.regexp_extract(core, r"(\.[^.]*)$", 1)).otherwise("")
+    size = F.length(n) - lead - luhn.cast("int") - F.length(tail)
     body = F.substring(n, lead + 1, size)
     end = F.reverse(F.regexp_extract(F.reverse(body), rf"^(?:[^A-Za-z0-9]*+[A-Za-z0-9]){{0,{COUNTED}}}", 0))
     drawn = F.substring(core, F.lit(1), lead + size - F.length(end))
-    head = F.when(kind == "ip", "").when(kind == "name", F.regexp_extract(core, "^(.*[: ])[^: ]*$", 1)).otherwise(drawn)
-    tail = F.when(kind == "email", F.regexp_extract(core, "(@.*)$", 1)).otherwise("")
+    head = F.when(whole, "").otherwise(drawn)
     out = left.select("kind", "norm", head.alias("head"), _choices(kind, n, body, end).alias("choices"), luhn.alias("luhn"), tail.alias("tail"))
     return out.withColumn("gid", _format_id())
 
@@ -329,60 +358,82 @@ def _place(left: DataFrame, held: DataFrame, key: str) -> DataFrame:
         held, reach = held.unionByName(found.select("kind", "core")), reach * 4
 
 
-def second_choices(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
-    """(kind, norm, core) of the entities whose first replacement is taken: by a smaller entity, or as an entity."""
-    mentions = docs.select(F.explode(F.array_distinct(_found(F.col(text_col)))).alias("e")).groupBy("e").agg(F.count(F.lit(1)).alias("n"))
-    kinds = mentions.withColumn("kind", _kind(F.col("e")))
-    entities = durable(kinds.select("kind", _norm(F.col("kind"), F.col("e")).alias("norm")).distinct(), "entities")
-    assigned = entities.withColumn("attempt", F.lit(0))
+def mentions_of(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(mark, e): the different mentions of each text that has any; texts are told apart by a hash."""
+    return docs.select(F.xxhash64(text_col).alias("mark"), F.explode(F.array_distinct(_found(F.col(text_col)))).alias("e"))
+
+
+def parts_of(mentions: DataFrame) -> DataFrame:
+    """The columns of ``mentions`` but ``e``, with the kind and norm of each part."""
+    others = [c for c in mentions.columns if c != "e"]
+    return mentions.select(*others, F.explode(_parts(_kind(F.col("e")), F.col("e"))).alias("part")).select(*others, "part.kind", "part.norm")
+
+
+def second_choices(mentions: DataFrame, key: str) -> DataFrame:
+    """(kind, norm, core) of the parts whose first replacement is taken: by a smaller part, or as an entity."""
+    parts = durable(parts_of(mentions.groupBy("e").agg(F.count(F.lit(1)).alias("n")).select("e")).distinct(), "parts")
+    whole, kind = ~F.col("kind").isin(*PARTIAL), F.col("kind")
+    assigned = parts.withColumn("attempt", F.lit(0))
     for _ in range(ROUNDS):
-        drawn = durable(assigned.withColumn("core", _surrogate(F.col("kind"), F.col("norm"), F.col("attempt"), key)), "surrogates")
+        drawn = durable(assigned.withColumn("core", _surrogate(kind, F.col("norm"), F.col("attempt"), key)), "surrogates")
         shared = drawn.groupBy("kind", "core").agg(F.min("norm").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
         late = drawn.join(shared, ["kind", "core"]).where("norm <> first").select("kind", "norm")
-        real = drawn.join(entities.withColumnRenamed("norm", "core"), ["kind", "core"], "left_semi").select("kind", "norm")
-        again = durable(late.union(real).distinct(), "taken")
+        real = drawn.where(whole).join(parts.where(whole).withColumnRenamed("norm", "core"), ["kind", "core"], "left_semi").select("kind", "norm")
+        same = drawn.where(F.col("core") == _value(kind, F.col("norm"))).select("kind", "norm")
+        again = durable(late.union(real).union(same).distinct(), "taken")
         if again.isEmpty():
             return drawn.where("attempt > 0").select("kind", "norm", "core")
         assigned = drawn.drop("core").join(again.withColumn("more", F.lit(1)), ["kind", "norm"], "left").select("kind", "norm", (F.col("attempt") + F.coalesce("more", F.lit(0))).alias("attempt"))
     settled = drawn.join(again, ["kind", "norm"], "left_anti")
-    held = settled.select("kind", "core").unionByName(entities.select("kind", F.col("norm").alias("core")))
+    held = settled.select("kind", "core").unionByName(parts.where(whole).select("kind", F.col("norm").alias("core")))
     placed = _place(drawn.join(again, ["kind", "norm"], "left_semi").select("kind", "norm", "core"), durable(held, "held"), key)
     return settled.where("attempt > 0").select("kind", "norm", "core").unionByName(placed)
 
 
+def _cut(text: Column) -> Column:
+    """The text in pieces, every second one a mention: one search, unless the text holds the character that marks mentions."""
+    marked = F.split(F.regexp_replace(text, F.lit(PATTERN), F.lit(f"{MARK}$0{MARK}")), MARK, -1)
+    paired = F.flatten(F.zip_with(F.split(text, PATTERN, -1), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)), lambda p, e: F.array(p, F.coalesce(e, F.lit("")))))
+    return F.when(text.contains(MARK), F.slice(paired, 1, F.size(paired) - 1)).otherwise(marked)
+
+
 def replace_entities(docs: DataFrame, key: str = "an example key", id_col: str = "doc_id", text_col: str = "text", count_col: str | None = None) -> DataFrame:
     """``docs`` with the entities of ``text_col`` replaced; all rows and columns stay, in the same order of columns.
 
     ``count_col`` adds the number of mentions. A null text stays null and an empty one empty, with 0 mentions. Texts
-    without an entity stay as they are, byte for byte. Ids may be null or repeat: a replacement depends on the entity
-    alone. Distinct entities get distinct replacements, none of which is an entity: other draws first, then values counted
-    through the format, longer ones if an address, secret or name has no other; other kinds raise an error then.
+    without an entity stay as they are, byte for byte. Ids are not read: they may be null or repeat, as a replacement depends
+    on the part of an entity alone. Distinct parts get distinct replacements; other draws first, then values counted
+    through the format, longer ones if an address, secret or name has no other; other kinds raise an error then. No replacement
+    is an entity of the table, but for given names and the local parts of addresses, which only differ from their own.
     """
-    text = F.col(text_col)
-    entries = durable(second_choices(docs, key, text_col), "choices")
+    mentions = durable(mentions_of(docs, text_col), "mentions")
+    entries = durable(second_choices(mentions, key), "choices")
     taken = not entries.isEmpty()
-    source = docs
+    marked = docs.withColumn("__mark", F.xxhash64(text_col))
+    none = F.lit(None).cast("map<string,string>").alias("__choices")
+    half = split_by(marked, "__mark", mentions.select("mark"))
+    plain, source = half(False), half(True).select("*", none)
     if taken:
         named = F.struct(F.concat_ws("|", "kind", "norm"), F.col("core"))
-        # What a row needs depends on its text alone: rows without an id, or of one id, are told apart by it, and rows alike need the same.
-        mark = F.xxhash64(F.col(id_col), text)
-        mentions = docs.select(mark.alias("__mark"), F.explode(F.array_distinct(_found(text))).alias("e")).withColumn("kind", _kind(F.col("e")))
-        needed = mentions.select("__mark", "kind", _norm(F.col("kind"), F.col("e")).alias("norm")).distinct().join(entries, ["kind", "norm"])
-        by_mark = needed.groupBy("__mark").agg(F.map_from_entries(F.collect_set(named)).alias("__choices"))
-        source = docs.join(durable(by_mark, "choices-by-row"), mark == F.col("__mark"), "left").drop("__mark")
-
-    def drawn(e: Column, kind: Column, n: Column) -> Column:
-        first = _surrogate(kind, n, F.lit(0), key)
-        core = F.coalesce(F.element_at(F.col("__choices"), F.concat_ws("|", kind, n)), first) if taken else first
-        return _let(core, lambda core: _dress(kind, e, core))
+        # What a row needs depends on its text alone, so that rows alike need the same.
+        needed = parts_of(mentions).distinct().join(entries, ["kind", "norm"])
+        by_mark = durable(needed.groupBy("mark").agg(F.map_from_entries(F.collect_set(named)).alias("__choices")).withColumnRenamed("mark", "__of"), "choices-by-text")
+        half = split_by(durable(half(True), "texts"), "__mark", by_mark)
+        source = half(False).select("*", none).union(half(True).join(by_mark, F.col("__mark") == F.col("__of"), "left").drop("__of"))
+    text = F.col(text_col)
+
+    def core(part: Column) -> Column:
+        first = _surrogate(part["kind"], part["norm"], F.lit(0), key)
+        return F.coalesce(F.element_at(F.col("__choices"), F.concat_ws("|", part["kind"], part["norm"])), first) if taken else first
 
     def one(e: Column) -> Column:
-        return _let(_kind(e), lambda kind: _let(_norm(kind, e), lambda n: drawn(e, kind, n)))
+        return _let(_kind(e), lambda kind: _let(F.transform(_parts(kind, e), core), lambda cores: _dress(kind, e, cores)))
 
-    entities = _found(text)
-    joined = F.array_join(F.zip_with(F.split(text, PATTERN, -1), F.transform(entities, one), lambda p, s: F.concat(p, F.coalesce(s, F.lit("")))), "")
-    new = F.when(text.rlike(HINT) & (F.size(entities) > 0), joined).otherwise(text)
-    columns = [new.alias(text_col) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
+    cut = source.withColumn("__cut", _cut(text))
+    new = F.array_join(F.transform("__cut", lambda x, i: F.when(i % 2 == 1, one(x)).otherwise(x)), "")
+    pick = lambda new: [new.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
+    changed, same = pick(new), pick(text)
     if count_col:
-        columns.append(F.coalesce(F.size(entities), F.lit(0)).alias(count_col))
-    return source.select(*columns)
+        changed.append(F.greatest(F.shiftright(F.size("__cut"), 1), F.lit(0)).alias(count_col))
+        same.append(F.lit(0).alias(count_col))
+    return plain.select(*same).union(cut.select(*changed))
