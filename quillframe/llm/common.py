@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -93,6 +94,55 @@ def word_spans(data: bytes) -> tuple[bytes, np.ndarray, np.ndarray]:
     return joined, np.r_[0, gaps + 1], np.r_[gaps, len(joined)]
 
 
+class _Digests(dict):
+    """Keyed 64-bit digests by word; bounded, as a long tail of words never comes again."""
+
+    WORDS = 300_000
+
+    def __missing__(self, word: bytes) -> int:
+        value = int.from_bytes(hashlib.blake2b(word, digest_size=8, key=b"words").digest(), "little")
+        if len(word) <= 64:
+            if len(self) >= self.WORDS:
+                self.clear()
+            self[word] = value
+        return value
+
+
+_DIGESTS = _Digests()
+
+
+def word_lists(data: bytes, size: int = 1 << 20) -> Iterator[list[bytes]]:
+    """The words of ``data``, some ``size`` bytes at a time."""
+    at = 0
+    while at < len(data):
+        end = min(len(data), at + size)
+        while end < len(data) and data[end] not in b" \t\n\r\x0b\x0c":
+            end += 1
+        yield data[at:end].split()
+        at = end
+
+
+def word_hashes(data: bytes) -> np.ndarray:
+    """A keyed 64-bit digest of every word of ``data``, in order."""
+    get = _DIGESTS.__getitem__
+    parts = [np.fromiter(map(get, words), np.uint64, len(words)) for words in word_lists(data)]
+    return np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+
+
+_PLACES = np.random.default_rng(20250318).integers(0, 2**63, 4096, np.uint64) << np.uint64(1) | np.uint64(1)
+
+
+def gram_hashes(words: np.ndarray, size: int) -> np.ndarray:
+    """64-bit hashes of all ``size`` consecutive elements of ``words`` (digests): a random odd weight for each place, then mixed."""
+    n = len(words) - size + 1
+    if n < 1:
+        return np.zeros(0, np.uint64)
+    out = words[:n] * _PLACES[0]
+    for k in range(1, size):
+        out += words[k : k + n] * _PLACES[k]
+    return mix64(out)
+
+
 def utf8(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 

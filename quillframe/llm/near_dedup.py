@@ -1,9 +1,10 @@
 """Near-duplicate documents by MinHash.
 
-Many universal hash minima of each document's shingle set, in bands, give candidates; signatures and then full sets
-confirm links; components come from alternating large-star and small-star. Equal sets collapse to one representative
-first. Candidates of a bucket are kept as a star, not as pairs: the components of the stars are clusters that hold every
-candidate link, and each cluster is verified in cells of bounded size that emit only a forest of confirmed links.
+Many universal hash minima of each document's shingle set, in bands, give candidates; full sets confirm links; components
+come from alternating large-star and small-star. Equal sets collapse to one representative first. The candidates of a
+bucket are not spread into pairs: each member is first compared with one centre of its bucket, and what is confirmed is
+contracted, so that a large group of near copies takes work in proportion to its documents. Only members of a bucket that
+are still in different components are then compared with each other, in cells of bounded size that emit a forest of links.
 """
 
 from __future__ import annotations
@@ -17,14 +18,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillframe.llm.common import drop_ids, durable, may_join, mix64, small_batches, span_hashes, utf8, word_spans
+from quillframe.llm.common import drop_ids, durable, gram_hashes, may_join, mix64, small_batches, split_by, utf8, word_hashes, word_lists
 from quillframe.llm.components import connected_components
 
 #: Chance that a pair at the threshold shares no band; most minima of a document; minima that verify a pair; how far
 #: below the threshold their agreement may be (over six standard deviations).
 MISS, MINIMA, VERIFYING, SLACK = 2e-6, 480, 128, 0.25
-#: Documents, and shingles, of one side of a verification cell.
-CELL_DOCS, CELL_SHINGLES = 64, 2_000_000
+#: Rounds of stars; documents of a star that share a task's copy of its centre; documents, and shingles, of one side of a cell.
+STARS, LEAVES, CELL_DOCS, CELL_SHINGLES = 3, 256, 64, 1_000_000
+#: Sets of up to so many shingles are told apart by their words, larger ones by the hashes of their shingles.
+SPELLED = 8
 
 
 def choose_bands(threshold: float, minima: int = MINIMA, miss: float = MISS) -> tuple[int, int]:
@@ -36,14 +39,35 @@ def choose_bands(threshold: float, minima: int = MINIMA, miss: float = MISS) ->
     return minima, 1
 
 
+def _shingles(hashes: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of all shingles of a text, by the digests of its words; fewer words are one shingle."""
+    return gram_hashes(hashes, min(size, len(hashes))) if len(hashes) else hashes
+
+
 def shingle_set(text: str | None, size: int) -> np.ndarray:
     """Sorted distinct hashes of the shingles of ``size`` words, A-Z in lower case; fewer words are one shingle."""
-    joined, starts, ends = word_spans(utf8(text).lower())
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    if len(starts) < size:
-        return span_hashes(joined, starts[:1], ends[-1:])
-    return np.unique(span_hashes(joined, starts[: len(starts) - size + 1], ends[size - 1 :]))
+    return np.unique(_shingles(word_hashes(utf8(text).lower()), size))
+
+
+class Shingles:
+    """The shingle set of a text: sorted distinct hashes, where each stands first, and the words, which settle what hashes suggest."""
+
+    def __init__(self, text: str | None, size: int):
+        data = utf8(text).lower()
+        self.size, self.words = size, [w for part in word_lists(data) for w in part]
+        self.hashes, self.first = np.unique(_shingles(word_hashes(data), size), return_index=True)
+
+    def linked(self, other: Shingles, num: int, den: int) -> bool:
+        """den * |a and b| >= num * |a or b|; what the two have in common is compared word by word."""
+        a, b = len(self.hashes), len(other.hashes)
+        if den * min(a, b) < num * max(a, b):
+            return False
+        _, i, j = np.intersect1d(self.hashes, other.hashes, assume_unique=True, return_indices=True)
+        if den * len(i) < num * (a + b - len(i)):
+            return False
+        x, y, size = self.words, other.words, self.size
+        shared = sum(x[p : p + size] == y[q : q + size] for p, q in zip(self.first[i].tolist(), other.first[j].tolist()))
+        return den * shared >= num * (a + b - shared)
 
 
 def _family(k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -68,146 +92,236 @@ def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return mix64(sums + np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).astype(np.int64)
 
 
-def _digest(hashes: np.ndarray) -> bytes:
-    return hashlib.blake2b(hashes.tobytes(), digest_size=16).digest()
+def _digest(data: bytes, hashes: np.ndarray, size: int) -> bytes:
+    """What tells shingle sets apart, 128 bits: by the words of a few shingles, else by the hashes of all."""
+    if len(hashes) > SPELLED:
+        return hashlib.blake2b(hashes.tobytes(), digest_size=16).digest()
+    words = [w for part in word_lists(data) for w in part]
+    spelled = {b" ".join(words[i : i + size]) for i in range(max(1, len(words) - size + 1))}
+    return hashlib.blake2b(b"\n".join(sorted(spelled)), digest_size=16, person=b"few").digest()
 
 
 def _features(size: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts, digests, keys = [], [], []
-            for text in batch.column(1).to_pylist():
-                found = shingle_set(text, size)
+            for text in batch.column("text").to_pylist():
+                data = utf8(text).lower()
+                found = np.unique(_shingles(word_hashes(data), size))
                 counts.append(len(found))
-                digests.append(_digest(found))
+                digests.append(_digest(data, found, size) if len(found) else None)
                 keys.append(band_keys(minima(found, bands * rows), bands, rows).astype("<i8").tobytes() if len(found) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.binary())], ["id", "n", "digest", "bands"])
+            out = batch.select(["id", "m1", "m2"])
+            yield pa.RecordBatch.from_arrays([*out.columns, pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.binary())], [*out.schema.names, "n", "digest", "bands"])
 
     return run
 
 
 def _spread_bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        if batch.num_rows:
-            keys = [np.frombuffer(x, "<i8") for x in batch.column(1).to_pylist()]
-            ids = np.repeat(batch.column(0).to_numpy(), [len(x) for x in keys])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys), pa.int64()), pa.array(ids, pa.int64())], ["key", "rep"])
+        for at in range(0, batch.num_rows, 2000):
+            part = batch.slice(at, 2000)
+            keys = [np.frombuffer(x, "<i8") for x in part.column("bands").to_pylist()]
+            reps = np.repeat(part.column("rep").to_numpy(), [len(x) for x in keys])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys), pa.int64()), pa.array(reps, pa.int64())], ["key", "rep"])
+
 
+def _edges(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
 
-def _sets(size: int):
-    """Shingle sets of the representatives; a row whose text is not the representative's own is passed over."""
+
+def _confirm_stars(size: int, num: int, den: int):
+    """Links of leaves with their centre. A centre comes before its leaves; one set of each is held."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        star, centre = None, None
         for batch in batches:
-            found = [shingle_set(text, size) for text in batch.column("text").to_pylist()]
-            same = pa.array([_digest(x) == d for x, d in zip(found, batch.column("digest").to_pylist())], pa.bool_())
-            out = batch.select(["cluster", "chunks", "rep"])
-            yield pa.RecordBatch.from_arrays([*out.columns, pa.array([x.astype("<u8").tobytes() for x in found], pa.binary())], [*out.schema.names, "hashes"]).filter(same)
+            found = []
+            for head, chunk, rep, text in zip(*(batch.column(c).to_pylist() for c in ("centre", "chunk", "rep", "text"))):
+                if (head, chunk) != star:
+                    star, centre = (head, chunk), Shingles(text, size)
+                elif centre.linked(Shingles(text, size), num, den):
+                    found.append((head, rep))
+            yield _edges(found)
 
     return run
 
 
-def _linked(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
-    """den * |a and b| >= num * |a or b|, exactly; both are sorted and distinct."""
-    small, large = (a, b) if len(a) <= len(b) else (b, a)
-    if den * len(small) < num * len(large):
-        return False
-    at = np.searchsorted(large, small)
-    shared = int(np.count_nonzero(large[np.minimum(at, len(large) - 1)] == small))
-    return den * shared >= num * (len(a) + len(b) - shared)
-
+def _confirm_cells(size: int, num: int, den: int):
+    """Links across the two sides of each cell, one forest for each. The first side is held, the other passes by."""
 
-def _confirm(num: int, den: int):
-    """Links between the members of each cell, one forest for each; cells come one after the other."""
-
-    def links(members: dict[tuple[int, int], np.ndarray]) -> list[tuple[int, int]]:
-        keys = sorted(members, key=lambda x: x[1])
-        sets = [members[x] for x in keys]
-        root, out = list(range(len(keys))), []
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, held, root, signatures = None, [], {}, None
 
         def find(i: int) -> int:
-            while root[i] != i:
-                root[i] = i = root[root[i]]
+            while root.setdefault(i, i) != i:
+                root[i] = i = root.setdefault(root[i], root[i])
             return i
 
-        signatures = np.stack([minima(x, VERIFYING) for x in sets]) if len(keys) > 2 else None
-        sizes = np.array([len(x) for x in sets])
-        sides = np.array([x[0] for x in keys])
-        for i in range(len(keys) - 1):
-            near = (den * np.minimum(sizes[i + 1 :], sizes[i]) >= num * np.maximum(sizes[i + 1 :], sizes[i])) & ((sides[i + 1 :] != sides[i]) | (sides.min() == sides.max()))
-            if signatures is not None:
-                near &= (signatures[i + 1 :] == signatures[i]).mean(axis=1) >= num / den - SLACK
-            for j in np.flatnonzero(near) + i + 1:
-                if (a := find(i)) != (b := find(int(j))) and _linked(sets[i], sets[j], num, den):
-                    root[b] = a
-                    out.append((keys[i][1], keys[j][1]))
-        return out
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cell, members = None, {}
-
-        def done() -> pa.RecordBatch:
-            found = links(members)
-            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
-
         for batch in batches:
-            cells = zip(*(batch.column(x).to_pylist() for x in ("cluster", "i", "j")))
-            for now, side, rep, data in zip(cells, batch.column("chunk").to_pylist(), batch.column("rep").to_pylist(), batch.column("hashes")):
+            found = []
+            cells = zip(*(batch.column(c).to_pylist() for c in ("key", "i", "j")))
+            rows = zip(*(batch.column(c).to_pylist() for c in ("side", "rep", "component", "rest", "text")))
+            for now, (side, rep, component, rest, text) in zip(cells, rows):
                 if now != cell:
-                    if len(members) > 1:
-                        yield done()
-                    cell, members = now, {}
-                members[side, rep] = np.frombuffer(data.as_buffer(), "<u8").copy()
-        if len(members) > 1:
-            yield done()
+                    cell, held, root, signatures = now, [], {}, None
+                own = Shingles(text, size)
+                if side == 0:
+                    held.append((rep, component, own))
+                    continue
+                if signatures is None:
+                    signatures = np.stack([minima(x.hashes, VERIFYING) for _, _, x in held])
+                close = (signatures == minima(own.hashes, VERIFYING)).mean(axis=1) >= num / den - SLACK
+                for k in np.flatnonzero(close).tolist():
+                    other, of, theirs = held[k]
+                    if rest and other >= rep:  # both are of the first side: compared once
+                        continue
+                    if (a := find(component)) != (b := find(of)) and own.linked(theirs, num, den):
+                        root[a] = b
+                        found.append((rep, other))
+            yield _edges(found)
 
     return run
 
 
-def near_duplicates(docs: DataFrame, num: int = 80, den: int = 100, size: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, n_shingles long, component_id (smallest id reachable), kept (doc_id = component_id).
+def _labelled(buckets: DataFrame, components: DataFrame | None) -> DataFrame:
+    """(key, members, rep, component) of the buckets (key, members, rep) whose members are in different components."""
+    if components is None:
+        return buckets.withColumn("component", F.col("rep"))
+    known = buckets.join(components, F.col("rep") == F.col("node"), "left").select("key", "members", "rep", F.coalesce("component", "rep").alias("component"))
+    known = durable(known, "labelled")
+    still = known.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("key")
+    return durable(known.join(durable(still, "open"), "key"), "open-buckets")
 
-    Documents are linked when den * intersection >= num * union of their sets of ``size``-word shingles. A null, empty
-    or blank text has an empty set and no links. Rows with equal sets are one class; a null id takes its class's
-    component, and is kept if that has no id at all. Repeated rows of an id are rows of one class or of several, which the
-    id then joins. Other columns are not read. An empty table gives an empty result.
+
+def _stars(labelled: DataFrame, texts: DataFrame, turn: int, confirm) -> DataFrame:
+    """Confirmed links of bucket members with the centre of their bucket: the member whose hash in this round is least.
+
+    A member of several buckets is compared with one centre in a round, so that a round takes work in proportion to the
+    documents; in the second round also with its partner in each bucket of two, which settles those.
+    """
+    centre = labelled.groupBy("key").agg(F.min(F.struct(F.xxhash64("rep", F.lit(turn)).alias("h"), "rep", "component")).alias("c"))
+    centre = durable(centre.select("key", "c.h", F.col("c.rep").alias("centre"), F.col("c.component").alias("of")), "centres")
+    met = labelled.join(centre, "key").where("component <> of")
+    pairs = met.where("members > 2").groupBy("rep").agg(F.min(F.struct("h", "centre")).alias("c")).select("c.centre", "rep")
+    if turn == 1:
+        pairs = pairs.union(met.where("members = 2").select("centre", "rep")).distinct()
+    pairs = durable(pairs, "pairs")
+    sizes = durable(pairs.groupBy("centre").agg(F.ceil(F.count(F.lit(1)) / LEAVES).cast("int").alias("chunks")), "stars")
+    leaves = pairs.join(sizes, "centre").select("centre", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int").alias("chunk"), F.lit(1).alias("side"), "rep")
+    heads = sizes.select("centre", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(0).alias("side"), F.col("centre").alias("rep"))
+    rows = leaves.unionByName(heads).join(texts.select("rep", "text"), "rep")
+    return rows.repartition("centre", "chunk").sortWithinPartitions("centre", "chunk", "side").select("centre", "chunk", "rep", "text").mapInArrow(confirm, "a long, b long")
+
+
+def _cells(labelled: DataFrame, texts: DataFrame, confirm) -> DataFrame:
+    """Confirmed links between all members of a bucket that are in different components.
+
+    Of each bucket, the largest component meets the rest, and the rest meets itself; buckets with the same members count once.
     """
+    seen = labelled.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64(F.lit(7), F.col("rep"))).alias("y"))
+    once = durable(seen.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key"), "once")
+    sized = labelled.join(once, "key").join(texts.select("rep", "n"), "rep")
+    parts = durable(sized.groupBy("key", "component").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("shingles")), "parts")
+    largest = parts.groupBy("key").agg(F.max(F.struct("docs", "component")).alias("m"), F.sum("docs").alias("docs"), F.sum("shingles").alias("shingles"))
+    rest = parts.join(largest.select("key", F.col("m.component").alias("core")), "key").where("component <> core").groupBy("key").agg(F.sum("docs").alias("rdocs"), F.sum("shingles").alias("rshingles"))
+    chunks = lambda docs, shingles: F.greatest(F.ceil(F.col(docs) / CELL_DOCS), F.ceil(F.col(shingles) / CELL_SHINGLES)).cast("int")
+    grid = durable(largest.join(rest, "key").select("key", F.col("m.component").alias("core"), chunks("rdocs", "rshingles").alias("ni"), chunks("docs", "shingles").alias("nj")), "grid")
+    members = labelled.join(grid, "key").withColumn("rest", F.col("component") != F.col("core"))
+    place = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    first = members.where("rest").select("key", place("ni").alias("i"), spread("nj").alias("j"), F.lit(0).alias("side"), "rep", "component", "rest")
+    second = members.select("key", spread("ni").alias("i"), place("nj").alias("j"), F.lit(1).alias("side"), "rep", "component", "rest")
+    rows = first.unionByName(second).join(texts.select("rep", "text"), "rep")
+    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side").select("key", "i", "j", "side", "rep", "component", "rest", "text").mapInArrow(confirm, "a long, b long")
+
+
+def _marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("m1"), F.xxhash64(F.lit(1), text).alias("m2"), text.alias("text"))
+
+
+def _classify(docs: DataFrame, num: int, den: int, size: int, id_col: str, text_col: str) -> DataFrame:
+    """(row, id, m1, m2, n, component_id, kept): a row per input row; m1 and m2 are hashes of its text."""
     small_batches(docs.sparkSession)
     bands, rows = choose_bands(num / den)
-    read = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    features = durable(read.mapInArrow(_features(size, bands, rows), "id long, n long, digest binary, bands binary"), "features")
+    read = _marked(docs, id_col, text_col)
+    found = read.mapInArrow(_features(size, bands, rows), "id long, m1 long, m2 long, n long, digest binary, bands binary")
+    features = durable(found.withColumn("row", F.monotonically_increasing_id()), "features")
+    # A class is named after its first row, so that rows without an id are classes like others. Equal sets have equal bands.
+    classes = features.where("n > 0").groupBy("digest").agg(F.min(F.struct("row", "m1", "m2")).alias("first"), F.min("id").alias("least"), F.any_value("n").alias("n"), F.any_value("bands").alias("bands"))
+    classes = durable(classes.select("digest", F.col("first.row").alias("rep"), "first.m1", "first.m2", "least", "n", "bands"), "classes")
+
+    keys = classes.select("rep", "bands").mapInArrow(_spread_bands, "key long, rep long")
     # Written before they are joined: a join between two plain shuffles is one whose hot keys Spark can split.
-    classes = durable(features.where("n > 0").groupBy("digest").agg(F.min("id").alias("rep")), "classes")
-    members = durable(
-        features.join(classes, "digest", "left").select("id", "n", "digest", F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("id")).alias("rep"), F.when(F.col("id") == F.col("rep"), F.col("bands")).alias("bands")), "members"
-    )
-    # A document in several classes (its id repeats with other texts) links them.
-    several = members.where("id <> rep AND n > 0").select(F.col("id").alias("a"), F.col("rep").alias("b")).join(members.where("bands IS NOT NULL").select(F.col("id").alias("a")), "a", "left_semi")
-    keys = members.where("bands IS NOT NULL").select("rep", "bands").mapInArrow(_spread_bands, "key long, rep long")
-    centres = durable(keys.groupBy("key").agg(F.min("rep").alias("centre"), F.max("rep").alias("most")).where("centre <> most").select("key", "centre"), "centres")
-    stars = keys.join(centres, "key").where("rep <> centre").select(F.col("rep").alias("a"), F.col("centre").alias("b"))
-    clusters = durable(connected_components(stars), "clusters")
-
-    sized = clusters.join(members.where("bands IS NOT NULL").select("id", "n", "digest"), F.col("node") == F.col("id")).select(F.col("node").alias("rep"), F.col("component").alias("cluster"), "n", "digest").distinct()
-    sizes = sized.groupBy("cluster").agg(F.greatest(F.ceil(F.count(F.lit(1)) / CELL_DOCS), F.ceil(F.sum("n") / CELL_SHINGLES)).cast("int").alias("chunks"))
-    nodes = durable(sized.join(sizes, "cluster"), "nodes")
-    sets = may_join(read, "id", nodes.select("rep")).join(nodes, F.col("id") == F.col("rep")).select("cluster", "chunks", "rep", "digest", "text").mapInArrow(_sets(size), "cluster long, chunks int, rep long, hashes binary")
-    chunk = F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int")
-    cells = (
-        sets.withColumn("chunk", chunk)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-        .select("cluster", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "rep", "hashes")
-    )
-    links = cells.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInArrow(_confirm(num, den), "a long, b long")
-    components = connected_components(links.union(several))
-    found = members.join(components, F.col("rep") == F.col("node"), "left")
-    return found.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    shared = durable(keys.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "shared")
+    buckets = durable(keys.join(shared, "key"), "buckets")
+    candidates = durable(buckets.select("rep").distinct().join(classes.select("rep", "m1", "m2", "n"), "rep"), "candidates")
+    # Copies of a text collapse within each task, before any text is shuffled.
+    sources = may_join(read, "m1", candidates.select("m1")).select("m1", "m2", "text").dropDuplicates(["m1", "m2"])
+    texts = durable(sources.join(candidates, ["m1", "m2"]).select("rep", "n", "text"), "texts")
+
+    components, still = None, buckets
+    for turn in range(STARS + 1):
+        still = _labelled(still, components)
+        if still.isEmpty():
+            break
+        links = _stars(still, texts, turn, _confirm_stars(size, num, den)) if turn < STARS else _cells(still, texts, _confirm_cells(size, num, den))
+        links = durable(links, "links")
+        if turn == 1:
+            still = still.where("members > 2")
+        if not links.isEmpty():
+            known = links if components is None else components.select(F.col("node").alias("a"), F.col("component").alias("b")).union(links)
+            components = durable(connected_components(known), "components")
+        still = still.select("key", "members", "rep")
+
+    # An id with several texts joins their classes.
+    again = durable(features.where("n > 0 AND id IS NOT NULL").groupBy("id").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("id"), "repeated-ids")
+    if not again.isEmpty():
+        of_id = durable(features.where("n > 0").join(again, "id").join(classes.select("digest", "rep"), "digest").select("id", "rep").distinct(), "classes-of-ids")
+        several = of_id.join(of_id.groupBy("id").agg(F.min("rep").alias("b")), "id").where("rep <> b").select(F.col("rep").alias("a"), "b")
+        links = several if components is None else components.select("node", "component").union(several)
+        components = durable(connected_components(links.toDF("a", "b")), "components")
+    if components is None:
+        components = docs.sparkSession.createDataFrame([], "node long, component long")
+    rooted = classes.select("digest", "rep", "least").join(components, F.col("rep") == F.col("node"), "left").select("digest", "least", F.coalesce("component", "rep").alias("root"))
+    rooted = durable(rooted, "rooted")
+    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    of_digest = durable(rooted.select("digest", "root").join(named, "root"), "components-of-classes")
+    out = features.select("row", "id", "m1", "m2", "n", "digest").join(of_digest, "digest", "left")
+    alone = F.col("component_id").isNull() & ((F.col("n") == 0) | (F.col("row") == F.col("root")))
+    component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
+    return out.select("row", "id", "m1", "m2", "n", component.alias("component_id"), F.when(F.col("id").isNull(), alone).otherwise(F.col("id").eqNullSafe(component)).alias("kept"))
+
+
+def near_duplicates(docs: DataFrame, num: int = 80, den: int = 100, size: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: doc_id, n_shingles long, component_id (smallest id reachable), kept (doc_id = component_id).
+
+    Documents are linked when den * intersection >= num * union of their sets of ``size``-word shingles. A null, empty
+    or blank text has an empty set and no links. Rows with equal sets are one class. A row without an id takes its component's
+    id; where no row of a component has one, component_id is null and the first of its rows in the scan is kept. Rows that
+    repeat an id are joined by it, unless their text has no words. Other columns are not read. An empty table gives an empty result.
+    """
+    return _classify(docs, num, den, size, id_col, text_col).select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id", "kept")
 
 
 def drop_near_copies(docs: DataFrame, num: int = 80, den: int = 100, size: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose document stays, one of each component, with their columns. Rows without an id stay.
+    """The rows of ``docs`` whose document stays, one document of each component, with their columns.
 
-    Only documents that may go take part in the join that decides.
+    Rows that repeat the id that stays all stay. Of a component without any id one row stays. Only documents that may go take
+    part in the joins that decide.
     """
-    gone = durable(near_duplicates(docs, num, den, size, id_col, text_col).where("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__id")).distinct(), "gone")
-    return drop_ids(docs, id_col, gone)
+    found = durable(_classify(docs, num, den, size, id_col, text_col).select("id", "m1", "m2", "kept"), "classified")
+    gone = durable(found.where("NOT kept AND id IS NOT NULL").select(F.col("id").alias("__id")).distinct(), "gone")
+    stay = drop_ids(docs, id_col, gone)
+    # Rows without an id are told apart by their texts; of equal ones, one stays or none.
+    nameless = found.where("id IS NULL").groupBy(F.col("m1").alias("__m1"), F.col("m2").alias("__m2")).agg(F.count(F.when(F.col("kept"), 1)).alias("__keep"), F.count(F.lit(1)).alias("n")).where("__keep < n").drop("n")
+    nameless = durable(nameless, "nameless")
+    if nameless.isEmpty():
+        return stay
+    text = F.col(text_col).cast("string")
+    null = stay.where(F.col(id_col).isNull()).withColumns({"__h1": F.xxhash64(text), "__h2": F.xxhash64(F.lit(1), text)})
+    half = split_by(null, "__h1", nameless.select("__m1"))
+    judged = half(True).join(nameless, (F.col("__h1") == F.col("__m1")) & (F.col("__h2") == F.col("__m2")), "left")
+    one = judged.where("__keep = 1").dropDuplicates(["__h1", "__h2"]).unionByName(judged.where("__keep IS NULL"))
+    return stay.where(F.col(id_col).isNotNull()).union(half(False).drop("__h1", "__h2")).union(one.select(*half(False).columns).drop("__h1", "__h2"))

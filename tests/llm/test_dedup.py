@@ -57,7 +57,7 @@ def shingles(text, size=5):
 
 
 def near(rows, num, den=100):
-    """(id, shingles, component) with rows of one id joined."""
+    """(id, shingles, component, kept) with rows of one id joined; of a component without an id, one row is kept."""
     sets = [shingles(t) for _, t in rows]
     root = list(range(len(rows)))
 
@@ -75,7 +75,8 @@ def near(rows, num, den=100):
     for i, (d, _) in enumerate(rows):
         members[find(i)].append(d)
     least = {k: min((d for d in v if d is not None), default=None) for k, v in members.items()}
-    return sorted(((d, len(sets[i]), least[find(i)], d == least[find(i)]) for i, (d, _) in enumerate(rows)), key=repr)
+    kept = {find(i): i for i in reversed(range(len(rows)))}
+    return sorted(((d, len(sets[i]), least[find(i)], kept[find(i)] == i if least[find(i)] is None else d == least[find(i)]) for i, (d, _) in enumerate(rows)), key=repr)
 
 
 @pytest.mark.parametrize("num", [85, 80, 50])
@@ -99,6 +100,69 @@ def test_many_near_copies_take_several_cells(spark):
     assert {r.doc_id for r in drop_near_copies(documents(spark, rows), 85).collect()} == {d for d, _, c, k in near(rows, 85) if k}
 
 
+def test_rows_without_ids_and_hashes_that_a_polynomial_confuses(spark):
+    import random
+
+    rng = random.Random(4)
+    base = [f"v{rng.randrange(900)}" for _ in range(200)]
+    copies = [" ".join(base[:i] + ["other"] + base[i + 1 :]) for i in (3, 50, 90)]
+    rows = [(None, t) for t in copies] + [(None, copies[0]), (None, "alone without an id, but long enough for shingles"), (None, None), (None, "")]
+    # Words of the Thue-Morse sequence and its complement have equal polynomials modulo 2**64, whatever the multiplier.
+    bits = [bin(i).count("1") % 2 for i in range(4096)]
+    rows += [(1, "".join("ab"[b] for b in bits)), (2, "".join("ba"[b] for b in bits)), (3, " ".join("ab"[b] for b in bits)), (4, " ".join("ba"[b] for b in bits[:3000]))]
+    rows += [(5, "one two three four"), (6, "four three two one"), (7, "one two three four "), (8, "a a a a a a"), (9, "a a a a a a a a")]
+    docs = documents(spark, rows)
+    assert plain(near_duplicates(docs, 85)) == near(rows, 85)
+    stay = Counter(r.text for r in drop_near_copies(docs, 85).collect() if r.doc_id is None)
+    assert sum(n for t, n in stay.items() if t in copies) == 1 and stay[None] == stay[""] == stay[rows[4][1]] == 1
+    assert {r.doc_id for r in drop_near_copies(docs, 85).collect()} == {d for d, _, _, k in near(rows, 85) if k}
+    named = [(17 if i == 1 else d, t) for i, (d, t) in enumerate(rows)]
+    assert plain(near_duplicates(documents(spark, named), 85)) == near(named, 85)
+    assert [r.doc_id for r in drop_near_copies(documents(spark, named), 85).collect() if r.text in copies] == [17]
+
+
+def test_work_on_a_large_cluster_follows_its_documents(spark, monkeypatch):
+    """5,000 near copies of one text: texts are sent to comparisons a few times each, not once for every cell of pairs."""
+    import random
+
+    from quillframe.llm import near_dedup
+
+    rng = random.Random(6)
+    base = [f"v{rng.randrange(500)}" for _ in range(150)]
+    rows = []
+    for i in range(5000):
+        copy = base[:]
+        copy[rng.randrange(len(copy))] = f"u{i}"
+        rows.append((i, " ".join(copy)))
+    sent, was = [], near_dedup.durable
+
+    def counted(df, name="step", **more):
+        out = was(df, name, **more)
+        if name == "pairs":
+            sent.append(out.count())
+        if name == "grid":
+            sent.append(out.selectExpr("coalesce(sum(ni * nj), 0) * 128").first()[0])
+        return out
+
+    monkeypatch.setattr(near_dedup, "durable", counted)
+    found = near_duplicates(documents(spark, rows), 85).collect()
+    assert {r.component_id for r in found} == {0} and sum(sent) < 6 * 5000
+
+
+def test_chains_take_every_way_of_comparing(spark):
+    """Neighbours of a chain are linked, its ends are not: stars settle a part, and cells the rest."""
+    import random
+
+    rng = random.Random(12)
+    base, rows = [f"v{rng.randrange(5000)}" for _ in range(400)], []
+    for i in range(160):
+        rows.append((i, " ".join(base)))
+        for _ in range(rng.choice((2, 5, 9))):
+            base[rng.randrange(400)] = f"u{rng.randrange(99999)}"
+    rng.shuffle(rows)
+    assert plain(near_duplicates(documents(spark, rows), 80)) == near(rows, 80)
+
+
 def test_bands_seldom_miss():
     for threshold in (0.5, 0.8, 0.85, 0.95):
         bands, rows = choose_bands(threshold)
