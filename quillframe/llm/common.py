@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import hashlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -95,12 +95,12 @@ def word_spans(data: bytes) -> tuple[bytes, np.ndarray, np.ndarray]:
 
 
 class _Digests(dict):
-    """Keyed 64-bit digests by word; bounded, as a long tail of words never comes again."""
+    """Seeded 64-bit hashes by word; bounded, as a long tail of words never comes again."""
 
     WORDS = 300_000
 
     def __missing__(self, word: bytes) -> int:
-        value = int.from_bytes(hashlib.blake2b(word, digest_size=8, key=b"words").digest(), "little")
+        value = xxhash.xxh3_64_intdigest(word, 0x9E3779B97F4A7C15)
         if len(word) <= 64:
             if len(self) >= self.WORDS:
                 self.clear()
@@ -123,7 +123,7 @@ def word_lists(data: bytes, size: int = 1 << 20) -> Iterator[list[bytes]]:
 
 
 def word_hashes(data: bytes) -> np.ndarray:
-    """A keyed 64-bit digest of every word of ``data``, in order."""
+    """A seeded 64-bit hash of every word of ``data``, in order."""
     get = _DIGESTS.__getitem__
     parts = [np.fromiter(map(get, words), np.uint64, len(words)) for words in word_lists(data)]
     return np.concatenate(parts) if parts else np.zeros(0, np.uint64)
@@ -133,7 +133,7 @@ _PLACES = np.random.default_rng(20250318).integers(0, 2**63, 4096, np.uint64) <<
 
 
 def gram_hashes(words: np.ndarray, size: int) -> np.ndarray:
-    """64-bit hashes of all ``size`` consecutive elements of ``words`` (digests): a random odd weight for each place, then mixed."""
+    """64-bit hashes of all ``size`` consecutive elements of ``words`` (hashes): a random odd weight for each place, then mixed."""
     n = len(words) - size + 1
     if n < 1:
         return np.zeros(0, np.uint64)
@@ -143,6 +143,12 @@ def gram_hashes(words: np.ndarray, size: int) -> np.ndarray:
     return mix64(out)
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """Sorted distinct values."""
+    values = np.sort(values)
+    return values[np.r_[True, values[1:] != values[:-1]]] if len(values) else values
+
+
 def utf8(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 

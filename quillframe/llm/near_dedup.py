@@ -3,8 +3,8 @@
 Many universal hash minima of each document's shingle set, in bands, give candidates; full sets confirm links; components
 come from alternating large-star and small-star. Equal sets collapse to one representative first. The candidates of a
 bucket are not spread into pairs: each member is first compared with one centre of its bucket, and what is confirmed is
-contracted, so that a large group of near copies takes work in proportion to its documents. Only members of a bucket that
-are still in different components are then compared with each other, in cells of bounded size that emit a forest of links.
+contracted, so that a large group of near copies takes work in proportion to its documents. Only what is still in
+different components then meets in cells of bounded size that emit a forest of links: signatures first, then full sets.
 """
 
 from __future__ import annotations
@@ -12,22 +12,25 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from functools import cache, cached_property
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillframe.llm.common import drop_ids, durable, gram_hashes, may_join, mix64, small_batches, split_by, utf8, word_hashes, word_lists
+from quillframe.llm.common import drop_ids, distinct, durable, gram_hashes, may_join, mix64, small_batches, split_by, utf8, word_hashes, word_lists
 from quillframe.llm.components import connected_components
 
 #: Chance that a pair at the threshold shares no band; most minima of a document; minima that verify a pair; how far
 #: below the threshold their agreement may be (over six standard deviations).
-MISS, MINIMA, VERIFYING, SLACK = 2e-6, 480, 128, 0.25
+MISS, MINIMA, VERIFYING, SLACK = 2e-6, 480, 256, 0.15
 #: Rounds of stars; documents of a star that share a task's copy of its centre; documents, and shingles, of one side of a cell.
-STARS, LEAVES, CELL_DOCS, CELL_SHINGLES = 3, 256, 64, 1_000_000
+STARS, LEAVES, CELL_DOCS, CELL_SHINGLES = 2, 64, 512, 1_000_000
 #: Sets of up to so many shingles are told apart by their words, larger ones by the hashes of their shingles.
 SPELLED = 8
+#: Documents of a cluster whose open members meet each other as one group; members of larger clusters meet bucket by bucket.
+GROUP = 20_000
 
 
 def choose_bands(threshold: float, minima: int = MINIMA, miss: float = MISS) -> tuple[int, int]:
@@ -46,30 +49,55 @@ def _shingles(hashes: np.ndarray, size: int) -> np.ndarray:
 
 def shingle_set(text: str | None, size: int) -> np.ndarray:
     """Sorted distinct hashes of the shingles of ``size`` words, A-Z in lower case; fewer words are one shingle."""
-    return np.unique(_shingles(word_hashes(utf8(text).lower()), size))
+    return distinct(_shingles(word_hashes(utf8(text).lower()), size))
 
 
 class Shingles:
-    """The shingle set of a text: sorted distinct hashes, where each stands first, and the words, which settle what hashes suggest."""
+    """The shingle set of a text: sorted distinct hashes and, where those suggest a link, the words, which settle it."""
 
     def __init__(self, text: str | None, size: int):
-        data = utf8(text).lower()
-        self.size, self.words = size, [w for part in word_lists(data) for w in part]
-        self.hashes, self.first = np.unique(_shingles(word_hashes(data), size), return_index=True)
+        self.data, self.size = utf8(text).lower(), size
+        self.hashes = distinct(_shingles(word_hashes(self.data), size))
+
+    @cached_property
+    def first(self) -> np.ndarray:
+        """Where each shingle stands first."""
+        return np.unique(_shingles(word_hashes(self.data), self.size), return_index=True)[1]
+
+    @cached_property
+    def words(self) -> list[bytes]:
+        return [w for part in word_lists(self.data) for w in part]
+
+    @cached_property
+    def numbers(self) -> dict[bytes, int]:
+        return {w: i for i, w in enumerate(dict.fromkeys(self.words))}
+
+    def numbered(self, numbers: dict[bytes, int]) -> np.ndarray:
+        """The words as ``numbers`` has them, with so many that it lacks as to fill up a shingle at the end."""
+        found = [numbers.get(w, -1) for w in self.words]
+        return np.array(found + [-2] * (self.size - 1))
 
     def linked(self, other: Shingles, num: int, den: int) -> bool:
         """den * |a and b| >= num * |a or b|; what the two have in common is compared word by word."""
-        a, b = len(self.hashes), len(other.hashes)
-        if den * min(a, b) < num * max(a, b):
+        small, large = (self.hashes, other.hashes) if len(self.hashes) <= len(other.hashes) else (other.hashes, self.hashes)
+        a, b = len(small), len(large)
+        if den * a < num * b:
             return False
-        _, i, j = np.intersect1d(self.hashes, other.hashes, assume_unique=True, return_indices=True)
-        if den * len(i) < num * (a + b - len(i)):
+        at = np.searchsorted(large, small)
+        at[at == b] = 0
+        shared = int(np.count_nonzero(large[at] == small))
+        if den * shared < num * (a + b - shared):
             return False
-        x, y, size = self.words, other.words, self.size
-        shared = sum(x[p : p + size] == y[q : q + size] for p, q in zip(self.first[i].tolist(), other.first[j].tolist()))
+        _, i, j = np.intersect1d(self.hashes, other.hashes, assume_unique=True, return_indices=True)
+        x, y, p, q = self.numbered(self.numbers), other.numbered(self.numbers), self.first[i], other.first[j]
+        same = np.ones(len(p), bool)
+        for k in range(self.size):
+            same &= x[p + k] == y[q + k]
+        shared = int(same.sum())
         return den * shared >= num * (a + b - shared)
 
 
+@cache
 def _family(k: int) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(11)
     return (rng.integers(0, 2**32, k, np.uint64) | np.uint64(1)).astype(np.uint32), rng.integers(0, 2**32, k, np.uint64).astype(np.uint32)
@@ -78,18 +106,25 @@ def _family(k: int) -> tuple[np.ndarray, np.ndarray]:
 def minima(hashes: np.ndarray, k: int) -> np.ndarray:
     """Minima of ``hashes`` under ``k`` universal hash functions a * x + b modulo 2**32."""
     a, b = _family(k)
-    x, out = (hashes >> np.uint64(32)).astype(np.uint32), np.full(k, 2**32 - 1, np.uint32)
-    for at in range(0, len(x), 512):
-        values = np.multiply.outer(a, x[at : at + 512])
-        values += b[:, None]
-        np.minimum(out, values.min(axis=1), out=out)
+    x, out, held = (hashes >> np.uint64(32)).astype(np.uint32), np.full(k, 2**32 - 1, np.uint32), np.empty((64, k), np.uint32)
+    for at in range(0, len(x), 64):
+        part = x[at : at + 64, None]
+        values = held[: len(part)]
+        np.multiply(part, a, out=values)
+        values += b
+        np.minimum(out, values.min(axis=0), out=out)
     return out
 
 
+@cache
+def _weights(bands: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.random.default_rng(12).integers(0, 2**63, rows, np.uint64) | np.uint64(1), np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+
+
 def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    weights = np.random.default_rng(12).integers(0, 2**63, rows, np.uint64) | np.uint64(1)
+    weights, offsets = _weights(bands, rows)
     sums = (signature[: bands * rows].reshape(bands, rows).astype(np.uint64) * weights).sum(axis=1, dtype=np.uint64)
-    return mix64(sums + np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).astype(np.int64)
+    return mix64(sums + offsets).astype(np.int64)
 
 
 def _digest(data: bytes, hashes: np.ndarray, size: int) -> bytes:
@@ -107,7 +142,7 @@ def _features(size: int, bands: int, rows: int):
             counts, digests, keys = [], [], []
             for text in batch.column("text").to_pylist():
                 data = utf8(text).lower()
-                found = np.unique(_shingles(word_hashes(data), size))
+                found = distinct(_shingles(word_hashes(data), size))
                 counts.append(len(found))
                 digests.append(_digest(data, found, size) if len(found) else None)
                 keys.append(band_keys(minima(found, bands * rows), bands, rows).astype("<i8").tobytes() if len(found) else None)
@@ -160,7 +195,7 @@ def _confirm_cells(size: int, num: int, den: int):
 
         for batch in batches:
             found = []
-            cells = zip(*(batch.column(c).to_pylist() for c in ("key", "i", "j")))
+            cells = zip(*(batch.column(c).to_pylist() for c in ("whole", "key", "i", "j")))
             rows = zip(*(batch.column(c).to_pylist() for c in ("side", "rep", "component", "rest", "text")))
             for now, (side, rep, component, rest, text) in zip(cells, rows):
                 if now != cell:
@@ -170,8 +205,8 @@ def _confirm_cells(size: int, num: int, den: int):
                     held.append((rep, component, own))
                     continue
                 if signatures is None:
-                    signatures = np.stack([minima(x.hashes, VERIFYING) for _, _, x in held])
-                close = (signatures == minima(own.hashes, VERIFYING)).mean(axis=1) >= num / den - SLACK
+                    signatures = np.stack([minima(x.hashes, VERIFYING).astype(np.uint8) for _, _, x in held])
+                close = np.count_nonzero(signatures == minima(own.hashes, VERIFYING).astype(np.uint8), axis=1) >= VERIFYING * (num / den - SLACK)
                 for k in np.flatnonzero(close).tolist():
                     other, of, theirs = held[k]
                     if rest and other >= rep:  # both are of the first side: compared once
@@ -215,25 +250,37 @@ def _stars(labelled: DataFrame, texts: DataFrame, turn: int, confirm) -> DataFra
 
 
 def _cells(labelled: DataFrame, texts: DataFrame, confirm) -> DataFrame:
-    """Confirmed links between all members of a bucket that are in different components.
+    """Confirmed links between all members of a group that are in different components.
 
-    Of each bucket, the largest component meets the rest, and the rest meets itself; buckets with the same members count once.
+    A group is all members of open buckets that overlap, so that a pair meets once; where that would be a long chain, the
+    members of each bucket, and buckets with the same members count once. Of each group, the largest component meets the
+    rest, and the rest meets itself.
     """
-    seen = labelled.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64(F.lit(7), F.col("rep"))).alias("y"))
-    once = durable(seen.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key"), "once")
-    sized = labelled.join(once, "key").join(texts.select("rep", "n"), "rep")
-    parts = durable(sized.groupBy("key", "component").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("shingles")), "parts")
-    largest = parts.groupBy("key").agg(F.max(F.struct("docs", "component")).alias("m"), F.sum("docs").alias("docs"), F.sum("shingles").alias("shingles"))
-    rest = parts.join(largest.select("key", F.col("m.component").alias("core")), "key").where("component <> core").groupBy("key").agg(F.sum("docs").alias("rdocs"), F.sum("shingles").alias("rshingles"))
+    centres = labelled.groupBy("key").agg(F.min("rep").alias("b"))
+    clusters = durable(connected_components(labelled.join(centres, "key").where("rep <> b").select(F.col("rep").alias("a"), "b")), "clusters")
+    large = durable(clusters.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > GROUP).select(F.col("component").alias("cluster")), "large")
+    of = labelled.join(clusters.withColumnRenamed("component", "cluster"), F.col("rep") == F.col("node")).select("key", "rep", "component", "cluster")
+    groups = of.join(large, "cluster", "left_anti").select(F.lit(True).alias("whole"), F.col("cluster").alias("key"), "rep", "component").distinct()
+    if not large.isEmpty():
+        chained = durable(of.join(large, "cluster", "left_semi"), "chained")
+        seen = chained.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64(F.lit(7), F.col("rep"))).alias("y"))
+        once = durable(seen.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key"), "once")
+        groups = groups.union(chained.join(once, "key").select(F.lit(False).alias("whole"), "key", "rep", "component"))
+    groups = durable(groups, "groups")
+    name = ["whole", "key"]
+    parts = durable(groups.join(texts.select("rep", "n"), "rep").groupBy(*name, "component").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("shingles")), "parts")
+    largest = parts.groupBy(*name).agg(F.max(F.struct("docs", "component")).alias("m"), F.sum("docs").alias("docs"), F.sum("shingles").alias("shingles"))
+    rest = parts.join(largest.select(*name, F.col("m.component").alias("core")), name).where("component <> core").groupBy(*name).agg(F.sum("docs").alias("rdocs"), F.sum("shingles").alias("rshingles"))
     chunks = lambda docs, shingles: F.greatest(F.ceil(F.col(docs) / CELL_DOCS), F.ceil(F.col(shingles) / CELL_SHINGLES)).cast("int")
-    grid = durable(largest.join(rest, "key").select("key", F.col("m.component").alias("core"), chunks("rdocs", "rshingles").alias("ni"), chunks("docs", "shingles").alias("nj")), "grid")
-    members = labelled.join(grid, "key").withColumn("rest", F.col("component") != F.col("core"))
+    grid = durable(largest.join(rest, name).select(*name, F.col("m.component").alias("core"), chunks("rdocs", "rshingles").alias("ni"), chunks("docs", "shingles").alias("nj")), "grid")
+    members = groups.join(grid, name).withColumn("rest", F.col("component") != F.col("core"))
     place = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    first = members.where("rest").select("key", place("ni").alias("i"), spread("nj").alias("j"), F.lit(0).alias("side"), "rep", "component", "rest")
-    second = members.select("key", spread("ni").alias("i"), place("nj").alias("j"), F.lit(1).alias("side"), "rep", "component", "rest")
+    first = members.where("rest").select(*name, place("ni").alias("i"), spread("nj").alias("j"), F.lit(0).alias("side"), "rep", "component", "rest")
+    second = members.select(*name, spread("ni").alias("i"), place("nj").alias("j"), F.lit(1).alias("side"), "rep", "component", "rest")
     rows = first.unionByName(second).join(texts.select("rep", "text"), "rep")
-    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side").select("key", "i", "j", "side", "rep", "component", "rest", "text").mapInArrow(confirm, "a long, b long")
+    cell = [*name, "i", "j"]
+    return rows.repartition(*cell).sortWithinPartitions(*cell, "side").select(*cell, "side", "rep", "component", "rest", "text").mapInArrow(confirm, "a long, b long")
 
 
 def _marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

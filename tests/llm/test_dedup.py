@@ -141,7 +141,7 @@ def test_work_on_a_large_cluster_follows_its_documents(spark, monkeypatch):
         if name == "pairs":
             sent.append(out.count())
         if name == "grid":
-            sent.append(out.selectExpr("coalesce(sum(ni * nj), 0) * 128").first()[0])
+            sent.append(out.selectExpr("coalesce(sum(ni * nj), 0) * 1024").first()[0])
         return out
 
     monkeypatch.setattr(near_dedup, "durable", counted)
