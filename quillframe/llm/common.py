@@ -153,6 +153,12 @@ def utf8(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
 
+def marked_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, m1, m2, text); m1 and m2 are independent hashes of the text, by which it is found again."""
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("m1"), F.xxhash64(F.lit(1), text).alias("m2"), text.alias("text"))
+
+
 #: Bits of a membership filter: at most half a million 16-byte rows are broadcast, whatever the keys.
 FILTER_BITS = 1 << 25
 
@@ -178,6 +184,12 @@ def may_join(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
     return split_by(rows, key, keys)(True)
 
 
+def texts_of(read: DataFrame, marks: DataFrame) -> DataFrame:
+    """The columns of ``marks`` (m1, m2 and others, a row for each text) with the text. Copies of a text collapse within each
+    task of the scan, before any text is shuffled."""
+    return may_join(read, "m1", marks.select("m1")).select("m1", "m2", "text").dropDuplicates(["m1", "m2"]).join(marks, ["m1", "m2"])
+
+
 def drop_ids(rows: DataFrame, key: str, gone: DataFrame) -> DataFrame:
     """``rows`` whose ``key`` is not among ``gone`` (a column ``__id``, null-safe). Rows that surely stay are passed on where they are;
     only those that may go are shuffled to the join that decides."""

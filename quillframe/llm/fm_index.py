@@ -59,9 +59,12 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
 
 
 class FMIndex:
-    """Index of several texts; ``texts`` hold any 64-bit values. Matches never cross from one text into another."""
+    """Index of several texts; ``texts`` hold any 64-bit values. Matches never cross from one text into another.
 
-    def __init__(self, texts: list[np.ndarray]):
+    ``times`` says how often each text occurs (1 where it is not given): an interval counts all occurrences.
+    """
+
+    def __init__(self, texts: list[np.ndarray], times: np.ndarray | None = None):
         lengths = np.array([len(x) for x in texts])
         values, inverse = np.unique(np.concatenate(texts), return_inverse=True)
         self.starts = np.cumsum(lengths + 1) - lengths - 1
@@ -77,6 +80,9 @@ class FMIndex:
         self.size = n
         counts = np.bincount(self.symbols, minlength=len(values) + 1)
         self.first = np.r_[0, np.cumsum(counts)]
+        each = np.ones(k, np.int64) if times is None else np.asarray(times, np.int64)
+        #: Occurrences of the suffixes before each place of their order.
+        self.weights = np.r_[0, np.cumsum(np.repeat(each, lengths + 1)[order])]
         self.matrix = WaveletMatrix(self.symbols[order - 1], max(1, int(len(values)).bit_length()))
 
     def extend(self, symbol: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -106,7 +112,7 @@ class FMIndex:
         while len(live):
             symbol = self.symbols[base[live] + at[live]]
             lo, hi = self.extend(symbol, low[live], high[live])
-            grows = hi - lo >= 2
+            grows = self.weights[hi] - self.weights[lo] >= 2
             low[live], high[live] = lo, hi
             moved = live[grows]
             at[moved] -= 1

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillframe.llm.common import drop_ids, distinct, durable, gram_hashes, may_join, mix64, small_batches, split_by, utf8, word_hashes, word_lists
+from quillframe.llm.common import drop_ids, distinct, durable, gram_hashes, marked_texts, mix64, small_batches, split_by, texts_of, utf8, word_hashes, word_lists
 from quillframe.llm.components import connected_components
 
 #: Chance that a pair at the threshold shares no band; most minima of a document; minima that verify a pair; how far
@@ -283,16 +283,11 @@ def _cells(labelled: DataFrame, texts: DataFrame, confirm) -> DataFrame:
     return rows.repartition(*cell).sortWithinPartitions(*cell, "side").select(*cell, "side", "rep", "component", "rest", "text").mapInArrow(confirm, "a long, b long")
 
 
-def _marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    text = F.col(text_col).cast("string")
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("m1"), F.xxhash64(F.lit(1), text).alias("m2"), text.alias("text"))
-
-
 def _classify(docs: DataFrame, num: int, den: int, size: int, id_col: str, text_col: str) -> DataFrame:
     """(row, id, m1, m2, n, component_id, kept): a row per input row; m1 and m2 are hashes of its text."""
     small_batches(docs.sparkSession)
     bands, rows = choose_bands(num / den)
-    read = _marked(docs, id_col, text_col)
+    read = marked_texts(docs, id_col, text_col)
     found = read.mapInArrow(_features(size, bands, rows), "id long, m1 long, m2 long, n long, digest binary, bands binary")
     features = durable(found.withColumn("row", F.monotonically_increasing_id()), "features")
     # A class is named after its first row, so that rows without an id are classes like others. Equal sets have equal bands.
@@ -304,9 +299,7 @@ def _classify(docs: DataFrame, num: int, den: int, size: int, id_col: str, text_
     shared = durable(keys.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "shared")
     buckets = durable(keys.join(shared, "key"), "buckets")
     candidates = durable(buckets.select("rep").distinct().join(classes.select("rep", "m1", "m2", "n"), "rep"), "candidates")
-    # Copies of a text collapse within each task, before any text is shuffled.
-    sources = may_join(read, "m1", candidates.select("m1")).select("m1", "m2", "text").dropDuplicates(["m1", "m2"])
-    texts = durable(sources.join(candidates, ["m1", "m2"]).select("rep", "n", "text"), "texts")
+    texts = durable(texts_of(read, candidates).select("rep", "n", "text"), "texts")
 
     components, still = None, buckets
     for turn in range(STARS + 1):

@@ -1,11 +1,12 @@
 """Removal of word sequences that occur again anywhere in the corpus.
 
-A window is ``width`` consecutive words. Windows are dealt to shards by their minimiser, the least of the hashes of
-their shorter word sequences: equal windows meet in one shard wherever they stand, and neighbours mostly stay together
-as one run. Runs whose minimiser occurs once are settled by counting. Equal runs collapse to one with a count. For what
-is left, each shard is a compressed FM-index; the runs are streamed through it by backward search over its wavelet
-matrix, whose matching statistics give the windows that occur again. The runs of a minimiser that too many share are
-divided by longer minimisers; the last is a whole window, of which there is a single text, and its count is the answer.
+A window is ``width`` consecutive words. Equal texts collapse to one with a count, whatever their rows. Windows are dealt to
+shards by their minimiser, the least of the hashes of their shorter word sequences: equal windows meet in one shard
+wherever they stand, and neighbours mostly stay together as one run. Equal runs collapse to one with a count. A run whose
+minimiser no other run has needs no search: it occurs as often as it is counted. For all others, each shard is a compressed
+FM-index over words; the runs are streamed through it by backward search over its wavelet matrix, whose matching
+statistics, weighted by the counts, give the windows that occur again. The runs of a minimiser that too many share are
+divided by longer minimisers, the last of which is a whole window, and dealt to indexes by those.
 """
 
 from __future__ import annotations
@@ -18,30 +19,38 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillframe.llm.common import durable, may_join, mix64, small_batches, span_hashes, utf8, word_spans
+from quillframe.llm.common import durable, gram_hashes, marked_texts, small_batches, split_by, texts_of, utf8, word_hashes, word_spans
 from quillframe.llm.fm_index import FMIndex
 
 #: Words of a minimiser; different runs of one minimiser that share a shard; words of an index, about 40 bytes each.
-GRAM, CROWD, INDEX_WORDS = 8, 512, 200_000
+GRAM, CROWD, INDEX_WORDS = 8, 128, 200_000
 #: Words of the minimisers that divide a crowded one, before the whole window.
 GRAMS = (24,)
 
 
-def runs_of(joined: bytes, starts: np.ndarray, ends: np.ndarray, width: int, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of neighbouring windows with one minimiser: (minimiser, first word, windows, hash of the run's words)."""
-    n = len(starts) - width + 1
-    if n < 1:
-        return (np.zeros(0, np.int64),) * 4
-    hashes = span_hashes(joined, starts[: len(starts) - gram + 1], ends[gram - 1 :])
-    span = width - gram + 1
+def _digest(data: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little", signed=True)
+
+
+def _cuts(hashes: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of neighbouring windows with one minimiser: (minimiser, first word, windows), by the hashes of the words."""
+    n = len(hashes) - width + 1
+    grams, span = gram_hashes(hashes, gram), width - gram + 1
     least = np.empty(n, np.int64)
     for at in range(0, n, 1 << 16):
-        part = np.lib.stride_tricks.sliding_window_view(hashes[at : min(n, at + (1 << 16)) + span - 1], span)
+        part = np.lib.stride_tricks.sliding_window_view(grams[at : min(n, at + (1 << 16)) + span - 1], span)
         least[at : at + len(part)] = part.argmin(axis=1) + np.arange(at, at + len(part))
     first = np.flatnonzero(np.r_[True, least[1:] != least[:-1]])
-    count = np.diff(np.r_[first, n])
-    whole = span_hashes(joined, starts[first], ends[first + count + width - 2])
-    return hashes[least[first]].astype(np.int64), first, count, whole.astype(np.int64)
+    return grams[least[first]].astype(np.int64), first, np.diff(np.r_[first, n])
+
+
+def runs_of(joined: bytes, starts: np.ndarray, ends: np.ndarray, width: int, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of neighbouring windows with one minimiser: (minimiser, first word, windows, digest of the run's words)."""
+    if len(starts) < width:
+        return (np.zeros(0, np.int64),) * 4
+    key, first, count = _cuts(word_hashes(joined), width, gram)
+    whole = [_digest(joined[i:j]) for i, j in zip(starts[first].tolist(), ends[first + count + width - 2].tolist())]
+    return key, first, count, np.array(whole, np.int64)
 
 
 def _scan(width: int):
@@ -54,8 +63,8 @@ def _scan(width: int):
                 shas.append(hashlib.sha256(joined).hexdigest())
                 key, first, count, whole = runs_of(joined, starts, ends, width)
                 blobs.append(np.stack([key, first << 8 | count, whole]).astype("<i8").tobytes() if len(key) else None)
-            out = batch.select(["id", "mark"])
-            yield pa.RecordBatch.from_arrays([*out.columns, pa.array(words, pa.int64()), pa.array(shas), pa.array(blobs, pa.binary())], ["id", "mark", "n_words", "sha", "runs"])
+            out = batch.select(["id", "m1", "m2"])
+            yield pa.RecordBatch.from_arrays([*out.columns, pa.array(words, pa.int64()), pa.array(shas), pa.array(blobs, pa.binary())], ["id", "m1", "m2", "n_words", "sha", "runs"])
 
     return run
 
@@ -65,27 +74,28 @@ def _explode_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         for at in range(0, batch.num_rows, 1000):
             part = batch.slice(at, 1000)
             found = [np.frombuffer(x, "<i8").reshape(3, -1) for x in part.column("runs").to_pylist()]
-            rows = np.repeat(part.column("row").to_numpy(), [x.shape[1] for x in found])
+            many = [x.shape[1] for x in found]
+            rows, times = (np.repeat(part.column(c).to_numpy(), many) for c in ("row", "times"))
             key, place, whole = np.concatenate(found, axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, whole, rows, place)], ["key", "run", "row", "place"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, whole, rows, place, times)], ["key", "run", "row", "place", "times"])
+
+
+#: A run that is to be searched: its minimiser, the digest of its words, how often it occurs, its windows, and its words.
+_RUN = "key long, run long, n long, windows int, words binary"
 
 
 def _words(width: int):
-    """The words of the chosen runs of each text, as hashes."""
+    """The words of the chosen runs of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for text, chosen in zip(batch.column("text").to_pylist(), batch.column("chosen").to_pylist()):
                 joined, starts, ends = word_spans(utf8(text))
-                hashes = span_hashes(joined, starts, ends)
-                keys, runs, n, data = [], [], [], []
-                for x in chosen:
-                    first, count = x["place"] >> 8, x["place"] & 255
-                    keys.append(x["key"])
-                    runs.append(x["run"])
-                    n.append(x["n"])
-                    data.append(hashes[first : first + count + width - 1].astype("<u8").tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(runs, pa.int64()), pa.array(n, pa.int64()), pa.array(data, pa.binary())], ["key", "run", "n", "words"])
+                first = np.array([x["place"] >> 8 for x in chosen])
+                count = np.array([x["place"] & 255 for x in chosen], np.int32)
+                data = [joined[i:j] for i, j in zip(starts[first].tolist(), ends[first + count + width - 2].tolist())]
+                ints = [pa.array([x[c] for x in chosen], pa.int64()) for c in ("key", "run", "n")]
+                yield pa.RecordBatch.from_arrays([*ints, pa.array(count), pa.array(data, pa.binary())], ["key", "run", "n", "windows", "words"])
 
     return run
 
@@ -94,25 +104,22 @@ def _search(width: int):
     """Repeated windows of the runs of a shard. Runs come in order of their minimiser; those of one are never parted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple[int, int, int, np.ndarray]] = []
+        rows: list[tuple[int, int, int, int, np.ndarray]] = []
+        numbers: dict[bytes, int] = {}
         held, last = 0, None
 
         def done() -> pa.RecordBatch:
-            texts = [x[3] for x in rows]
-            windows = np.array([len(x) - width + 1 for x in texts])
-            masks = np.array([(1 << int(w)) - 1 for w in windows], np.uint64)
-            single = np.flatnonzero(np.array([x[2] for x in rows]) == 1)  # a run that occurs twice repeats as a whole
-            if len(single):
-                masks[single] = FMIndex(texts).repeated_windows(single, windows[single], width)
-            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.int64()), pa.array([x[1] for x in rows], pa.int64()), pa.array(masks.astype(np.int64))], ["key", "run", "mask"])
+            key, name, times, windows, texts = zip(*rows)
+            masks = FMIndex(list(texts), np.array(times)).repeated_windows(np.arange(len(rows)), np.array(windows), width)
+            return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(name, pa.int64()), pa.array(masks.astype(np.int64))], ["key", "run", "mask"])
 
         for batch in batches:
-            for key, name, n, data in zip(batch.column("key").to_pylist(), batch.column("run").to_pylist(), batch.column("n").to_pylist(), batch.column("words")):
+            for key, name, n, windows, data in zip(*(batch.column(c).to_pylist() for c in ("key", "run", "n", "windows", "words"))):
                 if key != last and held >= INDEX_WORDS:
                     yield done()
-                    rows, held = [], 0
-                words = np.frombuffer(data.as_buffer(), "<u8").copy()
-                rows.append((key, name, n, words))
+                    rows, numbers, held = [], {}, 0
+                words = np.array([numbers.setdefault(w, len(numbers)) for w in data.split(b" ")], np.uint64)
+                rows.append((key, name, n, windows, words))
                 held, last = held + len(words), key
         if rows:
             yield done()
@@ -121,52 +128,45 @@ def _search(width: int):
 
 
 def _divide(width: int, gram: int):
-    """Runs of a crowded minimiser, cut anew by minimisers of ``gram`` words: (key, run, n, from, sub, subrun, words)."""
-    weights = np.random.default_rng(gram).integers(0, 2**63, (2, width), np.uint64) | np.uint64(1)
+    """Runs of a crowded minimiser, cut anew by minimisers of ``gram`` words: (key, run, n, from, sub, subrun, windows, words)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        view = np.lib.stride_tricks.sliding_window_view
         for batch in batches:
-            out: list[list] = [[] for _ in range(7)]
-            for key, name, n, data in zip(batch.column("key").to_pylist(), batch.column("run").to_pylist(), batch.column("n").to_pylist(), batch.column("words")):
-                words = np.frombuffer(data.as_buffer(), "<u8")
-                hashes = mix64((view(words, gram) * weights[0, :gram]).sum(axis=1, dtype=np.uint64))
-                least = view(hashes, width - gram + 1).argmin(axis=1) + np.arange(len(words) - width + 1)
-                first = np.flatnonzero(np.r_[True, least[1:] != least[:-1]])
-                ends = np.r_[first[1:], len(least)]
-                whole = mix64((view(words, width) * weights[1]).sum(axis=1, dtype=np.uint64))
-                for i, j in zip(first.tolist(), ends.tolist()):
-                    # The first window and the number of windows, with the words after it, are the run; its hash tells both.
-                    both = np.array([hashes[least[i]], np.add.reduce(mix64(whole[i:j] + np.arange(j - i, dtype=np.uint64)))]).astype(np.int64).tolist()
-                    for column, x in zip(out, (key, name, n, i, *both, words[i : j + width - 1].astype("<u8").tobytes())):
+            out: list[list] = [[] for _ in range(8)]
+            for key, name, n, data in zip(*(batch.column(c).to_pylist() for c in ("key", "run", "n", "words"))):
+                joined, starts, ends = word_spans(data)
+                sub, first, count, whole = runs_of(joined, starts, ends, width, gram)
+                for s, i, m, digest in zip(sub.tolist(), first.tolist(), count.tolist(), whole.tolist()):
+                    for column, x in zip(out, (key, name, n, i, s, digest, m, joined[starts[i] : ends[i + m + width - 2]])):
                         column.append(x)
-            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in out[:6]), pa.array(out[6], pa.binary())], ["key", "run", "n", "from", "sub", "subrun", "words"])
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds)], ["key", "run", "n", "from", "sub", "subrun", "windows", "words"])
 
     return run
 
 
 def _settle(words: DataFrame, width: int, crowd: int, grams: tuple[int, ...]) -> DataFrame:
-    """(key, run, mask): the repeated windows of runs (key, run, n, words) that share their key with others.
+    """(key, run, mask): the repeated windows of runs (key, run, n, windows, words); the mask has a bit for each window.
 
-    Keys of up to ``crowd`` runs are searched in their shard. The runs of other keys are divided by a longer
-    minimiser, and their parts settled in the same way; the last minimiser is a whole window, whose key has one text.
+    Keys of up to ``crowd`` runs are searched in their shard. The runs of other keys are divided by a longer minimiser, and
+    their parts settled in the same way; after the last, all that is left is searched.
     """
+    search = lambda df: df.repartition("key").sortWithinPartitions("key").mapInArrow(_search(width), "key long, run long, mask long")
+    if not grams:
+        return search(words)
     crowds = durable(words.groupBy("key").agg(F.count(F.lit(1)).alias("runs")), "crowds")
     counted = words.join(crowds, "key")
-    shard = counted.where((F.col("runs") > 1) & (F.col("runs") <= crowd)).select("key", "run", "n", "words")
-    found = shard.repartition("key").sortWithinPartitions("key").mapInArrow(_search(width), "key long, run long, mask long")
-    found = found.unionByName(words.where("n > 1").select("key", "run", F.lit(-1).cast("long").alias("mask")))
-    if not grams:
-        return found
-    crowded = counted.where(F.col("runs") > crowd).select("key", "run", "n", "words")
-    parts = durable(crowded.mapInArrow(_divide(width, grams[0]), "key long, run long, n long, from long, sub long, subrun long, words binary"), "parts")
+    # A run that shares its minimiser with no other occurs as often as it is counted.
+    found = search(counted.where((F.col("runs") > 1) & (F.col("runs") <= crowd)).drop("runs")).unionByName(counted.where("runs = 1 AND n > 1").select("key", "run", F.lit(-1).cast("long").alias("mask")))
+    crowded = counted.where(F.col("runs") > crowd).drop("runs")
+    parts = durable(crowded.mapInArrow(_divide(width, grams[0]), "key long, run long, n long, from int, sub long, subrun long, windows int, words binary"), "parts")
     if parts.isEmpty():
         return found
-    below = parts.groupBy(F.col("sub").alias("key"), F.col("subrun").alias("run")).agg(F.sum("n").alias("n"), F.first("words").alias("words"))
-    masks = _settle(durable(below, "subruns"), width, crowd, grams[1:]).groupBy(F.col("key").alias("sub"), F.col("run").alias("subrun")).agg(F.bit_or("mask").alias("mask"))
-    windows = F.expr("mask & shiftrightunsigned(-1L, cast(64 - (length(words) div 8 - %d) AS int))" % (width - 1))
+    below = parts.groupBy(F.col("sub").alias("key"), F.col("subrun").alias("run")).agg(F.sum("n").alias("n"), F.first("windows").alias("windows"), F.first("words").alias("words"))
+    masks = _settle(durable(below, "subruns"), width, crowd, grams[1:]).select(F.col("key").alias("sub"), F.col("run").alias("subrun"), "mask")
+    windows = F.expr("mask & shiftrightunsigned(-1L, 64 - windows)")
     divided = parts.join(durable(masks, "submasks"), ["sub", "subrun"]).select("key", "run", windows.alias("mask"), "from")
-    return found.unionByName(divided.groupBy("key", "run").agg(F.bit_or(F.expr("shiftleft(mask, cast(from AS int))")).alias("mask")))
+    return found.unionByName(divided.groupBy("key", "run").agg(F.bit_or(F.expr("shiftleft(mask, `from`)")).alias("mask")))
 
 
 def _remove(width: int):
@@ -185,42 +185,47 @@ def _remove(width: int):
                 words = joined.split(b" ") if joined else []
                 removed.append(int(gone.sum()))
                 shas.append(hashlib.sha256(b" ".join([w for w, g in zip(words, gone.tolist()) if not g])).hexdigest())
-            out = batch.select(["row"])
-            yield pa.RecordBatch.from_arrays([*out.columns, pa.array(removed, pa.int64()), pa.array(shas)], ["row", "n_removed", "kept_sha256"])
+            out = batch.select(["m1", "m2"])
+            yield pa.RecordBatch.from_arrays([*out.columns, pa.array(removed, pa.int64()), pa.array(shas)], ["m1", "m2", "n_removed", "kept_sha256"])
 
     return run
 
 
+def _one_of_each(rows: DataFrame) -> DataFrame:
+    """(row, times, runs): the first row of each different text with windows, and how many rows have that text."""
+    rows = rows.where("runs IS NOT NULL")
+    copies = durable(rows.groupBy("m1", "m2").agg(F.count(F.lit(1)).alias("times"), F.min("row").alias("first")).where("times > 1"), "copies")
+    half = split_by(rows, "m1", copies.select("m1"))
+    some = half(True).join(copies, ["m1", "m2"], "left").where("first IS NULL OR row = first")
+    return half(False).select("row", F.lit(1).cast("long").alias("times"), "runs").unionByName(some.select("row", F.coalesce("times", F.lit(1)).cast("long").alias("times"), "runs"))
+
+
 def repeated_substrings(docs: DataFrame, width: int = 35, id_col: str = "doc_id", text_col: str = "text", crowd: int = CROWD) -> tuple[DataFrame, DataFrame]:
-    """(rows, repeats): what the scan saw of each input row, and where in it windows begin that occur again.
+    """(rows, repeats): what the scan saw of each input row, and where in each different text windows begin that occur again.
 
-    rows: row, id, mark (a hash of the text), n_words, sha (of all words joined by one space). repeats: row, place (first
-    word << 8 | windows), mask (a bit for each window). ``width`` is from 9 to 71 words.
+    rows: row, id, m1, m2 (hashes of the text), n_words, sha (of all words joined by one space). repeats: row (the first of
+    the text), place (first word << 8 | windows), mask (a bit for each window). ``width`` is from 9 to 71 words.
     """
     small_batches(docs.sparkSession)
     grams = tuple(g for g in GRAMS if g < width)
     if not GRAM < width <= 63 + GRAM:
         raise ValueError("the width must be from 9 to 71 words")
-    read = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("mark"), F.col(text_col).cast("string").alias("text"))
-    scanned = read.mapInArrow(_scan(width), "id long, mark long, n_words long, sha string, runs binary")
+    read = marked_texts(docs, id_col, text_col)
+    scanned = read.mapInArrow(_scan(width), "id long, m1 long, m2 long, n_words long, sha string, runs binary")
     rows = durable(scanned.withColumn("row", F.monotonically_increasing_id()), "runs")
-    runs = rows.where("runs IS NOT NULL").select("row", "runs").mapInArrow(_explode_runs, "key long, run long, row long, place long")
-    again = durable(runs.groupBy("key").agg(F.count(F.lit(1)).alias("all")).where(F.col("all") > 1).select("key"), "again")
+    runs = _one_of_each(rows).mapInArrow(_explode_runs, "key long, run long, row long, place long, times long")
+    again = durable(runs.groupBy("key").agg(F.sum("times").alias("all")).where(F.col("all") > 1).select("key"), "again")
     found = durable(runs.join(again, "key", "left_semi"), "candidates")
 
-    different = found.groupBy("key", "run").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "place")).alias("at"))
-    different = durable(different, "classes")
-    crowds = durable(different.groupBy("key").agg(F.count(F.lit(1)).alias("runs")).where("runs > 1").select("key"), "shared")
+    different = durable(found.groupBy("key", "run").agg(F.sum("times").alias("n"), F.min(F.struct("row", "place")).alias("at")), "classes")
+    shared = durable(different.groupBy("key").agg(F.count(F.lit(1)).alias("runs")).where("runs > 1").select("key"), "shared")
+    alone = different.join(shared, "key", "left_anti").where("n > 1").select("key", "run", F.lit(-1).cast("long").alias("mask"))
     # One place of each run that has company in its shard gives its words.
-    chosen = different.join(crowds, "key", "left_semi").select(F.col("at.row").alias("row"), F.struct("key", "run", "n", F.col("at.place").alias("place")).alias("x"))
+    chosen = different.join(shared, "key", "left_semi").select(F.col("at.row").alias("row"), F.struct("key", "run", "n", F.col("at.place").alias("place")).alias("x"))
     chosen = chosen.groupBy("row").agg(F.collect_list("x").alias("chosen"))  # of one document: as many as it has runs
-    by_text = durable(chosen.join(rows.select("row", F.col("id").alias("cid"), F.col("mark").alias("cmark")), "row").drop("row"), "chosen")
-    # Rows that repeat an id and a text give the same words for the same run.
-    sources = may_join(read, "mark", by_text.select("cmark")).join(by_text, F.col("id").eqNullSafe(F.col("cid")) & (F.col("mark") == F.col("cmark"))).select("text", "chosen")
-    words = durable(sources.mapInArrow(_words(width), "key long, run long, n long, words binary").dropDuplicates(["key", "run"]), "words")
-    whole = different.where("n > 1").select("key", "run", F.lit(-1).cast("long").alias("mask"))
-    settled = whole.unionByName(_settle(words, width, crowd, (*grams, width)))
-    masks = durable(settled.groupBy("key", "run").agg(F.bit_or("mask").alias("mask")).where("mask <> 0"), "masks")
+    by_text = durable(chosen.join(rows.select("row", "m1", "m2"), "row").drop("row"), "chosen")
+    words = durable(texts_of(read, by_text).select("text", "chosen").mapInArrow(_words(width), _RUN), "words")
+    masks = durable(alone.unionByName(_settle(words, width, crowd, (*grams, width))).where("mask <> 0"), "masks")
     windows = F.expr("shiftrightunsigned(-1L, 64 - cast(place & 255 AS int))")
     repeats = found.join(masks, ["key", "run"]).select("row", "place", F.col("mask").bitwiseAND(windows).alias("mask"))
     return rows.drop("runs"), repeats
@@ -234,10 +239,8 @@ def remove_repeats(docs: DataFrame, width: int = 35, id_col: str = "doc_id", tex
     their own, so their windows repeat. Other columns are not read. An empty table gives an empty result.
     """
     rows, repeats = repeated_substrings(docs, width, id_col, text_col, crowd)
-    found = durable(repeats.groupBy("row").agg(F.collect_list(F.struct("place", "mask")).alias("found")), "found")  # of one document
-    hit = rows.select("row", F.col("id").alias("rid"), F.col("mark").alias("rmark")).join(found, "row")
-    read = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("mark"), F.col(text_col).cast("string").alias("text"))
-    texts = may_join(read, "mark", hit.select("rmark")).join(hit, F.col("id").eqNullSafe(F.col("rid")) & (F.col("mark") == F.col("rmark"))).select("row", "found", "text")
-    # Rows that repeat an id and a text meet more than once; each row's result is the same then.
-    changed = texts.mapInArrow(_remove(width), "row long, n_removed long, kept_sha256 string").groupBy("row").agg(F.max("n_removed").alias("n_removed"), F.max("kept_sha256").alias("kept_sha256"))
-    return rows.join(changed, "row", "left").select(F.col("id").alias("doc_id"), "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("kept_sha256", "sha").alias("kept_sha256"))
+    found = repeats.groupBy("row").agg(F.collect_list(F.struct("place", "mask")).alias("found"))  # of one document
+    hit = durable(rows.select("row", "m1", "m2").join(durable(found, "found"), "row").drop("row"), "hit")
+    changed = texts_of(marked_texts(docs, id_col, text_col), hit).select("m1", "m2", "found", "text").mapInArrow(_remove(width), "m1 long, m2 long, n_removed long, kept_sha256 string")
+    out = rows.join(durable(changed, "changed"), ["m1", "m2"], "left")
+    return out.select(F.col("id").alias("doc_id"), "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("kept_sha256", "sha").alias("kept_sha256"))

@@ -195,6 +195,22 @@ def test_repeats(spark, width, crowd):
     assert plain(remove_repeats(documents(spark, rows), width, crowd=crowd)) == repeats(rows, width)
 
 
+def test_repeated_rows_take_linear_time(spark):
+    """10,000 equal rows without an id, and a crowd of texts around one passage: one search of each different text."""
+    import random
+
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(3000)]
+    passage = [rng.choice(words) for _ in range(45)]
+    rows = [(None, " ".join(passage + words[:40]))] * 10_000 + [(i, " ".join([*rng.sample(words, 40), *passage, *rng.sample(words, 40)])) for i in range(300)]
+    assert plain(remove_repeats(documents(spark, rows), crowd=16)) == repeats(rows, 35)
+
+
+def test_weights_count_as_occurrences():
+    index = FMIndex([np.array([1, 2, 3, 4], np.uint64), np.array([9, 2, 3], np.uint64)], np.array([1, 2]))
+    assert index.repeated_windows(np.arange(2), np.array([3, 2]), 2).tolist() == [0b010, 0b11]
+
+
 def test_repeats_of_other_widths_are_refused(spark):
     with pytest.raises(ValueError, match="width"):
         remove_repeats(documents(spark, []), 8)
