@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quillframe.llm import link_trust
 from quillframe.llm.registry import ORACLE
-from quillframe.llm.topk import top_k
+from quillframe.llm.topk import HELD, grid, top_k
 from tests.llm.helpers import plain
 
 
@@ -20,16 +20,10 @@ def vectors(spark, rows):
 
 
 def brute(rows, k, every):
-    kept = {}
-    for i, x in rows:
-        if i is None or not x or any(v is None or not math.isfinite(v) for v in x):
-            continue
-        kept[i, tuple(np.float32(x).tolist())] = [math.floor(64 * float(v)) for v in np.float32(x)]
+    valid = [(i, tuple(math.floor(64 * float(v)) for v in np.float32(x))) for i, x in rows if i is not None and x is not None and all(v is not None and math.isfinite(v) for v in x)]
     out = []
-    for (q, _), a in kept.items():
-        if q % every:
-            continue
-        scores = [(-sum(x * y for x, y in zip(a, b)), c) for (c, _), b in kept.items() if c != q and len(a) == len(b)]
+    for q, a in {(i, x) for i, x in valid if i % every == 0}:
+        scores = [(-sum(x * y for x, y in zip(a, b)), c) for c, b in valid if c != q and len(a) == len(b)]
         out += [(q, r, c, -s) for r, (s, c) in enumerate(sorted(scores)[:k], 1)]
     return sorted(out, key=repr)
 
@@ -38,10 +32,17 @@ def brute(rows, k, every):
 def test_top_k(spark, k, bins):
     rng = random.Random(8)
     rows = [(i, [rng.choice([-0.5, 0.0, 0.25, rng.uniform(-1, 1)]) for _ in range(6)]) for i in range(90)]
-    rows += [(100, [0.5] * 6), (101, [0.5] * 6), (102, [0.5] * 6), (100, [0.5] * 6), (110, None), (111, []), (112, [None] * 6), (113, [float("nan")] * 6), (114, [float("inf")] + [0.0] * 5), (None, [1.0] * 6), (115, [1.0, 2.0]), (120, [3.0, 4.0]), (121, [1e6] * 6)]
+    rows += [(100, [0.5] * 6), (101, [0.5] * 6), (102, [0.5] * 6), (100, [0.5] * 6), (110, None), (111, []), (112, [None] * 6), (113, [float("nan")] * 6), (114, [float("inf")] + [0.0] * 5), (None, [1.0] * 6), (115, [1.0, 2.0]), (120, [3.0, 4.0]), (121, [1e6] * 6), (140, []), (7, rows[7][1]), (7, rows[7][1])]
     assert plain(top_k(vectors(spark, rows).repartition(3), k, 20, bins=bins)) == brute(rows, k, 20)
 
 
+def test_blocks_are_sent_in_proportion_to_the_root_of_the_cells():
+    for queries, blocks, tasks in ((3, 12, 24), (400, 1000, 632), (40_000, 100_000, 63_000)):
+        a, b = grid(queries, blocks, tasks, 65536, 524288)
+        assert 1 <= a <= queries and 1 <= b <= blocks and queries <= a * HELD
+        assert blocks * 524288 * a + queries * 65536 * b <= 3 * math.sqrt(max(tasks, a)) * (blocks * 524288 + queries * 65536) or a == -(-queries // HELD)
+
+
 def test_scores_beyond_floating_point(spark):
     rows = [(0, [2.0**40, 1.0]), (1, [2.0**10, 3.0]), (2, [2.0**10, 2.0])]
     assert [r[2:] for r in plain(top_k(vectors(spark, rows), 2))] == [(1, 2**62 + 64 * 192), (2, 2**62 + 64 * 128)]
