@@ -186,6 +186,6 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, id_col: str
             sequence, offset = found[:, 2] + inside // found[:, 4], found[:, 3] + inside % found[:, 4] * length
             yield pa.RecordBatch.from_arrays([*out.columns, pa.array(sequence, pa.int64()), pa.array(offset, pa.int64())], [*out.schema.names, "sequence_id", "offset"])
 
-    # One row per task and length at most on the right; the left has a row per piece.
-    ranked = cuts.join(offsets.select("length", "task", "before"), ["length", "task"]).withColumn("rank", F.col("nth") + F.col("before"))
+    # Pieces, some 60 bytes each, and offsets are dealt by length and task, so the table of all offsets is never in one place.
+    ranked = cuts.join(offsets.select("length", "task", "before").hint("merge"), ["length", "task"]).withColumn("rank", F.col("nth") + F.col("before"))
     return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
