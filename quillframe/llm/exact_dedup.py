@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillframe.llm.common import SPACE, drop_ids, durable, small_batches
@@ -72,8 +72,9 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     winners = read.join(F.broadcast(heavy), "digest").groupBy("digest").agg(F.max(place).alias("best"), F.count(F.lit(1)).alias("group_size"))
     settled = read.join(F.broadcast(durable(winners, "winners")), "digest")
     light = read.join(F.broadcast(heavy), "digest", "left_anti")
-    by_digest = Window.partitionBy("digest")
-    shuffled = light.withColumns({"best": F.max(place).over(by_digest), "group_size": F.count(F.lit(1)).over(by_digest)})
+    # Aggregated within tasks first, then joined: a group goes through a task as one row for each task that has it.
+    groups = light.groupBy("digest").agg(F.max(place).alias("best"), F.count(F.lit(1)).alias("group_size"))
+    shuffled = light.join(durable(groups, "light-groups"), "digest")
     return settled.unionByName(shuffled.select(settled.columns)).select(
         F.col("id").alias("doc_id"),
         F.expr("~best.id").alias("keep_id"),
