@@ -15,6 +15,7 @@ import sys
 import unicodedata
 from array import array
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import regex
 
@@ -84,25 +85,42 @@ class Words:
         self.library = Tokenizer.from_file(path)
         self.special = regex.compile("|".join(regex.escape(x) for x in sorted(vocabulary.specials, key=len, reverse=True)))
         self.common = regex.compile(r"[\x00-\u02ff\u0370-\u0373\u0391-\u03a1\u03a4-\u03c1\u03c3-\u03ce\u0400-\u045f\u2010-\u2027\u2030-\u205e\u20ac\u2122]*+")
-        self.find = regex.compile(PIECES).findall
+        self.find, self.each, self.white = regex.compile(PIECES).findall, regex.compile(PIECES).finditer, regex.compile(r"[ \t\n\r]")
         self.back = {c: b for b, c in enumerate(byte_alphabet())}
 
-    def segments(self, text: str) -> Iterator[tuple[str | None, list]]:
-        """(special string or None, words after it). Words are strings, or bytes where the library cut them."""
-        if "<|" not in text:
-            yield None, self.words(text)
-            return
+    #: Characters of a block of text; words of up to so many characters are one item, longer ones are cut where they are used.
+    BLOCK = 1 << 16
+
+    def blocks(self, text: str, at: int = 0, to: int | None = None) -> Iterator[str]:
+        """``text[at:to]`` in blocks that end before white space, where no word, and no character that others combine with, goes on."""
+        to = len(text) if to is None else to
+        while at < to:
+            end = at + self.BLOCK
+            if end < to:
+                found = self.white.search(text, end, to)
+                end = found.start() if found else to
+            yield text[at : min(end, to)]
+            at = min(end, to)
+
+    def segments(self, text: str) -> Iterator[tuple[str | None, Iterable]]:
+        """(special string or None, words after it), block by block. Words are strings, or bytes where the library cut them."""
         at, before = 0, None
-        for found in self.special.finditer(text):
-            yield before, self.words(text[at : found.start()])
+        for found in self.special.finditer(text) if "<|" in text else ():
+            yield before, ()
+            for block in self.blocks(text, at, found.start()):
+                yield None, self.words(block)
             at, before = found.end(), found[0]
-        yield before, self.words(text[at:])
+        yield before, ()
+        for block in self.blocks(text, at):
+            yield None, self.words(block)
 
-    def words(self, text: str) -> list:
+    def words(self, text: str) -> Iterable:
         if self.common.fullmatch(text):
             if not text.isascii():
                 text = unicodedata.normalize("NFC", text)
-            return self.find(text.lower())
+            text = text.lower()
+            # A block is longer only where it is one stretch without white space, whose words are then found one by one.
+            return self.find(text) if len(text) <= 2 * self.BLOCK else (x[0] for x in self.each(text))
         cut = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
         return [bytes(self.back[c] for c in word) for word, _ in cut]
 
@@ -289,7 +307,8 @@ class Decoder:
 class Codec:
     """Whole texts through the transducer and back."""
 
-    IDS = 1 << 16
+    #: Words that are joined at once; longest word that is encoded at once.
+    WORDS, LONG = 1 << 12, 1 << 12
 
     def __init__(self, path: str):
         self.vocabulary = Vocabulary(path)
@@ -297,13 +316,26 @@ class Codec:
         self.encodings = Encodings(Transducer(self.vocabulary))
 
     def encode(self, text: str) -> Iterator[bytes]:
-        """Ids of ``text``, in parts."""
+        """Ids of ``text``, in parts whose size does not depend on the text."""
         get = self.encodings.__getitem__
         for special, words in self.words.segments(text):
             if special:
                 yield little_endian([self.vocabulary.specials[special]])
-            for at in range(0, len(words), self.IDS):
-                yield b"".join(map(get, words[at : at + self.IDS]))
+            words = iter(words)
+            while part := list(islice(words, self.WORDS)):
+                if max(map(len, part)) <= self.LONG:
+                    yield b"".join(map(get, part))
+                else:
+                    for word in part:
+                        yield from (get(word),) if len(word) <= self.LONG else self.stream(word)
+
+    def stream(self, word: str | bytes) -> Iterator[bytes]:
+        """Ids of one long word, as they become stable."""
+        transducer = self.encodings.transducer
+        for at in range(0, len(word), self.LONG):
+            part = word[at : at + self.LONG]
+            yield little_endian(transducer.feed(part if isinstance(part, bytes) else part.encode("utf-8", "surrogatepass")))
+        yield little_endian(transducer.end())
 
     def round_trip(self, text: str) -> tuple[int, str, str]:
         """(ids, sha256 of the ids, sha256 of the decoded text)."""

@@ -60,6 +60,30 @@ def test_the_stream_of_a_word_may_be_cut_anywhere():
             assert got + transducer.end() == want and held <= lookahead + 64
 
 
+def test_memory_does_not_follow_the_text():
+    """Blocks, long stretches without white space and long words give the library's ids, in parts of bounded size."""
+    rng = random.Random(15)
+    word = lambda n: "".join(rng.choice("ethanoingsrlduc") for _ in range(n))
+    codec = bpe.Codec(WORDS)
+    texts = [" ".join(word(rng.randint(1, 12)) for _ in range(40_000)), word(300_000), ",".join(word(5) for _ in range(60_000)), "\n".join("É" + word(3) + "日本" * (i % 2) for i in range(30_000)), ("ab <|endoftext|>" * 3 + word(70_000)) * 3]
+    for text in texts:
+        parts = list(codec.encode(text))
+        ids = library(text)[0]
+        assert b"".join(parts) == struct.pack(f"<{len(ids)}I", *ids)
+        assert max(map(len, parts)) <= 4 * 16 * codec.WORDS
+    import tracemalloc
+
+    peaks = []
+    for n in (50_000, 400_000):
+        text = " ".join(word(9) + "1" for _ in range(500)) * (n // 500)
+        tracemalloc.start()
+        for _ in codec.encode(text):
+            pass
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peaks[1] < 1.5 * peaks[0] + (1 << 20)
+
+
 def test_decoding_part_by_part():
     ids, text = library("Ünïcödé 日本語 text, streamed")
     decoder = bpe.Decoder(bpe.Vocabulary(WORDS).pieces)
