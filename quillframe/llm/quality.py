@@ -1,9 +1,10 @@
 """Quality classifier by attention-based multiple-instance learning.
 
-A document is a bag of passages. Each passage is encoded by statistics of its bytes and words and a hashed byte-pair
-profile; a learned layer turns these into a representation; gated attention, learned from labels of whole documents
-alone, weights the passages; and a logistic unit scores the weighted representation. Training takes a bounded sample of
-labelled rows on the driver; scoring is map-only over every passage of every text.
+A document is a bag of passages. Each passage is encoded on its own, by hashed profiles of its words, word pairs and byte
+pairs and by shares of its bytes, words and lines; a learned layer turns these into a representation; gated attention,
+learned from labels of whole documents alone, weights the passages; and a logistic unit scores the weighted
+representation. Training takes all passages of a bounded sample of labelled rows on the driver; scoring is map-only over
+every passage of every text.
 """
 
 from __future__ import annotations
@@ -18,12 +19,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from quillframe.llm.common import mix64, small_batches, span_hashes, utf8
+from quillframe.llm.common import distinct, mix64, small_batches, utf8, word_hashes
 
-#: Bytes of a passage, buckets of the byte-pair profile, sizes of the learned layers.
-PASSAGE, BUCKETS, HIDDEN, ATTENTION = 600, 64, 24, 12
-#: Most labelled rows that the classifier is fitted on, and passages of one of them that training keeps (all are scored).
-SAMPLE, TRAIN_PASSAGES = 6000, 32
+#: Bytes of a passage; buckets of the profiles of byte pairs, words and word pairs; sizes of the learned layers.
+PASSAGE, BUCKETS, WORDS, PAIRS, HIDDEN, ATTENTION = 600, 64, 128, 128, 24, 12
+#: Items that every profile is taken to have besides its own.
+PRIOR = 20
+#: Most labelled rows that the classifier is fitted on.
+SAMPLE = 6000
 THRESHOLD = 0.3
 
 _CLASSES = np.zeros(256, np.uint8)
@@ -31,14 +34,27 @@ for _k, _chars in enumerate((b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQR
     _CLASSES[list(_chars)] = _k
 _CLASSES[128:] = 11
 N_CLASSES = 12
-#: Class shares, word statistics, whole-text statistics, byte pairs.
-DENSE = N_CLASSES + 6 + 6
-FEATURES = DENSE + BUCKETS
+#: Class shares, and shares of words and lines; then the profiles.
+DENSE = N_CLASSES + 8
+FEATURES = DENSE + BUCKETS + WORDS + PAIRS
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 _PAIR = (mix64(np.arange(65536, dtype=np.uint64)) % np.uint64(BUCKETS)).astype(np.int64)
 
 
+def _profile(which: np.ndarray, buckets: np.ndarray, n: int, size: int, total: np.ndarray) -> np.ndarray:
+    """Square roots of the shares of ``size`` buckets in each of ``n`` passages; ``which`` names the passage of each item.
+    Shares of a few items are taken for less, as they say less."""
+    return np.sqrt(np.bincount(which * size + buckets, minlength=n * size).reshape(n, size) / (total[:, None] + PRIOR))
+
+
+def _different(which: np.ndarray, hashes: np.ndarray, n: int) -> np.ndarray:
+    """How many different hashes each passage has."""
+    pairs = distinct(mix64(hashes ^ mix64(which.astype(np.uint64))) >> np.uint64(20) | which.astype(np.uint64) << np.uint64(44))
+    return np.bincount((pairs >> np.uint64(44)).astype(np.int64), minlength=n)
+
+
 def passages(text: str | None) -> np.ndarray:
-    """Feature rows of all passages; a text without words is one passage of zeros."""
+    """Feature rows of all passages, each of itself alone; a text without words is one passage of zeros."""
     data = utf8(text)
     raw = np.frombuffer(data, np.uint8)
     if not data.strip():
@@ -53,44 +69,43 @@ def passages(text: str | None) -> np.ndarray:
     first = np.flatnonzero(np.r_[True, number[1:] != number[:-1]])
     n = len(first)
     edges = np.r_[0, begins[first[1:]], len(raw)]
-    size = np.maximum(np.diff(edges), 1).astype(np.float32)
-    words = np.diff(np.r_[first, len(begins)]).astype(np.float32)
+    upto = np.r_[first, len(begins)]
+    hashes = word_hashes(data)
     out = np.zeros((n, FEATURES), np.float32)
-    for at in range(0, n, 1024):  # in parts, as the byte-level counts take several times their bytes
-        to = min(n, at + 1024)
-        part = slice(edges[at], edges[to])
-        which = np.repeat(np.arange(to - at), np.diff(edges[at : to + 1]))
-        counts = np.bincount(which * N_CLASSES + kinds[part], minlength=(to - at) * N_CLASSES).reshape(-1, N_CLASSES)
-        out[at:to, :N_CLASSES] = counts / size[at:to, None]
+    for at in range(0, n, 512):  # in parts, as the counts take several times their bytes
+        to = min(n, at + 512)
+        m, part, own = to - at, slice(edges[at], edges[to]), slice(upto[at], upto[to])
+        which = np.repeat(np.arange(m), np.diff(edges[at : to + 1]))
+        size = np.maximum(np.diff(edges[at : to + 1]), 1).astype(np.float32)
+        rows = out[at:to]
+        rows[:, :N_CLASSES] = np.bincount(which * N_CLASSES + kinds[part], minlength=m * N_CLASSES).reshape(m, N_CLASSES) / size[:, None]
         pair = raw[part].astype(np.int64)
-        where = which[:-1] * BUCKETS + _PAIR[pair[:-1] << 8 | pair[1:]]
-        out[at:to, DENSE:] = np.sqrt(np.bincount(where, minlength=(to - at) * BUCKETS).reshape(-1, BUCKETS) / size[at:to, None])
-    length = (ends - begins).astype(np.float32)
-    word_of = np.repeat(np.arange(n), words.astype(int))
-    hashes = span_hashes(data, begins, ends)
-    out[:, N_CLASSES] = np.bincount(word_of, length, n) / words / 16
-    out[:, N_CLASSES + 1] = np.sqrt(np.maximum(0, np.bincount(word_of, length**2, n) / words - (out[:, N_CLASSES] * 16) ** 2)) / 16
-    out[:, N_CLASSES + 2] = np.bincount(word_of, kinds[ends - 1] == 10, n) / words  # words that end in a symbol
-    out[:, N_CLASSES + 3] = np.bincount(word_of, (ends - begins == 1) & (kinds[begins] == 10), n) / words  # words that are one
-    pairs = np.unique(mix64(hashes ^ mix64(word_of.astype(np.uint64))))
-    repeats = 1 - len(pairs) / len(hashes)
-    _, again = np.unique(hashes, return_inverse=True)
-    seen = np.zeros(again.max() + 1, np.int64)
-    np.add.at(seen, again, 1)
-    out[:, N_CLASSES + 4] = np.bincount(word_of, seen[again] > 1, n) / words
-    out[:, N_CLASSES + 5] = np.log1p(words) / 6
-    # Of the whole text, on every passage: what a part alone does not show.
-    cuts = np.flatnonzero(raw == 10)
-    line_begins, line_ends = np.r_[0, cuts + 1], np.r_[cuts, len(raw)]
-    lines = span_hashes(data, line_begins, line_ends)
-    chunk = hashes[: len(hashes) // 8 * 8].reshape(-1, 8).sum(axis=1, dtype=np.uint64) if len(hashes) >= 8 else hashes
-    at = N_CLASSES + 6
-    out[:, at] = np.log1p(len(begins)) / 10
-    out[:, at + 1] = len(np.unique(hashes)) / len(hashes)
-    out[:, at + 2] = 1 - len(np.unique(lines)) / len(lines)
-    out[:, at + 3] = np.log1p(len(lines)) / 8
-    out[:, at + 4] = 1 - len(np.unique(chunk)) / len(chunk)
-    out[:, at + 5] = repeats
+        inside = which[1:] == which[:-1]
+        rows[:, DENSE : DENSE + BUCKETS] = _profile(which[1:][inside], _PAIR[pair[:-1] << 8 | pair[1:]][inside], m, BUCKETS, size)
+        count = np.diff(upto[at : to + 1])
+        words, word_of, seen = count.astype(np.float32), np.repeat(np.arange(m), count), hashes[own]
+        length = (ends[own] - begins[own]).astype(np.float32)
+        mean = np.bincount(word_of, length, m) / words
+        last, start = kinds[ends[own] - 1], kinds[begins[own]]
+        after = word_of[1:] == word_of[:-1]
+        pairs = (seen[:-1] * _ODD ^ seen[1:])[after]
+        rows[:, DENSE + BUCKETS : DENSE + BUCKETS + WORDS] = _profile(word_of, (mix64(seen) % np.uint64(WORDS)).astype(np.int64), m, WORDS, words)
+        rows[:, DENSE + BUCKETS + WORDS :] = _profile(word_of[1:][after], (mix64(pairs) % np.uint64(PAIRS)).astype(np.int64), m, PAIRS, words)
+        # A line is known by the sum of its words' hashes; one that goes on in the next passage counts in both.
+        line = np.cumsum(raw[part] == 10)[begins[own] - edges[at]]
+        opens = np.flatnonzero(np.r_[True, (line[1:] != line[:-1]) | ~after])
+        line_of, line_hashes = word_of[opens], np.add.reduceat(mix64(seen), opens)
+        lines = np.bincount(line_of, minlength=m)
+        rows[:, N_CLASSES:DENSE] = np.stack([
+            mean / 16,
+            np.sqrt(np.maximum(0, np.bincount(word_of, length**2, m) / words - mean**2)) / 16,
+            np.bincount(word_of, last == 10, m) / words,  # words that end in a symbol
+            np.bincount(word_of, (length == 1) & (start == 10), m) / words,  # words that are one
+            1 - _different(word_of, seen, m) / words,
+            1 - _different(word_of[1:][after], pairs, m) / words,
+            1 - _different(line_of, line_hashes, m) / lines,
+            np.log1p(words) / 6,
+        ], axis=1)
     return out
 
 
@@ -117,18 +132,36 @@ class Model:
         y = 1 / (1 + np.exp(-np.clip(z @ p["o"] + p["b"], -30, 30)))
         return {"h": h, "t": t, "g": g, "w": w, "z": z, "y": y}
 
+    def scaled(self, bags: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """All passages, in 64-bit floats, and the number of each one's bag."""
+        return (np.concatenate(bags) - self.mean) * self.scale, np.repeat(np.arange(len(bags)), [len(b) for b in bags])
+
     def scores(self, bags: list[np.ndarray]) -> np.ndarray:
-        if not bags:
-            return np.zeros(0)
-        x = (np.concatenate(bags) - self.mean) * self.scale
-        return self.forward(x, np.repeat(np.arange(len(bags)), [len(b) for b in bags]), len(bags))["y"]
+        return self.forward(*self.scaled(bags), len(bags))["y"] if bags else np.zeros(0)
+
+    def loss(self, bags: list[np.ndarray], labels: np.ndarray, weight: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+        """The mean weighted logistic loss, and its derivatives by all parameters."""
+        p, n = self.p, len(bags)
+        x, bag = self.scaled(bags)
+        f = self.forward(x, bag, n)
+        loss = -(weight * np.log(np.where(labels > 0, f["y"], 1 - f["y"]))).mean()
+        dy = (f["y"] - labels) * weight / n
+        dz = dy[:, None] * p["o"]
+        dw = (dz[bag] * f["h"]).sum(axis=1)
+        de = f["w"] * (dw - np.bincount(bag, f["w"] * dw, n)[bag])
+        dt, dg = de[:, None] * p["a"] * f["g"] * (1 - f["t"] ** 2), de[:, None] * p["a"] * f["t"] * f["g"] * (1 - f["g"])
+        dh = (f["w"][:, None] * dz[bag] + dt @ p["v"].T + dg @ p["u"].T) * (1 - f["h"] ** 2)
+        return loss, {"w": x.T @ dh, "c": dh.sum(axis=0), "v": f["h"].T @ dt, "u": f["h"].T @ dg, "a": (f["t"] * f["g"]).T @ de, "o": f["z"].T @ dy, "b": dy.sum()}
 
 
-def fit(bags: list[np.ndarray], labels: np.ndarray, steps: int = 2000, rate: float = 0.01, batch: int = 128, decay: float = 1e-4, seed: int = 3) -> Model:
+def fit(bags: list[np.ndarray], labels: np.ndarray, steps: int = 2000, rate: float = 0.01, batch: int = 128, decay: float = 1e-3, seed: int = 3) -> Model:
     """Trains by so many steps of Adam on the logistic loss with classes weighted equally. One class alone, or no rows, gives its share as the score."""
     rng = np.random.default_rng(seed)
-    mean = np.zeros(FEATURES) if not bags else np.concatenate(bags).mean(axis=0)
-    scale = np.ones(FEATURES) if not bags else 1 / np.maximum(np.concatenate(bags).std(axis=0), 0.02)
+    mean, scale = np.zeros(FEATURES), np.ones(FEATURES)
+    if bags:
+        rows = sum(map(len, bags))
+        mean = sum(b.sum(axis=0, dtype=np.float64) for b in bags) / rows
+        scale = 1 / np.maximum(np.sqrt(sum(((b - mean) ** 2).sum(axis=0) for b in bags) / rows), 0.02)
     shape = {"w": (FEATURES, HIDDEN), "c": (HIDDEN,), "v": (HIDDEN, ATTENTION), "u": (HIDDEN, ATTENTION), "a": (ATTENTION,), "o": (HIDDEN,), "b": ()}
     p = {k: rng.normal(0, 1 / np.sqrt(max(1, s[0] if s else 1)), s) if k in "wvuao" else np.zeros(s) for k, s in shape.items()}
     model = Model(mean, scale, p)
@@ -138,7 +171,6 @@ def fit(bags: list[np.ndarray], labels: np.ndarray, steps: int = 2000, rate: flo
         p["b"] = np.array(np.log((good + 1e-3) / (1 - good + 1e-3)))
         return model
     weight = np.where(labels > 0, 0.5 / good, 0.5 / (1 - good))
-    scaled = [(b - mean) * scale for b in bags]
     m, s = {k: np.zeros_like(x) for k, x in p.items()}, {k: np.zeros_like(x) for k, x in p.items()}
     order = np.zeros(0, np.int64)
     for step in range(1, steps + 1):
@@ -146,16 +178,7 @@ def fit(bags: list[np.ndarray], labels: np.ndarray, steps: int = 2000, rate: flo
             order = rng.permutation(len(bags))
         part, order = order[:batch], order[batch:]
         now = rate * (1 - step / steps) + 1e-4
-        x = np.concatenate([scaled[i] for i in part])
-        bag = np.repeat(np.arange(len(part)), [len(scaled[i]) for i in part])
-        f = model.forward(x, bag, len(part))
-        dy = (f["y"] - labels[part]) * weight[part] / len(part)
-        dz = dy[:, None] * p["o"]
-        dw = (dz[bag] * f["h"]).sum(axis=1)
-        de = f["w"] * (dw - np.bincount(bag, f["w"] * dw, len(part))[bag])
-        dt, dg = de[:, None] * p["a"] * f["g"] * (1 - f["t"] ** 2), de[:, None] * p["a"] * f["t"] * f["g"] * (1 - f["g"])
-        dh = (f["w"][:, None] * dz[bag] + dt @ p["v"].T + dg @ p["u"].T) * (1 - f["h"] ** 2)
-        grads = {"w": x.T @ dh, "c": dh.sum(axis=0), "v": f["h"].T @ dt, "u": f["h"].T @ dg, "a": (f["t"] * f["g"]).T @ de, "o": f["z"].T @ dy, "b": dy.sum()}
+        _, grads = model.loss([bags[i] for i in part], labels[part], weight[part])
         for k, g in grads.items():
             g = g + decay * p[k]
             m[k] = 0.9 * m[k] + 0.1 * g
@@ -173,7 +196,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
     """Fits on at most ``sample`` labelled rows that are not held out, those with the least hashes of their ids.
 
     Null labels and ids are left out; of several labels of an id the greatest counts. Labels whose document is missing
-    do not count. Only features of the sample come to the driver.
+    do not count. Only features of the sample come to the driver, all passages of each of its rows.
     """
     small_batches(docs.sparkSession)
     known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label")).where("id IS NOT NULL AND label IS NOT NULL").where(~held_out("id"))
@@ -182,14 +205,12 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             bags = [passages(text) for text in batch.column("text").to_pylist()]
-            # Long documents train on passages from all over them.
-            bags = [b[np.linspace(0, len(b) - 1, min(len(b), TRAIN_PASSAGES)).astype(int)] for b in bags]
             out = batch.select(["id", "label"])
-            yield pa.RecordBatch.from_arrays([*out.columns, pa.array([b.astype("<f2").tobytes() for b in bags], pa.binary())], ["id", "label", "bag"])
+            yield pa.RecordBatch.from_arrays([*out.columns, pa.array([b.astype("<f4").tobytes() for b in bags], pa.binary())], ["id", "label", "bag"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "id")
     found = sorted((r["id"], r["label"], bytes(r["bag"])) for r in rows.mapInArrow(encode, "id long, label int, bag binary").toLocalIterator())
-    bags = [np.frombuffer(b, "<f2").reshape(-1, FEATURES).astype(np.float64) for _, _, b in found]
+    bags = [np.frombuffer(b, "<f4").reshape(-1, FEATURES) for _, _, b in found]
     return fit(bags, np.array([float(label > 0) for _, label, _ in found]))
 
 

@@ -48,14 +48,54 @@ def test_quality_of_every_kind_of_row(spark):
     assert quality.score_quality(spark.createDataFrame([], DOCS), known).count() == 0
 
 
-def test_attention_gradients():
-    """One step along the gradient lowers the loss, and a numeric derivative agrees with the training signal."""
+def test_attention_against_a_plain_version():
+    """Forward pass and derivatives against loops and numeric differences, and a task that a single passage decides."""
     rng = np.random.default_rng(4)
     bags = [rng.normal(size=(rng.integers(1, 6), quality.FEATURES)) for _ in range(60)]
     y = np.array([float(b[:, 0].max() > 0.8) for b in bags])
     model = quality.fit(bags, y, steps=600)
     assert np.mean((model.scores(bags) >= 0.5) == y) > 0.95
 
+    model = quality.fit(bags, y, steps=3)
+    p = model.p
+    for bag, score in zip(bags, model.scores(bags)):
+        hidden = [np.tanh((x - model.mean) * model.scale @ p["w"] + p["c"]) for x in bag]
+        energy = [float(sum(a * np.tanh(h @ v) / (1 + np.exp(-(h @ u))) for a, v, u in zip(p["a"], p["v"].T, p["u"].T))) for h in hidden]
+        weights = np.exp(energy) / np.exp(energy).sum()
+        mixed = sum(w * h for w, h in zip(weights, hidden))
+        assert score == pytest.approx(1 / (1 + np.exp(-(mixed @ p["o"] + p["b"]))), abs=1e-9)
+    weight = rng.uniform(0.5, 2, len(bags))
+    _, grads = model.loss(bags, y, weight)
+    for name, grad in grads.items():
+        for _ in range(6):
+            at = tuple(rng.integers(0, d) for d in np.shape(p[name]))
+            was, step, found = p[name], 1e-5, []
+            for sign in (1, -1):
+                p[name] = np.array(was)
+                p[name][at] += sign * step
+                found.append(model.loss(bags, y, weight)[0])
+            p[name] = was
+            assert np.asarray(grad)[at] == pytest.approx((found[0] - found[1]) / (2 * step), rel=1e-3, abs=1e-7)
+
+
+def test_every_passage_counts_on_its_own():
+    """A passage's features do not depend on the others, and a bad passage anywhere in a long text reaches the score."""
+    good, junk = "the river ran slowly past the old mill and nobody said a word about it . " * 8, "$$$ xx @@ ## xx $$$ %% xx " * 24
+    block = lambda x: (x * 9)[:599] + " "
+    long = block(good) * 60
+    both = quality.passages(long + block(junk) + long)
+    assert len(both) == 121 and np.allclose(both[60], quality.passages(block(junk))[0]) and np.allclose(both[0], quality.passages(block(good))[0])
+    rng = np.random.default_rng(1)
+    bags, y = [], []
+    for i in range(300):
+        blocks = [block(good[rng.integers(0, 60) :]) for _ in range(rng.integers(1, 100))]
+        if i % 2:
+            blocks[rng.integers(0, len(blocks))] = block(junk[rng.integers(0, 20) :])
+        bags.append(quality.passages("".join(blocks)))
+        y.append(float(i % 2 == 0))
+    model = quality.fit(bags, np.array(y))
+    assert model.scores([both])[0] < 0.3 < model.scores([quality.passages(long)])[0]
+
 
 TEXTS = [
     (1, "mail bosbt.42@mail8.example.com now"), (2, "call +1 (988) 555-2485, 1-988-555-2485 or +1 988 555 2485"), (3, "from 42.144.35.254. card 4111 1111 1111 1111, 4041894974608795"),
