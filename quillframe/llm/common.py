@@ -20,9 +20,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
+    """The folder that the cluster names in ``spark.checkpoint.dir``. Where that is unset, a temporary one in local mode, as in
+    tests; an error on a cluster, whose machines would each write to a folder of their own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: intermediate results need a folder that all machines share")
         found = tempfile.mkdtemp(prefix="quillframe-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -50,11 +53,6 @@ def durable(df: DataFrame, name: str = "step", partition_by: str | None = None)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-_MULT = np.uint64(0x9E3779B97F4A7C15)
-_BYTE = np.random.default_rng(20240607).integers(1, 2**63, 256, dtype=np.uint64)
-_POWERS: dict[str, np.ndarray] = {}
-
-
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser over unsigned 64-bit integers (the one of the splitmix64 generator)."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -62,29 +60,6 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS.get("up", ())) < n:
-        size = max(1 << 16, 1 << (n - 1).bit_length())
-        inverse = np.uint64(pow(int(_MULT), -1, 1 << 64))
-        _POWERS["up"] = np.multiply.accumulate(np.r_[np.uint64(1), np.full(size - 1, _MULT, np.uint64)])
-        _POWERS["down"] = np.multiply.accumulate(np.r_[np.uint64(1), np.full(size - 1, inverse, np.uint64)])
-    return _POWERS["up"][:n], _POWERS["down"][:n]
-
-
-def span_hashes(data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the byte spans [starts, ends) of ``data``: equal bytes give equal hashes at every position.
-
-    One prefix sum of a polynomial over random byte values modulo 2**64 serves all spans, so the cost follows
-    the bytes and the number of spans, not their total length.
-    """
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    up, down = _powers(len(data))
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[np.frombuffer(data, np.uint8)] * up, out=sums[1:])
-    return mix64((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
-
-
 def word_spans(data: bytes) -> tuple[bytes, np.ndarray, np.ndarray]:
     """The words of ``data`` joined by one space, and their starts and ends in that."""
     joined = b" ".join(data.split())

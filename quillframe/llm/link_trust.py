@@ -7,6 +7,8 @@ and distrust from the blocked seeds, against them. Pages that no rule fits get t
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,11 +26,17 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Absolute and protocol-relative links of a page, whatever their length; relative ones stay on their host. White space is
 #: HTML's. Where no link follows up to the next ``>``, none begins before it: the second branch, an empty group, takes all of that, so the time stays in proportion to the page.
 LINK = r"""(?i)<a_(?:(?:[^>]*?_)?href_*+=_*+["']?_*+(?:https?:)?//([^/?#"'_>]++)|[^>]*+)""".replace('"\'_>', '"\' \\t\\n\\f\\r>').replace("_", r"[ \t\n\f\r]")
-DAMPING, ROUNDS, TOLERANCE = 0.85, 30, 1e-6
+#: Weight of the links in a step of the walk; share of the threshold that all steps after the last one may amount to for a host.
+DAMPING, TOLERANCE = 0.85, 1e-3
 #: A host is blocked if its distrust exceeds this share of a host's mean score, and its trust.
 THRESHOLD = 0.5
 
 
+def rounds_for(hosts: int) -> int:
+    """Steps after which what is still on the way, DAMPING ** steps in all, is below a tolerance of the threshold of one of ``hosts``."""
+    return math.ceil(math.log(TOLERANCE * THRESHOLD / max(1, hosts)) / math.log(DAMPING))
+
+
 def host_of(url: Column) -> Column:
     """After the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z in lower case; empty without ``://`` or url."""
     return F.translate(F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://([^/?#]*)", 1), UPPER, LOWER)
@@ -48,23 +56,24 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]], field
     return out
 
 
-def _walk(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+def _walk(edges: DataFrame, seeds: DataFrame, rounds: int) -> DataFrame:
     """Personalised PageRank: (host, score) with the scores of all hosts that are reached summing to 1 at most.
 
     ``edges`` (a, b, share): the share of a's score that goes to b; ``seeds`` (host, seed) sum to 1. Scores that reach a
-    host without links leave the walk. Each round is one join and one aggregation with partial sums over hosts.
+    host without links leave the walk. What is on the way after k steps is (links ** k) of the seeds, and a score is the sum of
+    1 - DAMPING of all of it: each step is one join and one aggregation with partial sums, and the walk ends when nothing moves.
     """
-    scores = seeds.select("host", F.col("seed").alias("score"))
-    for _ in range(ROUNDS):
-        moved = edges.join(scores, edges["a"] == scores["host"]).groupBy(F.col("b").alias("host")).agg(F.sum(F.col("score") * F.col("share")).alias("moved"))
-        new = moved.join(seeds, "host", "full").select("host", (F.coalesce("seed", F.lit(0.0)) * (1 - DAMPING) + F.coalesce("moved", F.lit(0.0)) * DAMPING).alias("score"))
-        new = durable(new, "scores")
-        was = scores.withColumnRenamed("score", "was")
-        change = new.join(was, "host", "full").agg(F.sum(F.abs(F.coalesce("score", F.lit(0.0)) - F.coalesce("was", F.lit(0.0))))).first()[0] or 0.0
-        scores = new
-        if change < TOLERANCE:
+    moving = durable(seeds.select("host", F.col("seed").alias("score")), "moving")
+    total = moving
+    for step in range(rounds):
+        moved = edges.join(moving, edges["a"] == moving["host"]).groupBy(F.col("b").alias("host")).agg(F.sum(F.col("score") * F.col("share") * DAMPING).alias("score"))
+        moving = durable(moved, "moving")
+        if moving.isEmpty():
             break
-    return scores
+        total = total.unionByName(moving)
+        if step % 10 == 9:
+            total = durable(total.groupBy("host").agg(F.sum("score").alias("score")), "total")
+    return durable(total.groupBy("host").agg((F.sum("score") * (1 - DAMPING)).alias("score")), "scores")
 
 
 def host_scores(pages: DataFrame, rules: list[tuple[str, str, str]] | None = None, url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -88,7 +97,7 @@ def host_scores(pages: DataFrame, rules: list[tuple[str, str, str]] | None = Non
             return chosen.select("host", (F.col("seed") * (1 - DAMPING)).alias("score"))  # what the walk gives
         sums = edges.groupBy(frm).agg(F.sum("n").alias("all"))
         shares = edges.join(sums, frm).select(F.col(frm).alias("a"), F.col(to).alias("b"), (F.col("n") / F.col("all")).alias("share"))
-        return _walk(durable(shares, "shares"), durable(chosen, "seeds"))
+        return _walk(durable(shares, "shares"), durable(chosen, "seeds"), rounds_for(n))
 
     trust = scores("a", "b", "good", good).select("host", (F.col("score") * float(n)).alias("trust"))
     distrust = scores("b", "a", "bad", bad).select("host", (F.col("score") * float(n)).alias("distrust"))

@@ -81,22 +81,23 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _url_sql() -> str:
-    """The URL filter as SQL: rules, seeds and links as relations, and each round of both walks as a step of its own."""
-    from quillframe.llm.link_trust import DAMPING, LOWER, ROUNDS, RULES, THRESHOLD, UPPER
+    """The URL filter as SQL: rules, seeds and links as relations, and the steps of both walks as recursions."""
+    from quillframe.llm.link_trust import DAMPING, LOWER, RULES, THRESHOLD, TOLERANCE, UPPER
 
     rules = sorted(RULES, key=lambda x: -len(x[0] + x[1]))
     fits = [(f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')", h + p, v) for h, p, v in rules]
     case = lambda i: "CASE " + " ".join(f"WHEN {f[0]} THEN '{f[i]}'" for f in fits) + " END"
-    steps = []
-    for walk, seeds, shares in (("g", "good", "forward"), ("d", "bad", "backward")):
-        steps.append(f"{walk}0 AS (SELECT host, seed AS score FROM {seeds})")
-        for i in range(ROUNDS):
-            steps.append(
-                f"{walk}{i + 1} AS (SELECT host, sum(x) AS score FROM (SELECT e.b AS host, {DAMPING} * score * share AS x FROM {walk}{i} JOIN {shares} e ON e.a = host"
-                f" UNION ALL SELECT host, {1 - DAMPING:.2f} * seed FROM {seeds}) GROUP BY host)"
-            )
+    steps = [
+        f"""{walk} AS (
+            SELECT 0 AS i, host, seed AS x FROM {seeds}
+            UNION ALL
+            SELECT i + 1, b, sum({DAMPING} * x * share) FROM {walk} JOIN {shares} ON a = host, steps WHERE i < n GROUP BY i, b
+        ),
+        {walk}_score AS (SELECT host, {1 - DAMPING:.2f} * sum(x) AS score FROM {walk} GROUP BY host)"""
+        for walk, seeds, shares in (("g", "good", "forward"), ("d", "bad", "backward"))
+    ]
     return rf"""
-        WITH p AS (
+        WITH RECURSIVE p AS (
             SELECT page_id, html, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), '{UPPER}', '{LOWER}') AS host,
                    regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages
         ),
@@ -106,10 +107,11 @@ def _url_sql() -> str:
         x AS (SELECT host AS a, translate(unnest(regexp_extract_all(html, '(?i)<a\s(?:[^>]*?\s)?href\s*=\s*["'']?\s*(?:https?:)?//([^/?#"''\s>]+)', 1)), '{UPPER}', '{LOWER}') AS b FROM p WHERE host <> ''),
         e AS (SELECT a, b, count(*) AS n FROM x WHERE a <> b GROUP BY a, b),
         forward AS (SELECT a, b, n / sum(n) OVER (PARTITION BY a) AS share FROM e), backward AS (SELECT b AS a, a AS b, n / sum(n) OVER (PARTITION BY b) AS share FROM e),
+        steps AS (SELECT ceil(ln({TOLERANCE * THRESHOLD} / greatest(1, count(*))) / ln({DAMPING}))::INT AS n FROM h),
         {", ".join(steps)},
         blocked AS (
-            SELECT host FROM h JOIN d{ROUNDS} USING (host) LEFT JOIN g{ROUNDS} USING (host), (SELECT count(*) AS hosts FROM h)
-            WHERE d{ROUNDS}.score * hosts > {THRESHOLD} AND d{ROUNDS}.score > coalesce(g{ROUNDS}.score, 0)
+            SELECT host FROM h JOIN d_score d USING (host) LEFT JOIN g_score g USING (host), (SELECT count(*) AS hosts FROM h)
+            WHERE d.score * hosts > {THRESHOLD} AND d.score > coalesce(g.score, 0)
         )
         SELECT page_id, host, path, rule, coalesce(said, CASE WHEN host IN (SELECT host FROM blocked) THEN 'block' ELSE 'allow' END) AS verdict FROM r"""
 
