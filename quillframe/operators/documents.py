@@ -13,7 +13,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillframe.functions.geometry import crop_error, expand_quad, full_frame, order_corners
+from quillframe.functions.text import LINE_CONFIDENCE
 from quillframe.operators import kernels
+from quillframe.sources import sidecar
 
 POINTS = "array<struct<x: float, y: float>>"
 SCANS = f"id string, pixels binary, width int, height int, corners_detected boolean, corners {POINTS}, orig_width int, orig_height int"
@@ -66,7 +68,9 @@ def scan(images: DataFrame, heatmaps: Callable[[np.ndarray], np.ndarray]) -> Dat
 
 def crop(requests: DataFrame, images: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(crops, failures) of requests (id, corners) on the original images. Corners are taken in the order given."""
-    found = requests.join(images.where("error_kind IS NULL").drop("error_kind"), "id", "left")
+    # Pixels that nobody asked for stay where they are: ids are compared first, and only images that are asked for are joined.
+    asked = images.where("error_kind IS NULL").drop("error_kind").join(requests.select("id").distinct(), "id", "left_semi")
+    found = requests.join(asked, "id", "left")
     judged = found.withColumn("error_message", crop_error(F.col("corners"), F.col("width"), F.col("height"))).withColumn("error_kind", F.when(F.col("data").isNull(), "not_found").when(F.col("error_message").isNotNull(), "invalid_crop"))
     crops = judged.where("error_kind IS NULL").withColumn("corners_detected", F.lit(True)).select("id", "height", "width", "data", "corners", "corners_detected")
     return warp_images(crops), judged.where("error_kind IS NOT NULL").select("id", "error_kind", "error_message")
@@ -83,6 +87,15 @@ def recognize(images: DataFrame, provider: Callable[[np.ndarray], list[tuple[str
     return images.where("error_kind IS NULL").select("id", "height", "width", "data").mapInPandas(run, "doc_id string, det_no int, text string, confidence float, polygon array<array<int>>")
 
 
+def recognized(backend: str = "local", images: DataFrame | None = None, provider: Callable[[np.ndarray], list[tuple[str, float, np.ndarray]]] | None = None, responses: DataFrame | None = None, min_confidence: float = LINE_CONFIDENCE) -> DataFrame:
+    """Recognized lines from either backend: 'local' runs ``provider`` on ``images``, 'sidecar' reads recorded ``responses`` (doc_id, body)."""
+    if backend == "local":
+        return recognize(images, provider)
+    if backend == "sidecar":
+        return sidecar.flatten_lines(sidecar.parse_responses(responses), min_confidence)
+    raise ValueError(f"{backend!r} is no backend: 'local' or 'sidecar'")
+
+
 class LineReader:
     """A provider made of three models: text probability, orientation scores, and logits of a line. Built once a worker."""
 

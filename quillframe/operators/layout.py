@@ -29,9 +29,14 @@ from quillframe.functions.text import (
 DRIFT, FAR_DRIFT, HEIGHTS = 120, 240, 4
 
 
+def is_usable(text: Column, confidence: Column, min_confidence: float = LINE_CONFIDENCE) -> Column:
+    """Whether a line of stripped text counts: it is not empty and sure enough."""
+    return F.coalesce((text != "") & (confidence >= real(min_confidence)), F.lit(False))
+
+
 def usable_lines(lines: DataFrame, min_confidence: float = LINE_CONFIDENCE) -> DataFrame:
     """Lines with stripped, non-empty text and enough confidence. Filters stay next to the scan."""
-    return lines.withColumn("text", strip(F.col("text"))).where((F.col("text") != "") & (F.col("confidence") >= real(min_confidence)))
+    return lines.withColumn("text", strip(F.col("text"))).where(is_usable(F.col("text"), F.col("confidence"), min_confidence))
 
 
 def with_bounds(lines: DataFrame) -> DataFrame:
@@ -42,14 +47,18 @@ def with_bounds(lines: DataFrame) -> DataFrame:
 
 
 def pages(lines: DataFrame, words: Sequence[str] = CARD_LABEL_WORDS, min_confidence: float = LINE_CONFIDENCE) -> DataFrame:
-    """(doc_id, lines): one row per document with its lines by top, left and detection order, numbered from 0.
+    """(doc_id, lines): one row per document with its usable lines by top, left and detection order, numbered from 0.
+
+    A page without a usable line is a row with no lines, as it still has a result: a record of empty fields. Lines that are
+    not usable bring only their page's id to the aggregation.
 
     Each line carries what the operators ask again and again: bounds, whether it reads as a label, whether it counts as
     a label or as a value.
     """
-    known = with_bounds(usable_lines(lines, min_confidence)).withColumn("labelish", looks_like_label(F.col("text"), words))
+    known = with_bounds(lines.withColumn("text", strip(F.col("text")))).withColumn("labelish", looks_like_label(F.col("text"), words))
+    usable = is_usable(F.col("text"), F.col("confidence"), min_confidence)
     fields = ("top", "left", "det_no", "text", "confidence", "right", "bottom", "height", "labelish")
-    by_doc = known.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("found"))
+    by_doc = known.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.when(usable, F.struct(*fields)))).alias("found"))
 
     def line(x: Column, i: Column) -> Column:
         is_label = x["labelish"] & (x["confidence"] >= real(LABEL_CONFIDENCE))
@@ -175,3 +184,9 @@ def explode_fields(frame: DataFrame, fields: str = "fields") -> DataFrame:
     """
     rows = frame.select("doc_id", F.posexplode_outer(fields).alias("field_no", "field")).where("field_no IS NOT NULL")
     return rows.select("doc_id", "field_no", "field.label", "field.value")
+
+
+def fields_json(frame: DataFrame, fields: str = "fields") -> DataFrame:
+    """(doc_id, body): the fields of a page as the JSON of a response; a page without any has an empty array."""
+    made = F.coalesce(F.transform(fields, lambda f: F.struct(f["label"].alias("label"), f["value"].alias("value"))), F.array().cast("array<struct<label: string, value: string>>"))
+    return frame.select("doc_id", F.to_json(F.struct(made.alias("fields"))).alias("body"))

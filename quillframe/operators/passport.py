@@ -21,14 +21,25 @@ def _printed(label: str) -> Column:
     return F.get(F.filter("fields", lambda f: f["label"] == label), F.lit(0))["value"]
 
 
+def today_in_utc() -> Column:
+    return F.to_date(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()))
+
+
+def passport_json(documents: DataFrame) -> DataFrame:
+    """(doc_id, body): passport records as the JSON of a response, fields in their order."""
+    return documents.select("doc_id", F.to_json(F.struct(*COLUMNS)).alias("body"))
+
+
 def passport_documents(pages: DataFrame, as_of: Column | None = None) -> DataFrame:
-    """(doc_id, 12 texts, 6 flags). Without a zone its texts are empty and its flags false.
+    """(doc_id, 12 texts, 6 flags). Without a zone its texts are empty and its flags false; so they are for a page without lines.
+
+    Dates are judged as of ``as_of``, by default today's date in UTC, whatever the session's time zone.
 
     The zone's values count whatever its checks say. The personal number is the printed one where there is one. The date
     of issue is printed only: under its label, else the second of exactly three dates on the page. Names are the zone's.
     Both branches read the same page row, so nothing is joined or shuffled.
     """
-    today = F.current_date() if as_of is None else as_of
+    today = today_in_utc() if as_of is None else as_of
     frame = passport_fields(pages).withColumns({"zone": mrz.extract(F.col("lines"), today), "dates": printed_dates(F.transform("lines", lambda x: x["text"]))})
     text = {c: F.coalesce(F.col("zone")[c], F.lit("")) for c in ZONE_TEXT}
     text["personal_number"] = F.coalesce(_printed("CITIZENSHIP NUMBER"), text["personal_number"])

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from quillframe.functions import errors, geometry, mrz, tensors, text
-from quillframe.operators import layout, passport, signatures
+from quillframe.operators import kernels, layout, passport, signatures
 from quillframe.plans import fixtures, oracle
-from quillframe.sources import sidecar
+from quillframe.sources import images, sidecar, store
+from quillframe.streaming import pages as streaming
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 AS_OF = "2025-01-01"
@@ -26,14 +29,8 @@ def _sql(spark: SparkSession, sf_dir: str, views: str, query: str) -> DataFrame:
     return spark.sql(f"WITH {views} {query}" if views else query)
 
 
-def _table(df: DataFrame) -> DataFrame:
-    """A built input as a table of Parquet files, as real lines would be; in ``spark.checkpoint.dir`` or, where that is unset, a temporary folder."""
-    conf = df.sparkSession.conf
-    if not conf.get("spark.checkpoint.dir", None):
-        conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="quillframe-"))
-    path = f"{conf.get('spark.checkpoint.dir').rstrip('/')}/quillframe-inputs/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: Paths of inputs that this process has written, by application and tables.
+_WRITTEN: dict[tuple[str, str], str] = {}
 
 
 def _as_of() -> Column:
@@ -44,13 +41,24 @@ def zones(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sql(spark, sf_dir, fixtures.ZONES, "SELECT * FROM zones")
 
 
+def _lines_path(spark: SparkSession, sf_dir: str) -> str:
+    """Recognized lines as a table of Parquet files, as a recognizer gives them, each page in one file; written once an application."""
+    name = (spark.sparkContext.applicationId, sf_dir)
+    if name not in _WRITTEN or not store.exists(spark, _WRITTEN[name]):
+        raw = _sql(spark, sf_dir, fixtures.PAGES, "SELECT * FROM ocr_lines")
+        corner = lambda x, y: F.array(x.cast("int"), y.cast("int"))
+        left, top, right, bottom = F.col("lft"), F.col("top"), F.col("lft") + F.col("wid"), F.col("top") + 20
+        polygon = F.array(corner(left, top), corner(right, top), corner(right, bottom), corner(left, bottom))
+        made = raw.select("doc_id", "kind", "det_no", "text", (F.col("conf") / 1000).cast("float").alias("confidence"), polygon.alias("polygon"))
+        _WRITTEN[name] = store.written(made.repartition("doc_id"), "lines")
+    return _WRITTEN[name]
+
+
+LINES = "doc_id BIGINT, kind INT, det_no INT, text STRING, confidence FLOAT, polygon ARRAY<ARRAY<INT>>"
+
+
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Recognized lines as a recognizer gives them."""
-    raw = _sql(spark, sf_dir, fixtures.PAGES, "SELECT * FROM ocr_lines")
-    corner = lambda x, y: F.array(x.cast("int"), y.cast("int"))
-    left, top, right, bottom = F.col("lft"), F.col("top"), F.col("lft") + F.col("wid"), F.col("top") + 20
-    polygon = F.array(corner(left, top), corner(right, top), corner(right, bottom), corner(left, bottom))
-    return _table(raw.select("doc_id", "kind", "det_no", "text", (F.col("conf") / 1000).cast("float").alias("confidence"), polygon.alias("polygon")))
+    return spark.read.schema(LINES).parquet(_lines_path(spark, sf_dir))
 
 
 def cards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -219,12 +227,79 @@ def error_status(spark, sf_dir):
     return parsed.select("doc_id", F.coalesce("error_kind", F.lit("none")).alias("error_kind"), response["status"].alias("status"), F.coalesce(response["message"], F.lit("")).alias("message"))
 
 
+@F.pandas_udf(StructType([StructField("x", DoubleType()), StructField("y", DoubleType())]))
+def _largest_blob(grids: pd.Series) -> pd.DataFrame:
+    found = [kernels.largest_blob(np.asarray(g, np.float32).reshape(8, 8), threshold=0.1) for g in grids]
+    return pd.DataFrame([x or (None, None) for x in found], columns=["x", "y"], dtype="float64")
+
+
+def largest_blob(spark, sf_dir):
+    found = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", _largest_blob("embedding").alias("c")).where("c.x IS NOT NULL")
+    return found.select("vec_id", milli(F.col("c.x")).alias("x"), milli(F.col("c.y")).alias("y"))
+
+
+def first_upload(spark, sf_dir):
+    parts = _sql(spark, sf_dir, "", oracle.PARTS).withColumn("content", F.col("body").cast("binary"))
+    return images.first_upload(parts).select("request_id", F.col("content").cast("string").alias("body"), "error_kind")
+
+
+def look_up(spark, sf_dir):
+    requests = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", (F.col("o_custkey") * 2).alias("id"))
+    held = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("id"), "c_name")
+    return images.look_up(requests, held).select("o_orderkey", "c_name", "error_kind")
+
+
+def latest_crops(spark, sf_dir):
+    crops = _sql(spark, sf_dir, "", oracle.CROPS).withColumn("pixels", F.col("body").cast("binary"))
+    return images.latest_crops(crops).select("id", "crop_no", "body")
+
+
+def request_body(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return docs.select("doc_id", sidecar.request_body(F.coalesce("text", F.lit("")).cast("binary")).alias("body"))
+
+
+def _corners(frame: DataFrame, quad: Column, scale: int) -> DataFrame:
+    return frame.withColumn("q", quad).select("doc_id", *(F.round(F.col("q")[i][axis].cast("double") * scale).cast("long").alias(f"{axis}{i}") for i in range(4) for axis in "xy"))
+
+
+def rescale_box(spark, sf_dir):
+    ratio = lambda m: (2 + F.col("doc_id") % m) / 4.0
+    return _corners(quads(spark, sf_dir), geometry.rescale_box(F.col("quad"), ratio(7), ratio(5), F.col("width"), F.col("height")), 10)
+
+
+def full_frame(spark, sf_dir):
+    return _corners(quads(spark, sf_dir), geometry.full_frame(F.col("width"), F.col("height")), 1)
+
+
+def upside_down(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", tensors.is_upside_down(F.col("embedding")).alias("upside_down"))
+
+
+def stream_fields(spark, sf_dir):
+    """The generic fields by the same operators over a stream of files, a few to a batch."""
+    out = f"{store.own_dir(spark)}/stream-{uuid.uuid4().hex}"
+    stream = streaming.stream_lines(spark, _lines_path(spark, sf_dir), LINES, files_per_batch=3)
+    fields = lambda batch: layout.explode_fields(layout.pages(batch).select("doc_id", layout.generic_fields(F.col("lines")).alias("fields")))
+    streaming.process_available(stream, fields, f"{out}/result", f"{out}/checkpoint").awaitTermination()
+    return spark.read.schema("doc_id BIGINT, field_no INT, label STRING, value STRING").parquet(f"{out}/result/*")
+
+
+def fields_json(spark, sf_dir):
+    return layout.fields_json(signatures.card_fields(cards(spark, sf_dir)))
+
+
+def passport_json(spark, sf_dir):
+    return passport.passport_json(passport_document(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         mrz_roundtrip, mrz_names, mrz_dates, check_digits, mrz_candidates, shape_profile, label_words, inline_fields, reading_order, label_components,
         nearest_below, same_row_values, generic_fields, detect_type, block_scan, card_fields, passport_fields, passport_document, print_dates,
         quad_order, quad_expand, crop_validate, det_resize, unclip_boxes, ctc_decode, heatmap_peak, sidecar_flatten, error_status,
+        largest_blob, first_upload, look_up, latest_crops, request_body, rescale_box, full_frame, upside_down, stream_fields, fields_json, passport_json,
     )
 }
 ORACLE: dict[str, str] = oracle.ORACLE

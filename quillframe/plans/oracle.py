@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from quillframe.functions.geometry import CROP_ERRORS
 from quillframe.functions.text import CARD_LABEL_WORDS, MONTHS, PASSPORT_LABEL_WORDS
+from quillframe.operators.passport import COLUMNS, ZONE_FLAGS
 from quillframe.operators.signatures import CARD_TYPES, PASSPORT
 from quillframe.plans import fixtures
 from quillframe.plans.fixtures import ALPHABET, check_sum
@@ -232,7 +233,7 @@ cand AS (SELECT doc_id, {_normalized("text")} AS z, row_number() OVER (PARTITION
 two AS (SELECT a.doc_id, rpad(a.z, 44, '<') AS line1, rpad(b.z, 44, '<') AS line2 FROM cand a JOIN cand b ON a.doc_id = b.doc_id AND a.r = 2 AND b.r = 1),
 zone AS (SELECT doc_id, {", ".join(f"{e} AS {c}" for c, e in _ZONE.items())} FROM two),
 dates AS (SELECT doc_id, list(trim(text) ORDER BY n) AS d FROM l WHERE {is_date} GROUP BY doc_id),
-doc AS (SELECT DISTINCT doc_id FROM l),
+doc AS (SELECT DISTINCT doc_id FROM ocr_lines),
 issue AS (
     SELECT doc.doc_id, coalesce((SELECT first(value ORDER BY field_no) FROM printed p WHERE p.doc_id = doc.doc_id AND label = 'DATE OF ISSUE'), CASE WHEN len(d) = 3 THEN d[2] END) AS issue,
            (SELECT first(value ORDER BY field_no) FROM printed p WHERE p.doc_id = doc.doc_id AND label = 'CITIZENSHIP NUMBER') AS citizen
@@ -285,6 +286,22 @@ def _detector(most: int, name: str) -> str:
     return ", ".join(f"greatest((floor({cut(v)} / 32.0::DOUBLE + 0.5) * 32)::INT, 32) AS {name}_{v}" for v in "hw")
 
 
+def _passport_json() -> str:
+    cells = " || ',' || ".join(f"""'"{c}":' || """ + (f"to_json({c})::VARCHAR" if c not in ZONE_FLAGS else f"{c}::VARCHAR") for c in COLUMNS)
+    return f"SELECT doc_id, '{{' || {cells} || '}}' AS body FROM ({_passport_document()})"
+
+
+def _fields_json() -> str:
+    one = """'{"label":' || to_json(label)::VARCHAR || ',"value":' || to_json(value)::VARCHAR || '}'"""
+    return f"""WITH f AS ({_card_fields()}), {fixtures.PAGES}, d AS (SELECT DISTINCT doc_id FROM ocr_lines)
+        SELECT doc_id, '{{"fields":[' || coalesce(string_agg({one}, ',' ORDER BY field_no) FILTER (label IS NOT NULL), '') || ']}}' AS body FROM d LEFT JOIN f USING (doc_id) GROUP BY doc_id"""
+
+
+#: Multipart requests, of which some have no part, an empty one, or parts of any name; crops with ties; an image's bytes as text.
+PARTS = """SELECT l_orderkey AS request_id, CASE WHEN l_orderkey % 23 <> 0 THEN CAST(l_linenumber * 2 AS INT) END AS part_no, CASE WHEN l_partkey % 4 = 0 THEN 'image' ELSE 'part' || CAST(l_partkey % 3 AS STRING) END AS name,
+    CASE WHEN l_suppkey % 5 = 0 THEN '' WHEN l_orderkey % 23 <> 0 THEN CAST(l_partkey AS STRING) || l_returnflag END AS body FROM lineitem"""
+CROPS = "SELECT user_id AS id, CAST(event_id * 7 % 40 AS INT) AS crop_no, event_type || CAST(event_id % 5 AS STRING) AS body FROM events"
+
 _GROW = "(CASE WHEN w + h > 0 THEN (w * h * 1.5::FLOAT / (2::FLOAT * (w + h)))::FLOAT ELSE 0::FLOAT END)"
 _LINES = f"WITH {fixtures.PAGES}"
 
@@ -308,7 +325,7 @@ ORACLE = {
     "same_row_values": f"{_pages(CARD_LABEL_WORDS)} SELECT doc_id, anchor::INT AS anchor, value FROM vrow",
     "generic_fields": f"{_pages(CARD_LABEL_WORDS)} SELECT doc_id, field_no::INT AS field_no, label, value FROM generic",
     "detect_type": f"""{_pages(CARD_LABEL_WORDS)}{_types((*CARD_TYPES, PASSPORT))},
-        h AS (SELECT doc_id, {", ".join(f"coalesce(max(hits) FILTER (ty = {i}), 0)::INT AS {t.name}_hits" for i, t in enumerate((*CARD_TYPES, PASSPORT)))} FROM (SELECT DISTINCT doc_id FROM l) LEFT JOIN hits USING (doc_id) GROUP BY doc_id)
+        h AS (SELECT doc_id, {", ".join(f"coalesce(max(hits) FILTER (ty = {i}), 0)::INT AS {t.name}_hits" for i, t in enumerate((*CARD_TYPES, PASSPORT)))} FROM (SELECT DISTINCT doc_id FROM ocr_lines) LEFT JOIN hits USING (doc_id) GROUP BY doc_id)
         SELECT doc_id, CASE {" ".join(f"WHEN {t.name}_hits >= {t.least} THEN '{t.name}'" for t in CARD_TYPES)} ELSE 'none' END AS type, * EXCLUDE (doc_id) FROM h""",
     "block_scan": f"{_pages(CARD_LABEL_WORDS)}{_blocks(CARD_TYPES)} SELECT doc_id, label, block.text AS value FROM block JOIN blocks USING (ty, f) WHERE block.text <> ''",
     "card_fields": _card_fields(),
@@ -333,6 +350,26 @@ ORACLE = {
     "heatmap_peak": """
         WITH c AS (SELECT vec_id, unnest(range(0, 64)) AS i, unnest(embedding) AS v FROM embeddings)
         SELECT vec_id, round(sum(i % 8)::DOUBLE / count(*) * 1000)::BIGINT AS x, round(sum(i // 8)::DOUBLE / count(*) * 1000)::BIGINT AS y FROM c WHERE v > 0.1::FLOAT GROUP BY vec_id""",
+    "largest_blob": """
+        WITH RECURSIVE c AS (SELECT vec_id, unnest(range(0, 64)) AS i, unnest(embedding) AS v FROM embeddings), o AS (SELECT vec_id, i, i % 8 AS x, i // 8 AS y FROM c WHERE v > 0.1::FLOAT),
+        reach AS (SELECT vec_id, i AS a, i AS b FROM o UNION SELECT r.vec_id, r.a, n.i FROM reach r JOIN o m ON m.vec_id = r.vec_id AND m.i = r.b JOIN o n ON n.vec_id = m.vec_id AND abs(n.x - m.x) <= 1 AND abs(n.y - m.y) <= 1),
+        g AS (SELECT vec_id, a AS i, min(b) AS g FROM reach GROUP BY vec_id, a),
+        s AS (SELECT vec_id, g, sum(x)::DOUBLE / count(*) AS x, sum(y)::DOUBLE / count(*) AS y, row_number() OVER (PARTITION BY vec_id ORDER BY count(*) DESC, g) AS r FROM g JOIN o USING (vec_id, i) GROUP BY vec_id, g)
+        SELECT vec_id, round(x * 1000)::BIGINT AS x, round(y * 1000)::BIGINT AS y FROM s WHERE r = 1""",
+    "first_upload": f"""
+        WITH p AS ({PARTS}), b AS (SELECT request_id, min(struct_pack(n := part_no, b := body)).b AS first, (max(struct_pack(n := part_no, b := body)) FILTER (name = 'image')).b AS image FROM p WHERE part_no IS NOT NULL GROUP BY request_id)
+        SELECT request_id, coalesce(image, first) AS body, CASE WHEN first IS NULL THEN 'missing_image' WHEN coalesce(image, first) = '' THEN 'empty_image' END AS error_kind FROM (SELECT DISTINCT request_id FROM p) LEFT JOIN b USING (request_id)""",
+    "look_up": "SELECT o_orderkey, c_name, CASE WHEN c_custkey IS NULL THEN 'not_found' END AS error_kind FROM orders LEFT JOIN customer ON c_custkey = o_custkey * 2",
+    "latest_crops": f"""WITH c AS ({CROPS}) SELECT id, crop_no, body FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY crop_no DESC, sha256(body) DESC) AS r FROM c) WHERE r = 1""",
+    "request_body": """SELECT doc_id, '{"file":"' || to_base64(encode(coalesce(text, ''))) || '","fileType":1,"useDocOrientationClassify":false,"useDocUnwarping":false,"useTextlineOrientation":true,"textRecScoreThresh":0.45,"visualize":false}' AS body FROM documents""",
+    "rescale_box": f"WITH {fixtures.QUADS} SELECT doc_id, "
+    + ", ".join(f"round(least(greatest(({a}{i} / ((2 + doc_id % {m}) / 4.0)::FLOAT)::FLOAT, 0::FLOAT), {s}::FLOAT - 1::FLOAT)::DOUBLE * 10)::BIGINT AS {a}{i}" for i in range(4) for a, s, m in (("x", "width", 7), ("y", "height", 5)))
+    + " FROM quads",
+    "full_frame": f"WITH {fixtures.QUADS} SELECT doc_id, 0::BIGINT AS x0, 0::BIGINT AS y0, (width - 1)::BIGINT AS x1, 0::BIGINT AS y1, (width - 1)::BIGINT AS x2, (height - 1)::BIGINT AS y2, 0::BIGINT AS x3, (height - 1)::BIGINT AS y3 FROM quads",
+    "upside_down": "SELECT vec_id, embedding[2] > embedding[1] AS upside_down FROM embeddings",
+    "stream_fields": f"{_pages(CARD_LABEL_WORDS)} SELECT doc_id, field_no::INT AS field_no, label, value FROM generic",
+    "fields_json": _fields_json(),
+    "passport_json": _passport_json(),
     "sidecar_flatten": f"""
         WITH b AS ({BODIES}), g AS (SELECT doc_id, body->'$.result.ocrResults[0].prunedResult' AS p FROM b WHERE doc_id % 7 > 2),
         e AS (SELECT doc_id, unnest(range(0, 3)) AS i, p FROM g),

@@ -35,11 +35,12 @@ def read_uploads(spark: SparkSession, path: str, pattern: str = "*.{jpg,jpeg,png
 def first_upload(parts: DataFrame) -> DataFrame:
     """(request_id, content, error_kind) of multipart requests (request_id, part_no, name, content).
 
-    The first part counts, whatever its name; the last later one named ``image`` replaces it. No part and an empty one are different failures.
+    The first part, the one with the least number, counts whatever its name; the last later one named ``image`` replaces it. No
+    part (a row without a number) and an empty one are different failures.
     """
-    rank = F.struct(F.when((F.col("name") == "image") | (F.col("part_no") == 0), F.col("part_no")).otherwise(-1).alias("at"), F.col("content"))
-    best = parts.groupBy("request_id").agg(F.max(rank).alias("best"))
-    content = F.when(F.col("best.at") >= 0, F.col("best.content"))
+    part = F.when(F.col("part_no").isNotNull(), F.struct("part_no", "content"))
+    best = parts.groupBy("request_id").agg(F.coalesce(F.max(F.when(F.col("name") == "image", part)), F.min(part)).alias("best"))
+    content = F.col("best.content")
     kind = F.when(content.isNull(), "missing_image").when(F.length(content) == 0, "empty_image")
     return best.select("request_id", content.alias("content"), kind.alias("error_kind"))
 
@@ -81,10 +82,22 @@ def write_originals(uploads: DataFrame, path: str) -> None:
 def latest_crops(crops: DataFrame) -> DataFrame:
     """The last crop of each scan: (id, crop_no, ...) with the greatest ``crop_no``; a later one replaces an earlier one.
 
-    The maximum is of numbers alone, so pixels are shuffled once, with the rows that stay.
+    The maximum is of numbers and digests, so pixels are shuffled once, with the rows that stay. Of crops of one number the one
+    with the greatest digest of its pixels stays.
     """
-    last = crops.groupBy("id").agg(F.max("crop_no").alias("crop_no"))
-    return crops.join(last, ["id", "crop_no"], "left_semi")
+    marked = crops.withColumn("__digest", F.sha2(F.col("pixels"), 256))
+    last = marked.groupBy("id").agg(F.max(F.struct("crop_no", F.col("__digest").alias("d"))).alias("last")).select(F.col("id").alias("__id"), "last")
+    same = (F.col("id") == F.col("__id")) & (F.col("crop_no") == F.col("last.crop_no")) & F.col("__digest").eqNullSafe(F.col("last.d"))
+    return marked.join(last, same, "left_semi").drop("__digest").dropDuplicates(["id"])
+
+
+def write_crops(crops: DataFrame, path: str) -> None:
+    """Adds crops (id, crop_no, pixels, ...) to the store; ``read_crops`` sees the last of each scan, so a later one overwrites an earlier one."""
+    crops.write.mode("append").parquet(path)
+
+
+def read_crops(spark: SparkSession, path: str) -> DataFrame:
+    return latest_crops(spark.read.parquet(path))
 
 
 def look_up(requests: DataFrame, store: DataFrame) -> DataFrame:

@@ -14,7 +14,11 @@ RESPONSE = "errorCode INT, errorMsg STRING, result STRUCT<ocrResults: ARRAY<STRU
 def request_body(content: Column, min_confidence: float = LINE_CONFIDENCE) -> Column:
     """A request as JSON: the image in base64 on one line (``base64`` breaks long lines), and the confidence floor."""
     image = F.regexp_replace(F.base64(content), r"[\r\n]", "")
-    return F.to_json(F.struct(image.alias("file"), F.lit(1).alias("fileType"), F.lit(min_confidence).cast("float").alias("textRecScoreThresh")))
+    flag = lambda name, value: F.lit(value).alias(name)
+    return F.to_json(F.struct(
+        image.alias("file"), flag("fileType", 1), flag("useDocOrientationClassify", False), flag("useDocUnwarping", False), flag("useTextlineOrientation", True),
+        F.lit(min_confidence).cast("float").alias("textRecScoreThresh"), flag("visualize", False),
+    ))
 
 
 def parse_responses(responses: DataFrame, body: str = "body", status: str | None = None) -> DataFrame:
@@ -38,8 +42,8 @@ def parse_responses(responses: DataFrame, body: str = "body", status: str | None
 
 def flatten_lines(parsed: DataFrame, min_confidence: float = LINE_CONFIDENCE) -> DataFrame:
     """(doc_id, det_no, text, confidence, polygon) of the good responses: stripped texts that are not empty and sure enough, in order of pages and lines."""
-    pages = parsed.where("error_kind IS NULL").select("doc_id", F.posexplode("response.result.ocrResults").alias("page_no", "page"))
-    pruned = F.col("page.prunedResult")
-    lines = pages.select("doc_id", "page_no", F.posexplode(F.arrays_zip(pruned["rec_texts"].alias("text"), pruned["rec_scores"].alias("confidence"), pruned["rec_polys"].alias("polygon"))).alias("line_no", "line"))
-    out = lines.select("doc_id", (F.col("page_no") * 100_000 + F.col("line_no")).alias("det_no"), strip(F.col("line.text")).alias("text"), F.col("line.confidence").alias("confidence"), F.col("line.polygon").alias("polygon"))
+    one = lambda p: F.arrays_zip(p["prunedResult"]["rec_texts"].alias("text"), p["prunedResult"]["rec_scores"].alias("confidence"), p["prunedResult"]["rec_polys"].alias("polygon"))
+    all_lines = F.flatten(F.transform("response.result.ocrResults", one))  # numbered through all pages, however many lines a page has
+    lines = parsed.where("error_kind IS NULL").select("doc_id", F.posexplode(all_lines).alias("det_no", "line"))
+    out = lines.select("doc_id", "det_no", strip(F.col("line.text")).alias("text"), F.col("line.confidence").alias("confidence"), F.col("line.polygon").alias("polygon"))
     return out.where((F.col("text") != "") & (F.col("confidence") >= real(min_confidence)))

@@ -125,7 +125,11 @@ def test_documents_do_not_touch_each_other_and_may_move(spark):
 
 def test_empty_input_and_unusable_lines(spark):
     assert layout.pages(spark.createDataFrame([], SCHEMA)).count() == 0
-    assert layout.pages(spark.createDataFrame(page((" ", 0.9, 1, 1), ("x", 0.44, 1, 1)), SCHEMA)).count() == 0
+    empty = layout.pages(spark.createDataFrame(page((" ", 0.9, 1, 1), ("x", 0.44, 1, 1)), SCHEMA))
+    assert [r.lines for r in empty.collect()] == [[]]
+    record = passport.passport_documents(empty).first()
+    assert all(record[c] in ("", False) for c in passport.COLUMNS)
+    assert layout.fields_json(signatures.card_fields(empty)).first().body == '{"fields":[]}'
     assert layout.pages(spark.createDataFrame(page(("x", 0.45, 1, 1)), SCHEMA)).count() == 1
 
 
