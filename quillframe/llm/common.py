@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -11,6 +10,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillframe.sources.store import clean_up, own_dir  # noqa: F401
+
 #: The bytes that separate words everywhere in this subpackage: space, tab, LF, VT, FF, CR.
 SPACE = "\\x20\\x09-\\x0D"
 
@@ -19,35 +20,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in ``spark.checkpoint.dir``. Where that is unset, a temporary one in local mode, as in
-    tests; an error on a cluster, whose machines would each write to a folder of their own."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir is not set: intermediate results need a folder that all machines share")
-        found = tempfile.mkdtemp(prefix="quillframe-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def _own_dir(spark: SparkSession) -> str:
-    return f"{shared_dir(spark)}/quillframe/{spark.sparkContext.applicationId}"
-
-
-def clean_up(spark: SparkSession) -> None:
-    """Deletes the intermediate results of this application. Results of operators that are not written yet are lost with them."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def durable(df: DataFrame, name: str = "step", partition_by: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     This cuts the lineage: an executor lost later costs only the tasks that it ran, and a costly step that
     feeds several others runs once. Values that depend on the task (row numbers, partition ids) are fixed by it.
     """
-    path = f"{_own_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = f"{own_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     writer = df.write.mode("overwrite")
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -173,7 +152,8 @@ def drop_ids(rows: DataFrame, key: str, gone: DataFrame) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, size: int = 4 << 20) -> None:
-    """Bounds what Spark hands to Python at once by bytes. The default bound is rows: ten thousand texts, however long."""
+    """Bounds what Spark hands to Python at once to ``size`` bytes, where the setting allows more (64 MB by default): several
+    copies of a batch are held at a time, as texts and as what is made of them."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
     was = spark.conf.get(name).lower().removesuffix("b")
     units = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}
