@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, FloatType, LongType, StructField, StructType
 
 from quillframe.functions import errors, geometry, mrz, tensors, text
 from quillframe.operators import kernels, layout, passport, signatures
@@ -238,6 +238,50 @@ def largest_blob(spark, sf_dir):
     return found.select("vec_id", milli(F.col("c.x")).alias("x"), milli(F.col("c.y")).alias("y"))
 
 
+@F.pandas_udf(DoubleType())
+def _masked_mean(grids: pd.Series, quads: pd.Series) -> pd.Series:
+    return pd.Series([kernels.masked_mean(np.asarray(g, float).reshape(8, 8), np.asarray(q, float).reshape(4, 2)) for g, q in zip(grids, quads)])
+
+
+def masked_mean(spark, sf_dir):
+    """Means inside small quads, some of them partly outside the grid."""
+    x, y, tilt = F.col("vec_id") % 9 - 2, F.col("vec_id") % 7 - 2, F.col("vec_id") % 2
+    quad = F.array(*(c.cast("double") for c in (x, y, x + 3, y + tilt, x + 3, y + 4, x, y + 3)))
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", milli(_masked_mean("embedding", quad)).alias("mean"))
+
+
+@F.pandas_udf(ArrayType(FloatType()))
+def _planes(pixels: pd.Series) -> pd.Series:
+    images_ = [np.asarray(p, np.uint8).reshape(2, 2, 3) for p in pixels]
+    return pd.Series([np.r_[kernels.imagenet_planes(x).ravel(), kernels.line_planes(x).ravel()] for x in images_])
+
+
+def planes(spark, sf_dir):
+    """Both kinds of model inputs of an image of two by two pixels, plane by plane."""
+    pixels = F.transform(F.slice("embedding", 1, 12), lambda v: (F.floor(F.abs(v.cast("double")) * 1000) % 256).cast("int"))
+    found = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.posexplode(_planes(pixels)).alias("place", "value"))
+    return found.select("vec_id", "place", F.round(F.col("value").cast("double") * 10000).cast("long").alias("value"))
+
+
+@F.pandas_udf(ArrayType(LongType()))
+def _straightened(quads: pd.Series, width: pd.Series, height: pd.Series) -> pd.Series:
+    out = []
+    for quad, w, h in zip(quads, width, height):
+        points = np.array([[p["x"], p["y"]] for p in quad], float)
+        mapped = kernels.homography(points, [[0, 0], [w - 1, 0], [w - 1, h - 1], [0, h - 1]]) @ np.r_[points.T, np.ones((1, 4))]
+        out.append(np.rint(mapped[:2] / mapped[2]).astype(int).T.ravel())
+    return pd.Series(out)
+
+
+def homography(spark, sf_dir):
+    """Where the projective map of each valid crop takes its corners: to those of the straightened image."""
+    q = quads(spark, sf_dir)
+    size = geometry.crop_size(F.col("quad"))
+    good = q.where(geometry.crop_error(F.col("quad"), F.col("width"), F.col("height")).isNull())
+    found = good.select("doc_id", _straightened("quad", size["width"], size["height"]).alias("p"))
+    return found.select("doc_id", *(F.col("p")[2 * i + k].alias(f"{axis}{i}") for i in range(4) for k, axis in enumerate("xy")))
+
+
 def first_upload(spark, sf_dir):
     parts = _sql(spark, sf_dir, "", oracle.PARTS).withColumn("content", F.col("body").cast("binary"))
     return images.first_upload(parts).select("request_id", F.col("content").cast("string").alias("body"), "error_kind")
@@ -299,7 +343,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         mrz_roundtrip, mrz_names, mrz_dates, check_digits, mrz_candidates, shape_profile, label_words, inline_fields, reading_order, label_components,
         nearest_below, same_row_values, generic_fields, detect_type, block_scan, card_fields, passport_fields, passport_document, print_dates,
         quad_order, quad_expand, crop_validate, det_resize, unclip_boxes, ctc_decode, heatmap_peak, sidecar_flatten, error_status,
-        largest_blob, first_upload, look_up, latest_crops, request_body, rescale_box, full_frame, upside_down, stream_fields, fields_json, passport_json,
+        largest_blob, masked_mean, planes, homography, first_upload, look_up, latest_crops, request_body, rescale_box, full_frame, upside_down, stream_fields, fields_json, passport_json,
     )
 }
 ORACLE: dict[str, str] = oracle.ORACLE

@@ -356,6 +356,20 @@ ORACLE = {
         g AS (SELECT vec_id, a AS i, min(b) AS g FROM reach GROUP BY vec_id, a),
         s AS (SELECT vec_id, g, sum(x)::DOUBLE / count(*) AS x, sum(y)::DOUBLE / count(*) AS y, row_number() OVER (PARTITION BY vec_id ORDER BY count(*) DESC, g) AS r FROM g JOIN o USING (vec_id, i) GROUP BY vec_id, g)
         SELECT vec_id, round(x * 1000)::BIGINT AS x, round(y * 1000)::BIGINT AS y FROM s WHERE r = 1""",
+    "masked_mean": """
+        WITH q AS (SELECT vec_id, embedding, vec_id % 9 - 2 AS a, vec_id % 7 - 2 AS b, vec_id % 2 AS t FROM embeddings),
+        c AS (SELECT vec_id, a, b, t, unnest(range(0, 64)) % 8 - a AS x, unnest(range(0, 64)) // 8 - b AS y, unnest(embedding)::DOUBLE AS v FROM q),
+        i AS (SELECT vec_id, avg(v) AS mean FROM c WHERE x BETWEEN 0 AND 3 AND 3 * y >= t * x AND 3 * (y - 3) <= x GROUP BY vec_id)
+        SELECT vec_id, coalesce(round(mean * 1000), 0)::BIGINT AS mean FROM embeddings LEFT JOIN i USING (vec_id)""",
+    "planes": f"""
+        WITH e AS (SELECT vec_id, unnest(range(0, 12)) AS i, (floor(abs(unnest(embedding[1:12])::DOUBLE) * 1000) % 256)::INT AS v FROM embeddings),
+        m AS (SELECT * FROM (VALUES (0, 0.485, 0.229), (1, 0.456, 0.224), (2, 0.406, 0.225)) AS m(c, mean, dev))
+        SELECT vec_id, (c * 4 + i // 3)::INT AS place, round(((v::FLOAT / 255::FLOAT - mean::FLOAT) / dev::FLOAT)::FLOAT::DOUBLE * 10000)::BIGINT AS value FROM e JOIN m ON c = i % 3
+        UNION ALL SELECT vec_id, (12 + i % 3 * 4 + i // 3)::INT, round(((v::FLOAT - 127.5::FLOAT) / 127.5::FLOAT)::FLOAT::DOUBLE * 10000)::BIGINT FROM e""",
+    "homography": f"""
+        WITH {fixtures.QUADS}, s AS (SELECT doc_id, greatest(floor({_W} + 0.5)::BIGINT, 1) - 1 AS w, greatest(floor({_H} + 0.5)::BIGINT, 1) - 1 AS h FROM quads
+            WHERE NOT ({_OUTSIDE}) AND {_W} BETWEEN 2 AND 16384 AND {_H} BETWEEN 2 AND 16384 AND {_AREA} >= 4::FLOAT)
+        SELECT doc_id, 0::BIGINT AS x0, 0::BIGINT AS y0, w AS x1, 0::BIGINT AS y1, w AS x2, h AS y2, 0::BIGINT AS x3, h AS y3 FROM s""",
     "first_upload": f"""
         WITH p AS ({PARTS}), b AS (SELECT request_id, min(struct_pack(n := part_no, b := body)).b AS first, (max(struct_pack(n := part_no, b := body)) FILTER (name = 'image')).b AS image FROM p WHERE part_no IS NOT NULL GROUP BY request_id)
         SELECT request_id, coalesce(image, first) AS body, CASE WHEN first IS NULL THEN 'missing_image' WHEN coalesce(image, first) = '' THEN 'empty_image' END AS error_kind FROM (SELECT DISTINCT request_id FROM p) LEFT JOIN b USING (request_id)""",
