@@ -174,6 +174,15 @@ def test_components(spark):
     found = dict(plain(connected_components(spark.createDataFrame(edges, "a long, b long"))))
     assert found == {**{i: 0 for i in range(41)}, 100: 90, 90: 90, 95: 90, 200: 200, 201: 200}
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+    import random
+
+    rng = random.Random(8)
+    edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(230)]
+    root = {x: x for e in edges for x in e}
+    for _ in range(400):
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    assert dict(plain(connected_components(spark.createDataFrame(edges, "a long, b long")))) == {x: r for x, r in root.items() if any(x in e and e[0] != e[1] for e in edges)}
 
 
 def repeats(rows, width):
