@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from quillframe.llm.common import distinct, mix64, small_batches, utf8, word_hashes
+from quillframe.llm.common import distinct, durable, mix64, small_batches, utf8, word_hashes
 
 #: Bytes of a passage; buckets of the profiles of byte pairs, words and word pairs; sizes of the learned layers.
 PASSAGE, BUCKETS, WORDS, PAIRS, HIDDEN, ATTENTION = 600, 64, 128, 128, 24, 12
@@ -209,7 +209,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
             yield pa.RecordBatch.from_arrays([*out.columns, pa.array([b.astype("<f4").tobytes() for b in bags], pa.binary())], ["id", "label", "bag"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "id")
-    found = sorted((r["id"], r["label"], bytes(r["bag"])) for r in rows.mapInArrow(encode, "id long, label int, bag binary").toLocalIterator())
+    # Written by all tasks at once; what comes to the driver, part by part, is read from the few files that hold the sample.
+    encoded = durable(rows.mapInArrow(encode, "id long, label int, bag binary"), "sample")
+    found = sorted((r["id"], r["label"], bytes(r["bag"])) for r in encoded.toLocalIterator())
     bags = [np.frombuffer(b, "<f4").reshape(-1, FEATURES) for _, _, b in found]
     return fit(bags, np.array([float(label > 0) for _, label, _ in found]))
 
