@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from quillframe.functions.geometry import crop_error, expand_quad, full_frame, order_corners
 from quillframe.functions.text import LINE_CONFIDENCE
-from quillframe.operators import kernels
+from quillframe.operators import jpeg, kernels
 from quillframe.sources import sidecar
 
 POINTS = "array<struct<x: float, y: float>>"
@@ -48,7 +48,7 @@ def detect_corners(images: DataFrame, heatmaps: Callable[[np.ndarray], np.ndarra
 
 
 def warp_images(images: DataFrame) -> DataFrame:
-    """Straightened pixels of (id, height, width, data, corners, corners_detected). Pixels come raw, as no JPEG encoder is at hand."""
+    """Straightened pixels of (id, height, width, data, corners, corners_detected), raw; ``as_jpeg`` makes files of them."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -61,6 +61,16 @@ def warp_images(images: DataFrame) -> DataFrame:
     return images.mapInPandas(run, SCANS)
 
 
+def as_jpeg(scans: DataFrame, quality: int = jpeg.QUALITY) -> DataFrame:
+    """Scans or crops with ``content``, a JPEG file, in place of their raw ``pixels``. Null pixels give null."""
+
+    @F.pandas_udf("binary")
+    def encoded(pixels: pd.Series, width: pd.Series, height: pd.Series) -> pd.Series:
+        return pd.Series([None if p is None else jpeg.encode(np.frombuffer(p, np.uint8).reshape(int(h), int(w), 3), quality) for p, w, h in zip(pixels, width, height)], dtype=object)
+
+    return scans.withColumn("content", encoded("pixels", "width", "height")).drop("pixels")
+
+
 def scan(images: DataFrame, heatmaps: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
     """Detection and straightening of decoded images."""
     return warp_images(detect_corners(images, heatmaps))

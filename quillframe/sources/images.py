@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType, TimestampType
 
+from quillframe.sources.store import written
+
 #: Largest upload in bytes.
 LIMIT = 25 * 1024 * 1024
 BINARY_FILE = StructType([StructField("path", StringType()), StructField("modificationTime", TimestampType()), StructField("length", LongType()), StructField("content", BinaryType())])
@@ -62,13 +64,15 @@ def read_images(spark: SparkSession, path: str) -> DataFrame:
     """(id, height, width, data, error_kind): decoded pixels, three bytes a pixel in the order blue, green, red.
 
     Gray images and those with alpha are converted. Files that do not decode are 'decode', and so are gray PNG files of 16
-    bits, of which Spark's reader keeps the low byte alone; these are told by the header of their file.
+    bits, of which Spark's reader keeps the low byte alone; these are told by the header of their file, in a pass of its own.
     """
     images = spark.read.format("image").load(path).select("image.*")
-    # Signature, IHDR, bit depth 16, colour type gray (0) or gray with alpha (4). Their ids are few; pixels are not shuffled.
+    # Signature, IHDR, bit depth 16, colour type gray (0) or gray with alpha (4). Their ids are written, so that Spark knows their
+    # size when it plans the join: a few are broadcast, and only where they are too many are pixels shuffled.
     head = F.hex(F.substring("content", 1, 26))
     deep = spark.read.format("binaryFile").load(path).where(head.rlike("^89504E470D0A1A0A.{32}10(?:00|04)$")).select(scan_id(F.col("path")).alias("id"), F.lit(True).alias("deep"))
-    found = images.withColumn("id", scan_id(F.col("origin"))).join(F.broadcast(deep), "id", "left")
+    deep = spark.read.schema(deep.schema).parquet(written(deep, "deep"))
+    found = images.withColumn("id", scan_id(F.col("origin"))).join(deep, "id", "left")
     kind = F.when((F.col("height") < 0) | F.col("deep"), "decode").when(~F.col("nChannels").isin(1, 3, 4), "decode")
     odd = _three(F.when(kind.isNull() & (F.col("nChannels") != 3), F.col("data")), F.col("nChannels"))
     return found.select("id", "height", "width", F.when(kind.isNull(), F.when(F.col("nChannels") == 3, F.col("data")).otherwise(odd)).alias("data"), kind.alias("error_kind"))
@@ -79,25 +83,26 @@ def write_originals(uploads: DataFrame, path: str) -> None:
     uploads.where("error_kind IS NULL").select("id", "content").write.mode("append").parquet(path)
 
 
-def latest_crops(crops: DataFrame) -> DataFrame:
+def latest_crops(crops: DataFrame, data_col: str = "pixels") -> DataFrame:
     """The last crop of each scan: (id, crop_no, ...) with the greatest ``crop_no``; a later one replaces an earlier one.
 
     The maximum is of numbers and digests, so pixels are shuffled once, with the rows that stay. Of crops of one number the one
-    with the greatest digest of its pixels stays.
+    with the greatest digest of its ``data_col`` (raw pixels, or the content of a file) stays.
     """
-    marked = crops.withColumn("__digest", F.sha2(F.col("pixels"), 256))
+    marked = crops.withColumn("__digest", F.sha2(F.col(data_col), 256))
     last = marked.groupBy("id").agg(F.max(F.struct("crop_no", F.col("__digest").alias("d"))).alias("last")).select(F.col("id").alias("__id"), "last")
     same = (F.col("id") == F.col("__id")) & (F.col("crop_no") == F.col("last.crop_no")) & F.col("__digest").eqNullSafe(F.col("last.d"))
     return marked.join(last, same, "left_semi").drop("__digest").dropDuplicates(["id"])
 
 
 def write_crops(crops: DataFrame, path: str) -> None:
-    """Adds crops (id, crop_no, pixels, ...) to the store; ``read_crops`` sees the last of each scan, so a later one overwrites an earlier one."""
+    """Adds crops (id, crop_no, pixels or content, ...) to the store; ``read_crops`` sees the last of each scan, so a later one overwrites an earlier one."""
     crops.write.mode("append").parquet(path)
 
 
 def read_crops(spark: SparkSession, path: str) -> DataFrame:
-    return latest_crops(spark.read.parquet(path))
+    crops = spark.read.parquet(path)
+    return latest_crops(crops, "pixels" if "pixels" in crops.columns else "content")
 
 
 def look_up(requests: DataFrame, store: DataFrame) -> DataFrame:
