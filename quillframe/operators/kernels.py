@@ -85,12 +85,12 @@ def rotate_180(image: np.ndarray) -> np.ndarray:
     return image[::-1, ::-1]
 
 
-def label_blobs(mask: np.ndarray) -> np.ndarray:
-    """Numbers of the 8-connected regions of a mask from 1, by spreading the least number until nothing changes."""
+def label_blobs(mask: np.ndarray, corners: bool = True) -> np.ndarray:
+    """Numbers of the 8-connected regions of a mask from 1, by spreading the least number until nothing changes; of the 4-connected ones without ``corners``."""
     labels = np.where(mask, np.arange(1, mask.size + 1).reshape(mask.shape), 0)
     while True:
         padded = np.pad(labels, 1)
-        around = [padded[i : i + mask.shape[0], j : j + mask.shape[1]] for i in range(3) for j in range(3)]
+        around = [padded[i : i + mask.shape[0], j : j + mask.shape[1]] for i in range(3) for j in range(3) if corners or 1 in (i, j)]
         stacked = np.stack(around)
         least = np.where(stacked > 0, stacked, mask.size + 1).min(axis=0)
         new = np.where(mask, np.minimum(labels, least), 0)
@@ -98,7 +98,7 @@ def label_blobs(mask: np.ndarray) -> np.ndarray:
         flat = np.r_[0, new.ravel()]
         new = np.where(mask, np.minimum(new, flat[new]), 0)
         if (new == labels).all():
-            return np.unique(new, return_inverse=True)[1].reshape(mask.shape)
+            return np.unique(np.r_[0, new.ravel()], return_inverse=True)[1][1:].reshape(mask.shape)  # 0 is the rest, even of a mask without any
         labels = new
 
 
@@ -114,6 +114,28 @@ def largest_blob(heatmap: np.ndarray, width: int | None = None, height: int | No
     return float(x.mean()), float(y.mean())
 
 
+def outlines(mask: np.ndarray) -> list[np.ndarray]:
+    """Points (x, y) of each region of a mask, and of the border of each hole: those cells of the region around it that touch it.
+
+    A hole is a 4-connected part of the rest that does not reach the frame. Regions within a hole are no part of its border.
+    """
+    labels = np.pad(label_blobs(mask), 1)
+    rest = label_blobs(labels == 0, corners=False)
+    out = []
+    for numbers, first in ((labels, 1), (rest, 2)):  # the rest's number 1 is what reaches the frame
+        cells = np.argsort(numbers, axis=None, kind="stable")
+        ends = np.cumsum(np.bincount(numbers.ravel()))
+        for k in range(first, len(ends)):
+            y, x = np.unravel_index(cells[ends[k - 1] : ends[k]], numbers.shape)
+            if numbers is rest:
+                around = labels[y[0] - 1, x[0]]  # what is above the topmost cell surrounds the hole
+                y, x = (np.concatenate([v + d for d in steps]) for v, steps in ((y, (-1, 1, 0, 0)), (x, (0, 0, -1, 1))))
+                touching = labels[y, x] == around
+                y, x = np.unique(np.stack([y[touching], x[touching]]), axis=1)
+            out.append(np.stack([x, y], axis=1) - 1)
+    return out
+
+
 def min_area_box(points: np.ndarray) -> tuple[float, float, float, float, float]:
     """(centre x, centre y, width, height, angle in radians) of the smallest rectangle around points: one side lies on the hull."""
     p = np.unique(points.astype(float), axis=0)
@@ -165,17 +187,15 @@ def masked_mean(grid: np.ndarray, quad: np.ndarray) -> float:
 def text_boxes(probability: np.ndarray, width: int, height: int, threshold: float = TEXT, score: float = 0.6, ratio: float = 1.5, side: float = 3.0) -> list[np.ndarray]:
     """Quads of text lines in pixels of an image of the given size, by top then left.
 
-    Regions over the threshold, their smallest rectangles, filtered by side and by mean probability, grown and scaled.
-    Regions stand in for contours, so a hole does not make a box of its own.
+    Regions over the threshold and their holes, the smallest rectangles of their outlines, filtered by side and by mean
+    probability, grown and scaled.
     """
-    labels = label_blobs(probability > np.float32(threshold))
     scale = np.array([probability.shape[1] / width, probability.shape[0] / height])
     out = []
-    for k in range(1, labels.max(initial=0) + 1):
-        y, x = np.nonzero(labels == k)
-        if len(x) < 3:
+    for points in outlines(probability > np.float32(threshold)):
+        if len(points) < 3:
             continue
-        box = min_area_box(np.stack([x, y], axis=1))
+        box = min_area_box(points)
         if min(box[2:4]) < side or masked_mean(probability, box_points(box)) < score:
             continue
         w, h = box[2:4]
