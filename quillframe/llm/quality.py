@@ -195,8 +195,9 @@ def held_out(doc_id) -> F.Column:
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
     """Fits on at most ``sample`` labelled rows that are not held out, those with the least hashes of their ids.
 
-    Null labels and ids are left out; of several labels of an id the greatest counts. Labels whose document is missing
-    do not count. Only features of the sample come to the driver, all passages of each of its rows.
+    Null labels and ids are left out; of several labels of an id the greatest counts, and of several rows of an id the one
+    with the least hash of its text. Labels whose document is missing do not count. Only features of the sample come to
+    the driver, all passages of each of its rows.
     """
     small_batches(docs.sparkSession)
     known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label")).where("id IS NOT NULL AND label IS NOT NULL").where(~held_out("id"))
@@ -209,6 +210,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
             yield pa.RecordBatch.from_arrays([*out.columns, pa.array([b.astype("<f4").tobytes() for b in bags], pa.binary())], ["id", "label", "bag"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "id")
+    # One row of each id, however often it repeats; copies go within their tasks, so that only the sample's texts are shuffled.
+    rows = rows.groupBy("id", "label").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("one")).select("id", "label", "one.text")
     # Written by all tasks at once; what comes to the driver, part by part, is read from the few files that hold the sample.
     encoded = durable(rows.mapInArrow(encode, "id long, label int, bag binary"), "sample")
     found = sorted((r["id"], r["label"], bytes(r["bag"])) for r in encoded.toLocalIterator())

@@ -48,6 +48,20 @@ def test_quality_of_every_kind_of_row(spark):
     assert quality.score_quality(spark.createDataFrame([], DOCS), known).count() == 0
 
 
+def test_the_sample_has_one_row_of_each_id(spark, monkeypatch):
+    """However often an id repeats, what comes to the driver stays within the bound, and copies change nothing."""
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda bags, labels: seen.append(([b.tobytes() for b in bags], labels.tolist())))
+    rows = [(i, f"text number {i} " * (i % 5)) for i in range(40)] + [(None, "no id")]
+    known = labels(spark, [(i, i % 2, 0, "") for i in range(40)])
+    quality.train(documents(spark, rows), known)
+    quality.train(documents(spark, rows + [rows[7]] * 3000 + [rows[12]] * 5).repartition(9), known)
+    quality.train(documents(spark, [*rows, *((7, f"other {k}") for k in range(50))]), known, sample=10)
+    learned = [i for i in range(40) if zlib.crc32(str(i).encode()) % 5]
+    assert seen[0] == seen[1] and len(seen[0][0]) == len(learned) and len(seen[2][0]) == 10
+    assert seen[0][0] == [quality.passages(rows[i][1]).astype("<f4").tobytes() for i in learned] and seen[0][1] == [i % 2 for i in learned]
+
+
 def test_attention_against_a_plain_version():
     """Forward pass and derivatives against loops and numeric differences, and a task that a single passage decides."""
     rng = np.random.default_rng(4)
