@@ -27,6 +27,8 @@ from quillframe.functions.text import (
 
 #: Pixels by which a value may be off its label's left edge; twice that for a keyword lookup. Label heights down to a value.
 DRIFT, FAR_DRIFT, HEIGHTS = 120, 240, 4
+#: What a page knows of a line, in the order by which lines are sorted.
+LINE_FIELDS = ("top", "left", "det_no", "text", "confidence", "right", "bottom", "height", "labelish")
 
 
 def is_usable(text: Column, confidence: Column, min_confidence: float = LINE_CONFIDENCE) -> Column:
@@ -57,17 +59,33 @@ def pages(lines: DataFrame, words: Sequence[str] = CARD_LABEL_WORDS, min_confide
     """
     known = with_bounds(lines.withColumn("text", strip(F.col("text")))).withColumn("labelish", looks_like_label(F.col("text"), words))
     usable = is_usable(F.col("text"), F.col("confidence"), min_confidence)
-    fields = ("top", "left", "det_no", "text", "confidence", "right", "bottom", "height", "labelish")
-    by_doc = known.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.when(usable, F.struct(*fields)))).alias("found"))
+    by_doc = known.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.when(usable, F.struct(*LINE_FIELDS)))).alias("found"))
+    return by_doc.select("doc_id", F.transform("found", _numbered).alias("lines"))
 
-    def line(x: Column, i: Column) -> Column:
-        is_label = x["labelish"] & (x["confidence"] >= real(LABEL_CONFIDENCE))
-        value = ~is_label & (x["confidence"] >= real(VALUE_CONFIDENCE))
-        return F.struct(
-            i.alias("line_no"), *(x[c].alias(c) for c in ("text", "confidence", "left", "top", "right", "bottom", "height", "labelish")), F.upper(x["text"]).alias("upper"), is_label.alias("is_label"), value.alias("is_value")
-        )
 
-    return by_doc.select("doc_id", F.transform("found", line).alias("lines"))
+def whole_pages(frame: DataFrame, words: Sequence[str] = CARD_LABEL_WORDS, min_confidence: float = LINE_CONFIDENCE, lines: str = "lines") -> DataFrame:
+    """Pages as ``pages`` makes them, of rows that hold all lines of their page already: array<struct<det_no, text, confidence, polygon>>. Nothing is shuffled."""
+
+    def known(x: Column) -> Column:
+        side = lambda fold, axis: fold(F.transform(x["polygon"], lambda p: p[axis]))
+        bounds = F.struct(side(F.array_min, 1).alias("top"), side(F.array_min, 0).alias("left"), strip(x["text"]).alias("text"), side(F.array_max, 0).alias("right"), side(F.array_max, 1).alias("bottom"))
+
+        def line(b: Column) -> Column:
+            made = {"det_no": x["det_no"], "confidence": x["confidence"], "height": F.greatest(b["bottom"] - b["top"], F.lit(1)), "labelish": looks_like_label(b["text"], words)}
+            return F.struct(*((made[c] if c in made else b[c]).alias(c) for c in LINE_FIELDS))
+
+        return let(bounds, line)
+
+    found = F.sort_array(F.filter(F.transform(lines, known), lambda x: is_usable(x["text"], x["confidence"], min_confidence)))
+    return frame.withColumn("lines", F.transform(found, _numbered))
+
+
+def _numbered(x: Column, i: Column) -> Column:
+    is_label = x["labelish"] & (x["confidence"] >= real(LABEL_CONFIDENCE))
+    value = ~is_label & (x["confidence"] >= real(VALUE_CONFIDENCE))
+    return F.struct(
+        i.alias("line_no"), *(x[c].alias(c) for c in ("text", "confidence", "left", "top", "right", "bottom", "height", "labelish")), F.upper(x["text"]).alias("upper"), is_label.alias("is_label"), value.alias("is_value")
+    )
 
 
 def _gap(a: Column, b: Column) -> Column:

@@ -15,6 +15,7 @@ from quillframe.functions import errors, geometry, mrz, tensors, text
 from quillframe.operators import kernels, layout, passport, signatures
 from quillframe.plans import fixtures, oracle
 from quillframe.sources import images, sidecar, store
+from quillframe.streaming import assembly
 from quillframe.streaming import pages as streaming
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -329,6 +330,43 @@ def stream_fields(spark, sf_dir):
     return spark.read.schema("doc_id BIGINT, field_no INT, label STRING, value STRING").parquet(f"{out}/result/*")
 
 
+def _waves_path(spark: SparkSession, sf_dir: str) -> str:
+    """Lines of every page over three waves of files, some of them sent again in a fourth, and two lines that move time on."""
+    name = (spark.sparkContext.applicationId, f"waves of {sf_dir}")
+    if name not in _WRITTEN or not store.exists(spark, _WRITTEN[name]):
+        found = lines(spark, sf_dir)
+        total = found.groupBy("doc_id").agg(F.count(F.lit(1)).cast("int").alias("total"))
+        made = found.drop("kind").join(total, "doc_id").withColumn("total", F.when(F.col("doc_id") % 3 != 0, F.col("total")))
+        path = f"{store.own_dir(spark)}/waves-{uuid.uuid4().hex}"
+        at = lambda minutes: F.timestamp_seconds(F.lit(1_735_689_600 + 60 * minutes))
+        again = made.where((F.col("doc_id") % 11 == 0) & (F.col("det_no") % 5 == 0))
+        for minutes, wave in ((0, made.where("det_no % 3 = 1")), (1, made.where("det_no % 3 = 0")), (2, made.where("det_no % 3 = 2")), (3, again)):
+            wave.withColumn("seen", at(minutes)).write.mode("append").parquet(path)
+        last = spark.range(1).select(F.lit(-1).cast("long").alias("doc_id"), F.lit(0).alias("det_no"), F.lit("end").alias("text"), F.lit(1.0).cast("float").alias("confidence"), F.array().cast("array<array<int>>").alias("polygon"), F.lit(None).cast("int").alias("total"))
+        for day in (1, 2):
+            last.withColumn("seen", at(1440 * day)).write.mode("append").parquet(path)
+        _WRITTEN[name] = path
+    return _WRITTEN[name]
+
+
+def stream_assembly(spark, sf_dir):
+    """The generic fields of pages whose lines come over several batches, and how many lines came for nothing."""
+    out = f"{store.own_dir(spark)}/stream-{uuid.uuid4().hex}"
+    stream = streaming.stream_lines(spark, _waves_path(spark, sf_dir), LINES.replace("kind INT, ", "") + ", total INT, seen TIMESTAMP", files_per_batch=8)
+    pages = assembly.assemble_pages(stream, expected="total")
+
+    def fields(batch: DataFrame) -> DataFrame:
+        found = layout.whole_pages(batch.where("doc_id >= 0")).withColumn("fields", layout.generic_fields(F.col("lines")))
+        rows = found.select("doc_id", "repeated", "late", F.posexplode_outer("fields").alias("field_no", "field"))
+        extra = F.when(F.coalesce(F.col("field_no"), F.lit(0)) == 0, F.col("repeated") + F.col("late")).otherwise(0)  # once for each row of the page
+        return rows.select("doc_id", "field_no", "field.label", "field.value", extra.alias("n_extra"))
+
+    streaming.process_available(pages, fields, f"{out}/result", f"{out}/checkpoint").awaitTermination()
+    rows = spark.read.schema("doc_id BIGINT, field_no INT, label STRING, value STRING, n_extra INT").parquet(f"{out}/result/*")
+    extra = rows.groupBy("doc_id").agg(F.sum("n_extra").alias("n_extra"))
+    return rows.drop("n_extra").where("field_no IS NOT NULL").join(extra, "doc_id").select("doc_id", "field_no", "label", "value", "n_extra")
+
+
 def fields_json(spark, sf_dir):
     return layout.fields_json(signatures.card_fields(cards(spark, sf_dir)))
 
@@ -343,7 +381,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         mrz_roundtrip, mrz_names, mrz_dates, check_digits, mrz_candidates, shape_profile, label_words, inline_fields, reading_order, label_components,
         nearest_below, same_row_values, generic_fields, detect_type, block_scan, card_fields, passport_fields, passport_document, print_dates,
         quad_order, quad_expand, crop_validate, det_resize, unclip_boxes, ctc_decode, heatmap_peak, sidecar_flatten, error_status,
-        largest_blob, masked_mean, planes, homography, first_upload, look_up, latest_crops, request_body, rescale_box, full_frame, upside_down, stream_fields, fields_json, passport_json,
+        largest_blob, masked_mean, planes, homography, first_upload, look_up, latest_crops, request_body, rescale_box, full_frame, upside_down, stream_fields, stream_assembly, fields_json, passport_json,
     )
 }
 ORACLE: dict[str, str] = oracle.ORACLE
