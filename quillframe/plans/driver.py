@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, FloatType, LongType, StructField, StructType
 
 from quillframe.functions import errors, geometry, mrz, tensors, text
-from quillframe.operators import kernels, layout, passport, signatures
+from quillframe.operators import kernels, layout, passport, signatures, wide
 from quillframe.plans import fixtures, oracle
 from quillframe.sources import images, sidecar, store
 from quillframe.streaming import assembly
@@ -367,6 +367,31 @@ def stream_assembly(spark, sf_dir):
     return rows.drop("n_extra").where("field_no IS NOT NULL").join(extra, "doc_id").select("doc_id", "field_no", "label", "value", "n_extra")
 
 
+def wide_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """500 pages below each other as one, in reading order."""
+    placed = lines(spark, sf_dir).withColumn("place", F.col("doc_id") % 500)
+    moved = placed.withColumn("polygon", F.transform("polygon", lambda p: F.array(p[0], (p[1] + F.col("place") * 1000).cast("int"))))
+    return wide.ordered_lines(moved.withColumns({"doc_id": F.floor(F.col("doc_id") / 500), "det_no": (F.col("place") * 100 + F.col("det_no")).cast("int")}))
+
+
+def wide_label_rows(spark, sf_dir):
+    return wide.label_groups(wide_lines(spark, sf_dir))
+
+
+def wide_nearest_below(spark, sf_dir):
+    found = wide_lines(spark, sf_dir)
+    return wide.nearest_below(found, wide.group_boxes(found, wide.label_groups(found)))
+
+
+def wide_value_rows(spark, sf_dir):
+    found = wide_lines(spark, sf_dir)
+    return wide.value_rows(found, found.where("is_value").select("doc_id", F.col("line_no").alias("anchor")))
+
+
+def wide_fields(spark, sf_dir):
+    return wide.generic_fields(wide_lines(spark, sf_dir))
+
+
 def fields_json(spark, sf_dir):
     return layout.fields_json(signatures.card_fields(cards(spark, sf_dir)))
 
@@ -381,7 +406,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         mrz_roundtrip, mrz_names, mrz_dates, check_digits, mrz_candidates, shape_profile, label_words, inline_fields, reading_order, label_components,
         nearest_below, same_row_values, generic_fields, detect_type, block_scan, card_fields, passport_fields, passport_document, print_dates,
         quad_order, quad_expand, crop_validate, det_resize, unclip_boxes, ctc_decode, heatmap_peak, sidecar_flatten, error_status,
-        largest_blob, masked_mean, planes, homography, first_upload, look_up, latest_crops, request_body, rescale_box, full_frame, upside_down, stream_fields, stream_assembly, fields_json, passport_json,
+        largest_blob, masked_mean, planes, homography, first_upload, look_up, latest_crops, request_body, rescale_box, full_frame, upside_down, stream_fields, stream_assembly, wide_label_rows, wide_nearest_below, wide_value_rows, wide_fields, fields_json, passport_json,
     )
 }
 ORACLE: dict[str, str] = oracle.ORACLE

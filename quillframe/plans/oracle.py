@@ -59,10 +59,14 @@ def _clean(s: str) -> str:
     return f"trim(trim(trim({s}), '*'))"
 
 
-def _pages(words) -> str:
+#: 500 pages below each other as one.
+WIDE = "wide_lines AS (SELECT doc_id // 500 AS doc_id, kind, doc_id % 500 * 100 + det_no AS det_no, text, conf, lft, top + doc_id % 500 * 1000 AS top, wid FROM ocr_lines)"
+
+
+def _pages(words, lines: str = "ocr_lines") -> str:
     """Lines, label groups, anchors, value rows and generic fields of all pages."""
-    return f"""WITH RECURSIVE {fixtures.PAGES},
-usable AS (SELECT doc_id, kind, det_no, trim(text) AS text, CAST(conf / 1000.0 AS FLOAT) AS confidence, lft, top, lft + wid AS rgt, top + 20 AS bottom, 20 AS height FROM ocr_lines WHERE trim(text) <> '' AND conf >= 450),
+    return f"""WITH RECURSIVE {fixtures.PAGES}, {WIDE},
+usable AS (SELECT doc_id, kind, det_no, trim(text) AS text, CAST(conf / 1000.0 AS FLOAT) AS confidence, lft, top, lft + wid AS rgt, top + 20 AS bottom, 20 AS height FROM {lines} WHERE trim(text) <> '' AND conf >= 450),
 flagged AS (SELECT *, {_labelish("text", words)} AS labelish, upper(text) AS up FROM usable),
 l AS (
     SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY top, lft, det_no) - 1 AS n, labelish AND confidence >= 0.9::FLOAT AS is_label,
@@ -384,6 +388,10 @@ ORACLE = {
     "stream_fields": f"{_pages(CARD_LABEL_WORDS)} SELECT doc_id, field_no::INT AS field_no, label, value FROM generic",
     "stream_assembly": f"""{_pages(CARD_LABEL_WORDS)}, extra AS (SELECT doc_id, count(*) AS n FROM ocr_lines WHERE doc_id % 11 = 0 AND det_no % 5 = 0 GROUP BY doc_id)
         SELECT doc_id, field_no::INT AS field_no, label, value, coalesce(n, 0)::BIGINT AS n_extra FROM generic LEFT JOIN extra USING (doc_id)""",
+    "wide_label_rows": f"{_pages(CARD_LABEL_WORDS, 'wide_lines')} SELECT doc_id, n AS line_no, g AS group_no FROM member",
+    "wide_nearest_below": f"{_pages(CARD_LABEL_WORDS, 'wide_lines')} SELECT doc_id, g AS group_no, n AS anchor, gap::INT AS gap, distance::INT AS distance FROM anchor WHERE r = 1",
+    "wide_value_rows": f"{_pages(CARD_LABEL_WORDS, 'wide_lines')} SELECT doc_id, anchor, value FROM vrow",
+    "wide_fields": f"{_pages(CARD_LABEL_WORDS, 'wide_lines')} SELECT doc_id, field_no::INT AS field_no, label, value FROM generic",
     "fields_json": _fields_json(),
     "passport_json": _passport_json(),
     "sidecar_flatten": f"""

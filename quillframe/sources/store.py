@@ -45,3 +45,8 @@ def written(df: DataFrame, name: str) -> str:
     path = f"{own_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return path
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """``df``, written among the application's intermediate results and read from there: its lineage ends here."""
+    return df.sparkSession.read.schema(df.schema).parquet(written(df, name))
