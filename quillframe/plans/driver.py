@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, FloatType, LongType, StructField, StructType
 
 from quillframe.functions import errors, geometry, mrz, tensors, text
-from quillframe.operators import kernels, layout, passport, signatures, wide
+from quillframe.operators import kernels, layout, passport, signatures, type_tables, wide
 from quillframe.plans import fixtures, oracle
 from quillframe.sources import images, sidecar, store
 from quillframe.streaming import assembly
@@ -367,6 +367,23 @@ def stream_assembly(spark, sf_dir):
     return rows.drop("n_extra").where("field_no IS NOT NULL").join(extra, "doc_id").select("doc_id", "field_no", "label", "value", "n_extra")
 
 
+def type_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The known types, one more, and one for each part, of ten keywords of which pages have at most one."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.upper("p_name").alias("name"))
+    words = F.concat(F.array(F.lit("name")), F.transform(F.sequence(F.lit(1), F.lit(9)), lambda i: F.concat_ws(" ", "name", F.col("p_partkey"), i)))
+    more = part.select((F.col("p_partkey") + 100).cast("int").alias("type_no"), "name", F.lit(2).alias("least"), F.lit(False).alias("first"), words.alias("keywords"), F.array().cast(f"array<{type_tables.SIGNATURE}>").alias("fields"))
+    return type_tables.type_table(spark, (*signatures.CARD_TYPES, oracle.INVOICE)).unionByName(more)
+
+
+def typed_fields(spark, sf_dir):
+    return layout.explode_fields(type_tables.typed_fields(cards(spark, sf_dir), type_rows(spark, sf_dir)))
+
+
+def typed_fields_joined(spark, sf_dir):
+    """The same by the join that takes over where keywords are too many for an automaton."""
+    return layout.explode_fields(type_tables.typed_fields(cards(spark, sf_dir), type_rows(spark, sf_dir), bound=0))
+
+
 def wide_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """500 pages below each other as one, in reading order."""
     placed = lines(spark, sf_dir).withColumn("place", F.col("doc_id") % 500)
@@ -406,7 +423,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         mrz_roundtrip, mrz_names, mrz_dates, check_digits, mrz_candidates, shape_profile, label_words, inline_fields, reading_order, label_components,
         nearest_below, same_row_values, generic_fields, detect_type, block_scan, card_fields, passport_fields, passport_document, print_dates,
         quad_order, quad_expand, crop_validate, det_resize, unclip_boxes, ctc_decode, heatmap_peak, sidecar_flatten, error_status,
-        largest_blob, masked_mean, planes, homography, first_upload, look_up, latest_crops, request_body, rescale_box, full_frame, upside_down, stream_fields, stream_assembly, wide_label_rows, wide_nearest_below, wide_value_rows, wide_fields, fields_json, passport_json,
+        largest_blob, masked_mean, planes, homography, first_upload, look_up, latest_crops, request_body, rescale_box, full_frame, upside_down, stream_fields, stream_assembly, wide_label_rows, wide_nearest_below, wide_value_rows, wide_fields, typed_fields, typed_fields_joined, fields_json, passport_json,
     )
 }
 ORACLE: dict[str, str] = oracle.ORACLE

@@ -5,7 +5,7 @@ from __future__ import annotations
 from quillframe.functions.geometry import CROP_ERRORS
 from quillframe.functions.text import CARD_LABEL_WORDS, MONTHS, PASSPORT_LABEL_WORDS
 from quillframe.operators.passport import COLUMNS, ZONE_FLAGS
-from quillframe.operators.signatures import CARD_TYPES, PASSPORT
+from quillframe.operators.signatures import CARD_TYPES, PASSPORT, Block, DocumentType, Signature
 from quillframe.plans import fixtures
 from quillframe.plans.fixtures import ALPHABET, check_sum
 
@@ -139,10 +139,14 @@ block AS (
 )"""
 
 
-def _card_fields() -> str:
-    shapes = [(i, f, s) for i, t in enumerate(CARD_TYPES) for f, s in enumerate(t.fields) if s.shape]
+#: A type that callers bring.
+INVOICE = DocumentType("invoice", ("invoice", "Total"), 2, (Signature("SUM", ("TOTAL",)), Signature("TO", ("NAME",)), Signature("DAY", (), None, "date"), Signature("BLOCK", (), Block("NUMBER", "DATE OF BIRTH", "lowercase", "concat"))))
+
+
+def _card_fields(types=CARD_TYPES) -> str:
+    shapes = [(i, f, s) for i, t in enumerate(types) for f, s in enumerate(t.fields) if s.shape]
     scans = " UNION ALL ".join(f"SELECT doc_id, {i} AS ty, {f} AS f, n, text FROM typed JOIN l USING (doc_id) WHERE ty = {i} AND {_shape('text', s.shape, s.options)}" for i, f, s in shapes)
-    return f"""{_pages(CARD_LABEL_WORDS)}{_types(CARD_TYPES)}{_blocks(CARD_TYPES)},
+    return f"""{_pages(CARD_LABEL_WORDS)}{_types(types)}{_blocks(types)},
 keyed AS (SELECT doc_id, ty, f, k, coalesce(s.value, r.value) AS value FROM strict s FULL JOIN relaxed r USING (doc_id, ty, f, k)),
 used AS (SELECT doc_id, ty, f, text FROM inside UNION SELECT doc_id, ty, f, value FROM keyed WHERE value IS NOT NULL),
 scans AS ({scans}),
@@ -333,6 +337,8 @@ ORACLE = {
         SELECT doc_id, CASE {" ".join(f"WHEN {t.name}_hits >= {t.least} THEN '{t.name}'" for t in CARD_TYPES)} ELSE 'none' END AS type, * EXCLUDE (doc_id) FROM h""",
     "block_scan": f"{_pages(CARD_LABEL_WORDS)}{_blocks(CARD_TYPES)} SELECT doc_id, label, block.text AS value FROM block JOIN blocks USING (ty, f) WHERE block.text <> ''",
     "card_fields": _card_fields(),
+    "typed_fields": _card_fields((*CARD_TYPES, INVOICE)),
+    "typed_fields_joined": _card_fields((*CARD_TYPES, INVOICE)),
     "passport_fields": f"{_passport_rows()} SELECT * FROM printed",
     "passport_document": _passport_document(),
     "print_dates": f"WITH p AS ({PRINTED.format(table='orders')}) SELECT o_orderkey, {_IS_DATE} AS is_date, CASE WHEN {_IS_DATE} THEN {_ISO} ELSE printed END AS iso FROM p",
