@@ -11,10 +11,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, FloatType, LongType, StructField, StructType
 
-from quillframe.functions import errors, geometry, mrz, tensors, text
+from quillframe.functions import errors, geometry, mrz, sql, tensors, text
 from quillframe.operators import kernels, layout, passport, signatures, type_tables, wide
 from quillframe.plans import fixtures, oracle
-from quillframe.sources import images, sidecar, store
+from quillframe.sources import crop_store, images, multipart, quarantine, sidecar, store
 from quillframe.streaming import assembly
 from quillframe.streaming import pages as streaming
 
@@ -288,6 +288,54 @@ def first_upload(spark, sf_dir):
     return images.first_upload(parts).select("request_id", F.col("content").cast("string").alias("body"), "error_kind")
 
 
+def multipart_uploads(spark, sf_dir):
+    """Uploads of raw request bodies, of which some are cut short or of another type."""
+    parts = _sql(spark, sf_dir, "", oracle.PARTS_SENT)
+    line = "\r\n"
+    head = lambda x: F.concat(F.when(x["name"] == "part1", "X-Note: none").otherwise(F.concat(F.lit('Content-Disposition: form-data; name="'), x["name"], F.lit('"'))), F.lit(line * 2))
+    mark = F.concat(F.lit("--B"), (F.col("request_id") % 7).cast("string"))
+    sent = parts.groupBy("request_id").agg(F.sort_array(F.collect_list(F.when(F.col("part_no").isNotNull(), F.struct("part_no", "body", "name")))).alias("parts"))
+    body = F.concat(F.array_join(F.transform("parts", lambda x: F.concat(mark, F.lit(line), head(x), x["body"], F.lit(line))), ""), mark, F.lit("--"))
+    cut = F.when(F.col("request_id") % 17 == 0, F.substring(body, F.lit(1), F.length(body) - 2)).otherwise(body)
+    kind = F.concat(F.when(F.col("request_id") % 19 == 0, "text/plain").otherwise("multipart/form-data"), F.lit("; boundary="), F.concat(F.lit("B"), (F.col("request_id") % 7).cast("string")))
+    requests = sent.select("request_id", kind.alias("content_type"), cut.cast("binary").alias("body"))
+    return multipart.uploads(requests).select("request_id", F.col("content").cast("string").alias("body"), "error_kind")
+
+
+def stored_crops(spark, sf_dir):
+    """Crops added in three writes to a store, compacted, and read from the bucket of each id."""
+    path = f"{store.own_dir(spark)}/crops-{uuid.uuid4().hex}"
+    made = _sql(spark, sf_dir, "", oracle.CROPS).withColumn("pixels", F.col("body").cast("binary"))
+    for i in range(3):
+        crop_store.add_crops(made.where(F.col("crop_no") % 3 == i), path, buckets=8)
+    crop_store.compact(spark, path)
+    held = spark.read.parquet(path).groupBy("id").agg(F.count(F.lit(1)).alias("n_stored"))
+    return crop_store.crops(spark, path).join(held, "id").select("id", "crop_no", "body", "n_stored")
+
+
+def quarantined(spark, sf_dir):
+    """Responses written apart by their failure, with the numbers that the write observed."""
+    path = f"{store.own_dir(spark)}/apart-{uuid.uuid4().hex}"
+    counts = quarantine.write_apart(sidecar.parse_responses(_sql(spark, sf_dir, "", oracle.BODIES)), path)
+    good = quarantine.good_rows(spark, path).select("doc_id", F.lit("good").alias("kind"))
+    rows = good.unionByName(quarantine.bad_rows(spark, path).select("doc_id", F.col("error_kind").alias("kind")))
+    observed = F.create_map(*(F.lit(v) for pair in counts.items() for v in pair))
+    return rows.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_id")).select("kind", "n", "first_id", F.element_at(observed, F.col("kind")).cast("long").alias("n_observed"))
+
+
+def sql_zones(spark, sf_dir):
+    """Zones in SQL alone, by the functions of the session."""
+    sql.register(spark)
+    zones(spark, sf_dir).createOrReplaceTempView("zone_rows")
+    return spark.sql(f"SELECT doc_id, z.surname, z.given_names, z.passport_number, z.nationality, z.date_of_birth, z.date_of_expiry, z.composite_check_ok, digit FROM (SELECT doc_id, mrz_parse(line1, line2, DATE'{AS_OF}') AS z, mrz_check_digit(line2) AS digit FROM zone_rows)")
+
+
+def sql_dates(spark, sf_dir):
+    sql.register(spark)
+    _sql(spark, sf_dir, "", oracle.PRINTED.format(table="orders")).createOrReplaceTempView("printed_rows")
+    return spark.sql("SELECT o_orderkey, printed_date(printed) AS iso FROM printed_rows")
+
+
 def look_up(spark, sf_dir):
     requests = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", (F.col("o_custkey") * 2).alias("id"))
     held = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("id"), "c_name")
@@ -423,7 +471,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         mrz_roundtrip, mrz_names, mrz_dates, check_digits, mrz_candidates, shape_profile, label_words, inline_fields, reading_order, label_components,
         nearest_below, same_row_values, generic_fields, detect_type, block_scan, card_fields, passport_fields, passport_document, print_dates,
         quad_order, quad_expand, crop_validate, det_resize, unclip_boxes, ctc_decode, heatmap_peak, sidecar_flatten, error_status,
-        largest_blob, masked_mean, planes, homography, first_upload, look_up, latest_crops, request_body, rescale_box, full_frame, upside_down, stream_fields, stream_assembly, wide_label_rows, wide_nearest_below, wide_value_rows, wide_fields, typed_fields, typed_fields_joined, fields_json, passport_json,
+        largest_blob, masked_mean, planes, homography, first_upload, multipart_uploads, stored_crops, quarantined, sql_zones, sql_dates, look_up, latest_crops, request_body, rescale_box, full_frame, upside_down, stream_fields, stream_assembly, wide_label_rows, wide_nearest_below, wide_value_rows, wide_fields, typed_fields, typed_fields_joined, fields_json, passport_json,
     )
 }
 ORACLE: dict[str, str] = oracle.ORACLE

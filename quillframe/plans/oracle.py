@@ -308,6 +308,8 @@ def _fields_json() -> str:
 #: Multipart requests, of which some have no part, an empty one, or parts of any name; crops with ties; an image's bytes as text.
 PARTS = """SELECT l_orderkey AS request_id, CASE WHEN l_orderkey % 23 <> 0 THEN CAST(l_linenumber * 2 AS INT) END AS part_no, CASE WHEN l_partkey % 4 = 0 THEN 'image' ELSE 'part' || CAST(l_partkey % 3 AS STRING) END AS name,
     CASE WHEN l_suppkey % 5 = 0 THEN '' WHEN l_orderkey % 23 <> 0 THEN CAST(l_partkey AS STRING) || l_returnflag END AS body FROM lineitem"""
+#: The same, with lines in some parts that merely begin like a delimiter.
+PARTS_SENT = f"SELECT request_id, part_no, name, CASE WHEN part_no % 3 = 1 AND body <> '' THEN body || chr(13) || chr(10) || '--B' || CAST(request_id % 7 AS STRING) || 'x' ELSE coalesce(body, '') END AS body FROM ({PARTS}) p"
 CROPS = "SELECT user_id AS id, CAST(event_id * 7 % 40 AS INT) AS crop_no, event_type || CAST(event_id % 5 AS STRING) AS body FROM events"
 
 _GROW = "(CASE WHEN w + h > 0 THEN (w * h * 1.5::FLOAT / (2::FLOAT * (w + h)))::FLOAT ELSE 0::FLOAT END)"
@@ -383,6 +385,15 @@ ORACLE = {
     "first_upload": f"""
         WITH p AS ({PARTS}), b AS (SELECT request_id, min(struct_pack(n := part_no, b := body)).b AS first, (max(struct_pack(n := part_no, b := body)) FILTER (name = 'image')).b AS image FROM p WHERE part_no IS NOT NULL GROUP BY request_id)
         SELECT request_id, coalesce(image, first) AS body, CASE WHEN first IS NULL THEN 'missing_image' WHEN coalesce(image, first) = '' THEN 'empty_image' END AS error_kind FROM (SELECT DISTINCT request_id FROM p) LEFT JOIN b USING (request_id)""",
+    "multipart_uploads": f"""
+        WITH p AS ({PARTS_SENT}), b AS (SELECT request_id, min(struct_pack(n := part_no, b := body)).b AS first, (max(struct_pack(n := part_no, b := body)) FILTER (name = 'image')).b AS image FROM p WHERE part_no IS NOT NULL GROUP BY request_id)
+        SELECT request_id, CASE WHEN request_id % 17 <> 0 AND request_id % 19 <> 0 THEN coalesce(image, first) END AS body,
+               CASE WHEN request_id % 17 = 0 OR request_id % 19 = 0 THEN 'multipart' WHEN first IS NULL THEN 'missing_image' WHEN coalesce(image, first) = '' THEN 'empty_image' END AS error_kind
+        FROM (SELECT DISTINCT request_id FROM p) LEFT JOIN b USING (request_id)""",
+    "stored_crops": f"""WITH c AS ({CROPS}) SELECT id, crop_no, body, 1::BIGINT AS n_stored FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY crop_no DESC, sha256(body) DESC) AS r FROM c) WHERE r = 1""",
+    "quarantined": "SELECT CASE event_id % 7 WHEN 0 THEN 'rejected' WHEN 1 THEN 'protocol' WHEN 2 THEN 'protocol' ELSE 'good' END AS kind, count(*) AS n, min(event_id) AS first_id, count(*) AS n_observed FROM events GROUP BY 1",
+    "sql_zones": f"SELECT * EXCLUDE (doc_id), doc_id FROM ({_zones('surname', 'given_names', 'passport_number', 'nationality', 'date_of_birth', 'date_of_expiry', 'composite_check_ok')}) JOIN (WITH {fixtures.ZONES} SELECT doc_id, {check_sum('line2', 44)}::INT AS digit FROM zones) USING (doc_id)",
+    "sql_dates": f"WITH p AS ({PRINTED.format(table='orders')}) SELECT o_orderkey, CASE WHEN {_IS_DATE} THEN {_ISO} ELSE printed END AS iso FROM p",
     "look_up": "SELECT o_orderkey, c_name, CASE WHEN c_custkey IS NULL THEN 'not_found' END AS error_kind FROM orders LEFT JOIN customer ON c_custkey = o_custkey * 2",
     "latest_crops": f"""WITH c AS ({CROPS}) SELECT id, crop_no, body FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY crop_no DESC, sha256(body) DESC) AS r FROM c) WHERE r = 1""",
     "request_body": """SELECT doc_id, '{"file":"' || to_base64(encode(coalesce(text, ''))) || '","fileType":1,"useDocOrientationClassify":false,"useDocUnwarping":false,"useTextlineOrientation":true,"textRecScoreThresh":0.45,"visualize":false}' AS body FROM documents""",
