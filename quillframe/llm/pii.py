@@ -18,8 +18,9 @@ where they are; only those that hold a part with another draw take part in a joi
 from __future__ import annotations
 
 from collections.abc import Callable
+from secrets import token_hex
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillframe.llm.common import durable, split_by
@@ -44,27 +45,38 @@ SYLLABLES = {
     "cyrillic": ["ба", "бел", "ва", "вол", "га", "гор", "да", "дел", "ка", "ков", "ла", "лен", "ма", "мор", "на", "нов", "па", "пет", "ра", "рин", "са", "сел", "та", "тор"],
     "greek": ["βα", "γα", "δε", "κα", "κο", "λα", "λε", "μα", "μι", "να", "νο", "πα", "πε", "ρα", "σα", "τα", "το"],
 }
-#: Names as the pattern takes them: one or two titles and up to three capitalised words.
+#: Words of a surname that stay as they are, in any letter case, and beginnings and ends that do within a word.
+PARTICLES = "van|von|vom|der|den|de|del|della|di|da|dos|du|la|le|ter|ten|zu|zum|bin|ibn|al|el"
+PREFIXES, SUFFIX = ("o", "d", "l", "mc", "mac"), "s"
+#: What a name is made of: runs of letters between spaces, hyphens, apostrophes and inner capitals.
+UNIT = r"\p{Lu}{2,}(?!\p{Ll})|\p{Lu}[\p{L}&&\P{Lu}]*|[\p{L}&&\P{Lu}]+"
+#: Names as the pattern takes them: one or two titles and up to three capitalised words, particles not counted.
 _TITLES = rf"(?:(?:{MALE_TITLES}|{FEMALE_TITLES}|{OTHER_TITLES})\.? {{1,2}}){{1,2}}"
-_NAME = rf"(?<![\p{{L}}\p{{N}}]){_TITLES}\p{{Lu}}[\p{{L}}'’-]++(?: \p{{Lu}}[\p{{L}}'’-]++){{0,2}}"
+_WORD = rf"(?:(?i:{PARTICLES}) ){{0,3}}\p{{Lu}}[\p{{L}}'’-]++"
+_NAME = rf"(?<![\p{{L}}\p{{N}}]){_TITLES}{_WORD}(?: {_WORD}){{0,2}}"
 _SECRET_NAME = r"(?:password|passwd|pwd|passphrase|secret|token|api[_-]?key|access[_-]?key|auth)"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+#: A value after ``=`` or a bare colon is one; after a colon and a space, as in prose, it is quoted or holds more than letters.
+_SIGN = r"(?:=|:(?! )|:(?= {1,2}(?:[\"']|[A-Za-z0-9_+/.~-]*[0-9_+/~])))"
 #: In order of preference where two could begin at one place. Every repetition is bounded, or begins after a boundary and gives nothing back, so that the time stays in proportion to the text and an entity of any length is taken whole.
 KINDS = {
     "key": r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])",
-    "secret": rf"(?<![A-Za-z0-9])(?i:{_SECRET_NAME}) {{0,2}}[=:] {{0,2}}[\"']?[A-Za-z0-9_+/.~-]{{8,}}+",
+    "secret": rf"(?<![A-Za-z0-9])(?i:{_SECRET_NAME}) {{0,2}}{_SIGN} {{0,2}}[\"']?[A-Za-z0-9_+/.~-]{{8,}}+",
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": rf"(?<![\d.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\d|\.\d)",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "card": r"(?<![\d.])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){2}[ -]\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5})(?!\d|\.\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    "phone": r"(?<![\d+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|(?:\(\d{3}\) ?|\d{3}[.-])\d{3}[ .-]\d{4})(?!\d)",
+    "phone": r"(?<![\d+])(?:\+(?!\d{1,3}\.\d+(?![ .()-]?[\d(]))\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|(?:\(\d{3}\) ?|\d{3}[.-])\d{3}[ .-]\d{4})(?!\d)",
     "name": _NAME,
 }
 PATTERN = "|".join(KINDS.values())
 #: What any entity holds; texts without it are passed on as they are.
 HINT = rf"[@\d]|(?:AKIA|ASIA)[A-Z]{{16}}|(?i:{_SECRET_NAME}) {{0,2}}[=:]|(?:{MALE_TITLES}|{FEMALE_TITLES}|{OTHER_TITLES})\.? "
 LOWER, UPPER = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: Kinds whose values have a fixed form, and the characters at its beginning that stay; a form is crowded if more than a quarter of its values are entities.
+FIXED = {"phone": 0, "ssn": 0, "card": 1, "iban": 2, "key": 4}
+CROWDED, TURNS = 4, 8
 #: Rounds of the collision check by other draws; entities that still clash then are placed by counting.
 ROUNDS = 12
 #: Characters of an entity that count, from its end, and values that are tried for a format at first.
@@ -100,12 +112,11 @@ def _script(n: Column, latin, cyrillic, greek) -> Column:
 def _parts(kind: Column, e: Column) -> Column:
     """The parts of a mention, as an array of (kind, norm): what mentions of one part have in common.
 
-    An e-mail address is ('email', address), which stands for its local part, and ('domain', domain); a name is ('given', gender:word) for each
-    word but the last, and ('surname', word). The gender is that of the titles or, where they have none, of the given name if it is listed.
+    An e-mail address is ('email', address), which stands for its local part, and ('domain', domain); a name is ('surname', unit) for
+    what its last word is made of and ('given', gender:unit) for the words before it, but ('particle', unit) for what stays as it is. The gender is that of the titles or, where they have none, of the given name if it is listed.
     """
     titles = F.regexp_extract(e, f"^{_TITLES}", 0)
     of_titles = F.when(titles.rlike(rf"(?:^| )(?:{MALE_TITLES})\.? "), "m").when(titles.rlike(rf"(?:^| )(?:{FEMALE_TITLES})\.? "), "f")
-    words = F.split(F.lower(F.substring(e, F.length(titles) + 1, F.length(e))), " ")
     part = lambda kind, norm: F.struct(kind.alias("kind"), norm.alias("norm"))
 
     def given(w: Column, of_titles: Column) -> Column:
@@ -114,10 +125,17 @@ def _parts(kind: Column, e: Column) -> Column:
             known = F.when(w.isin([x.lower() for (_, h), names in GIVEN.items() for x in names if g == h]), g).otherwise(known)
         return part(F.lit("given"), F.concat_ws(":", F.coalesce(of_titles, known), w))
 
-    name = _let(
-        F.struct(words.alias("words"), of_titles.alias("sex")),
-        lambda x: F.transform(x["words"], lambda w, i: F.when(i == F.size(x["words"]) - 1, part(F.lit("surname"), w)).otherwise(given(w, x["sex"]))),
-    )
+    def unit(x: Column, u: Column, i: Column) -> Column:
+        low, n = F.lower(u), F.size(x["units"])
+        end = n - F.when((n > 1) & (F.lower(F.element_at(x["units"], -1)) == SUFFIX), 1).otherwise(0)  # an 's behind a name is no part of it
+        joined = ~F.contains(F.get(x["gaps"], i + 1), F.lit(" "))
+        stays = (i >= end) | ((i < end - 1) & (low.isin(PARTICLES.split("|")) | (joined & low.isin(*PREFIXES))))
+        return F.when(stays, part(F.lit("particle"), low)).when(i >= x["last"], part(F.lit("surname"), low)).otherwise(given(low, x["sex"]))
+
+    rest = F.substring(e, F.length(titles) + 1, F.length(e))
+    gaps = F.split(rest, UNIT, -1)
+    last = F.array_max(F.transform(gaps, lambda g, i: F.when(F.contains(g, F.lit(" ")), i).otherwise(0)))
+    name = _let(F.struct(F.regexp_extract_all(rest, F.lit(UNIT), F.lit(0)).alias("units"), gaps.alias("gaps"), last.alias("last"), of_titles.alias("sex")), lambda x: F.transform(x["units"], lambda u, i: unit(x, u, i)))
     email = _let(F.lower(e), lambda x: F.array(part(F.lit("email"), x), part(F.lit("domain"), F.regexp_extract(x, "@(.*)$", 1))))
     norm = (
         F.when(kind.isin("card", "ssn"), F.regexp_replace(e, "[^0-9]", ""))
@@ -228,6 +246,7 @@ def _surrogate(kind: Column, n: Column, attempt: Column, key: str) -> Column:
     access = F.concat(F.substring(n, 1, 4), _scramble(F.substring(n, F.lit(5), F.length(n)), seed))
     return (
         F.when(kind == "email", email)
+        .when(kind == "particle", n)
         .when(kind == "domain", domain)
         .when(kind == "ip", ip)
         .when(kind == "card", _card(n, seed))
@@ -251,15 +270,27 @@ def _fill(mould: Column, core: Column, members: str) -> Column:
     return F.aggregate(F.split(mould, ""), start, one, lambda a: a["out"])
 
 
+def _capitals(new: Column, old: Column) -> Column:
+    """``new`` with capitals in the places of those of ``old``."""
+    cased = F.array_join(F.zip_with(F.split(new, ""), F.split(old, ""), lambda c, o: F.when(o != F.lower(o), F.upper(c)).otherwise(F.coalesce(c, F.lit("")))), "")
+    return F.when(old == F.lower(old), new).otherwise(cased)
+
+
 def _dress(kind: Column, e: Column, cores: Column) -> Column:
     """The replacements of a mention's parts in the format of the mention ``e``."""
     core, value, lead = F.element_at(cores, 1), _secret_value(e), F.regexp_extract(e, f"^{_TITLES}", 0)
-    old = F.split(F.substring(e, F.length(lead) + 1, F.length(e)), " ")
-    name = F.concat(lead, F.array_join(F.zip_with(old, cores, lambda o, w: F.when((o == F.upper(o)) & (F.length(o) > 1), F.upper(w)).otherwise(F.initcap(w))), " "))
+    cased = lambda w, o: F.when((o == F.upper(o)) & (F.length(o) > 1), F.upper(w)).when(o == F.lower(o), w).otherwise(F.initcap(w))
+
+    def named(x: Column) -> Column:
+        return F.concat(F.array_join(F.transform(x["units"], lambda u, i: F.concat(F.get(x["gaps"], i), cased(F.get(cores, i), u))), ""), F.element_at(x["gaps"], -1))
+
+    rest = F.substring(e, F.length(lead) + 1, F.length(e))
+    name = F.concat(lead, _let(F.struct(F.split(rest, UNIT, -1).alias("gaps"), F.regexp_extract_all(rest, F.lit(UNIT), F.lit(0)).alias("units")), named))
+    email = F.concat(_capitals(F.regexp_extract(core, "^([^@]*)@", 1), F.regexp_extract(e, "^([^@]*)@", 1)), F.lit("@"), _capitals(F.element_at(cores, -1), F.regexp_extract(e, "@(.*)$", 1)))
     digits = F.length(F.regexp_replace(e, "[^0-9]", ""))
     return (
         F.when(kind == "secret", F.concat(F.substring(e, F.lit(1), F.length(e) - F.length(value)), core))
-        .when(kind == "email", F.concat(F.regexp_extract(core, "^([^@]*@)", 1), F.element_at(cores, -1)))
+        .when(kind == "email", email)
         .when(kind.isin("card", "ssn", "phone"), _fill(e, F.when(digits > F.length(core), F.concat(F.lit("1"), core)).otherwise(core), "[0-9]"))
         .when(kind == "iban", _fill(e, core, "[A-Z0-9]"))
         .when(kind == "name", name)
@@ -271,6 +302,74 @@ def _found(text: Column) -> Column:
     return F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).otherwise(F.array().cast("array<string>"))
 
 
+def _body(kind: Column, n: Column) -> tuple[Column, Column, Column]:
+    """Of an entity of fixed form: how many characters at its beginning stay, by how much a card's last digit is off its check digit (null for other
+    kinds), and what is between."""
+    lead = F.lit(0)
+    for name, size in FIXED.items():
+        lead = F.when(kind == name, size).otherwise(lead)
+    off = F.when(kind == "card", _luhn_sum(F.when(kind == "card", n).otherwise("0"), False) % 10)
+    return lead, off, F.substring(n, lead + 1, F.length(n) - lead - off.isNotNull().cast("int"))
+
+
+def _exchanged(kind: Column, n: Column, key: str) -> Column:
+    """Another value of the same fixed form, by a keyed permutation of all of them that leaves none where it is.
+
+    The permutation is one step around a circle of all values, seen through a Feistel network on their characters: each half in turn is
+    moved by a digest of the other, place by place, within the class of each character.
+    """
+    lead, off, body = _body(kind, n)
+
+    def place(c: Column, i: Column, whole: Column) -> Column:
+        """(what is counted from, how many there are, which this is) of a character; the first of a number is 0 only if it was, and 11 digits do not begin with 1."""
+        opens = (i == 0) & (lead == 0)
+        least = F.when(F.length(n) == 11, 2).otherwise(1)
+        made = lambda base, size, at: F.struct(base.alias("base"), F.lit(size).cast("int").alias("size") if isinstance(size, int) else size.cast("int").alias("size"), at.cast("int").alias("at"))
+        digit = c.between("0", "9")
+        return (
+            F.when(digit & opens & (c != "0"), made(F.lit(48) + least, 10 - least, c.cast("int") - least))
+            .when(digit & opens, made(F.lit(48), 1, F.lit(0)))
+            .when(digit, made(F.lit(48), 10, c.cast("int")))
+            .when(c.between("A", "Z"), made(F.lit(65), 26, F.ascii(c) - 65))
+            .when(c.between("a", "z"), made(F.lit(97), 26, F.ascii(c) - 97))
+            .otherwise(made(F.ascii(c), 1, F.lit(0)))
+        )
+
+    def permuted(places: Column) -> Column:
+        half = F.floor(F.size(places) / 2).cast("int")
+
+        def turn(sign: int):
+            def one(values: Column, r: Column) -> Column:
+                left = r % 2 == 0
+                other = F.when(left, F.slice(values, half + 1, F.size(values) - half)).otherwise(F.slice(values, F.lit(1), half))
+                moved = F.sha2(F.concat_ws("|", F.lit(key), F.lit("exchange"), kind, r.cast("string"), F.array_join(F.transform(other, lambda v: v.cast("string")), ",")).cast("binary"), 256)
+                return _let(moved, lambda d: F.transform(values, lambda v, i: F.when((i < half) == left, F.pmod(v + _byte(d, i % 32) * sign, F.get(places, i)["size"])).otherwise(v)))
+
+            return one
+
+        turns = F.sequence(F.lit(0), F.lit(TURNS - 1))
+        seen = F.aggregate(turns, F.transform(places, lambda x: x["at"]), turn(1))
+        step = lambda values: F.transform(values, lambda v, i: F.when(i == F.size(values) - 1, F.pmod(v + 1, F.get(places, i)["size"])).otherwise(v))
+        back = F.aggregate(F.reverse(turns), _let(seen, step), turn(-1))
+        return F.array_join(F.zip_with(places, back, lambda p, v: F.char(p["base"] + v)), "")
+
+    new = _let(F.transform(F.split(body, ""), lambda c, i: place(c, i, body)), permuted)
+    bare = F.concat(F.substring(n, F.lit(1), lead), new)
+    return _let(bare, lambda x: F.when(off.isNotNull(), F.concat(x, ((10 - _luhn_sum(x, True) % 10 + off) % 10).cast("string"))).otherwise(x))
+
+
+def crowded_forms(parts: DataFrame, key: str) -> DataFrame:
+    """(kind, norm, core) of the entities of crowded forms, such as short numbers: all of one form get values of the permutation, so
+    that no free value has to be found. A form is kind, length, classes of characters, and what stays. Numbers of entities are all that is compared."""
+    kind, n = F.col("kind"), F.col("norm")
+    lead, off, body = _body(kind, n)
+    classes = F.regexp_replace(F.regexp_replace(F.regexp_replace(body, "[0-9]", "0"), "[A-Z]", "A"), "[a-z]", "a")
+    many = lambda c: F.length(F.regexp_replace("classes", f"[^{c}]", ""))
+    formed = parts.where(kind.isin(*FIXED)).select("kind", "norm", classes.alias("classes"), F.concat_ws("|", F.substring(n, F.lit(1), lead), n.startswith("0").cast("string"), off.cast("string")).alias("form"))
+    counted = formed.groupBy("kind", "classes", "form").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") * CROWDED > 0.8 * F.pow(F.lit(10.0), many("0")) * F.pow(F.lit(26.0), many("Aa")))
+    return formed.join(counted, ["kind", "classes", "form"]).select("kind", "norm", _exchanged(kind, n, key).alias("core"))
+
+
 def _choices(kind: Column, n: Column, body: Column, end: Column) -> Column:
     """What may stand at each place of ``end``, the counted end of ``body``: the same classes as in ``_scramble``."""
     chars = lambda x: F.split(F.lit(x), "")
@@ -313,19 +412,19 @@ def _format_id() -> Column:
     return F.sha2(F.concat_ws("|", "kind", "head", places, F.col("luhn").cast("string"), "tail").cast("binary"), 256)
 
 
-def _place(left: DataFrame, held: DataFrame, key: str) -> DataFrame:
+def _place(left: DataFrame, held: DataFrame, taken: DataFrame, key: str) -> DataFrame:
     """(kind, norm, core) for all of ``left`` (kind, norm, core): values of the entity's format that no two have and that
     are not ``held`` (kind, core).
 
     The values of each format are counted from a place that the key decides. Where all are held, replacements get one
-    place more; kinds of a fixed length raise an error then, which needs half of all values of the format as entities.
+    place more; those of kinds of a fixed length may then be another entity, if no replacement is (``taken``: kind, core).
     """
     left, reach, placed = durable(_formats(left), "formats"), 1, None
     while True:
         groups = left.groupBy("gid").agg(F.count(F.lit(1)).alias("m"), *(F.any_value(c).alias(c) for c in ("kind", "head", "choices", "luhn", "tail")))
         room = F.aggregate("choices", F.lit(1).cast("long"), lambda a, x: a * F.size(x))
         groups = groups.withColumn("room", room).withColumn("tries", F.least("room", F.greatest(F.lit(TRIED), F.col("m") * 4) * reach))
-        groups = groups.withColumn("start", F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(key), F.lit("start"), "gid").cast("binary"), 256), 1, 12), 16, 10).cast("long"))
+        groups = groups.withColumn("start", F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(key), F.lit(f"start {reach}"), "gid").cast("binary"), 256), 1, 12), 16, 10).cast("long"))
         groups = durable(groups, "groups")
         blocks = groups.withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tries") - 1, F.lit(TRIED).cast("long")))).repartition("gid", "at")
         tried = blocks.withColumn("r", F.explode(F.sequence("at", F.least(F.col("at") + (TRIED - 1), F.col("tries") - 1))))
@@ -343,19 +442,19 @@ def _place(left: DataFrame, held: DataFrame, key: str) -> DataFrame:
         ranked = one.withColumn("rank", F.row_number().over(Window.partitionBy("gid").orderBy("r")))
         keyed = F.sha2(F.concat_ws("|", F.lit(key), "norm").cast("binary"), 256)
         wanted = left.withColumn("rank", F.row_number().over(Window.partitionBy("gid").orderBy(keyed, "norm")))
-        found = durable(wanted.join(ranked, ["gid", "rank"]).select("kind", "norm", "core"), "placed")
+        # A value that stays what it was is left for another round, unless its kind never stands alone.
+        found = durable(wanted.join(ranked, ["gid", "rank"]).where((F.col("norm") != F.col("core")) | F.col("kind").isin(*PARTIAL)).select("kind", "norm", "core"), "placed")
         placed = found if placed is None else placed.unionByName(found)
         left = left.join(found, ["kind", "norm"], "left_anti")
         full = groups.where("tries = room").join(free, "gid", "left_anti").select("gid", F.lit(True).alias("full"))
         left = durable(left.join(full, "gid", "left"), "left")
         if left.isEmpty():
             return placed
-        stuck = left.where(F.col("full") & ~F.col("kind").isin(*LONGER)).first()
-        if stuck is not None:
-            raise ValueError(f"no replacement is free for an entity of kind {stuck.kind}: all values of its format are taken")
+        if not left.where(F.col("full") & ~F.col("kind").isin(*LONGER)).isEmpty():
+            held = taken
         more = F.when(F.size(F.element_at("choices", -1)) > 1, F.slice("choices", -1, 1)).otherwise(F.array(F.split(F.lit(LOWER), "")))
-        left = left.withColumn("choices", F.when(F.col("full"), F.concat("choices", more)).otherwise(F.col("choices"))).drop("full").withColumn("gid", _format_id())
-        held, reach = held.unionByName(found.select("kind", "core")), reach * 4
+        left = left.withColumn("choices", F.when(F.col("full") & F.col("kind").isin(*LONGER), F.concat("choices", more)).otherwise(F.col("choices"))).drop("full").withColumn("gid", _format_id())
+        held, taken, reach = held.unionByName(found.select("kind", "core")), taken.unionByName(found.select("kind", "core")), reach * 4
 
 
 def mentions_of(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -366,14 +465,15 @@ def mentions_of(docs: DataFrame, text_col: str = "text") -> DataFrame:
 def parts_of(mentions: DataFrame) -> DataFrame:
     """The columns of ``mentions`` but ``e``, with the kind and norm of each part."""
     others = [c for c in mentions.columns if c != "e"]
-    return mentions.select(*others, F.explode(_parts(_kind(F.col("e")), F.col("e"))).alias("part")).select(*others, "part.kind", "part.norm")
+    return mentions.select(*others, F.explode(_parts(_kind(F.col("e")), F.col("e"))).alias("part")).select(*others, "part.kind", "part.norm").where("kind <> 'particle'")
 
 
 def second_choices(mentions: DataFrame, key: str) -> DataFrame:
     """(kind, norm, core) of the parts whose first replacement is taken: by a smaller part, or as an entity."""
     parts = durable(parts_of(mentions.groupBy("e").agg(F.count(F.lit(1)).alias("n")).select("e")).distinct(), "parts")
     whole, kind = ~F.col("kind").isin(*PARTIAL), F.col("kind")
-    assigned = parts.withColumn("attempt", F.lit(0))
+    crowded = durable(crowded_forms(parts, key), "crowded")
+    assigned = (parts if crowded.isEmpty() else parts.join(crowded, ["kind", "norm"], "left_anti")).withColumn("attempt", F.lit(0))
     for _ in range(ROUNDS):
         drawn = durable(assigned.withColumn("core", _surrogate(kind, F.col("norm"), F.col("attempt"), key)), "surrogates")
         shared = drawn.groupBy("kind", "core").agg(F.min("norm").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
@@ -382,12 +482,22 @@ def second_choices(mentions: DataFrame, key: str) -> DataFrame:
         same = drawn.where(F.col("core") == _value(kind, F.col("norm"))).select("kind", "norm")
         again = durable(late.union(real).union(same).distinct(), "taken")
         if again.isEmpty():
-            return drawn.where("attempt > 0").select("kind", "norm", "core")
+            return drawn.where("attempt > 0").select("kind", "norm", "core").unionByName(crowded)
         assigned = drawn.drop("core").join(again.withColumn("more", F.lit(1)), ["kind", "norm"], "left").select("kind", "norm", (F.col("attempt") + F.coalesce("more", F.lit(0))).alias("attempt"))
     settled = drawn.join(again, ["kind", "norm"], "left_anti")
     held = settled.select("kind", "core").unionByName(parts.where(whole).select("kind", F.col("norm").alias("core")))
-    placed = _place(drawn.join(again, ["kind", "norm"], "left_semi").select("kind", "norm", "core"), durable(held, "held"), key)
-    return settled.where("attempt > 0").select("kind", "norm", "core").unionByName(placed)
+    placed = _place(drawn.join(again, ["kind", "norm"], "left_semi").select("kind", "norm", "core"), durable(held, "held"), settled.select("kind", "core"), key)
+    return settled.where("attempt > 0").select("kind", "norm", "core").unionByName(placed).unionByName(crowded)
+
+
+#: Keys of the applications that name none.
+_KEYS: dict[str, str] = {}
+
+
+def session_key(spark: SparkSession) -> str:
+    """The key that the cluster names in ``spark.quillframe.pii.key``: the same key gives the same surrogates. Without it, one that is drawn at
+    random for this application and that nobody knows."""
+    return spark.conf.get("spark.quillframe.pii.key", None) or _KEYS.setdefault(spark.sparkContext.applicationId, token_hex(32))
 
 
 def _cut(text: Column) -> Column:
@@ -397,15 +507,19 @@ def _cut(text: Column) -> Column:
     return F.when(text.contains(MARK), F.slice(paired, 1, F.size(paired) - 1)).otherwise(marked)
 
 
-def replace_entities(docs: DataFrame, key: str = "an example key", id_col: str = "doc_id", text_col: str = "text", count_col: str | None = None) -> DataFrame:
+def replace_entities(docs: DataFrame, key: str | None = None, id_col: str = "doc_id", text_col: str = "text", count_col: str | None = None) -> DataFrame:
     """``docs`` with the entities of ``text_col`` replaced; all rows and columns stay, in the same order of columns.
 
-    ``count_col`` adds the number of mentions. A null text stays null and an empty one empty, with 0 mentions. Texts
+    ``key`` is that of ``session_key`` where none is given. ``count_col`` adds the number of mentions, in place of a column of that name. A null text stays null and an empty one empty, with 0 mentions. Texts
     without an entity stay as they are, byte for byte. Ids are not read: they may be null or repeat, as a replacement depends
     on the part of an entity alone. Distinct parts get distinct replacements; other draws first, then values counted
-    through the format, longer ones if an address, secret or name has no other; other kinds raise an error then. No replacement
-    is an entity of the table, but for given names and the local parts of addresses, which only differ from their own.
+    through the format, longer ones if an address, secret or name has no other. No replacement is an entity of the table, but for given names and
+    the local parts of addresses, which only differ from their own, and for crowded forms (more than a quarter of whose values are entities),
+    which exchange their values.
     """
+    key = session_key(docs.sparkSession) if key is None else key
+    if count_col:
+        docs = docs.drop(count_col)
     mentions = durable(mentions_of(docs, text_col), "mentions")
     entries = durable(second_choices(mentions, key), "choices")
     taken = not entries.isEmpty()

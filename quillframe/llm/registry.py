@@ -60,7 +60,7 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillframe.llm.pii import replace_entities
 
-    return replace_entities(table(spark, sf_dir, "documents"), count_col="n_entities").select("doc_id", "text", "n_entities")
+    return replace_entities(table(spark, sf_dir, "documents").select("doc_id", "text"), count_col="n_entities")
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
