@@ -218,13 +218,16 @@ def _spelled(n: Column, stream: Column, count: Column) -> Column:
 
 
 def _given(n: Column, key: str, attempt: Column) -> Column:
-    """A listed name of the gender and script, with made-up syllables after it from the second draw on."""
+    """A listed name of the gender and script, another than its own, with made-up syllables after it from the second draw on."""
     drawn = F.sha2(F.concat_ws("|", F.lit(key), F.lit("given"), _short(n), attempt.cast("string")).cast("binary"), 256)
 
+    def other(words: list[str], v: Column) -> Column:
+        return F.when(_pick(words, v) == _value(F.lit("given"), n), _pick(words, v + 1)).otherwise(_pick(words, v))
+
     def choose(stream: Column) -> Column:
         listed = F.lit(None).cast("string")
         for g in "mfn":
-            of = [_pick([x.lower() for x in GIVEN[s, g]], _byte(stream, F.lit(0))) for s in ("latin", "cyrillic", "greek")]
+            of = [other([x.lower() for x in GIVEN[s, g]], _byte(stream, F.lit(0))) for s in ("latin", "cyrillic", "greek")]
             listed = F.when(n.startswith(g), _script(n, *of)).otherwise(listed)
         return F.when(attempt == 0, listed).otherwise(F.concat(listed, _spelled(n, stream, F.least(attempt + 1, F.lit(20)))))
 
