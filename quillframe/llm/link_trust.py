@@ -27,14 +27,15 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: HTML's. Where no link follows up to the next ``>``, none begins before it: the second branch, an empty group, takes all of that, so the time stays in proportion to the page.
 LINK = r"""(?i)<a_(?:(?:[^>]*?_)?href_*+=_*+["']?_*+(?:https?:)?//([^/?#"'_>]++)|[^>]*+)""".replace('"\'_>', '"\' \\t\\n\\f\\r>').replace("_", r"[ \t\n\f\r]")
 #: Weight of the links in a step of the walk; share of the threshold that all steps after the last one may amount to for a host.
-DAMPING, TOLERANCE = 0.85, 1e-3
-#: A host is blocked if its distrust exceeds this share of a host's mean score, and its trust.
-THRESHOLD = 0.5
+DAMPING, TOLERANCE = 0.85, 1e-2
+#: A host is blocked if its distrust exceeds this share of what a blocked seed has of itself, and its trust. Blocked seeds are.
+THRESHOLD = 0.25
 
 
 def rounds_for(hosts: int) -> int:
-    """Steps after which what is still on the way, DAMPING ** steps in all, is below a tolerance of the threshold of one of ``hosts``."""
-    return math.ceil(math.log(TOLERANCE * THRESHOLD / max(1, hosts)) / math.log(DAMPING))
+    """Steps after which all that is still to come, DAMPING ** steps / (1 - DAMPING) for each seed among ``hosts``, is below a tolerance of
+    the threshold."""
+    return math.ceil(math.log(TOLERANCE * THRESHOLD * (1 - DAMPING) / max(1, hosts)) / math.log(DAMPING))
 
 
 def host_of(url: Column) -> Column:
@@ -57,11 +58,11 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]], field
 
 
 def _walk(edges: DataFrame, seeds: DataFrame, rounds: int) -> DataFrame:
-    """Personalised PageRank: (host, score) with the scores of all hosts that are reached summing to 1 at most.
+    """Personalised PageRank: (host, score) in units of what each seed has of itself, so that scores do not depend on the number of seeds.
 
-    ``edges`` (a, b, share): the share of a's score that goes to b; ``seeds`` (host, seed) sum to 1. Scores that reach a
-    host without links leave the walk. What is on the way after k steps is (links ** k) of the seeds, and a score is the sum of
-    1 - DAMPING of all of it: each step is one join and one aggregation with partial sums, and the walk ends when nothing moves.
+    ``edges`` (a, b, share): the share of a's score that goes to b; ``seeds`` (host, seed) have 1 each. Scores that reach a
+    host without links leave the walk. What is on the way after k steps is (links ** k) of the seeds, and a score is the sum
+    of all of it: each step is one join and one aggregation with partial sums, and the walk ends when nothing moves.
     """
     moving = durable(seeds.select("host", F.col("seed").alias("score")), "moving")
     total = moving
@@ -73,11 +74,11 @@ def _walk(edges: DataFrame, seeds: DataFrame, rounds: int) -> DataFrame:
         total = total.unionByName(moving)
         if step % 10 == 9:
             total = durable(total.groupBy("host").agg(F.sum("score").alias("score")), "total")
-    return durable(total.groupBy("host").agg((F.sum("score") * (1 - DAMPING)).alias("score")), "scores")
+    return durable(total.groupBy("host").agg(F.sum("score").alias("score")), "scores")
 
 
 def host_scores(pages: DataFrame, rules: list[tuple[str, str, str]] | None = None, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(host, pages, trust, distrust): scores in units of the mean, over the hosts of ``pages``. Hosts without either are 0."""
+    """(host, pages, trust, distrust, seed): scores in units of what a seed has of itself; hosts without either are 0. ``seed`` tells blocked ones."""
     rules = RULES if rules is None else rules
     host = host_of(F.col(url_col))
     links = F.when(F.col(html_col).contains("//"), F.array_remove(F.regexp_extract_all(F.col(html_col), F.lit(LINK), F.lit(1)), ""))
@@ -88,21 +89,22 @@ def host_scores(pages: DataFrame, rules: list[tuple[str, str, str]] | None = Non
     out = pages.select(host.alias("a"), F.explode(links).alias("b")).select("a", F.translate("b", UPPER, LOWER).alias("b")).where("a <> '' AND a <> b")
     edges = durable(out.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")), "links")
     seeds = hosts.select("host", (F.col("allowed") * 2 > F.col("pages")).cast("double").alias("good"), (F.col("blocked") * 2 > F.col("pages")).cast("double").alias("bad"))
-    n, good, bad = (x or 0 for x in seeds.agg(F.count(F.lit(1)), F.sum("good"), F.sum("bad")).first())
+    n = seeds.count()
     linked = not edges.isEmpty()
 
-    def scores(frm: str, to: str, seed: str, total: float) -> DataFrame:
-        chosen = seeds.where(F.col(seed) > 0).select("host", (F.col(seed) / (total or 1.0)).alias("seed"))
+    def scores(frm: str, to: str, seed: str) -> DataFrame:
+        chosen = seeds.where(F.col(seed) > 0).select("host", F.col(seed).alias("seed"))
         if not linked:
-            return chosen.select("host", (F.col("seed") * (1 - DAMPING)).alias("score"))  # what the walk gives
-        sums = edges.groupBy(frm).agg(F.sum("n").alias("all"))
+            return chosen.select("host", F.col("seed").alias("score"))  # what the walk gives
+        # Written, so that both sides of the join are plain shuffles: Spark splits a popular host's partition then.
+        sums = durable(edges.groupBy(frm).agg(F.sum("n").alias("all")), "sums")
         shares = edges.join(sums, frm).select(F.col(frm).alias("a"), F.col(to).alias("b"), (F.col("n") / F.col("all")).alias("share"))
         return _walk(durable(shares, "shares"), durable(chosen, "seeds"), rounds_for(n))
 
-    trust = scores("a", "b", "good", good).select("host", (F.col("score") * float(n)).alias("trust"))
-    distrust = scores("b", "a", "bad", bad).select("host", (F.col("score") * float(n)).alias("distrust"))
-    joined = hosts.select("host", "pages").join(trust, "host", "left").join(distrust, "host", "left")
-    return joined.select("host", "pages", F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
+    trust = scores("a", "b", "good").select("host", F.col("score").alias("trust"))
+    distrust = scores("b", "a", "bad").select("host", F.col("score").alias("distrust"))
+    joined = hosts.select("host", "pages", (F.col("blocked") * 2 > F.col("pages")).alias("seed")).join(trust, "host", "left").join(distrust, "host", "left")
+    return joined.select("host", "pages", F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"), "seed")
 
 
 def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]] | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", threshold: float = THRESHOLD) -> DataFrame:
@@ -113,7 +115,7 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]] | None = None
     read by one scan for its links and goes no further.
     """
     rules = RULES if rules is None else rules
-    bad = durable(host_scores(pages, rules, url_col, html_col).where((F.col("distrust") > threshold) & (F.col("distrust") > F.col("trust"))).select("host"), "bad-hosts")
+    bad = durable(host_scores(pages, rules, url_col, html_col).where(F.col("seed") | ((F.col("distrust") > threshold) & (F.col("distrust") > F.col("trust")))).select("host"), "bad-hosts")
     url = F.col(url_col)
     judged = pages.select(F.col(id_col).cast("long").alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"))
     judged = judged.withColumns({"rule": rule_of(F.col("host"), F.col("path"), rules), "said": rule_of(F.col("host"), F.col("path"), rules, "verdict")})

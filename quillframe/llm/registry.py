@@ -112,7 +112,7 @@ def _url_sql() -> str:
             UNION ALL
             SELECT i + 1, b, sum({DAMPING} * x * share) FROM {walk} JOIN {shares} ON a = host, steps WHERE i < n GROUP BY i, b
         ),
-        {walk}_score AS (SELECT host, {1 - DAMPING:.2f} * sum(x) AS score FROM {walk} GROUP BY host)"""
+        {walk}_score AS (SELECT host, sum(x) AS score FROM {walk} GROUP BY host)"""
         for walk, seeds, shares in (("g", "good", "forward"), ("d", "bad", "backward"))
     ]
     return rf"""
@@ -122,15 +122,15 @@ def _url_sql() -> str:
         ),
         r AS (SELECT *, {case(1)} AS rule, {case(2)} AS said FROM p),
         h AS (SELECT host, count(*) AS n, count(*) FILTER (said = 'allow') AS a, count(*) FILTER (said = 'block') AS b FROM r WHERE host <> '' GROUP BY host),
-        good AS (SELECT host, 1.0::DOUBLE / count(*) OVER () AS seed FROM h WHERE 2 * a > n), bad AS (SELECT host, 1.0::DOUBLE / count(*) OVER () AS seed FROM h WHERE 2 * b > n),
+        good AS (SELECT host, 1.0::DOUBLE AS seed FROM h WHERE 2 * a > n), bad AS (SELECT host, 1.0::DOUBLE AS seed FROM h WHERE 2 * b > n),
         x AS (SELECT host AS a, translate(unnest(regexp_extract_all(html, '(?i)<a\s(?:[^>]*?\s)?href\s*=\s*["'']?\s*(?:https?:)?//([^/?#"''\s>]+)', 1)), '{UPPER}', '{LOWER}') AS b FROM p WHERE host <> ''),
         e AS (SELECT a, b, count(*) AS n FROM x WHERE a <> b GROUP BY a, b),
         forward AS (SELECT a, b, n / sum(n) OVER (PARTITION BY a) AS share FROM e), backward AS (SELECT b AS a, a AS b, n / sum(n) OVER (PARTITION BY b) AS share FROM e),
-        steps AS (SELECT ceil(ln({TOLERANCE * THRESHOLD} / greatest(1, count(*))) / ln({DAMPING}))::INT AS n FROM h),
+        steps AS (SELECT ceil(ln({TOLERANCE * THRESHOLD * (1 - DAMPING)} / greatest(1, count(*))) / ln({DAMPING}))::INT AS n FROM h),
         {", ".join(steps)},
         blocked AS (
-            SELECT host FROM h JOIN d_score d USING (host) LEFT JOIN g_score g USING (host), (SELECT count(*) AS hosts FROM h)
-            WHERE d.score * hosts > {THRESHOLD} AND d.score > coalesce(g.score, 0)
+            SELECT host FROM h JOIN d_score d USING (host) LEFT JOIN g_score g USING (host) WHERE d.score > {THRESHOLD} AND d.score > coalesce(g.score, 0)
+            UNION SELECT host FROM bad
         )
         SELECT page_id, host, path, rule, coalesce(said, CASE WHEN host IN (SELECT host FROM blocked) THEN 'block' ELSE 'allow' END) AS verdict FROM r"""
 
