@@ -25,8 +25,8 @@ from quillframe.llm.common import distinct, durable, mix64, small_batches, utf8,
 PASSAGE, BUCKETS, WORDS, PAIRS, HIDDEN, ATTENTION = 600, 64, 128, 128, 24, 12
 #: Items that every profile is taken to have besides its own.
 PRIOR = 20
-#: Most labelled rows that the classifier is fitted on.
-SAMPLE = 6000
+#: Most labelled rows that the classifier is fitted on, and most bytes of their features (1,360 for each 600 characters).
+SAMPLE, SAMPLE_BYTES = 6000, 256 << 20
 THRESHOLD = 0.3
 
 _CLASSES = np.zeros(256, np.uint8)
@@ -192,12 +192,23 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
+def within(rows: list[tuple[int, int]], most: int) -> list[int]:
+    """The ids of rows (id, bytes), in order, that together stay within ``most`` bytes; a row of over a hundredth of that is passed over."""
+    out, held = [], 0
+    for i, size in rows:
+        if size * 100 <= most and held + size <= most:
+            out.append(i)
+            held += size
+    return out
+
+
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
     """Fits on at most ``sample`` labelled rows that are not held out, those with the least hashes of their ids.
 
     Null labels and ids are left out; of several labels of an id the greatest counts, and of several rows of an id the one
     with the least hash of its text. Labels whose document is missing do not count. Only features of the sample come to
-    the driver, all passages of each of its rows.
+    the driver, all passages of each of its rows, ``sample_bytes`` in all: rows that go beyond, or have over a hundredth of that (texts of
+    about a megabyte), are not trained on. They are scored like others, by all their passages.
     """
     small_batches(docs.sparkSession)
     known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label")).where("id IS NOT NULL AND label IS NOT NULL").where(~held_out("id"))
@@ -214,7 +225,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
     rows = rows.groupBy("id", "label").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("one")).select("id", "label", "one.text")
     # Written by all tasks at once; what comes to the driver, part by part, is read from the few files that hold the sample.
     encoded = durable(rows.mapInArrow(encode, "id long, label int, bag binary"), "sample")
-    found = sorted((r["id"], r["label"], bytes(r["bag"])) for r in encoded.toLocalIterator())
+    # The bytes of the sample are bounded too, by two facts of each of its rows.
+    sizes = sorted((tuple(r) for r in encoded.select(F.xxhash64("id"), "id", F.length("bag")).collect()))
+    fitting = within([(i, n) for _, i, n in sizes], sample_bytes)
+    found = sorted((r["id"], r["label"], bytes(r["bag"])) for r in encoded.where(F.col("id").isin(fitting) if len(fitting) < len(sizes) else F.lit(True)).toLocalIterator())
     bags = [np.frombuffer(b, "<f4").reshape(-1, FEATURES) for _, _, b in found]
     return fit(bags, np.array([float(label > 0) for _, label, _ in found]))
 
