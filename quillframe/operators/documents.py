@@ -120,20 +120,75 @@ class LineReader:
             h, w = int(h * cap), int(w * cap)
         return tuple(max(32, int(np.floor(v / 32 + 0.5)) * 32) for v in (h, w))
 
-    def __call__(self, image: np.ndarray) -> list[tuple[str, float, np.ndarray]]:
+    def lines(self, image: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The lines of an image, upright and as high as the recognizer takes them, with their quads."""
         height, width = image.shape[:2]
         h, w = self.size(height, width)
         probability = self.detector(kernels.imagenet_planes(kernels.resize(image[:, :, ::-1], w, h)))
-        out = []
         for quad in kernels.text_boxes(probability, width, height):
             line = kernels.warp(image, quad)
             scores = self.orientation(line)
             if scores[1] > scores[0]:
                 line = kernels.rotate_180(line)
             wide = int(np.clip(np.floor(line.shape[1] * 48 / line.shape[0] + 0.5), 1, 2000))
-            logits = np.asarray(self.recognizer(kernels.line_planes(kernels.resize(line, wide, 48))), np.float32)
-            best = logits.argmax(axis=1)
-            kept = (best != 0) & (best != np.r_[-1, best[:-1]])
-            text = "".join(self.symbols[i] for i in best[kept] if i < len(self.symbols))
-            out.append((text, float(logits.max(axis=1)[kept].mean(dtype=np.float32)) if kept.any() else 0.0, quad))
-        return out
+            yield kernels.resize(line, wide, 48), quad
+
+    def __call__(self, image: np.ndarray) -> list[tuple[str, float, np.ndarray]]:
+        return [(*decoded(np.asarray(self.recognizer(kernels.line_planes(line)), np.float32), self.symbols), quad) for line, quad in self.lines(image)]
+
+
+def decoded(logits: np.ndarray, symbols: list[str]) -> tuple[str, float]:
+    """Text and confidence of a line's logits (steps, symbols)."""
+    best = logits.argmax(axis=1)
+    kept = (best != 0) & (best != np.r_[-1, best[:-1]])
+    text = "".join(symbols[i] for i in best[kept] if i < len(symbols))
+    return text, float(logits.max(axis=1)[kept].mean(dtype=np.float32)) if kept.any() else 0.0
+
+
+LINE_IMAGES = "doc_id string, det_no int, polygon array<array<int>>, wide int, pixels binary"
+
+
+def line_images(images: DataFrame, reader: LineReader) -> DataFrame:
+    """(doc_id, det_no, polygon, wide, pixels): the lines of images, upright, 48 pixels high and ``wide`` as the recognizer takes them."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for row in batch.itertuples():
+                for i, (line, quad) in enumerate(reader.lines(_image(row))):
+                    rows.append((row.id, i, [[int(x), int(y)] for x, y in quad], line.shape[1], line.tobytes()))
+            yield pd.DataFrame(rows, columns=["doc_id", "det_no", "polygon", "wide", "pixels"])
+
+    return images.where("error_kind IS NULL").select("id", "height", "width", "data").mapInPandas(run, LINE_IMAGES)
+
+
+def read_in_batches(lines: DataFrame, recognizer: Callable[[np.ndarray], np.ndarray], symbols: list[str], steps: Callable[[int], int], size: int = 32, bucket: int = 64) -> DataFrame:
+    """(doc_id, det_no, text, confidence, polygon) of ``line_images``, the lines of many images to one call of the recognizer.
+
+    Lines of a task are sorted by width, and up to ``size`` of those whose widths round up to one multiple of ``bucket`` are padded
+    to it with zeros and go together: ``recognizer`` takes (n, 3, 48, width) planes and gives (n, steps, symbols) logits, of which the first
+    ``steps(wide)`` are a line's own. No line is shuffled: each comes back with its image's id and its number.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def read(held: list) -> pd.DataFrame:
+            wide = -(-held[0].wide // bucket) * bucket
+            planes = np.zeros((len(held), 3, 48, wide), np.float32)
+            for x, row in zip(planes, held):
+                x[:, :, : row.wide] = kernels.line_planes(np.frombuffer(row.pixels, np.uint8).reshape(48, row.wide, 3))
+            logits = np.asarray(recognizer(planes), np.float32)
+            rows = [(row.doc_id, row.det_no, *decoded(x[: steps(row.wide)], symbols), [list(p) for p in row.polygon]) for x, row in zip(logits, held)]
+            return pd.DataFrame(rows, columns=["doc_id", "det_no", "text", "confidence", "polygon"])
+
+        held: list = []
+        for batch in batches:
+            for row in batch.itertuples():
+                if held and (len(held) == size or -(-held[0].wide // bucket) != -(-row.wide // bucket)):
+                    yield read(held)
+                    held = []
+                held.append(row)
+        if held:
+            yield read(held)
+
+    sorted_ = lines.sortWithinPartitions("wide")
+    return sorted_.mapInPandas(run, "doc_id string, det_no int, text string, confidence float, polygon array<array<int>>")

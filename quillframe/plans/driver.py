@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, FloatType, LongType, StructField, StructType
 
-from quillframe.functions import errors, geometry, mrz, sql, tensors, text
+from quillframe.functions import errors, geometry, mrz, sql, tensors, text, udtf
 from quillframe.operators import kernels, layout, passport, signatures, type_tables, wide
 from quillframe.plans import fixtures, oracle
 from quillframe.sources import crop_store, images, multipart, quarantine, sidecar, store
@@ -336,6 +336,13 @@ def sql_dates(spark, sf_dir):
     return spark.sql("SELECT o_orderkey, printed_date(printed) AS iso FROM printed_rows")
 
 
+def sql_fields(spark, sf_dir):
+    """Fields of pages in SQL, by a table function over the lines of each page."""
+    udtf.register(spark)
+    lines(spark, sf_dir).createOrReplaceTempView("page_lines")
+    return spark.sql("SELECT * FROM page_fields(TABLE(SELECT doc_id, det_no, text, confidence, polygon FROM page_lines) PARTITION BY doc_id ORDER BY det_no)")
+
+
 def look_up(spark, sf_dir):
     requests = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", (F.col("o_custkey") * 2).alias("id"))
     held = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("id"), "c_name")
@@ -471,7 +478,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         mrz_roundtrip, mrz_names, mrz_dates, check_digits, mrz_candidates, shape_profile, label_words, inline_fields, reading_order, label_components,
         nearest_below, same_row_values, generic_fields, detect_type, block_scan, card_fields, passport_fields, passport_document, print_dates,
         quad_order, quad_expand, crop_validate, det_resize, unclip_boxes, ctc_decode, heatmap_peak, sidecar_flatten, error_status,
-        largest_blob, masked_mean, planes, homography, first_upload, multipart_uploads, stored_crops, quarantined, sql_zones, sql_dates, look_up, latest_crops, request_body, rescale_box, full_frame, upside_down, stream_fields, stream_assembly, wide_label_rows, wide_nearest_below, wide_value_rows, wide_fields, typed_fields, typed_fields_joined, fields_json, passport_json,
+        largest_blob, masked_mean, planes, homography, first_upload, multipart_uploads, stored_crops, quarantined, sql_zones, sql_dates, sql_fields, look_up, latest_crops, request_body, rescale_box, full_frame, upside_down, stream_fields, stream_assembly, wide_label_rows, wide_nearest_below, wide_value_rows, wide_fields, typed_fields, typed_fields_joined, fields_json, passport_json,
     )
 }
 ORACLE: dict[str, str] = oracle.ORACLE

@@ -403,6 +403,7 @@ ORACLE = {
     "full_frame": f"WITH {fixtures.QUADS} SELECT doc_id, 0::BIGINT AS x0, 0::BIGINT AS y0, (width - 1)::BIGINT AS x1, 0::BIGINT AS y1, (width - 1)::BIGINT AS x2, (height - 1)::BIGINT AS y2, 0::BIGINT AS x3, (height - 1)::BIGINT AS y3 FROM quads",
     "upside_down": "SELECT vec_id, embedding[2] > embedding[1] AS upside_down FROM embeddings",
     "stream_fields": f"{_pages(CARD_LABEL_WORDS)} SELECT doc_id, field_no::INT AS field_no, label, value FROM generic",
+    "sql_fields": f"{_pages(CARD_LABEL_WORDS)} SELECT doc_id, field_no::INT AS field_no, label, value FROM generic",
     "stream_assembly": f"""{_pages(CARD_LABEL_WORDS)}, extra AS (SELECT doc_id, count(*) AS n FROM ocr_lines WHERE doc_id % 11 = 0 AND det_no % 5 = 0 GROUP BY doc_id)
         SELECT doc_id, field_no::INT AS field_no, label, value, coalesce(n, 0)::BIGINT AS n_extra FROM generic LEFT JOIN extra USING (doc_id)""",
     "wide_label_rows": f"{_pages(CARD_LABEL_WORDS, 'wide_lines')} SELECT doc_id, n AS line_no, g AS group_no FROM member",
