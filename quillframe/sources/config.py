@@ -32,8 +32,6 @@ class RecognizerSettings:
     queue_timeout_millis: int = 2000
     max_concurrency: int = 1
     min_confidence: float = LINE_CONFIDENCE
-
-
     api_key: str | None = None
 
     @classmethod
