@@ -2,11 +2,12 @@
 
 A window is ``width`` consecutive words. Equal texts collapse to one with a count, whatever their rows. Windows are dealt to
 shards by their minimiser, the least of the hashes of their shorter word sequences: equal windows meet in one shard
-wherever they stand, and neighbours mostly stay together as one run. Equal runs collapse to one with a count. A run whose
-minimiser no other run has needs no search: it occurs as often as it is counted. For all others, each shard is a compressed
-FM-index over words; the runs are streamed through it by backward search over its wavelet matrix, whose matching
-statistics, weighted by the counts, give the windows that occur again. The runs of a minimiser that too many share are
-divided by longer minimisers, the last of which is a whole window, and dealt to indexes by those.
+wherever they stand, and neighbours mostly stay together as one run. Equal runs collapse to one with a count, and runs whose
+minimiser occurs once in the corpus are left out. Each shard is a compressed FM-index over the words of its runs; all of them
+are streamed through it by backward search over its wavelet matrix, whose matching statistics give the windows with an
+interval of two occurrences or more. Minimisers only say where to search; what repeats is decided in an index. The runs of a
+minimiser that too many share are divided by longer minimisers, the last of which is a whole window, and dealt to indexes by
+those.
 """
 
 from __future__ import annotations
@@ -156,8 +157,8 @@ def _settle(words: DataFrame, width: int, crowd: int, grams: tuple[int, ...]) ->
         return search(words)
     crowds = durable(words.groupBy("key").agg(F.count(F.lit(1)).alias("runs")), "crowds")
     counted = words.join(crowds, "key")
-    # A run that shares its minimiser with no other occurs as often as it is counted.
-    found = search(counted.where((F.col("runs") > 1) & (F.col("runs") <= crowd)).drop("runs")).unionByName(counted.where("runs = 1 AND n > 1").select("key", "run", F.lit(-1).cast("long").alias("mask")))
+    # A single run that occurs once has no window that another place has.
+    found = search(counted.where(((F.col("runs") > 1) | (F.col("n") > 1)) & (F.col("runs") <= crowd)).drop("runs"))
     crowded = counted.where(F.col("runs") > crowd).drop("runs")
     parts = durable(crowded.mapInArrow(_divide(width, grams[0]), "key long, run long, n long, from int, sub long, subrun long, windows int, words binary"), "parts")
     if parts.isEmpty():
@@ -218,14 +219,12 @@ def repeated_substrings(docs: DataFrame, width: int = 35, id_col: str = "doc_id"
     found = durable(runs.join(again, "key", "left_semi"), "candidates")
 
     different = durable(found.groupBy("key", "run").agg(F.sum("times").alias("n"), F.min(F.struct("row", "place")).alias("at")), "classes")
-    shared = durable(different.groupBy("key").agg(F.count(F.lit(1)).alias("runs")).where("runs > 1").select("key"), "shared")
-    alone = different.join(shared, "key", "left_anti").where("n > 1").select("key", "run", F.lit(-1).cast("long").alias("mask"))
-    # One place of each run that has company in its shard gives its words.
-    chosen = different.join(shared, "key", "left_semi").select(F.col("at.row").alias("row"), F.struct("key", "run", "n", F.col("at.place").alias("place")).alias("x"))
+    # One place of each run gives its words.
+    chosen = different.select(F.col("at.row").alias("row"), F.struct("key", "run", "n", F.col("at.place").alias("place")).alias("x"))
     chosen = chosen.groupBy("row").agg(F.collect_list("x").alias("chosen"))  # of one document: as many as it has runs
     by_text = durable(chosen.join(rows.select("row", "m1", "m2"), "row").drop("row"), "chosen")
     words = durable(texts_of(read, by_text).select("text", "chosen").mapInArrow(_words(width), _RUN), "words")
-    masks = durable(alone.unionByName(_settle(words, width, crowd, (*grams, width))).where("mask <> 0"), "masks")
+    masks = durable(_settle(words, width, crowd, (*grams, width)).where("mask <> 0"), "masks")
     windows = F.expr("shiftrightunsigned(-1L, 64 - cast(place & 255 AS int))")
     repeats = found.join(masks, ["key", "run"]).select("row", "place", F.col("mask").bitwiseAND(windows).alias("mask"))
     return rows.drop("runs"), repeats
