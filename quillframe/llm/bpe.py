@@ -15,6 +15,7 @@ import sys
 import unicodedata
 from array import array
 from collections.abc import Iterable, Iterator
+from functools import cached_property
 from itertools import islice
 
 import regex
@@ -51,6 +52,11 @@ class Vocabulary:
         self.specials = {x["content"]: x["id"] for x in self.file["added_tokens"]}
         self.pieces = {i: s.encode() for s, i in (self.ids | self.specials).items()}
 
+    @cached_property
+    def reach(self) -> int:
+        """The lookahead, computed once."""
+        return self.lookahead()
+
     def lookahead(self) -> int:
         """How many symbols the end of the known part of a word can reach back, whatever follows.
 
@@ -163,18 +169,11 @@ def merge_word(symbols: list[int], merges: dict[int, int]) -> tuple[list[int], l
     return out, lengths
 
 
-def count_word(data: bytes, vocabulary: Vocabulary) -> int:
-    """Tokens of one word: its symbols minus the merges that the heap-and-linked-list process makes. No ids are emitted."""
-    n, merges = len(data), vocabulary.merges
-    if n < 2:
-        return n
-    get, inner = merges.get, vocabulary.inner
-    tokens = [inner[b] for b in data]
-    tokens[-1] = vocabulary.last[data[-1]]
-    heap = [found >> 20 << 40 | i for i, (a, b) in enumerate(zip(tokens, tokens[1:])) if (found := get(a << 20 | b)) is not None]
-    if not heap:
-        return n
+def _merged(tokens: list[int], merges: dict[int, int]) -> tuple[list[int], int]:
+    """Merge within ``tokens``, in place: (where the token after each one begins, merges made)."""
+    n, get = len(tokens), merges.get
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    heap = [found >> 20 << 40 | i for i, (a, b) in enumerate(zip(tokens, tokens[1:])) if (found := get(a << 20 | b)) is not None]
     heapq.heapify(heap)
     pop, push, done = heapq.heappop, heapq.heappush, 0
     while heap:
@@ -192,6 +191,40 @@ def count_word(data: bytes, vocabulary: Vocabulary) -> int:
                 push(heap, found >> 20 << 40 | i)
         if (h := before[i]) >= 0 and (found := get(tokens[h] << 20 | a)) is not None:
             push(heap, found >> 20 << 40 | h)
+    return after, done
+
+
+#: Symbols of a word that are held as lists at once, some 123 bytes each; longer words are counted window by window.
+WINDOW = 1 << 14
+
+
+def count_word(data: bytes, vocabulary: Vocabulary, window: int = WINDOW) -> int:
+    """Tokens of one word: its symbols minus the merges that the heap-and-linked-list process makes. No ids are emitted.
+
+    Of a word longer than ``window`` as many symbols are held and merged at a time. Tokens that end at least the
+    lookahead of the merge list before the end of the window stay as they are, so their merges are counted; the
+    symbols behind them begin the next window.
+    """
+    n, merges, inner = len(data), vocabulary.merges, vocabulary.inner
+    if n < 2:
+        return n
+    if n <= window:
+        tokens = [inner[b] for b in data]
+        tokens[-1] = vocabulary.last[data[-1]]
+        return n - _merged(tokens, merges)[1]
+    held, done = [], 0
+    for at in range(0, n, window):
+        held += [inner[b] for b in data[at : at + window]]
+        if at + window >= n:
+            held[-1] = vocabulary.last[data[-1]]
+            done += _merged(held, merges)[1]
+            break
+        after, stable = _merged(held[:], merges)[0], len(held) - vocabulary.reach
+        taken = 0
+        while taken < len(held) and after[taken] <= stable:
+            done += after[taken] - taken - 1
+            taken = after[taken]
+        del held[:taken]
     return n - done
 
 

@@ -98,6 +98,28 @@ def test_merging_counts_what_it_makes():
         assert bpe.count_word(word.encode(), vocabulary) == len(library(word)[0])
 
 
+def test_counts_of_long_words_window_by_window():
+    """Any window gives the count of the whole word, and memory does not follow the word."""
+    import tracemalloc
+
+    vocabulary, rng = bpe.Vocabulary(WORDS), random.Random(8)
+    words = ["".join(rng.choice(letters) for _ in range(n)).encode() for letters in ("ethanoingsrlduc", "ab", "é1", "x") for n in (1, 2, 199, 200, 201, 3000)]
+    for word in words:
+        whole = [vocabulary.inner[b] for b in word[:-1]] + [vocabulary.last[word[-1]]]
+        want = len(bpe.merge_word(whole, vocabulary.merges)[0])
+        assert {bpe.count_word(word, vocabulary, w) for w in (1, 7, 200, 1024, 1 << 14)} == {want}
+    long = "".join(rng.choice("ethanoingsrlduc") for _ in range(120_000))
+    assert bpe.count_word(long.encode(), vocabulary) == len(library(long)[0])
+    peaks = []
+    for n in (1, 4):
+        data = (long * n).encode()
+        tracemalloc.start()
+        bpe.count_word(data, vocabulary)
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peaks[1] < 1.2 * peaks[0]
+
+
 def test_pieces_and_places(spark):
     rows = corpus() + [(1000 + i, t) for i, t in enumerate(odd_texts())]
     tokenizer = Tokenizer.from_file(BYTES)
