@@ -79,6 +79,38 @@ def crop_size(quad: Column, wide: bool = False) -> Column:
     return F.struct(whole(w).alias("width"), whole(h).alias("height"))
 
 
+def straightening(quad: Column, width: Column, height: Column) -> Column:
+    """The projective map, row by row as an array of nine doubles up to a factor, that takes the corners of a quad to those of a
+    straight image of the given size. Null where three corners that follow each other lie on a line.
+
+    The map of the unit square to the quad has a closed form; its adjugate is the way back.
+    """
+    corner = lambda q, i, name: q[i][name].cast("double")
+
+    def forward(q: Column) -> Column:
+        (x0, x1, x2, x3), (y0, y1, y2, y3) = ([corner(q, i, name) for i in range(4)] for name in "xy")
+        u, v, w, z = x1 - x2, x3 - x2, y1 - y2, y3 - y2
+        sx, sy, det = x0 - x1 + x2 - x3, y0 - y1 + y2 - y3, u * z - v * w
+        g, h = F.try_divide(sx * z - v * sy, det), F.try_divide(u * sy - sx * w, det)
+        return let(F.struct(g.alias("g"), h.alias("h")), lambda p: F.array(x1 - x0 + p["g"] * x1, x3 - x0 + p["h"] * x3, x0, y1 - y0 + p["g"] * y1, y3 - y0 + p["h"] * y3, y0, p["g"], p["h"]))
+
+    def back(m: Column) -> Column:
+        a, b, c, d, e, f, g, h = (m[i] for i in range(8))
+        across, down = (s.cast("double") - 1 for s in (width, height))
+        rows = ((e - f * h) * across, (c * h - b) * across, (b * f - c * e) * across, (f * g - d) * down, (a - c * g) * down, (c * d - a * f) * down, d * h - e * g, b * g - a * h, a * e - b * d)
+        whole = (m[6].isNotNull()) & ((a * e - b * d) != 0) & (((a - c * g) * (e - f * h) - (b - c * h) * (d - f * g)) != 0)
+        return F.when(whole, F.array(*rows))
+
+    return let(forward(quad), back)
+
+
+def project(map_: Column, x: Column, y: Column) -> Column:
+    """struct(x, y): where a projective map takes a point; null beyond the horizon."""
+    x, y = x.cast("double"), y.cast("double")
+    part = lambda i: map_[i] * x + map_[i + 1] * y + map_[i + 2]
+    return F.struct(F.try_divide(part(0), part(6)).alias("x"), F.try_divide(part(3), part(6)).alias("y"))
+
+
 def twice_area(quad: Column) -> Column:
     """Absolute shoelace sum, in 32 bits."""
     total = real(0)

@@ -5,16 +5,13 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, FloatType, LongType, StructField, StructType
 
 from quillframe.functions import errors, geometry, mrz, sql, tensors, text, udtf
-from quillframe.operators import kernels, layout, passport, signatures, type_tables, wide
+from quillframe.operators import blobs, layout, passport, signatures, type_tables, wide
 from quillframe.plans import fixtures, oracle
-from quillframe.sources import crop_store, images, multipart, quarantine, sidecar, store
+from quillframe.sources import crop_store, dictionary, images, multipart, quarantine, sidecar, store
 from quillframe.streaming import assembly
 from quillframe.streaming import pages as streaming
 
@@ -228,59 +225,45 @@ def error_status(spark, sf_dir):
     return parsed.select("doc_id", F.coalesce("error_kind", F.lit("none")).alias("error_kind"), response["status"].alias("status"), F.coalesce(response["message"], F.lit("")).alias("message"))
 
 
-@F.pandas_udf(StructType([StructField("x", DoubleType()), StructField("y", DoubleType())]))
-def _largest_blob(grids: pd.Series) -> pd.DataFrame:
-    found = [kernels.largest_blob(np.asarray(g, np.float32).reshape(8, 8), threshold=0.1) for g in grids]
-    return pd.DataFrame([x or (None, None) for x in found], columns=["x", "y"], dtype="float64")
-
-
 def largest_blob(spark, sf_dir):
-    found = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", _largest_blob("embedding").alias("c")).where("c.x IS NOT NULL")
-    return found.select("vec_id", milli(F.col("c.x")).alias("x"), milli(F.col("c.y")).alias("y"))
-
-
-@F.pandas_udf(DoubleType())
-def _masked_mean(grids: pd.Series, quads: pd.Series) -> pd.Series:
-    return pd.Series([kernels.masked_mean(np.asarray(g, float).reshape(8, 8), np.asarray(q, float).reshape(4, 2)) for g, q in zip(grids, quads)])
+    found = blobs.largest_blobs(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), 8, "vec_id", "embedding", threshold=0.1)
+    return found.select(F.col("id").alias("vec_id"), milli(F.col("x")).alias("x"), milli(F.col("y")).alias("y"))
 
 
 def masked_mean(spark, sf_dir):
     """Means inside small quads, some of them partly outside the grid."""
     x, y, tilt = F.col("vec_id") % 9 - 2, F.col("vec_id") % 7 - 2, F.col("vec_id") % 2
-    quad = F.array(*(c.cast("double") for c in (x, y, x + 3, y + tilt, x + 3, y + 4, x, y + 3)))
-    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", milli(_masked_mean("embedding", quad)).alias("mean"))
-
-
-@F.pandas_udf(ArrayType(FloatType()))
-def _planes(pixels: pd.Series) -> pd.Series:
-    images_ = [np.asarray(p, np.uint8).reshape(2, 2, 3) for p in pixels]
-    return pd.Series([np.r_[kernels.imagenet_planes(x).ravel(), kernels.line_planes(x).ravel()] for x in images_])
+    corner = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+    quad = F.array(corner(x, y), corner(x + 3, y + tilt), corner(x + 3, y + 4), corner(x, y + 3))
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", milli(tensors.masked_mean(F.col("embedding"), 8, quad)).alias("mean"))
 
 
 def planes(spark, sf_dir):
     """Both kinds of model inputs of an image of two by two pixels, plane by plane."""
     pixels = F.transform(F.slice("embedding", 1, 12), lambda v: (F.floor(F.abs(v.cast("double")) * 1000) % 256).cast("int"))
-    found = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.posexplode(_planes(pixels)).alias("place", "value"))
+    both = lambda p: F.concat(tensors.imagenet_planes(p), tensors.line_planes(p))
+    found = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.posexplode(both(pixels)).alias("place", "value"))
     return found.select("vec_id", "place", F.round(F.col("value").cast("double") * 10000).cast("long").alias("value"))
 
 
-@F.pandas_udf(ArrayType(LongType()))
-def _straightened(quads: pd.Series, width: pd.Series, height: pd.Series) -> pd.Series:
-    out = []
-    for quad, w, h in zip(quads, width, height):
-        points = np.array([[p["x"], p["y"]] for p in quad], float)
-        mapped = kernels.homography(points, [[0, 0], [w - 1, 0], [w - 1, h - 1], [0, h - 1]]) @ np.r_[points.T, np.ones((1, 4))]
-        out.append(np.rint(mapped[:2] / mapped[2]).astype(int).T.ravel())
-    return pd.Series(out)
-
-
 def homography(spark, sf_dir):
     """Where the projective map of each valid crop takes its corners: to those of the straightened image."""
     q = quads(spark, sf_dir)
     size = geometry.crop_size(F.col("quad"))
     good = q.where(geometry.crop_error(F.col("quad"), F.col("width"), F.col("height")).isNull())
-    found = good.select("doc_id", _straightened("quad", size["width"], size["height"]).alias("p"))
-    return found.select("doc_id", *(F.col("p")[2 * i + k].alias(f"{axis}{i}") for i in range(4) for k, axis in enumerate("xy")))
+    mapped = good.select("doc_id", "quad", geometry.straightening(F.col("quad"), size["width"], size["height"]).alias("map"))
+    found = mapped.select("doc_id", F.transform("quad", lambda p: geometry.project(F.col("map"), p["x"], p["y"])).alias("p"))
+    return found.select("doc_id", *(F.rint(F.col("p")[i][axis]).cast("long").alias(f"{axis}{i}") for i in range(4) for axis in "xy"))
+
+
+def dictionary_lines(spark, sf_dir):
+    """Two steps of a model each, read with a dictionary file of all nations' names."""
+    path = f"{store.own_dir(spark)}/dictionary-{uuid.uuid4().hex}"
+    names = spark.read.parquet(f"{sf_dir}/nation.parquet").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))), lambda n: n["n_name"]), "\n").alias("value"))
+    names.write.text(path)
+    symbols = dictionary.read_dictionary(spark, path)
+    wide = names.sparkSession.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.array(F.slice("embedding", 1, 27), F.slice("embedding", 28, 27)).alias("logits"))
+    return dictionary.decode_outputs(wide, symbols).select("vec_id", "text", F.round(F.col("confidence").cast("double") * 10000).cast("long").alias("confidence"))
 
 
 def first_upload(spark, sf_dir):
@@ -478,7 +461,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         mrz_roundtrip, mrz_names, mrz_dates, check_digits, mrz_candidates, shape_profile, label_words, inline_fields, reading_order, label_components,
         nearest_below, same_row_values, generic_fields, detect_type, block_scan, card_fields, passport_fields, passport_document, print_dates,
         quad_order, quad_expand, crop_validate, det_resize, unclip_boxes, ctc_decode, heatmap_peak, sidecar_flatten, error_status,
-        largest_blob, masked_mean, planes, homography, first_upload, multipart_uploads, stored_crops, quarantined, sql_zones, sql_dates, sql_fields, look_up, latest_crops, request_body, rescale_box, full_frame, upside_down, stream_fields, stream_assembly, wide_label_rows, wide_nearest_below, wide_value_rows, wide_fields, typed_fields, typed_fields_joined, fields_json, passport_json,
+        largest_blob, masked_mean, planes, homography, dictionary_lines, first_upload, multipart_uploads, stored_crops, quarantined, sql_zones, sql_dates, sql_fields, look_up, latest_crops, request_body, rescale_box, full_frame, upside_down, stream_fields, stream_assembly, wide_label_rows, wide_nearest_below, wide_value_rows, wide_fields, typed_fields, typed_fields_joined, fields_json, passport_json,
     )
 }
 ORACLE: dict[str, str] = oracle.ORACLE

@@ -359,6 +359,11 @@ ORACLE = {
         p AS (SELECT *, coalesce(lag(sym) OVER (PARTITION BY vec_id ORDER BY i), -1) AS was FROM m),
         k AS (SELECT vec_id, coalesce(string_agg((['', 'a', 'b', ' '])[sym + 1], '' ORDER BY i) FILTER (sym <> 0 AND sym <> was), '') AS text, list(best ORDER BY i) FILTER (sym <> 0 AND sym <> was) AS bests FROM p GROUP BY vec_id)
         SELECT vec_id, text, CASE WHEN bests IS NULL THEN 0 ELSE round((list_reduce(list_prepend(0::FLOAT, bests), lambda a, x: (a + x)::FLOAT) / len(bests)::FLOAT)::FLOAT::DOUBLE * 10000)::BIGINT END AS confidence FROM k""",
+    "dictionary_lines": """
+        WITH d AS (SELECT list_concat([''], list(n_name ORDER BY n_nationkey), [' ']) AS symbols FROM nation), v AS (SELECT vec_id, embedding[1:27] AS a, embedding[28:54] AS b FROM embeddings),
+        m AS (SELECT vec_id, list_max(a) AS ma, list_position(a, list_max(a)) - 1 AS sa, list_max(b) AS mb, list_position(b, list_max(b)) - 1 AS sb FROM v)
+        SELECT vec_id, CASE WHEN sa <> 0 THEN symbols[sa + 1] ELSE '' END || CASE WHEN sb <> 0 AND sb <> sa THEN symbols[sb + 1] ELSE '' END AS text,
+            CASE WHEN sa <> 0 AND sb <> 0 AND sb <> sa THEN round(((ma + mb)::FLOAT / 2::FLOAT)::FLOAT::DOUBLE * 10000) WHEN sa <> 0 THEN round(ma::DOUBLE * 10000) WHEN sb <> 0 THEN round(mb::DOUBLE * 10000) ELSE 0 END::BIGINT AS confidence FROM m, d""",
     "heatmap_peak": """
         WITH c AS (SELECT vec_id, unnest(range(0, 64)) AS i, unnest(embedding) AS v FROM embeddings)
         SELECT vec_id, round(sum(i % 8)::DOUBLE / count(*) * 1000)::BIGINT AS x, round(sum(i // 8)::DOUBLE / count(*) * 1000)::BIGINT AS y FROM c WHERE v > 0.1::FLOAT GROUP BY vec_id""",
