@@ -9,18 +9,18 @@ import numpy as np
 
 
 class BitVector:
-    """Packed bits with the count of ones before each 64-bit word: 1.5 bits a position."""
+    """Packed bits with the count of ones before each 64-bit word: 2 bits a position."""
 
     def __init__(self, bits: np.ndarray):
         packed = np.packbits(np.r_[bits, np.zeros(64 + -len(bits) % 64, bits.dtype)].astype(np.uint8), bitorder="little")
         self.words = packed.view("<u8").astype(np.uint64)
-        self.before = np.r_[0, np.cumsum(np.bitwise_count(self.words))].astype(np.uint32)
+        self.before = np.r_[0, np.cumsum(np.bitwise_count(self.words))].astype(np.int64)
 
     def rank(self, i: np.ndarray) -> np.ndarray:
-        """Ones among the first i bits."""
+        """Ones among the first i bits, for places of 64 bits."""
         word = i >> 6
-        mask = (np.uint64(1) << (i & 63).astype(np.uint64)) - np.uint64(1)
-        return self.before[word].astype(np.int64) + np.bitwise_count(self.words[word] & mask)
+        mask = (np.uint64(1) << (i & 63).view(np.uint64)) - np.uint64(1)
+        return self.before[word] + np.bitwise_count(self.words[word] & mask)
 
 
 class WaveletMatrix:
@@ -31,15 +31,20 @@ class WaveletMatrix:
             self.levels.append((bit, BitVector(ones), int(len(ones) - ones.sum())))
             symbols = np.r_[symbols[~ones], symbols[ones]]
 
+        #: Where the run of each symbol begins at the last level: the way of place 0.
+        known = np.arange(1 << bits, dtype=np.int64)
+        self.begins = self._descend(known, np.zeros(len(known), np.int64))
+
+    def _descend(self, symbol: np.ndarray, i: np.ndarray) -> np.ndarray:
+        """The places ``i`` at the last level, on the way of their symbols; several rows of places share the symbols."""
+        for bit, vector, zeros in self.levels:
+            ones = vector.rank(i)
+            i = np.where((symbol >> bit & 1).astype(bool), ones + zeros, i - ones)
+        return i
+
     def rank(self, symbol: np.ndarray, i: np.ndarray) -> np.ndarray:
         """Occurrences of each symbol among the first i; relative to where the symbol's run begins at the last level."""
-        start = np.zeros_like(i)
-        for bit, vector, zeros in self.levels:
-            one = (symbol >> bit & 1).astype(bool)
-            both = vector.rank(np.concatenate([start, i]))
-            a, b = both[: len(i)], both[len(i) :]
-            start, i = np.where(one, zeros + a, start - a), np.where(one, zeros + b, i - b)
-        return i - start
+        return self._descend(symbol, i) - self.begins[symbol]
 
 
 def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
@@ -87,9 +92,8 @@ class FMIndex:
 
     def extend(self, symbol: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """One step of backward search: the intervals of the patterns with ``symbol`` put before them."""
-        both = self.matrix.rank(np.concatenate([symbol, symbol]), np.concatenate([low, high]))
-        base = self.first[symbol]
-        return base + both[: len(low)], base + both[len(low) :]
+        low, high = self.first[symbol] + self.matrix.rank(symbol, np.stack([low, high]))
+        return low, high
 
     def repeated_windows(self, which: np.ndarray, windows: np.ndarray, width: int) -> np.ndarray:
         """For texts ``which`` (numbers) with so many ``windows`` of ``width`` symbols, the windows that occur twice or more in
