@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,8 +30,18 @@ GRAM, CROWD, INDEX_WORDS = 8, 128, 200_000
 GRAMS = (24,)
 
 
-def _digest(data: bytes) -> int:
-    return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little", signed=True)
+#: Seed of the digests of runs.
+SEED = 0x2545F4914F6CDD1D
+
+
+def _least(values: np.ndarray, span: int) -> np.ndarray:
+    """Where the first of the least values of each ``span`` neighbours stands: of stretches that double, two make up the last."""
+    least, reach = np.arange(len(values)), 1
+    while reach < span:
+        step = min(reach, span - reach)
+        near, far = least[:-step], least[step:]
+        least, reach = np.where(values[far] < values[near], far, near), reach + step
+    return least
 
 
 def _cuts(hashes: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -39,8 +50,8 @@ def _cuts(hashes: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, np.nda
     grams, span = gram_hashes(hashes, gram), width - gram + 1
     least = np.empty(n, np.int64)
     for at in range(0, n, 1 << 16):
-        part = np.lib.stride_tricks.sliding_window_view(grams[at : min(n, at + (1 << 16)) + span - 1], span)
-        least[at : at + len(part)] = part.argmin(axis=1) + np.arange(at, at + len(part))
+        end = min(n, at + (1 << 16))
+        least[at:end] = _least(grams[at : end + span - 1], span) + at
     first = np.flatnonzero(np.r_[True, least[1:] != least[:-1]])
     return grams[least[first]].astype(np.int64), first, np.diff(np.r_[first, n])
 
@@ -50,8 +61,9 @@ def runs_of(joined: bytes, starts: np.ndarray, ends: np.ndarray, width: int, gra
     if len(starts) < width:
         return (np.zeros(0, np.int64),) * 4
     key, first, count = _cuts(word_hashes(joined), width, gram)
-    whole = [_digest(joined[i:j]) for i, j in zip(starts[first].tolist(), ends[first + count + width - 2].tolist())]
-    return key, first, count, np.array(whole, np.int64)
+    held = memoryview(joined)
+    whole = [xxhash.xxh3_64_intdigest(held[i:j], SEED) for i, j in zip(starts[first].tolist(), ends[first + count + width - 2].tolist())]
+    return key, first, count, np.array(whole, np.uint64).view(np.int64)
 
 
 def _scan(width: int):
