@@ -73,6 +73,12 @@ def is_candidate(normalized: Column) -> Column:
     return F.length(normalized).between(SHORTEST, LONGEST)
 
 
+def is_candidate_line(s: Column) -> Column:
+    """``is_candidate(normalize(s))`` of a line as it is: one search, which ends after the first character too many."""
+    kept, other = "[A-Za-z0-9< _«‹]", "[^A-Za-z0-9< _«‹]*+"
+    return s.rlike(rf"\A(?:{other}{kept}){{{SHORTEST},{LONGEST}}}+{other}\z")
+
+
 def fit(normalized: Column) -> Column:
     """Exactly 44 characters."""
     return F.rpad(normalized, LINE, "<")
@@ -112,5 +118,5 @@ def parse(line1: Column, line2: Column, as_of: Column) -> Column:
 
 def extract(lines: Column, as_of: Column) -> Column:
     """The zone of a page, from an array of structs with ``text``, ``top`` and ``line_no``: the two lowest candidates, in order; null with fewer."""
-    rows = F.filter(F.transform(lines, lambda x: F.struct(x["top"].alias("top"), x["line_no"].alias("line_no"), normalize(x["text"]).alias("text"))), lambda x: is_candidate(x["text"]))
+    rows = F.transform(F.filter(lines, lambda x: is_candidate_line(x["text"])), lambda x: F.struct(x["top"].alias("top"), x["line_no"].alias("line_no"), normalize(x["text"]).alias("text")))
     return let(rows, lambda r: F.when(F.size(r) >= 2, let(F.slice(F.sort_array(r), -2, 2), lambda p: parse(fit(p[0]["text"]), fit(p[1]["text"]), as_of))))

@@ -1,10 +1,13 @@
 """Zones: the public specimen, damaged lines, and the arithmetic of check digits."""
 
+import random
+
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quillframe.functions import mrz
+from quillframe.plans import driver
 
 LINE1 = "P<UTOERIKSSON<<ANNA<MARIA".ljust(44, "<")
 LINE2 = "L898902C36UTO7408122F1204159ZE184226B<<<<<10"
@@ -65,3 +68,15 @@ def test_check_digits_verify_themselves(spark, s):
     want = sum((mrz.ALPHABET.find(c) if c in mrz.ALPHABET else 0) * (7, 3, 1)[i % 3] for i, c in enumerate(s)) % 10
     row = spark.createDataFrame([(s, str(want))], "s string, d string").select(mrz.check_digit(F.col("s")).alias("a"), mrz.check_digit(F.col("s"), 9).alias("b"), mrz.verify(F.col("s"), F.col("d"), 9).alias("ok"), mrz.verify(F.col("s"), F.lit("<"), 9).alias("blank")).first()
     assert (row["a"], row["b"], row["ok"], row["blank"]) == (want, want, True, True)
+
+
+def test_candidate_lines_are_told_without_rewriting_them(spark):
+    rng = random.Random(3)
+    lines = ["".join(rng.choices("Aa0< _«‹.;ß\né\u212a", [9, 9, 9, 9, 3, 1, 1, 1, 3, 1, 1, 1, 1, 1], k=rng.randint(30, 75))) for _ in range(3000)]
+    lines += ["A" * n for n in range(36, 53)] + [".A" * 50, "." * 200_000, "A" * 200_000, "", None]
+    frame = spark.createDataFrame([(s,) for s in lines], "s string").select(mrz.is_candidate_line(F.col("s")).alias("line"), mrz.is_candidate(mrz.normalize(F.col("s"))).alias("whole"))
+    got = frame.collect()
+    assert [r.line for r in got] == [r.whole for r in got] and any(r.line for r in got)
+    # The query rewrote every line, and more than once: in its filter and in its result.
+    plan = driver.mrz_candidates(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan[plan.index("Filter"):].count("regexp_replace") == 0
