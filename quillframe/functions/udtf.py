@@ -2,25 +2,39 @@
 
 from __future__ import annotations
 
+import math
 import re
 
 import numpy as np
 from pyspark.sql import SparkSession
 from pyspark.sql.functions import udtf
 
-from quillframe.functions.text import CARD_LABEL_WORDS, LABEL_CONFIDENCE, LINE_CONFIDENCE, VALUE_CONFIDENCE
+from quillframe.functions.text import CARD_LABEL_WORDS, LABEL_CONFIDENCE, LINE_CONFIDENCE, VALUE_CONFIDENCE, WHITE_SPACE
 from quillframe.operators.layout import DRIFT, HEIGHTS
 
 
+#: Confidences are 32-bit, and come as the doubles that equal them.
+_LINE, _VALUE, _LABEL = (float(np.float32(x)) for x in (LINE_CONFIDENCE, VALUE_CONFIDENCE, LABEL_CONFIDENCE))
+_WORDS, _OTHER, _SMALL = frozenset(CARD_LABEL_WORDS), re.compile(rf"[^A-Za-z{WHITE_SPACE}]+"), re.compile("[a-z]")
+
+
+def _is_label(text: str) -> bool:
+    if _SMALL.search(text):
+        return False
+    words = _OTHER.sub("", text).split()
+    return any(len(w) > 1 for w in words) and all(len(w) == 1 or w in _WORDS for w in words)
+
+
 class _Line:
+    __slots__ = ("text", "det_no", "left", "top", "right", "bottom", "height", "is_label", "is_value", "at")
+
     def __init__(self, det_no: int, text: str, confidence: float, polygon: list):
-        self.text, self.confidence, self.det_no = text, np.float32(confidence), det_no
-        (self.left, self.top), (self.right, self.bottom) = np.min(polygon, axis=0).tolist(), np.max(polygon, axis=0).tolist()
+        self.text, self.det_no = text, det_no
+        x, y = [p[0] for p in polygon], [p[1] for p in polygon]
+        self.left, self.top, self.right, self.bottom = min(x), min(y), max(x), max(y)
         self.height = max(self.bottom - self.top, 1)
-        words = [w for w in (re.sub("[^A-Za-z]", "", w) for w in text.split()) if w]
-        labelish = all(not re.search("[a-z]", w) and (len(w) == 1 or w in CARD_LABEL_WORDS) for w in words) and any(len(w) > 1 for w in words)
-        self.is_label = labelish and self.confidence >= np.float32(LABEL_CONFIDENCE)
-        self.is_value = not self.is_label and self.confidence >= np.float32(VALUE_CONFIDENCE)
+        self.is_label = confidence >= _LABEL and _is_label(text)
+        self.is_value = not self.is_label and confidence >= _VALUE
 
     def gap(self, other: _Line) -> int:
         return max(other.left - self.right, self.left - other.right, 0)
@@ -38,7 +52,7 @@ def _joined(lines: list[_Line]) -> str:
 
 
 def _field(label: str, value: str) -> tuple[str, str] | None:
-    label, value = (x.strip().strip("*").strip() for x in (label, value))
+    label, value = (x.strip(WHITE_SPACE).strip("*").strip(WHITE_SPACE) for x in (label, value))
     return (label, value) if label and value else None
 
 
@@ -51,9 +65,11 @@ class PageFields:
 
     def eval(self, row):
         self.doc_id = row["doc_id"]
-        text = (row["text"] or "").strip()
-        if text and row["confidence"] is not None and np.float32(row["confidence"]) >= np.float32(LINE_CONFIDENCE):
-            self.lines.append(_Line(row["det_no"], text, row["confidence"], row["polygon"]))
+        confidence = row["confidence"]
+        if confidence is not None and (confidence >= _LINE or confidence != confidence):
+            text = (row["text"] or "").strip(WHITE_SPACE)
+            if text:
+                self.lines.append(_Line(row["det_no"], text, math.inf if confidence != confidence else confidence, row["polygon"]))  # not a number: above all, as in Spark
 
     def terminate(self):
         lines = sorted(self.lines, key=lambda x: (x.top, x.left, x.det_no))
