@@ -1,5 +1,8 @@
 """Text predicates and parsers on small tables of cases."""
 
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -60,3 +63,36 @@ def test_printed_dates(spark):
 def test_confidence_thresholds_are_32_bit(spark):
     rows = spark.sql("SELECT CAST(0.45 AS FLOAT) AS c, CAST(0.9 AS FLOAT) AS d")
     assert rows.select((F.col("c") >= text.real(0.45)) & (F.col("d") >= text.real(0.9))).first()[0]
+
+
+def test_strip_takes_what_the_expression_takes(spark):
+    every = spark.range(1, 0x110000).where("id NOT BETWEEN 55296 AND 57343").select(F.decode(F.encode(F.expr("decode(unhex(lpad(hex(id), 8, '0')), 'UTF-32')"), "UTF-8"), "UTF-8").alias("c"))
+    s = F.concat("c", F.lit("a b"), "c", F.lit("\n"))
+    assert every.where(text.strip(s) != F.regexp_replace(s, r"(?U)^\s+|\s+$", "")).count() == 0
+
+
+def _label_by_words(s, words=frozenset(text.CARD_LABEL_WORDS)):
+    cleaned = [w for w in (re.sub("[^A-Za-z]", "", w) for w in re.split(f"[{text.WHITE_SPACE}]+", s)) if w]
+    return all(not re.search("[a-z]", w) and (len(w) == 1 or w in words) for w in cleaned) and any(len(w) > 1 for w in cleaned)
+
+
+def _groups(s):
+    groups = [g for g in re.split("[-./ ]", s.strip(text.WHITE_SPACE)) if g]
+    return [len(g) for g in groups] if all(c.isnumeric() for g in groups for c in g) else []
+
+
+def test_labels_and_numbers_as_by_words_and_groups(spark):
+    rng = random.Random(5)
+    bits = ["DATE", "OF", "NAME", "D.A.T.E", "A", "I", "x", "ASHA", "नाम", " ", " ", "\t", "\n", "\u2003", "-", ".", ":", "NA", "ID", "IDN"]
+    labels = ["".join(rng.choices(bits, k=rng.randint(0, 6))) for _ in range(3000)] + ["A " * 30000 + "NO", "A " * 30000 + "NOO"]
+    assert values(spark, labels, text.looks_like_label) == [_label_by_words(s) for s in labels]
+    numbers = ["".join(rng.choices("1234५. /-- 12", k=rng.randint(4, 16))) + rng.choice(["", "", " ", "x"]) for _ in range(6000)] + ["2020" + rng.choice("-./ ") * 2 + f"{i:02}-11" for i in range(20)] + ["-" * 30000]
+    assert values(spark, numbers, text.is_date_shape) == [_groups(s) == [4, 2, 2] for s in numbers]
+    known = [3 <= len(g) <= 5 and max(g) <= 4 and sum(g) >= 6 and g != [4, 2, 2] for g in map(_groups, numbers)]
+    assert values(spark, numbers, text.is_identity_number) == known and any(known)
+
+
+def test_label_test_is_generated_code(spark):
+    """It was a fold over the words of each line, which no generated code runs."""
+    plan = spark.range(1).select(text.looks_like_label(F.col("id").cast("string")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in plan
