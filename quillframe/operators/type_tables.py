@@ -11,11 +11,12 @@ meet in a join on short pieces of text.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Sequence
 
 import ahocorasick
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillframe.functions.text import SHAPES, has_devanagari, join_unique, let, make_field, strip
@@ -47,11 +48,23 @@ def _keywords(types: DataFrame) -> DataFrame:
 
 
 def _by_automaton(pages: DataFrame, types: DataFrame) -> DataFrame:
-    keywords: dict[str, list[int]] = {}
-    for row in _keywords(types).where("keyword IS NOT NULL").collect():
-        keywords.setdefault(row["keyword"], []).append(row["type_no"])
     least = {r["type_no"]: r["least"] for r in types.select("type_no", "least").where("least IS NOT NULL").collect()}
-    sent = pages.sparkSession.sparkContext.broadcast((keywords, least))
+    of_type: dict[int, list[str]] = {}
+    shared: Counter[str] = Counter()
+    for row in _keywords(types).where("keyword IS NOT NULL").collect():
+        of_type.setdefault(row["type_no"], []).append(row["keyword"])
+        shared[row["keyword"]] += 1
+    # A page is asked about a type only if it has one of the type's rarer keywords: the others, fewer than are needed, may be on any page.
+    rarer: dict[str, list[int]] = {word: [] for word in shared}
+    common: dict[int, list[str]] = {}
+    for t, words in of_type.items():
+        if least.get(t) is not None and least[t] > 0:
+            words.sort(key=lambda w: (-shared[w], w))
+            cut = least[t] - 1
+            common[t] = words[:cut]
+            for word in words[cut:]:
+                rarer[word].append(t)
+    sent = pages.sparkSession.sparkContext.broadcast((rarer, common, least))
     made: list = []
 
     def automaton():
@@ -59,31 +72,25 @@ def _by_automaton(pages: DataFrame, types: DataFrame) -> DataFrame:
             found = ahocorasick.Automaton()
             for word, of in sent.value[0].items():
                 if word:
-                    found.add_word(word, of)
+                    found.add_word(word, (word, of))
             found.make_automaton()
             made.append(found)
         return made[0]
 
     @F.pandas_udf("int")
     def first_type(texts: pd.Series) -> pd.Series:
-        words, least = sent.value
+        words, common, least = sent.value
         always = min((t for t, n in least.items() if n <= 0), default=None)
         search = automaton().iter if any(words) else lambda line: ()
 
         def one(lines) -> int | None:
             if lines is None:
                 return None
-            hits: dict[int, int] = {}
-            seen: set[int] = set()
+            seen = {"": words.get("", ())} if len(lines) else {}
             for line in lines:
-                for _, of in search(line):
-                    if id(of) not in seen:
-                        seen.add(id(of))
-                        for t in of:
-                            hits[t] = hits.get(t, 0) + 1
-            for t in words.get("", ()) if len(lines) else ():
-                hits[t] = hits.get(t, 0) + 1
-            enough = [t for t, n in hits.items() if t in least and n >= least[t]]
+                seen.update(hit for _, hit in search(line))
+            hits = Counter(t for of in seen.values() for t in of)
+            enough = [t for t, n in hits.items() if n + sum(w in seen for w in common[t]) >= least[t]]
             return min([*enough, *([] if always is None else [always])], default=None)
 
         return pd.Series([one(x) for x in texts], dtype="Int32")
@@ -92,22 +99,36 @@ def _by_automaton(pages: DataFrame, types: DataFrame) -> DataFrame:
 
 
 def _by_join(pages: DataFrame, types: DataFrame) -> DataFrame:
-    """Lines and keywords meet by the piece of the keyword that the fewest lines have; then the whole keyword is looked for."""
-    words = kept(_keywords(types).where("keyword IS NOT NULL").groupBy("type_no", "keyword").agg(F.count(F.lit(1)).alias("times")), "keywords")
+    """Lines and keywords meet by the piece of the keyword that the fewest lines have; then the whole keyword is looked for.
+
+    A keyword with a piece that no line has is on no page. A page meets a type by its rarer keywords only: the others, fewer than are
+    needed, may be on any page. Types and keywords are many here, so no join may send them to the driver for a broadcast.
+    """
+    least = types.select("type_no", "least").where("least > 0").dropDuplicates(["type_no"])
+    words = kept(_keywords(types).where("keyword IS NOT NULL").groupBy("type_no", "keyword").agg(F.count(F.lit(1)).alias("times")).join(least.hint("merge"), "type_no"), "keywords")
+    distinct = words.select("keyword").distinct()
+    size = F.least(F.length("keyword"), F.lit(PIECE))
+    sizes = sorted(r[0] for r in distinct.select(size).distinct().collect() if r[0])
     pieces = lambda s, n: F.when(F.length(s) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(s) - n + 1), lambda i: F.substring(s, i, F.lit(n))))).otherwise(F.array().cast("array<string>"))
-    lines = pages.select("doc_id", F.explode("lines").alias("x")).select("doc_id", F.col("x.upper").alias("upper"))
-    cut = lines.select("doc_id", "upper", F.explode(F.concat(*(pieces(F.col("upper"), n) for n in range(1, PIECE + 1)))).alias("piece"))
+    lines = kept(pages.select("doc_id", F.explode("lines").alias("x")).select("doc_id", F.col("x.upper").alias("upper")).distinct(), "upper-lines")
+    texts = lines.select("upper").distinct()
+    cut = texts.select("upper", F.explode(F.concat(F.array().cast("array<string>"), *(pieces(F.col("upper"), n) for n in sizes))).alias("piece"))
     often = cut.groupBy("piece").agg(F.count(F.lit(1)).alias("lines"))
-    distinct = words.select("keyword").distinct()
-    own = lambda n: F.when((F.length("keyword") >= n) if n == PIECE else (F.length("keyword") == n), pieces(F.col("keyword"), n)).otherwise(F.array().cast("array<string>"))
-    met = distinct.select("keyword", F.explode(F.concat(*(own(n) for n in range(1, PIECE + 1)))).alias("piece")).join(often, "piece")
-    rarest = met.groupBy("keyword").agg(F.min(F.struct("lines", "piece")).alias("r")).select("keyword", "r.piece")
-    found = cut.join(rarest, "piece").where(F.contains("upper", "keyword")).select("doc_id", "keyword").distinct()
-    empty = pages.where(F.size("lines") > 0).select("doc_id", F.lit("").alias("keyword"))
-    hits = found.unionByName(empty.join(distinct, "keyword", "left_semi")).join(words, "keyword").groupBy("doc_id", "type_no").agg(F.sum("times").alias("hits"))
-    enough = hits.join(types.select("type_no", "least"), "type_no").where("hits >= least").groupBy("doc_id").agg(F.min("type_no").alias("__hit"))
+    own = F.when(F.length("keyword") > 0, pieces(F.col("keyword"), size))
+    met = distinct.select("keyword", own.alias("own")).select("keyword", F.size("own").alias("n"), F.explode("own").alias("piece")).join(often.hint("merge"), "piece")
+    rarest = met.groupBy("keyword", "n").agg(F.count(F.lit(1)).alias("there"), F.min(F.struct("lines", "piece")).alias("r")).where("there = n").select("keyword", "r.piece")
+    held = cut.join(rarest.hint("merge"), "piece").where(F.contains("upper", "keyword")).select("upper", "keyword").distinct()
+    empty = pages.where(F.size("lines") > 0).select("doc_id", F.lit("").alias("keyword")).distinct()
+    on_line = lines.join(held.hint("merge"), "upper").select("doc_id", "keyword").distinct()
+    found = kept(on_line.unionByName(empty.join(distinct.where("keyword = ''"), "keyword", "left_semi")), "found")
+    often = found.groupBy("keyword").agg(F.count(F.lit(1)).alias("pages"))
+    so_far = F.sum("times").over(Window.partitionBy("type_no").orderBy(F.desc("pages"), "keyword").rowsBetween(Window.unboundedPreceding, 0))
+    live = kept(words.join(often.hint("merge"), "keyword").withColumn("rarer", so_far >= F.col("least")), "live-keywords")
+    asked = found.join(live.where("rarer").select("keyword", "type_no").hint("merge"), "keyword").select("doc_id", "type_no").distinct()
+    hits = asked.join(live.hint("merge"), "type_no").join(found.hint("merge"), ["doc_id", "keyword"]).groupBy("doc_id", "type_no", "least").agg(F.sum("times").alias("hits"))
+    enough = hits.where("hits >= least").groupBy("doc_id").agg(F.min("type_no").alias("__hit"))
     always = types.where("least <= 0").agg(F.min("type_no")).first()[0]
-    return pages.join(enough, "doc_id", "left").withColumn("type_no", F.least("__hit", F.lit(always).cast("int"))).drop("__hit")
+    return pages.join(enough.hint("merge"), "doc_id", "left").withColumn("type_no", F.least("__hit", F.lit(always).cast("int"))).drop("__hit")
 
 
 def with_type(pages: DataFrame, types: DataFrame, bound: int = AUTOMATON_BYTES) -> DataFrame:
@@ -173,11 +194,13 @@ def typed_fields(pages: DataFrame, types: DataFrame, bound: int = AUTOMATON_BYTE
     """(doc_id, lines, type, fields): the signature fields of pages whose type is in ``types`` (a table as of ``TYPES``), generic
     fields of the others (type null). Null signatures of a type are none.
 
-    Types are written first, so that Spark knows their size: they are broadcast to the pages below its threshold, and beyond it
-    both are joined by ``type_no``, where a type that most pages have is split as a skewed key.
+    Types and typed pages are written first: only types that a page has meet the pages, and are broadcast to them below Spark's threshold.
+    Beyond it both are joined by ``type_no``, where a type that most pages have is split as a skewed key.
     """
     known = kept(types.select("type_no", F.col("name").alias("type"), "least", F.coalesce("first", F.lit(False)).alias("first"), "keywords", F.array_compact("fields").alias("signatures")), "types")
-    typed = with_type(pages, known, bound).join(known.drop("least", "keywords"), "type_no", "left").withColumn("generic", generic_fields(F.col("lines")))
+    found = kept(with_type(pages, known, bound), "typed-pages")
+    had = known.drop("least", "keywords").join(found.select("type_no").distinct(), "type_no", "left_semi")
+    typed = found.join(had, "type_no", "left").withColumn("generic", generic_fields(F.col("lines")))
     # Shapes once for each line; only pages of a known type need them.
     shapes = lambda x: F.array_compact(F.array(*(F.when(test(x["text"]), F.lit(name)) for name, test in SHAPES.items())))
     shaped = typed.withColumn("__lines", F.when(F.col("type_no").isNotNull(), F.transform("lines", lambda x: x.withField("shapes", shapes(x)))))

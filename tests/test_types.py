@@ -75,3 +75,13 @@ def test_two_thousand_types(spark, pages):
 def test_no_types(spark, pages):
     none = spark.createDataFrame([], type_tables.TYPES)
     assert {r.type for r in type_tables.typed_fields(pages, none).collect()} == {None}
+
+
+def test_a_keyword_of_all_types_asks_about_none(spark, pages, monkeypatch):
+    """Each page with NAME met each of the types before, and all keywords went to the driver for a broadcast."""
+    seen, kept = {}, type_tables.kept
+    monkeypatch.setattr(type_tables, "kept", lambda df, name: seen.setdefault(name, kept(df, name)))
+    type_tables.with_type(pages, many(spark, 2000), 0)
+    live = seen["live-keywords"]
+    assert live.where("keyword = 'NAME'").count() >= 2000 and live.where("rarer AND type_no >= 100").count() == 0
+    assert live.where("rarer AND type_no < 100").count() > 0
