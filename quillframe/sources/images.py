@@ -34,17 +34,17 @@ def read_uploads(spark: SparkSession, path: str, pattern: str = "*.{jpg,jpeg,png
     return good.unionByName(bad)
 
 
-def first_upload(parts: DataFrame) -> DataFrame:
-    """(request_id, content, error_kind) of multipart requests (request_id, part_no, name, content).
+def first_upload(parts: DataFrame, *by: str) -> DataFrame:
+    """(request_id, content, error_kind) of multipart requests (request_id, part_no, name, content), for each value of the columns ``by``.
 
     The first part, the one with the least number, counts whatever its name; the last later one named ``image`` replaces it. No
     part (a row without a number) and an empty one are different failures.
     """
     part = F.when(F.col("part_no").isNotNull(), F.struct("part_no", "content"))
-    best = parts.groupBy("request_id").agg(F.coalesce(F.max(F.when(F.col("name") == "image", part)), F.min(part)).alias("best"))
+    best = parts.groupBy("request_id", *by).agg(F.coalesce(F.max(F.when(F.col("name") == "image", part)), F.min(part)).alias("best"))
     content = F.col("best.content")
     kind = F.when(content.isNull(), "missing_image").when(F.length(content) == 0, "empty_image")
-    return best.select("request_id", content.alias("content"), kind.alias("error_kind"))
+    return best.select("request_id", *by, content.alias("content"), kind.alias("error_kind"))
 
 
 @F.pandas_udf(BinaryType())

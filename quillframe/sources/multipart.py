@@ -18,17 +18,26 @@ BREAK = "\r\n"
 
 def boundary(content_type: Column) -> Column:
     """The boundary of ``multipart/form-data``, quoted or not; null for other types, without one, or over 70 characters."""
-    form = r'(?i)^\s*multipart/form-data\s*;(?:[^"]|"[^"]*")*?\bboundary=(?:"([^"]{1,70})"|([^\s;"]{1,70})(?=[\s;]|$))'
-    quoted, bare = (F.regexp_extract(content_type, form, i) for i in (1, 2))
-    return F.when(quoted != "", quoted).when(bare != "", bare)
+    form = r'(?i)^\s*multipart/form-data\s*;(?:[^"]|"[^"]*")*?\bboundary=("[^"]{1,70}"|[^\s;"]{1,70}(?=[\s;]|$))'
+    return let(F.regexp_extract(content_type, form, 1), lambda m: F.when(m.startswith('"'), F.substring(m, F.lit(2), F.length(m) - 2)).when(m != "", m))
 
 
-def _parameter(head: Column, name: str) -> Column:
+def _has(text: Column, word: str) -> Column:
+    """Whether a regular expression that asks for ``word`` in any letter case need be tried."""
+    return F.contains(F.lower(text), F.lit(word))
+
+
+def _parameter(line: Column, name: str) -> Column:
     """A parameter of the part's Content-Disposition; null without it."""
-    line = F.regexp_extract(head, r"(?i)(?:^|\r\n)content-disposition:([^\r\n]*)", 1)
-    quoted, bare = (F.regexp_extract(line, rf'(?i);\s*{name}=(?:"((?:[^"\\]|\\.)*)"|([^\s;"]+))', i) for i in (1, 2))
-    given = line.rlike(rf'(?i);\s*{name}=')
-    return F.when(given, F.regexp_replace(F.when(bare != "", bare).otherwise(quoted), r"\\(.)", "$1"))
+    found = F.regexp_extract(line, rf'(?i);\s*{name}=(?:"(?:[^"\\]++|\\.)*+"|[^\s;"]+)', 0)
+
+    def value(m: Column) -> Column:
+        given = F.substring(m, F.instr(m, "=") + 1, F.length(m))
+        bare = let(given, lambda v: F.when(v.startswith('"'), F.substring(v, F.lit(2), F.length(v) - 2)).otherwise(v))
+        plain = let(bare, lambda v: F.when(F.contains(v, F.lit("\\")), F.regexp_replace(v, r"\\(.)", "$1")).otherwise(v))
+        return F.when(m != "", plain).when(line.rlike(rf'(?i);\s*{name}='), "")
+
+    return F.when(_has(line, f"{name}="), let(found, value))
 
 
 def _parts(text: Column, mark: Column) -> Column:
@@ -36,13 +45,13 @@ def _parts(text: Column, mark: Column) -> Column:
     sign = F.concat(F.lit(BREAK + "--"), F.regexp_replace(mark, "([^A-Za-z0-9])", r"\\$1"), F.lit(r"(?:[ \t]*(?=\r\n)|--)"))
 
     def part(piece: Column) -> Column:
-        at = F.instr(piece, BREAK * 2)
-        head = F.substring(piece, F.lit(1), at - 1)
-        made = F.struct(
-            _parameter(head, "name").alias("name"), _parameter(head, "filename").alias("filename"), F.nullif(F.trim(F.regexp_extract(head, r"(?i)(?:^|\r\n)content-type:([^\r\n]*)", 1)), F.lit("")).alias("type"),
-            F.encode(F.substring(piece, at + 4, F.length(piece)), BYTES).alias("content"),
-        )
-        return F.when(at > 0, made)
+        def made(head: Column, at: Column) -> Column:
+            line = F.when(_has(head, "content-disposition:"), F.regexp_extract(head, r"(?i)(?:^|\r\n)content-disposition:([^\r\n]*)", 1))
+            kind = F.when(_has(head, "content-type:"), F.nullif(F.trim(F.regexp_extract(head, r"(?i)(?:^|\r\n)content-type:([^\r\n]*)", 1)), F.lit("")))
+            content = F.encode(F.substring(piece, at + 4, F.length(piece)), BYTES)
+            return let(line, lambda x: F.struct(_parameter(x, "name").alias("name"), _parameter(x, "filename").alias("filename"), kind.alias("type"), content.alias("content")))
+
+        return let(F.instr(piece, BREAK * 2), lambda at: F.when(at > 0, let(F.substring(piece, F.lit(1), at - 1), lambda head: made(head, at))))
 
     def cut(s: Column) -> Column:
         # The text before the first sign is a preamble, what follows the closing one an epilogue.
@@ -73,6 +82,6 @@ def parse_multipart(requests: DataFrame, limit: int = LIMIT) -> DataFrame:
 
 def uploads(requests: DataFrame, limit: int = LIMIT) -> DataFrame:
     """(request_id, content, error_kind): the image of each request, or why there is none."""
-    parts = parse_multipart(requests, limit)
-    bad = parts.where("error_kind IS NOT NULL").select("request_id", F.lit(None).cast("binary").alias("content"), "error_kind")
-    return first_upload(parts.where("error_kind IS NULL")).unionByName(bad)
+    # A request that fails as a whole is a group of its own, so that all requests are read once.
+    parts = parse_multipart(requests, limit).withColumn("failed", F.when(F.col("error_kind").isNotNull(), F.monotonically_increasing_id()))
+    return first_upload(parts, "failed").select("request_id", "content", F.when(F.col("failed").isNotNull(), "multipart").otherwise(F.col("error_kind")).alias("error_kind"))

@@ -122,3 +122,17 @@ def test_functions_of_sql(spark):
     assert zone.asDict() == {k: parsed[k] for k in zone.asDict()}
     assert one("mrz_parse('x', 'y', DATE'2025-01-01')") is None
     assert one(f"mrz_line('{line1[:40].lower()}')") == line1[:40] + "<<<<" and one("mrz_line('short')") is None
+
+
+def test_heads_of_parts_in_odd_forms(spark):
+    heads = ['Content-Disposition: form-data; name="a\\"b;c=d"; filename=x.png', 'CONTENT-DISPOSITION: form-data; NAME=q=1; filename=""', "Content-Disposition: form-data; name=", 'X: y\r\ncontent-disposition:form-data;name="' + "n" * 20000 + '"\r\nContent-TYPE:  image/png ', "X: content-disposition: a; name=b", 'Content-Disposition: form-data; filename="f"']
+    body = "".join(f"--B7\r\n{h}\r\n\r\n{i}\r\n" for i, h in enumerate(heads)) + "--B7--"
+    got = [r[2:5] for r in parse(spark, (TYPE, body.encode()))]
+    assert got == [('a"b;c=d', "x.png", None), ("q=1", "", None), ("", None, None), ("n" * 20000, None, "image/png"), (None, None, None), (None, "f", None)]
+
+
+def test_requests_are_read_once(spark):
+    """Good and failed ones were read apart, each from the whole body."""
+    made = multipart.uploads(spark.createDataFrame([(1, TYPE, b"x"), (1, TYPE, b"--B7--"), (1, TYPE, b"y")], "request_id long, content_type string, body binary"))
+    assert sorted((r.request_id, r.content, r.error_kind) for r in made.collect()) == [(1, None, "missing_image"), (1, None, "multipart"), (1, None, "multipart")]
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("Generate ") == 1
