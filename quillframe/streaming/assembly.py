@@ -7,6 +7,8 @@ passed its last line by a while. A closed page leaves a marker for some time, wh
 
 from __future__ import annotations
 
+import pickle
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -15,9 +17,11 @@ from pyspark.sql.streaming.listener import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 LINE = "struct<det_no: int, text: string, confidence: float, polygon: array<array<int>>>"
-#: What is known of a page between batches; ``last`` is its latest event time in milliseconds.
-STATE = f"expected int, last long, closed boolean, repeated int, late int, lines array<{LINE}>"
-PAGE = f"doc_id long, lines array<{LINE}>, closed string, repeated int, late int"
+#: Pages share their state with others of their bucket, as a call of the keyed step costs as much as hundreds of lines. Stays the same while a checkpoint is in use.
+BUCKETS = 4096
+#: The pages of a bucket as ``Assembly`` has them, packed.
+STATE = "pages binary"
+PAGE = "doc_id string, lines string, closed string, repeated int, late int"
 
 
 def _milliseconds(text: str) -> int:
@@ -25,63 +29,79 @@ def _milliseconds(text: str) -> int:
     return int(float(number) * {"millisecond": 1, "second": 1000, "minute": 60_000, "hour": 3_600_000, "day": 86_400_000}[unit.rstrip("s")])
 
 
-def _plain(line) -> tuple:
-    """A line as values that a state can hold, wherever it comes from."""
-    det_no, text, confidence, polygon = line
-    return None if det_no is None else int(det_no), text, None if confidence is None else float(confidence), None if polygon is None else [[int(v) for v in point] for point in polygon]
+class Page:
+    """What is known of a page between batches; ``last`` is its latest event time and ``wake`` when it is looked at again, in milliseconds. Lines are JSON by number."""
+
+    __slots__ = ("expected", "last", "closed", "repeated", "late", "lines", "wake")
+
+    def __init__(self, *values):
+        self.expected, self.last, self.closed, self.repeated, self.late, self.lines, self.wake = values or (None, 0, False, 0, 0, {}, 0)
+
+    def __reduce__(self):
+        return tuple, (tuple(getattr(self, name) for name in self.__slots__),)
 
 
 class Assembly:
-    """The keyed step of ``assemble_pages``."""
+    """The keyed step of ``assemble_pages``: the pages of one bucket, each for itself."""
 
     def __init__(self, idle: int, keep: int):
         self.idle, self.keep = idle, keep
 
     def __call__(self, key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        doc_id = None if key[0] is None or pd.isna(key[0]) else int(key[0])
-        if state.hasTimedOut:
-            expected, last, closed, repeated, late, lines = state.get
-            if closed:
-                state.remove()
-                if late:
-                    yield self.row(doc_id, None, "late", 0, late)
-                return
-            yield self.row(doc_id, lines, "idle", repeated, 0)
-            self.close(state, expected, last, repeated)
-            return
-        expected, last, closed, repeated, late, lines = state.get if state.exists else (None, 0, False, 0, 0, [])
-        held = {line[0]: _plain(line) for line in lines or []}
+        now = state.getCurrentWatermarkMs()
+        pages = {doc: Page(*values) for doc, values in pickle.loads(zlib.decompress(state.get[0])).items()} if state.exists else {}
+        rows: list[tuple] = []
+        touched = set() if state.hasTimedOut else self.read(pages, batches)
+        for doc in touched:
+            page = pages[doc]
+            if not page.closed and page.expected is not None and len(page.lines) >= page.expected:
+                rows.append(self.row(doc, page, "complete"))
+                self.close(page)
+            page.wake = max(page.last + (self.keep if page.closed else self.idle), now + 1)
+        for doc in [d for d, page in pages.items() if page.wake < now and d not in touched]:
+            page = pages[doc]
+            if page.closed:
+                if page.late:
+                    rows.append((doc, None, "late", 0, page.late))
+                del pages[doc]
+            else:
+                rows.append(self.row(doc, page, "idle"))
+                self.close(page)
+                page.wake = max(page.last + self.keep, now + 1)
+        if pages:
+            state.update((zlib.compress(pickle.dumps(pages, pickle.HIGHEST_PROTOCOL), 1),))
+            state.setTimeoutTimestamp(max(min(page.wake for page in pages.values()), now + 1))
+        elif state.exists:
+            state.remove()
+        if rows:
+            yield pd.DataFrame(rows, columns=["doc_id", "lines", "closed", "repeated", "late"])
+
+    def read(self, pages: dict[str | None, Page], batches: Iterator[pd.DataFrame]) -> set:
+        """Adds the lines of a batch to their pages, and tells which these are."""
+        touched = set()
         for batch in batches:
-            for seen, of, *line in zip(batch["seen"], batch["of"], batch["det_no"], batch["text"], batch["confidence"], batch["polygon"]):
-                last = max(last, int(seen.timestamp() * 1000))
-                expected = expected if of is None or pd.isna(of) else int(of)
-                line = _plain([None if not isinstance(v, list) and not hasattr(v, "__len__") and pd.isna(v) else v for v in line])
-                if closed:
-                    late += 1
-                elif line[0] in held:
-                    repeated += 1
+            for doc, at, of, number, line in zip(*(batch[c].tolist() for c in ("doc", "at", "of", "number", "line"))):
+                page = pages.get(doc)
+                if page is None:
+                    page = pages[doc] = Page()
+                touched.add(doc)
+                page.last = max(page.last, at)
+                if of == of and of is not None:  # not a number stands for null
+                    page.expected = int(of)
+                number = int(number) if number == number and number is not None else None
+                if page.closed:
+                    page.late += 1
+                elif number in page.lines:
+                    page.repeated += 1
                 else:
-                    held[line[0]] = line
-        if closed:
-            state.update((expected, last, True, repeated, late, []))
-            self.wake(state, last + self.keep)
-        elif expected is not None and len(held) >= expected:
-            yield self.row(doc_id, list(held.values()), "complete", repeated, 0)
-            self.close(state, expected, last, repeated)
-        else:
-            state.update((expected, last, False, repeated, 0, list(held.values())))
-            self.wake(state, last + self.idle)
-
-    def close(self, state: GroupState, expected: int | None, last: int, repeated: int) -> None:
-        state.update((expected, last, True, repeated, 0, []))
-        self.wake(state, last + self.keep)
+                    page.lines[number] = line
+        return touched
 
-    def wake(self, state: GroupState, at: int) -> None:
-        state.setTimeoutTimestamp(max(at, state.getCurrentWatermarkMs() + 1))
+    def close(self, page: Page) -> None:
+        page.closed, page.late, page.lines = True, 0, {}
 
-    def row(self, doc_id: int | None, lines: list | None, closed: str, repeated: int, late: int) -> pd.DataFrame:
-        made = None if lines is None else [dict(zip(("det_no", "text", "confidence", "polygon"), _plain(line))) for line in lines]
-        return pd.DataFrame({"doc_id": pd.array([doc_id], "Int64"), "lines": [made], "closed": [closed], "repeated": [repeated], "late": [late]})
+    def row(self, doc: str | None, page: Page, closed: str) -> tuple:
+        return doc, f"[{','.join(page.lines.values())}]", closed, page.repeated, 0
 
 
 def assemble_pages(lines: DataFrame, time: str = "seen", expected: str | None = None, delay: str = "10 minutes", idle: str = "5 minutes", keep: str = "1 hour") -> DataFrame:
@@ -92,14 +112,20 @@ def assemble_pages(lines: DataFrame, time: str = "seen", expected: str | None =
     Of lines with one number (nulls are a number here) the first counts, the others are ``repeated``. Lines that come for a page
     already closed are not part of it; ``keep`` after the last of them a row ``late`` without lines tells their number, and the page is
     forgotten. Lines without a time, or older than the watermark when they come, are dropped by Spark ahead of the state; ``LateLines``
-    counts these. The state is of the size of the open pages, and the result goes to ``layout.whole_pages`` without a shuffle.
+    counts these. The state is of the size of the open pages, which are dealt to ``BUCKETS`` keys by their number, and the result goes to ``layout.whole_pages`` without a shuffle.
     """
     from pyspark.sql import functions as F
 
     of = F.lit(None).cast("int") if expected is None else F.col(expected).cast("int")
-    known = lines.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(time).cast("timestamp").alias("seen"), of.alias("of"), F.col("det_no").cast("int").alias("det_no"), "text", F.col("confidence").cast("float").alias("confidence"), "polygon")
+    # Lines pass the state as JSON. Confidences are doubles there, as text of 32-bit ones may be read as another number.
+    line = F.to_json(F.struct(F.col("det_no").cast("int").alias("det_no"), "text", F.col("confidence").cast("float").cast("double").alias("confidence"), "polygon"))
+    doc, seen = F.col("doc_id").cast("long"), F.col(time).cast("timestamp")
+    known = lines.select(seen.alias("seen"), F.unix_millis(seen).alias("at"), doc.cast("string").alias("doc"), of.cast("double").alias("of"), F.col("det_no").cast("int").cast("double").alias("number"), line.alias("line"))
     step = Assembly(_milliseconds(idle), _milliseconds(keep))
-    return known.where("seen IS NOT NULL").withWatermark("seen", delay).groupBy("doc_id").applyInPandasWithState(step, PAGE, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    dealt = known.where("seen IS NOT NULL").withColumn("bucket", F.pmod(F.hash("doc"), F.lit(BUCKETS)))
+    found = dealt.withWatermark("seen", delay).groupBy("bucket").applyInPandasWithState(step, PAGE, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    read = F.from_json("lines", f"array<{LINE.replace('float', 'double')}>").cast(f"array<{LINE}>")
+    return found.select(F.col("doc_id").cast("long").alias("doc_id"), read.alias("lines"), "closed", "repeated", "late")
 
 
 class LateLines(StreamingQueryListener):

@@ -2,11 +2,14 @@
 
 import datetime
 import time
+from types import SimpleNamespace
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from quillframe.operators import layout
+from quillframe.streaming import assembly
 from quillframe.streaming.assembly import LateLines, assemble_pages
 from quillframe.streaming.pages import process_available
 from tests.test_layout import SCHEMA, page
@@ -95,3 +98,25 @@ def test_whole_pages_are_those_of_lines(spark):
     frame = spark.createDataFrame(lines, SCHEMA)
     arrays = frame.groupBy("doc_id").agg(F.collect_list(F.struct("det_no", "text", "confidence", "polygon")).alias("lines"))
     assert layout.whole_pages(arrays).select("doc_id", "lines").orderBy("doc_id").collect() == layout.pages(frame).orderBy("doc_id").collect()
+
+
+def test_pages_share_calls_of_the_keyed_step(spark, feed, monkeypatch):
+    """A call for each page, with a frame in and out, took most of the time. Here two buckets hold 300 pages, one of them without a number."""
+    monkeypatch.setattr(assembly, "BUCKETS", 2)
+    lines = [line for d in [*range(1, 300), None, 2**53 + 1] for line in page(("A: b", 0.97, 10, 10), ("x", 0.45, -3, 40), doc=d)]
+    odd = (7, None, float("nan"), None)
+    feed.add(*((line, 0, 2) for line in lines[::2]), ((500, *odd), 0, 1))
+    feed.add(*((line, 1, None) for line in lines[1::2]))
+    found = {r.doc_id: r for r in feed.run().collect()}
+    assert set(found) == {*range(1, 300), None, 2**53 + 1, 500} and {(r.closed, r.repeated, r.late) for r in found.values()} == {("complete", 0, 0)}
+    sent = {r.doc_id: r for r in spark.createDataFrame(lines, SCHEMA).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("det_no", "text", "confidence", "polygon"))).alias("lines")).collect()}
+    assert all(sorted(found[d].lines) == sent[d].lines for d in sent)
+    (line,) = found[500].lines
+    assert (line.det_no, line.text, line.polygon) == (7, None, None) and line.confidence != line.confidence
+
+
+def test_step_is_called_once_for_a_bucket():
+    frame = pd.DataFrame({"doc": ["1", "2", "2", None], "at": [5, 6, 7, 8], "of": [1.0, float("nan"), 2.0, float("nan")], "number": [0.0, 0.0, 1.0, float("nan")], "line": ["{}", "{}", "{}", "{}"]})
+    state = SimpleNamespace(exists=False, hasTimedOut=False, getCurrentWatermarkMs=lambda: 0, update=lambda v: None, setTimeoutTimestamp=lambda t: None)
+    (rows,) = assembly.Assembly(10, 20)((0,), iter([frame]), state)
+    assert sorted(rows["doc_id"]) == ["1", "2"] and set(rows["closed"]) == {"complete"}
