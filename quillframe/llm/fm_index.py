@@ -1,4 +1,4 @@
-"""A compressed FM-index over integer texts: a wavelet matrix of the Burrows-Wheeler transform with packed bit vectors.
+"""A compressed FM-index over integer texts: a wavelet matrix of the Burrows-Wheeler transform, of 16 packed bit vectors a level.
 
 All operations take arrays of queries, so that one step of many searches is a few array operations for each level.
 """
@@ -8,38 +8,46 @@ from __future__ import annotations
 import numpy as np
 
 
-class BitVector:
-    """Packed bits with the count of ones before each 64-bit word: 2 bits a position."""
+#: Bits of a symbol that a level of the wavelet matrix tells apart.
+DIGIT = 4
 
-    def __init__(self, bits: np.ndarray):
-        packed = np.packbits(np.r_[bits, np.zeros(64 + -len(bits) % 64, bits.dtype)].astype(np.uint8), bitorder="little")
-        self.words = packed.view("<u8").astype(np.uint64)
-        self.before = np.r_[0, np.cumsum(np.bitwise_count(self.words))].astype(np.int64)
 
-    def rank(self, i: np.ndarray) -> np.ndarray:
-        """Ones among the first i bits, for places of 64 bits."""
-        word = i >> 6
+class Digits:
+    """Digits with, for each value, a packed bit vector of its places and the count of those before each 64-bit word."""
+
+    def __init__(self, digits: np.ndarray):
+        self.stride = len(digits) // 64 + 1  # words of a vector
+        padded = np.full(64 * self.stride, 255, np.uint8)
+        padded[: len(digits)] = digits
+        each = [np.packbits(padded == d, bitorder="little").view("<u8").astype(np.uint64) for d in range(1 << DIGIT)]
+        self.words = np.concatenate(each)
+        ones = np.bitwise_count(self.words).astype(np.int64)
+        # Places of the next level: those of lesser digits come first, so the counts of all vectors go on from one to the next.
+        self.before = np.cumsum(ones) - ones
+
+    def descend(self, digit: np.ndarray, i: np.ndarray) -> np.ndarray:
+        """The place at the next level of place ``i``, on the way of ``digit``."""
+        word = digit * self.stride + (i >> 6)
         mask = (np.uint64(1) << (i & 63).view(np.uint64)) - np.uint64(1)
         return self.before[word] + np.bitwise_count(self.words[word] & mask)
 
 
 class WaveletMatrix:
     def __init__(self, symbols: np.ndarray, bits: int):
-        self.levels: list[tuple[int, BitVector, int]] = []
-        for bit in range(bits - 1, -1, -1):
-            ones = (symbols >> bit & 1).astype(bool)
-            self.levels.append((bit, BitVector(ones), int(len(ones) - ones.sum())))
-            symbols = np.r_[symbols[~ones], symbols[ones]]
+        self.levels: list[tuple[int, Digits]] = []
+        for shift in range((bits - 1) // DIGIT * DIGIT, -1, -DIGIT):
+            digits = (symbols >> shift & (1 << DIGIT) - 1).astype(np.uint8)
+            self.levels.append((shift, Digits(digits)))
+            symbols = symbols[np.argsort(digits, kind="stable")]
 
         #: Where the run of each symbol begins at the last level: the way of place 0.
         known = np.arange(1 << bits, dtype=np.int64)
         self.begins = self._descend(known, np.zeros(len(known), np.int64))
 
     def _descend(self, symbol: np.ndarray, i: np.ndarray) -> np.ndarray:
-        """The places ``i`` at the last level, on the way of their symbols; several rows of places share the symbols."""
-        for bit, vector, zeros in self.levels:
-            ones = vector.rank(i)
-            i = np.where((symbol >> bit & 1).astype(bool), ones + zeros, i - ones)
+        """The places ``i`` at the last level, on the way of their symbols."""
+        for shift, level in self.levels:
+            i = level.descend(symbol >> shift & (1 << DIGIT) - 1, i)
         return i
 
     def rank(self, symbol: np.ndarray, i: np.ndarray) -> np.ndarray:
@@ -48,19 +56,27 @@ class WaveletMatrix:
 
 
 def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
-    """Order of the suffixes by prefix doubling, to ``depth`` symbols; enough where separators tell all suffixes apart by then."""
-    rank, n, step = np.unique(text, return_inverse=True)[1].astype(np.int64), len(text), 1
+    """Order of the suffixes by prefix doubling, to ``depth`` symbols; enough where separators tell all suffixes apart by then.
+
+    ``text`` has numbers from 0; the first sort takes as many symbols at once as fit into 63 bits.
+    """
+    n, bits = len(text), int(text.max() + 1).bit_length()
+    step = max(1, 63 // bits)
+    key = np.zeros(n, np.int64)
+    for k in range(step):
+        key <<= bits
+        key[: max(0, n - k)] += text[k:] + 1
     while True:
+        order = np.argsort(key)
+        sorted_key = key[order]
+        rank = np.empty(n, np.int64)
+        rank[order] = np.concatenate([[0], np.cumsum(sorted_key[1:] != sorted_key[:-1])])
+        if step >= depth or step >= n or rank[order[-1]] == n - 1:
+            return order
         following = np.zeros(n, np.int64)
         following[:-step] = rank[step:] + 1
         key = rank * (n + 2) + following
-        order = np.argsort(key, kind="stable")
-        sorted_key = key[order]
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(np.r_[0, sorted_key[1:] != sorted_key[:-1]])
         step *= 2
-        if step >= depth or step >= n:
-            return order
 
 
 class FMIndex:
@@ -88,12 +104,18 @@ class FMIndex:
         each = np.ones(k, np.int64) if times is None else np.asarray(times, np.int64)
         #: Occurrences of the suffixes before each place of their order.
         self.weights = np.r_[0, np.cumsum(np.repeat(each, lengths + 1)[order])]
-        self.matrix = WaveletMatrix(self.symbols[order - 1], max(1, int(len(values)).bit_length()))
+        #: The symbol before each suffix, in their order.
+        self.transform = self.symbols[order - 1]
+        self.matrix = WaveletMatrix(self.transform, max(1, int(len(values)).bit_length()))
 
     def extend(self, symbol: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """One step of backward search: the intervals of the patterns with ``symbol`` put before them."""
-        low, high = self.first[symbol] + self.matrix.rank(symbol, np.stack([low, high]))
-        return low, high
+        many = np.flatnonzero(high - low > 1)
+        begin = self.first[symbol]
+        below = begin + self.matrix.rank(symbol, low)
+        above = below + ((self.transform[np.minimum(low, self.size - 1)] == symbol) & (low < high))  # for one suffix at most
+        above[many] = begin[many] + self.matrix.rank(symbol[many], high[many])
+        return below, above
 
     def repeated_windows(self, which: np.ndarray, windows: np.ndarray, width: int) -> np.ndarray:
         """For texts ``which`` (numbers) with so many ``windows`` of ``width`` symbols, the windows that occur twice or more in

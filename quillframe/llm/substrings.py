@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -21,10 +22,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillframe.llm.common import durable, gram_hashes, marked_texts, small_batches, split_by, texts_of, utf8, word_hashes, word_spans
+from quillframe.llm.common import durable, marked_texts, mix64, small_batches, split_by, texts_of, utf8, word_spans
 from quillframe.llm.fm_index import FMIndex
 
-#: Words of a minimiser; different runs of one minimiser that share a shard; words of an index, about 40 bytes each.
+#: Words of a minimiser; different runs of one minimiser that share a shard; words of an index, about 60 bytes each.
 GRAM, CROWD, INDEX_WORDS = 8, 128, 200_000
 #: Words of the minimisers that divide a crowded one, before the whole window.
 GRAMS = (24,)
@@ -34,6 +35,41 @@ GRAMS = (24,)
 SEED = 0x2545F4914F6CDD1D
 
 
+#: Bytes whose sums are taken at once; a random value of each byte; powers of an odd base modulo 2^64, and of its inverse.
+STRETCH = 1 << 14
+_BYTES = np.random.default_rng(20250611).integers(0, 2**64, 256, np.uint64)
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 2**64)
+_POWERS, _INVERSES = (np.cumprod(np.array([1] + [x] * (STRETCH - 1), np.uint64)) for x in (_BASE, _INVERSE))
+
+
+def stretch_hashes(data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the stretches of ``data`` from ``starts`` to ``ends`` (both rise), by the bytes in them alone.
+
+    A stretch is the difference of two sums over the bytes before its ends, each byte times a power of the base for its place,
+    moved back to the first place; so a stretch costs the same however long it is.
+    """
+    held = np.frombuffer(data, np.uint8)
+    if len(held) <= STRETCH:
+        sums = np.zeros(len(held) + 1, np.uint64)
+        np.cumsum(_BYTES[held] * _POWERS[: len(held)], out=sums[1:])
+        return mix64((sums[ends] - sums[starts]) * _INVERSES[starts])
+    first, last = np.empty(len(starts), np.uint64), np.empty(len(ends), np.uint64)
+    back, whole, power, inverse = np.empty(len(starts), np.uint64), 0, 1, 1
+    for at in range(0, len(held) + 1, STRETCH):
+        part = held[at : at + STRETCH]
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(_BYTES[part] * _POWERS[: len(part)], out=sums[1:])
+        sums = sums * np.uint64(power) + np.uint64(whole)
+        for places, out in ((starts, first), (ends, last)):
+            i, j = np.searchsorted(places, (at, at + STRETCH))
+            out[i:j] = sums[places[i:j] - at]
+            if out is first:
+                back[i:j] = _INVERSES[places[i:j] - at] * np.uint64(inverse)
+        whole, power, inverse = int(sums[-1]), power * pow(_BASE, STRETCH, 2**64) % 2**64, inverse * pow(_INVERSE, STRETCH, 2**64) % 2**64
+    return mix64((last - first) * back)
+
+
 def _least(values: np.ndarray, span: int) -> np.ndarray:
     """Where the first of the least values of each ``span`` neighbours stands: of stretches that double, two make up the last."""
     least, reach = np.arange(len(values)), 1
@@ -44,26 +80,21 @@ def _least(values: np.ndarray, span: int) -> np.ndarray:
     return least
 
 
-def _cuts(hashes: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of neighbouring windows with one minimiser: (minimiser, first word, windows), by the hashes of the words."""
-    n = len(hashes) - width + 1
-    grams, span = gram_hashes(hashes, gram), width - gram + 1
+def runs_of(joined: bytes, starts: np.ndarray, ends: np.ndarray, width: int, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of neighbouring windows with one minimiser: (minimiser, first word, windows, digest of the run's words)."""
+    n = len(starts) - width + 1
+    if n < 1:
+        return (np.zeros(0, np.int64),) * 4
+    grams, span = stretch_hashes(joined, starts[: len(starts) - gram + 1], ends[gram - 1 :]), width - gram + 1
     least = np.empty(n, np.int64)
     for at in range(0, n, 1 << 16):
         end = min(n, at + (1 << 16))
         least[at:end] = _least(grams[at : end + span - 1], span) + at
-    first = np.flatnonzero(np.r_[True, least[1:] != least[:-1]])
-    return grams[least[first]].astype(np.int64), first, np.diff(np.r_[first, n])
-
-
-def runs_of(joined: bytes, starts: np.ndarray, ends: np.ndarray, width: int, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of neighbouring windows with one minimiser: (minimiser, first word, windows, digest of the run's words)."""
-    if len(starts) < width:
-        return (np.zeros(0, np.int64),) * 4
-    key, first, count = _cuts(word_hashes(joined), width, gram)
+    first = np.concatenate([[0], np.flatnonzero(least[1:] != least[:-1]) + 1])
+    count = np.diff(first, append=n)
     held = memoryview(joined)
     whole = [xxhash.xxh3_64_intdigest(held[i:j], SEED) for i, j in zip(starts[first].tolist(), ends[first + count + width - 2].tolist())]
-    return key, first, count, np.array(whole, np.uint64).view(np.int64)
+    return grams[least[first]].view(np.int64), first, count, np.array(whole, np.uint64).view(np.int64)
 
 
 def _scan(width: int):
@@ -97,28 +128,42 @@ def _explode_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 _RUN = "key long, run long, n long, windows int, words binary"
 
 
+def _lists(column: pa.Array, *names: str) -> Iterator[tuple[np.ndarray, ...]]:
+    """The named fields of each list of structs, as arrays of integers."""
+    flat, ends = column.flatten(), column.value_lengths().to_numpy().cumsum().tolist()
+    fields = [flat.field(c).to_numpy() for c in names]
+    for i, j in zip([0, *ends], ends):
+        yield tuple(x[i:j] for x in fields)
+
+
 def _words(width: int):
     """The words of the chosen runs of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for text, chosen in zip(batch.column("text").to_pylist(), batch.column("chosen").to_pylist()):
+            for text, (key, name, n, place) in zip(batch.column("text").to_pylist(), _lists(batch.column("chosen"), "key", "run", "n", "place")):
                 joined, starts, ends = word_spans(utf8(text))
-                first = np.array([x["place"] >> 8 for x in chosen])
-                count = np.array([x["place"] & 255 for x in chosen], np.int32)
+                first, count = place >> 8, place & 255
                 data = [joined[i:j] for i, j in zip(starts[first].tolist(), ends[first + count + width - 2].tolist())]
-                ints = [pa.array([x[c] for x in chosen], pa.int64()) for c in ("key", "run", "n")]
-                yield pa.RecordBatch.from_arrays([*ints, pa.array(count), pa.array(data, pa.binary())], ["key", "run", "n", "windows", "words"])
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(name), pa.array(n), pa.array(count.astype(np.int32)), pa.array(data, pa.binary())], ["key", "run", "n", "windows", "words"])
 
     return run
 
 
+class _Numbers(dict):
+    """Numbers of words in the order in which they are first asked for."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = found = len(self)
+        return found
+
+
 def _search(width: int):
     """Repeated windows of the runs of a shard. Runs come in order of their minimiser; those of one are never parted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple[int, int, int, int, np.ndarray]] = []
-        numbers: dict[bytes, int] = {}
+        numbers = _Numbers()
         held, last = 0, None
 
         def done() -> pa.RecordBatch:
@@ -130,8 +175,9 @@ def _search(width: int):
             for key, name, n, windows, data in zip(*(batch.column(c).to_pylist() for c in ("key", "run", "n", "windows", "words"))):
                 if key != last and held >= INDEX_WORDS:
                     yield done()
-                    rows, numbers, held = [], {}, 0
-                words = np.array([numbers.setdefault(w, len(numbers)) for w in data.split(b" ")], np.uint64)
+                    rows, numbers, held = [], _Numbers(), 0
+                found = data.split(b" ")
+                words = np.fromiter(map(numbers.__getitem__, found), np.int64, len(found))
                 rows.append((key, name, n, windows, words))
                 held, last = held + len(words), key
         if rows:
@@ -186,18 +232,15 @@ def _remove(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             removed, shas = [], []
-            for text, found in zip(batch.column("text").to_pylist(), batch.column("found").to_pylist()):
-                joined, starts, ends = word_spans(utf8(text))
-                edges = np.zeros(len(starts) + 1, np.int64)
-                for x in found:
-                    first, mask = x["place"] >> 8, x["mask"] & (2**64 - 1)
-                    at = np.flatnonzero(np.unpackbits(np.array([mask], "<u8").view(np.uint8), bitorder="little")) + first
-                    np.add.at(edges, at, 1)
-                    np.add.at(edges, at + width, -1)
-                gone = np.cumsum(edges[:-1]) > 0
-                words = joined.split(b" ") if joined else []
-                removed.append(int(gone.sum()))
-                shas.append(hashlib.sha256(b" ".join([w for w, g in zip(words, gone.tolist()) if not g])).hexdigest())
+            for text, (place, mask) in zip(batch.column("text").to_pylist(), _lists(batch.column("found"), "place", "mask")):
+                words = utf8(text).split()
+                bits = np.unpackbits(mask.astype("<i8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+                run, bit = np.nonzero(bits)
+                at = (place[run] >> 8) + bit
+                edges = np.bincount(at, minlength=len(words) + 1) - np.bincount(at + width, minlength=len(words) + 1)
+                stays = np.cumsum(edges[:-1]) == 0
+                removed.append(len(words) - int(stays.sum()))
+                shas.append(hashlib.sha256(b" ".join(compress(words, stays.tolist()))).hexdigest())
             out = batch.select(["m1", "m2"])
             yield pa.RecordBatch.from_arrays([*out.columns, pa.array(removed, pa.int64()), pa.array(shas)], ["m1", "m2", "n_removed", "kept_sha256"])
 

@@ -6,12 +6,15 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 
+from quillframe.llm import substrings
+from quillframe.llm.common import word_spans
 from quillframe.llm.components import connected_components
 from quillframe.llm.exact_dedup import drop_copies, exact_groups, heavy_hitters
-from quillframe.llm.fm_index import FMIndex
+from quillframe.llm.fm_index import FMIndex, WaveletMatrix
 from quillframe.llm.near_dedup import choose_bands, drop_near_copies, near_duplicates
-from quillframe.llm.substrings import remove_repeats
+from quillframe.llm.substrings import remove_repeats, runs_of
 from tests.llm.helpers import DOCS, corpus, documents, plain
 
 SPACE = re.compile(r"[\x20\x09-\x0D]+")
@@ -237,6 +240,37 @@ def test_fm_index_counts():
         assert index.repeated_windows(which, windows, width).tolist() == want
 
 
+def test_scan_hashes_runs_and_not_words(monkeypatch):
+    """Only runs are hashed one by one; minimisers cost the same however many words they have."""
+    rng = np.random.default_rng(5)
+    joined, starts, ends = word_spans(b" ".join(b"w%d" % x for x in rng.integers(0, 10**6, 5000)))
+    calls, digest = [], xxhash.xxh3_64_intdigest
+    monkeypatch.setattr(xxhash, "xxh3_64_intdigest", lambda *x: calls.append(x) or digest(*x))
+    key, first, count, _ = runs_of(joined, starts, ends, 35)
+    assert count.sum() == 5000 - 34 and len(calls) == len(key) == len(first) < 1000
+
+
+def test_stretches_of_equal_bytes_hash_alike():
+    """Wherever they stand: at the start, across the stretches that are summed at once, at the end."""
+    rng = np.random.default_rng(6)
+    word = lambda: bytes(rng.integers(97, 123, rng.integers(1, 12)).astype(np.uint8))
+    passage = [word() for _ in range(3000)] + [b"x" * 3 * substrings.STRETCH] + [word() for _ in range(50)]
+    found = []
+    for before in (0, 1, 700, 5000):
+        joined, starts, ends = word_spans(b" ".join([*(word() for _ in range(before)), *passage]))
+        found.append(substrings.stretch_hashes(joined, starts[:-7], ends[7:])[before:])
+        assert len(found[0]) == len(passage) - 7 and len(np.unique(found[0])) == len(found[0]) and (found[-1] == found[0]).all()
+    assert len(joined) > 4 * substrings.STRETCH
+
+
+def test_index_levels_tell_four_bits_apart():
+    symbols = np.random.default_rng(7).integers(0, 5000, 3000)
+    matrix = WaveletMatrix(symbols, 13)
+    asked, at = symbols[::7], np.arange(0, 3000, 7) * 13 % 3001
+    assert len(matrix.levels) == 4
+    assert matrix.rank(asked, at).tolist() == [int((symbols[:i] == s).sum()) for s, i in zip(asked, at)]
+
+
 @pytest.mark.parametrize("operator", [exact_groups, near_duplicates, remove_repeats, drop_copies, drop_near_copies])
 def test_empty_tables(spark, operator):
     assert operator(spark.createDataFrame([], DOCS)).count() == 0
