@@ -11,10 +11,14 @@ upwards. Each line has a few cells a level, and work grows with the lines and wi
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillframe.functions.text import CARD_LABEL_WORDS, LABEL_CONFIDENCE, LINE_CONFIDENCE, VALUE_CONFIDENCE, inline_field, looks_like_label, make_field, real
 from quillframe.operators import layout
@@ -23,22 +27,43 @@ from quillframe.sources.store import kept
 
 #: Widths of a cell in heights of its level: lines are long.
 ASPECT = 8
-SIDES = ("line_no", "left", "top", "right", "bottom", "height")
+#: What is shuffled of a line or a label row; its height follows from it.
+SIDES = ("line_no", "left", "top", "right", "bottom")
+
+
+def _numbers(group: str):
+    """Adds ``__at``, the number of each row among those of its group in the task, from 0; the rows of a group follow each other."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = None, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            runs = pc.run_end_encode(batch.column(group))
+            ends = runs.run_ends.to_numpy()
+            at = np.arange(batch.num_rows) - np.repeat(np.append(0, ends[:-1]), np.diff(ends, prepend=0))
+            if runs.values[0].as_py() == last:
+                at[: ends[0]] += held
+            last, held = runs.values[-1].as_py(), int(at[-1]) + 1
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at, pa.int64())], [*batch.schema.names, "__at"])
+
+    return run
 
 
 def in_order(rows: DataFrame, group: str, order: Sequence[str], out: str, name: str = "order") -> DataFrame:
     """Numbers the rows of each group from 0 by ``order``, however many a group has.
 
-    Rows are dealt by range, so a large group is spread over many tasks. A task numbers its part of a group; what the parts
-    before it have is added. Only groups that several tasks share need that: fewer than there are tasks.
+    Rows are dealt by range and shuffled this once, so a large group is spread over many tasks. A task numbers its part of a
+    group while the part is written; what the parts before it have is added as it is read. Only groups that several tasks share need
+    that: fewer than there are tasks.
     """
-    dealt = kept(rows.repartitionByRange(F.col(group), *order).withColumn("__part", F.spark_partition_id()), name)
-    part = dealt.withColumn("__at", F.row_number().over(Window.partitionBy("__part", group).orderBy(*order)))
-    sizes = dealt.groupBy(group, "__part").agg(F.count(F.lit(1)).alias("n"))
+    dealt = rows.repartitionByRange(F.col(group), *order).sortWithinPartitions(group, *order).withColumn("__part", F.spark_partition_id())
+    part = kept(dealt.mapInArrow(_numbers(group), T.StructType([*dealt.schema, T.StructField("__at", T.LongType())])), name)
+    sizes = part.groupBy(group, "__part").agg(F.count(F.lit(1)).alias("n"))
     before = sizes.withColumn("__before", F.sum("n").over(Window.partitionBy(group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)))
     shared = kept(before.where("__before IS NOT NULL").select(F.col(group).alias("__group"), F.col("__part").alias("__of"), "__before"), "shared")
-    found = part.join(shared, (F.col("__part") == F.col("__of")) & F.col(group).eqNullSafe(F.col("__group")), "left")
-    number = (F.col("__at") - 1 + F.coalesce(F.col("__before"), F.lit(0))).cast("long")
+    found = part.join(F.broadcast(shared), (F.col("__part") == F.col("__of")) & F.col(group).eqNullSafe(F.col("__group")), "left")
+    number = (F.col("__at") + F.coalesce(F.col("__before"), F.lit(0))).cast("long")
     return found.withColumn(out, number).drop("__part", "__at", "__of", "__group", "__before")
 
 
@@ -47,7 +72,7 @@ def ordered_lines(lines: DataFrame, words: Sequence[str] = CARD_LABEL_WORDS, min
     known = layout.with_bounds(layout.usable_lines(lines, min_confidence)).withColumn("labelish", looks_like_label(F.col("text"), words))
     is_label = F.col("labelish") & (F.col("confidence") >= real(LABEL_CONFIDENCE))
     flagged = known.select("doc_id", *layout.LINE_FIELDS, is_label.alias("is_label"), (~is_label & (F.col("confidence") >= real(VALUE_CONFIDENCE))).alias("is_value"))
-    return kept(in_order(flagged, "doc_id", layout.LINE_FIELDS, "line_no"), "wide-lines")
+    return in_order(flagged, "doc_id", layout.LINE_FIELDS, "line_no", "wide-lines")
 
 
 def _level(height: Column) -> Column:
@@ -67,16 +92,19 @@ def _boxes(rows: DataFrame, prefix: str, x: tuple[Column, Column], y: tuple[Colu
 
 
 def _side(prefix: str) -> Column:
-    return F.struct(*(F.col(f"{prefix}{c}").alias(c) for c in SIDES))
+    height = F.greatest(F.col(f"{prefix}bottom") - F.col(f"{prefix}top"), F.lit(1))
+    return F.struct(*(F.col(f"{prefix}{c}").alias(c) for c in SIDES), height.alias("height"))
 
 
 def _cells(rows: DataFrame, prefix: str, level: Column, tall: Callable[[Column], Column], wide: Callable[[Column], Column]) -> DataFrame:
-    """Rows for each cell that their rectangle covers, with the first of these cells."""
+    """Rows for each cell that their rectangle covers; ``first`` has a bit for each axis on which it is the first of these cells."""
     out = rows.withColumn("level", level)
-    for axis, size in (("x", wide), ("y", tall)):
+    firsts = F.lit(0)
+    for axis, size, bit in (("x", wide, 1), ("y", tall, 2)):
         ends = [F.floor(F.col(f"{prefix}{axis}{i}") / size(F.col("level"))) for i in (0, 1)]
-        out = out.withColumns({f"{prefix}first_{axis}": ends[0], f"cell_{axis}": F.explode(F.sequence(ends[0], ends[1]))})
-    return out
+        out = out.withColumns({f"__{axis}": ends[0], f"cell_{axis}": F.explode(F.sequence(ends[0], ends[1]))})
+        firsts = firsts + F.when(F.col(f"cell_{axis}") == F.col(f"__{axis}"), bit).otherwise(0)
+    return out.withColumn(f"{prefix}first", firsts).drop("__x", "__y")
 
 
 def meet(waiting: DataFrame, visiting: DataFrame, levels: Sequence[int], heights: int = 1, width: int | None = None, above: int = 0) -> DataFrame:
@@ -91,18 +119,19 @@ def meet(waiting: DataFrame, visiting: DataFrame, levels: Sequence[int], heights
     at = F.explode(F.filter(F.array(*map(F.lit, levels)).cast("array<int>"), lambda k: k >= F.col("v_level") + above))
     there = _cells(visiting, "v_", at, tall, wide)
     keys = ["level", "cell_x", "cell_y"]
-    first_x, first_y = (F.col(f"cell_{axis}") == F.greatest(f"w_first_{axis}", f"v_first_{axis}") for axis in "xy")
-    return here.join(there, ["doc_id", *keys]).where(first_x & first_y).drop(*keys)
+    # The first cell that both cover is on each axis the first of one of them.
+    return here.join(there, ["doc_id", *keys]).where(F.col("w_first").bitwiseOR(F.col("v_first")) == 3).drop(*keys)
 
 
 def label_groups(lines: DataFrame) -> DataFrame:
     """(doc_id, line_no, group_no): the connected row of each label line, by the number of its first line. ``lines`` are of ``ordered_lines``."""
-    labels = lines.where("is_label").select("doc_id", *SIDES)
+    labels = lines.where("is_label").select("doc_id", *SIDES, "height")
     # Boxes that are the same overlap, unless they are flat: the first stands for all.
-    box = ["doc_id", "left", "top", "right", "bottom"]
-    once = labels.where("top < bottom").groupBy(*box).agg(F.min("line_no").alias("line_no"), F.max("height").alias("height"))
-    copies = labels.where("top < bottom").join(once.select(*box, F.col("line_no").alias("b")), box).where("line_no <> b").select("doc_id", F.col("line_no").alias("a"), "b")
-    boxes = kept(once.select("doc_id", *SIDES).unionByName(labels.where("top = bottom")), "label-boxes")
+    first = F.min("line_no").over(Window.partitionBy("doc_id", "left", "top", "right", "bottom"))
+    tall, flat = labels.where("top < bottom").withColumn("b", first), labels.where("top = bottom").withColumn("b", F.col("line_no"))
+    known = kept(tall.unionByName(flat), "label-boxes")
+    copies = known.where("line_no <> b").select("doc_id", F.col("line_no").alias("a"), "b")
+    boxes = known.where("line_no = b").drop("b")
     y = (F.col("top"), F.greatest(F.col("bottom") - 1, F.col("top")))
     reach = F.col("height") * 2
     waiting = _boxes(boxes, "w_", (F.col("left") - reach, F.col("right") + reach), y)
@@ -115,7 +144,7 @@ def label_groups(lines: DataFrame) -> DataFrame:
 
 def group_boxes(lines: DataFrame, groups: DataFrame) -> DataFrame:
     """(doc_id, line_no, left, top, right, bottom, height, label) of label rows; ``line_no`` is that of the first line."""
-    held = groups.join(lines.select("doc_id", "line_no", "left", "top", "right", "bottom", "text"), ["doc_id", "line_no"])
+    held = groups.join(lines.where("is_label").select("doc_id", "line_no", "left", "top", "right", "bottom", "text"), ["doc_id", "line_no"])
     made = held.groupBy("doc_id", F.col("group_no").alias("line_no")).agg(
         F.min("left").alias("left"), F.min("top").alias("top"), F.max("right").alias("right"), F.max("bottom").alias("bottom"), layout.by_left(F.collect_list(F.struct("left", "line_no", "text"))).alias("label")
     )
@@ -145,8 +174,11 @@ def value_rows(lines: DataFrame, anchors: DataFrame) -> DataFrame:
     visits = lambda rows: _boxes(rows, "v_", (F.col("left"), F.col("right")), (middle, middle))
     levels = _levels(values)
     anchor_waits = meet(waits(wanted), visits(values), levels, heights=2).select("doc_id", _side("w_").alias("a"), _side("v_").alias("v"))
-    value_waits = meet(waits(values), visits(wanted), levels, heights=2, above=1).select("doc_id", _side("v_").alias("a"), _side("w_").alias("v"))
-    row = anchor_waits.unionByName(value_waits).where(layout.share_value_row(F.col("a"), F.col("v"))).select("doc_id", F.col("a.line_no").alias("anchor"), F.col("v.line_no").alias("line_no"))
+    met = anchor_waits
+    if len(levels) > 1:  # else no value is taller than an anchor by a level
+        taller = waits(values).where(F.col("w_level") > levels[0])
+        met = met.unionByName(meet(taller, visits(wanted), levels, heights=2, above=1).select("doc_id", _side("v_").alias("a"), _side("w_").alias("v")))
+    row = met.where(layout.share_value_row(F.col("a"), F.col("v"))).select("doc_id", F.col("a.line_no").alias("anchor"), F.col("v.line_no").alias("line_no"))
     texts = row.join(values.select("doc_id", "line_no", "left", "text"), ["doc_id", "line_no"])
     return texts.groupBy("doc_id", "anchor").agg(layout.by_left(F.collect_list(F.struct("left", "line_no", "text"))).alias("value"))
 

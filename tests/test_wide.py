@@ -97,6 +97,38 @@ def test_one_page_of_fifty_thousand_lines(spark, monkeypatch):
     assert {r.value: r.field_no for r in found.where("label = 'NAME'").collect()} == {f"v{i}": i for i in range(n)}
 
 
+def plan(frame):
+    return frame._jdf.queryExecution().executedPlan().toString()
+
+
+def test_lines_are_shuffled_and_written_once(spark, monkeypatch):
+    """Numbering deals lines by range; the rest of it moves sizes of groups and parts."""
+    written, kept = [], wide.kept
+    monkeypatch.setattr(wide, "kept", lambda df, name: written.append((name, df.columns, plan(df))) or kept(df, name))
+    lines = wide.ordered_lines(spark.createDataFrame(scattered(1, 60, 400), SCHEMA))
+    assert [(name, p.count("Exchange ")) for name, columns, p in written if "text" in columns] == [("wide-lines", 1)]
+    assert "Exchange hashpartitioning" not in plan(lines) and lines.count() > 0
+
+
+def test_values_of_one_height_wait_for_no_anchor(spark):
+    """Only values that are taller than some anchor by a level are dealt to cells in which anchors look for them."""
+    same = [(1, i, "x 1", 0.95, [[i * 50, 0], [i * 50 + 40, 0], [i * 50 + 40, h], [i * 50, h]]) for i, h in enumerate([20] * 4 + [100])]
+    for rows_, unions in ((same[:4], 0), (same, 1)):
+        lines = wide.ordered_lines(spark.createDataFrame(rows_, SCHEMA))
+        assert plan(wide.value_rows(lines, lines.select("doc_id", F.col("line_no").alias("anchor")))).count("Union") == unions
+
+
+def test_order_with_null_groups_over_several_batches(spark):
+    """Groups go on from batch to batch and from task to task; null is a group like others."""
+    frame = spark.range(3000).select(F.when(F.col("id") % 3 > 0, F.col("id") % 3).alias("g"), (-F.col("id")).alias("k"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "70")
+    try:
+        found = wide.in_order(frame, "g", ["k"], "number").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(found) == 3000 and all(r.number == (2999 + r.k) // 3 for r in found)
+
+
 def test_components(spark):
     rng = random.Random(4)
     edges, parent = [], {}
